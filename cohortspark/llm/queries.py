@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .mixing import mix_sources
+from .warc import warc_round_trip
 
 MIX_SEED, MIX_TEMPERATURE, MIX_MOST = 7, 2.0, 50.0
 
@@ -29,5 +30,21 @@ select *, ('0x' || substr(md5('{MIX_SEED + 1}:' || doc_id::varchar || ':' || cop
 from copies
 """
 
-QUERIES = {"op4_mix_sources": op4_mix_sources}
-ORACLES = {"op4_mix_sources": OP4_SQL}
+def op5_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_round_trip(table(spark, sf_dir, "pages"), min_bytes=0).drop("url")
+
+
+OP5_SQL = """
+with p as (select page_id, encode(coalesce(html, '')) b from pages),
+h as (select page_id, octet_length(b)::bigint payload_bytes, sha1(b) x from p),
+f as (select *, min(page_id) over (partition by x, payload_bytes) first_id from h)
+select page_id, payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           (((('0x' || substr(x, (i // 4) * 5 + 1, 5))::bigint >> (15 - 5 * (i % 4))) & 31) + 1)::integer, 1)), '') payload_digest,
+       case when page_id = first_id then 'response' else 'revisit' end record_type,
+       case when page_id <> first_id then first_id end refers_to
+from f
+"""
+
+QUERIES = {"op5_warc_round_trip": op5_warc_round_trip, "op4_mix_sources": op4_mix_sources}
+ORACLES = {"op5_warc_round_trip": OP5_SQL, "op4_mix_sources": OP4_SQL}
