@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .mixing import mix_sources
+from .sentencepiece_sample import sample_encode
+from .token_count import count_tokens
 from .warc import warc_round_trip
 
 MIX_SEED, MIX_TEMPERATURE, MIX_MOST = 7, 2.0, 50.0
@@ -46,5 +48,13 @@ select page_id, payload_bytes,
 from f
 """
 
-QUERIES = {"op5_warc_round_trip": op5_warc_round_trip, "op4_mix_sources": op4_mix_sources}
+def op1_sentencepiece_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sample_encode(table(spark, sf_dir, "documents"))
+
+
+def op9_count_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_sentencepiece_sample": op1_sentencepiece_sample, "op9_count_tokens": op9_count_tokens, "op5_warc_round_trip": op5_warc_round_trip, "op4_mix_sources": op4_mix_sources}
 ORACLES = {"op5_warc_round_trip": OP5_SQL, "op4_mix_sources": OP4_SQL}
