@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import table
+from .common import fold, held_out, table
 from .mixing import mix_sources
 from .sentencepiece_sample import sample_encode
 from .token_count import count_tokens
+from .toxicity import score_toxicity
 from .warc import warc_round_trip
 
 MIX_SEED, MIX_TEMPERATURE, MIX_MOST = 7, 2.0, 50.0
@@ -56,5 +58,11 @@ def op9_count_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_sentencepiece_sample": op1_sentencepiece_sample, "op9_count_tokens": op9_count_tokens, "op5_warc_round_trip": op5_warc_round_trip, "op4_mix_sources": op4_mix_sources}
+def op10_score_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score_toxicity(docs, table(spark, sf_dir, "labels"), lambda i: fold(i) != 2)
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+QUERIES = {"op10_score_toxicity": op10_score_toxicity, "op1_sentencepiece_sample": op1_sentencepiece_sample, "op9_count_tokens": op9_count_tokens, "op5_warc_round_trip": op5_warc_round_trip, "op4_mix_sources": op4_mix_sources}
 ORACLES = {"op5_warc_round_trip": OP5_SQL, "op4_mix_sources": OP4_SQL}
