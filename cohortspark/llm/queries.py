@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import fold, held_out, table
+from .langid import identify_language
 from .mixing import mix_sources
 from .sentencepiece_sample import sample_encode
 from .token_count import count_tokens
@@ -64,5 +65,11 @@ def op10_score_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {"op10_score_toxicity": op10_score_toxicity, "op1_sentencepiece_sample": op1_sentencepiece_sample, "op9_count_tokens": op9_count_tokens, "op5_warc_round_trip": op5_warc_round_trip, "op4_mix_sources": op4_mix_sources}
+def op8_identify_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = identify_language(docs, lambda i: fold(i) != 2)
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+QUERIES = {"op8_identify_language": op8_identify_language, "op10_score_toxicity": op10_score_toxicity, "op1_sentencepiece_sample": op1_sentencepiece_sample, "op9_count_tokens": op9_count_tokens, "op5_warc_round_trip": op5_warc_round_trip, "op4_mix_sources": op4_mix_sources}
 ORACLES = {"op5_warc_round_trip": OP5_SQL, "op4_mix_sources": OP4_SQL}
