@@ -309,4 +309,4 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, keep, threshold: float =
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64()), pa.array((found >= threshold).astype(np.int32))], [*batch.schema.names, "score", "predicted"])
 
     schema = docs.schema
-    return docs.mapInArrow(score, schema.__class__([*schema.fields]).add("score", "double").add("predicted", "int"))
+    return docs.mapInArrow(score, schema.__class__([*schema.fields]).add("score", "double").add("predicted", "integer"))
