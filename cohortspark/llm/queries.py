@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .common import fold, held_out, table
 from .langid import identify_language
 from .mixing import mix_sources
+from .ngram_join import similar_groups
 from .sentencepiece_sample import sample_encode
 from .token_count import count_tokens
 from .toxicity import score_toxicity
@@ -71,5 +72,9 @@ def op8_identify_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {"op8_identify_language": op8_identify_language, "op10_score_toxicity": op10_score_toxicity, "op1_sentencepiece_sample": op1_sentencepiece_sample, "op9_count_tokens": op9_count_tokens, "op5_warc_round_trip": op5_warc_round_trip, "op4_mix_sources": op4_mix_sources}
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_groups(table(spark, sf_dir, "documents"), words=4, percent=85)
+
+
+QUERIES = {"op2_ngram_jaccard_join": op2_ngram_jaccard_join, "op8_identify_language": op8_identify_language, "op10_score_toxicity": op10_score_toxicity, "op1_sentencepiece_sample": op1_sentencepiece_sample, "op9_count_tokens": op9_count_tokens, "op5_warc_round_trip": op5_warc_round_trip, "op4_mix_sources": op4_mix_sources}
 ORACLES = {"op5_warc_round_trip": OP5_SQL, "op4_mix_sources": OP4_SQL}
