@@ -79,13 +79,18 @@ def evidence(pairs: list[tuple[np.ndarray, int]], bits: int) -> list[np.ndarray]
     return [odds(counts - [[1], [0]]), odds(counts - [[0], [1]]), odds(counts)]
 
 
-def features(words: list[str], word_evidence: np.ndarray, gram_evidence: np.ndarray) -> np.ndarray:
+def word_slots(words: list[str], step: int = 1 << 14) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(slot of each word, slots of all n-grams, number of n-grams of each word); a part of the words at a time."""
+    parts = [(_slots(w, WORD_BITS).astype(np.int32), _slots(g, GRAM_BITS).astype(np.int32), n) for w, g, n in (spell(words[k : k + step]) for k in range(0, len(words), step))]
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+def features(words: list[str], slots: tuple[np.ndarray, np.ndarray, np.ndarray], word_evidence: np.ndarray, gram_evidence: np.ndarray) -> np.ndarray:
     """The network's inputs for distinct words."""
-    whole, grams, n = spell(words)
-    at = np.cumsum(n) - n
-    known = gram_evidence[_slots(grams, GRAM_BITS)]
+    ws, gs, n = slots
+    at, known = np.cumsum(n) - n, gram_evidence[gs]
     sizes = np.log1p([len(w) for w in words]) - 2
-    return np.stack([word_evidence[_slots(whole, WORD_BITS)], np.maximum.reduceat(known, at), np.add.reduceat(known, at) / n, sizes], axis=1).astype(np.float32)
+    return np.stack([word_evidence[ws], np.maximum.reduceat(known, at), np.add.reduceat(known, at) / n, sizes], axis=1).astype(np.float32)
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -168,12 +173,12 @@ def train(texts: list[str], labels: list[int], shares: tuple[float, float] = (1.
     ids = [np.array([index.setdefault(w, len(index)) for w in d], np.int64) for d in docs]
     if not index:
         return None
-    whole, grams, n = spell(list(index))
+    words = list(index)
+    ws, gs, n = slots = word_slots(words)
     at = np.cumsum(n) - n
-    ws, gs = _slots(whole, WORD_BITS), _slots(grams, GRAM_BITS)
     by_word = evidence([(ws[x], y) for x, y in zip(ids, labels, strict=True)], WORD_BITS)
     by_gram = evidence([(gs[ragged(n[u], at[u])], y) for u, y in zip(map(np.unique, ids), labels, strict=True)], GRAM_BITS)
-    inputs = np.concatenate([features(list(index), by_word[y], by_gram[y]) for y in (0, 1)])
+    inputs = np.concatenate([features(words, slots, by_word[y], by_gram[y]) for y in (0, 1)])
     strong, rows, target = np.maximum(inputs[:, 0], inputs[:, 1]), [], []
     for own, y in zip(ids, labels, strict=True):
         if len(own):
@@ -249,7 +254,7 @@ class Scorer:
         flat = np.fromiter((index.setdefault(x, len(index)) for d in docs for x in d), np.int64)
         if len(index) > base:
             fresh = list(index)[base:] if base == 0 else [x for x, _ in zip(reversed(index), range(len(index) - base), strict=False)][::-1]
-            got = features(fresh, self.net.word_evidence, self.net.gram_evidence) @ self.net.w["in"] + self.net.w["in_bias"]
+            got = features(fresh, word_slots(fresh), self.net.word_evidence, self.net.gram_evidence) @ self.net.w["in"] + self.net.w["in_bias"]
             if len(index) > len(self.gates):
                 self.gates = np.concatenate([self.gates, np.zeros((max(len(index), len(self.gates)), 6 * HIDDEN), np.float32)])
             self.gates[base : len(index)] = got
@@ -285,7 +290,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, keep, most: int, id_col:
     return [r["text"] for r in got], [r["label"] for r in got], shares
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, keep, threshold: float = 0.3, most: int = 3000, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, keep, threshold: float = 0.3, most: int = 1500, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with `score` double (0 to 1) and `predicted` int (1 if score >= threshold).
 
     keep: a condition on the id column: the documents whose labels may be learned from; most: the greatest number of them for
