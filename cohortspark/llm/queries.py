@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bm25 import bm25_top_k
 from .common import fold, held_out, table
+from .embed_dedup import near_duplicates
 from .langid import identify_language
 from .mixing import mix_sources
 from .ngram_join import similar_groups
@@ -82,5 +84,14 @@ def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {"op3_suffix_array_dedup": op3_suffix_array_dedup, "op2_ngram_jaccard_join": op2_ngram_jaccard_join, "op8_identify_language": op8_identify_language, "op10_score_toxicity": op10_score_toxicity, "op1_sentencepiece_sample": op1_sentencepiece_sample, "op9_count_tokens": op9_count_tokens, "op5_warc_round_trip": op5_warc_round_trip, "op4_mix_sources": op4_mix_sources}
+def op6_bm25_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return bm25_top_k(docs, docs.where("doc_id % 50 = 0"), k=10)
+
+
+def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
+QUERIES = {"op6_bm25_top_k": op6_bm25_top_k, "op7_embedding_near_dedup": op7_embedding_near_dedup, "op3_suffix_array_dedup": op3_suffix_array_dedup, "op2_ngram_jaccard_join": op2_ngram_jaccard_join, "op8_identify_language": op8_identify_language, "op10_score_toxicity": op10_score_toxicity, "op1_sentencepiece_sample": op1_sentencepiece_sample, "op9_count_tokens": op9_count_tokens, "op5_warc_round_trip": op5_warc_round_trip, "op4_mix_sources": op4_mix_sources}
 ORACLES = {"op5_warc_round_trip": OP5_SQL, "op4_mix_sources": OP4_SQL}

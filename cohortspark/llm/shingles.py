@@ -12,25 +12,35 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted distinct shingle hashes, row of each) of rows of text in bytes.
+#: Bytes of words in searches: ASCII letters and digits, and all bytes of other characters.
+ALPHANUMERIC = np.array([i >= 0x80 or chr(i).isalnum() for i in range(256)])
 
-    Words are runs of bytes other than space, tab and line breaks (0x09-0x0D), A-Z in lower case. A row with fewer words than
-    `words` has its whole sequence as one shingle; a row without words has none."""
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray, solid: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, row) of all words in order; words are runs of `solid` bytes (by default of all but space and 0x09-0x0D)
+    within a row, A-Z in lower case."""
     lo, hi = int(offsets[0]), int(offsets[-1])
-    text, rows = _LOWER[data[lo:hi]], len(offsets) - 1
-    solid = ~_SPACE[text]
-    first = solid.copy()
-    first[1:] &= ~solid[:-1]
+    text = _LOWER[data[lo:hi]]
+    inside = (~_SPACE if solid is None else solid)[text]
+    first = inside.copy()
+    first[1:] &= ~inside[:-1]
     inner = offsets[1:-1] - lo
     inner = inner[inner < len(text)]
-    first[inner] = solid[inner]
+    first[inner] = inside[inner]
     starts = np.flatnonzero(first)
-    stop = ~solid
-    row_of = np.searchsorted(offsets - lo, starts, "right") - 1
-    gaps = np.flatnonzero(stop)
-    ends = np.minimum(np.append(gaps, len(text))[np.searchsorted(gaps, starts)], offsets[row_of + 1] - lo)
-    h = mix(span_hash(prefix_hashes(text), starts, ends))
+    row = np.searchsorted(offsets - lo, starts, "right") - 1
+    gaps = np.flatnonzero(~inside)
+    ends = np.minimum(np.append(gaps, len(text))[np.searchsorted(gaps, starts)], offsets[row + 1] - lo)
+    return mix(span_hash(prefix_hashes(text), starts, ends)), row
+
+
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted distinct shingle hashes, row of each) of rows of text in bytes.
+
+    Words are runs of bytes other than space, tab and line breaks (0x09-0x0D), A-Z in lower case. A row with fewer words than
+    `words` has its whole sequence as one shingle; a row without words has none."""
+    rows = len(offsets) - 1
+    h, row_of = word_hashes(data, offsets)
     count = np.bincount(row_of, minlength=rows)
     last = np.cumsum(count)
     begin = last - count
