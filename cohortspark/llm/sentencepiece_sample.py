@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -17,61 +17,77 @@ from .vocabulary import MODEL, SEGMENTS, Vocabulary, load_vocabulary
 class Lattices:
     """Backward distributions of the segments seen so far, in flat arrays.
 
-    Segment w of n characters has nodes base[w] + 1 .. base[w] + n, one for each end. An edge of node v has the key
-    v + P(edges up to and with it | v), so that one binary search draws an edge for each of many nodes at once."""
+    Segment w of n characters has nodes base[w] + 1 .. base[w] + n, one for each end. The edges of node v stand together from
+    first[v] on, each with the probability of the edges up to and with it."""
 
     def __init__(self, vocabulary: Vocabulary, alpha: float, most: int = 250_000):
         self.vocabulary, self.alpha, self.most = vocabulary, alpha, most
-        self.unknown = vocabulary.unknown_score
-        v = vocabulary.size
-        # what stands for a character without pieces: token v + k is its UTF-8 bytes
+        pieces = {i: (len(t), s) for t, i, s in vocabulary.pieces}
+        self.widths = np.array([pieces.get(i, (0, 0))[0] for i in range(vocabulary.size)], np.int64)
+        self.scores = np.array([pieces.get(i, (0, 0))[1] for i in range(vocabulary.size)]) * alpha
+        # what stands for a character without pieces: token size + k is its UTF-8 bytes
         self.spelled: dict[str, int] = {}
-        self.token_ids: list[tuple[int, ...]] = [(i,) for i in range(v)]
+        self.token_ids: list[tuple[int, ...]] = [(i,) for i in range(vocabulary.size)]
         self.clear()
 
     def clear(self) -> None:
         self.index: dict[str, int] = {}
-        self.nodes, self.edges = 1, 0
-        self.base, self.length = [], []
-        self.keys, self.tokens, self.back = np.empty(1 << 16), np.empty(1 << 16, np.int32), np.empty(1 << 16, np.int32)
-        self._new: tuple[list, list, list] = ([], [], [])
-
-    def add(self, segment: str) -> int:
-        n, alpha = len(segment), self.alpha
-        ends: list[list[tuple[int, int, float]]] = [[] for _ in range(n + 1)]
-        for end, match in self.vocabulary.automaton.iter(segment):
-            ends[end + 1].append(match)
-        forward = [0.0] * (n + 1)
-        keys, tokens, back = self._new
-        exp, node = math.exp, self.nodes
-        for e in range(1, n + 1):
-            edges = ends[e]
-            if not any(m[0] == 1 for m in edges):
-                edges.append((1, self.spell(segment[e - 1]), self.unknown))
-            if len(edges) == 1:
-                length, token, s = edges[0]
-                forward[e] = forward[e - length] + alpha * s
-                keys.append(node + e + 1.0)
-                tokens.append(token)
-                back.append(length)
-                continue
-            weights = [forward[e - m[0]] + alpha * m[2] for m in edges]
-            top = max(weights)
-            weights = [exp(w - top) for w in weights]
-            total = sum(weights)
-            forward[e] = top + math.log(total)
-            reached = 0.0
-            for w, m in zip(weights, edges):
-                reached += w
-                keys.append(node + e + reached / total)
-                tokens.append(m[1])
-                back.append(m[0])
-            keys[-1] = node + e + 1.0
-        self.base.append(node)
-        self.length.append(n)
-        self.nodes = node + n
-        self.index[segment] = found = len(self.base) - 1
-        return found
+        self.nodes, self.edges = 0, 0
+        self.base, self.length = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+        self.first = np.zeros(1 << 14, np.int64)
+        self.reached, self.tokens, self.back = np.zeros(1 << 15), np.zeros(1 << 15, np.int32), np.zeros(1 << 15, np.int32)
+
+    def add(self, segments: list[str]) -> None:
+        """Forward filtering of new segments, all at once: the weight of a node is the sum over its edges."""
+        size = np.array([len(x) for x in segments], np.int64)
+        text = "\0".join(segments)
+        start = np.cumsum(size + 1) - size - 1
+        flat = np.fromiter(chain.from_iterable(self.vocabulary.id_automaton.iter(text)), np.int64).reshape(-1, 2)
+        word_at = np.repeat(np.arange(len(segments)), size + 1)
+        base = np.cumsum(size) - size
+        end, token = flat[:, 0], flat[:, 1]
+        word, width, score = word_at[end], self.widths[token], self.scores[token]
+        node = base[word] + end - start[word]
+        single = np.zeros(int(size.sum()), bool)
+        single[node[width == 1]] = True
+        if not single.all():
+            bare = np.flatnonzero(~single)
+            w = np.searchsorted(base, bare, "right") - 1
+            chars = [text[k] for k in (start[w] + bare - base[w]).tolist()]
+            node = np.concatenate([node, bare])
+            word = np.concatenate([word, w])
+            token = np.concatenate([token, [self.spell(c) for c in chars]])
+            width = np.concatenate([width, np.ones(len(bare), np.int64)])
+            score = np.concatenate([score, np.full(len(bare), self.alpha * self.vocabulary.unknown_score)])
+        place = node - base[word] + 1
+        order = np.lexsort((node, place))
+        ends = np.cumsum(np.bincount(place, minlength=1))
+        forward, reached = np.zeros(len(single)), np.zeros(len(node))
+        for e in range(1, len(ends)):
+            k = order[ends[e - 1] : ends[e]]
+            n, w = node[k], width[k]
+            weight = score[k] + np.where(w == e, 0.0, forward[n - w])
+            new = np.flatnonzero(np.concatenate([[True], n[1:] != n[:-1]]))
+            edges = np.diff(np.append(new, len(n)))
+            top = np.maximum.reduceat(weight, new)
+            weight = np.exp(weight - np.repeat(top, edges))
+            total = np.add.reduceat(weight, new)
+            forward[n[new]] = top + np.log(total)
+            run = np.cumsum(weight)
+            reached[k] = (run - np.repeat(run[new] - weight[new], edges)) / np.repeat(total, edges)
+        by_node = np.argsort(node, kind="stable")
+        node, reached = node[by_node], reached[by_node]
+        new = np.concatenate([[True], node[1:] != node[:-1]])
+        reached[np.append(np.flatnonzero(new)[1:] - 1, len(node) - 1)] = 2.0  # the last edge takes what rounding leaves
+        known, n_nodes, n_edges = len(self.index), self.nodes, self.edges
+        self.base = _put(self.base, known, base + n_nodes)
+        self.length = _put(self.length, known, size)
+        self.first = _put(self.first, n_nodes + 1, np.flatnonzero(new) + n_edges)
+        self.reached = _put(self.reached, n_edges, reached)
+        self.tokens = _put(self.tokens, n_edges, token[by_node])
+        self.back = _put(self.back, n_edges, width[by_node])
+        self.nodes, self.edges = n_nodes + len(single), n_edges + len(node)
+        self.index.update(zip(segments, range(known, known + len(segments))))
 
     def spell(self, char: str) -> int:
         if (token := self.spelled.get(char)) is None:
@@ -79,37 +95,32 @@ class Lattices:
             self.token_ids.append(tuple(self.vocabulary.byte_ids[b] for b in char.encode()))
         return token
 
-    def settle(self) -> None:
-        """Moves what add() has gathered into the arrays."""
-        if n := len(self._new[0]):
-            need = self.edges + n
-            if need > len(self.keys):
-                self.keys, self.tokens, self.back = (np.concatenate([x, np.empty(max(need, len(x)), x.dtype)]) for x in (self.keys, self.tokens, self.back))
-            for x, new in zip((self.keys, self.tokens, self.back), self._new, strict=True):
-                x[self.edges : need] = new
-                new.clear()
-            self.edges = need
-
     def sample(self, segments: list[str], seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(tokens, number of tokens for each segment); seeds: a 64-bit number for each segment."""
         if len(self.index) > self.most:
             self.clear()
-        get, add = self.index.get, self.add
-        which = np.fromiter((w if (w := get(s)) is not None else add(s) for s in segments), np.int64, len(segments))
-        self.settle()
-        base = np.array(self.base, np.int64)[which]
-        at = base + np.array(self.length, np.int64)[which]
+        if fresh := [x for x in dict.fromkeys(segments) if x not in self.index]:
+            self.add(fresh)
+        which = np.fromiter(map(self.index.__getitem__, segments), np.int64, len(segments))
+        base = self.base[which]
+        at = base + self.length[which]
         alive, steps, step = np.arange(len(which)), [], 0
-        keys = self.keys[: self.edges]
         while len(alive):
-            u = (mix(seeds[alive] + np.uint64(step * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) >> np.uint64(11)).astype(np.float64) * 2.0**-53
             here = at[alive]
-            edge = np.searchsorted(keys, np.minimum(here + u, np.nextafter(here + 1.0, 0)), "right")
+            edge = self.first[here]
+            u = (mix(seeds[alive] + np.uint64(step * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) >> np.uint64(11)).astype(np.float64) * 2.0**-53
+            more = np.flatnonzero(u >= self.reached[edge])
+            while len(more):
+                edge[more] += 1
+                more = more[u[more] >= self.reached[edge[more]]]
             steps.append((alive, self.tokens[edge]))
-            at[alive] = here = here - self.back[edge]
+            here = here - self.back[edge]
+            at[alive] = here
             alive = alive[here > base[alive]]
             step += 1
-        count = np.bincount(np.concatenate([a for a, _ in steps]), minlength=len(which)) if steps else np.zeros(len(which), np.int64)
+        count = np.zeros(len(which), np.int64)
+        for a, _ in steps:
+            count[a] += 1
         last = np.cumsum(count) - 1
         out = np.empty(int(count.sum()), np.int64)
         for k, (a, tokens) in enumerate(steps):
@@ -117,6 +128,15 @@ class Lattices:
         return out, count
 
 
+def _put(array: np.ndarray, at: int, values: np.ndarray) -> np.ndarray:
+    """array with values from `at` on, in a larger copy if they don't fit."""
+    need = at + len(values)
+    if need > len(array):
+        array = np.concatenate([array, np.zeros(max(need - len(array), len(array)), array.dtype)])
+    array[at:need] = values
+    return array
+
+
 def ragged(lengths: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Indices starts[0], starts[0] + 1, ... (lengths[0] of them), starts[1], ..."""
     ends = np.cumsum(lengths)

@@ -33,6 +33,15 @@ class Vocabulary:
         found.make_automaton()
         return found
 
+    @cached_property
+    def id_automaton(self) -> ahocorasick.Automaton:
+        """As automaton, with bare ids for matches."""
+        found = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for text, i, _ in self.pieces:
+            found.add_word(text, i)
+        found.make_automaton()
+        return found
+
     @cached_property
     def piece_bytes(self) -> list[bytes]:
         out = [b""] * self.size
