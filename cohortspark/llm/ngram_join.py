@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, stash
@@ -139,33 +139,35 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     tried against one leader for each token before the remaining pairs are tried."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text).cast("string").alias("text"))
     digest = stash(digests(rows, words), "digests")
-    # a set's node is the least id of its rows; rows of one id and different texts make nodes of their own
-    nodes = digest.where("n_shingles > 0 and id is not null").groupBy("s1", "s2", "n_shingles").agg(F.min("id").alias("node_id"))
-    nodes = nodes.withColumn("node", F.xxhash64("s1", "s2", "n_shingles"))
+    # a set's node is the first half of its digest; it goes by the least id of its rows
+    nodes = digest.where("n_shingles > 0 and id is not null").groupBy(F.col("s1").alias("node"), "s2", "n_shingles").agg(F.min("id").alias("node_id"))
     sent = docs.sparkSession.sparkContext.broadcast(sketch(rows, words))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = sent.value
         level = np.log2(count + 1.0).astype(np.int64)
+        seen: set[int] = set()
         for batch in batches:
-            for lo, hi, hashes, ends in _sets(batch, 1, words):
-                a, b = _digest(hashes, ends)
+            for _, _, hashes, ends in _sets(batch, 1, words):
+                node, _ = _digest(hashes, ends)
                 token, row, layer, layers = prefixes(hashes, ends, level, count, percent, costly)
-                # what only this row holds meets no other
+                # equal sets have equal postings: a task passes them on once, as far as it remembers
+                fresh = np.array([x not in seen and not seen.add(x) for x in node.tolist()], bool)
+                if len(seen) > 200_000:
+                    seen.clear()
                 size = np.diff(ends)
                 slot = (token >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
-                k = np.flatnonzero(count[slot] > 1)
+                # what only one row holds meets no other
+                k = np.flatnonzero(fresh[row] & (count[slot] > 1))
                 row = row[k]
-                ids = batch.column(0).slice(lo, hi - lo).take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(token[k].view(np.int64)), pa.array(a[row]), pa.array(b[row]), pa.array(size[row]), pa.array(layer[k].astype(np.int8)), pa.array(layers[k].astype(np.int8))], ["id", "token", "s1", "s2", "n_shingles", "layer", "layers"])
+                yield pa.RecordBatch.from_arrays([pa.array(token[k].view(np.int64)), pa.array(node[row]), pa.array(size[row] * 64 + layer[k] * 8 + layers[k])], ["token", "node", "packed"])
 
-    kind = rows.schema["id"].dataType.simpleString()
-    postings = rows.where("id is not null").mapInArrow(emit, f"id {kind}, token long, s1 long, s2 long, n_shingles long, layer byte, layers byte")
-    # equal sets have equal postings: the rows of a token and a set are one, summed before the shuffle
-    postings = postings.groupBy("token", F.xxhash64("s1", "s2", "n_shingles").alias("node")).agg(F.first("n_shingles").alias("n"), F.first("layer").alias("layer"), F.first("layers").alias("layers"))
-    postings = stash(postings, "postings")
-    shared = postings.groupBy("token").agg(F.count(F.lit(1)).alias("met")).where("met > 1").select("token")
-    postings = stash(postings.join(shared, "token"), "shared")
+    postings = rows.where("id is not null").mapInArrow(emit, "token long, node long, packed long")
+    # one shuffle: the same partitions serve to drop repeats and to drop the tokens that meet nothing
+    postings = postings.repartition("token").dropDuplicates(["token", "node"])
+    postings = postings.withColumn("met", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("met > 1")
+    unpacked = {"n": F.shiftright("packed", 6), "layer": F.shiftright("packed", 3).bitwiseAND(7), "layers": F.col("packed").bitwiseAND(7)}
+    postings = stash(postings.select("token", "node", *[c.alias(k) for k, c in unpacked.items()]), "postings")
 
     found = postings.select("node").distinct()
     of_node = stash(nodes.join(found, "node").groupBy("node").agg(F.min("node_id").alias("id")), "nodes")
@@ -193,7 +195,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     links = links.union(stash(_verify(pairs.select("a", "b"), sets, percent), "links"))
     labels = components(links)
 
-    of_set = nodes.join(labels, "node", "left").select("s1", "s2", "n_shingles", "node_id", F.coalesce("component", "node").alias("group"))
+    of_set = nodes.join(labels, "node", "left").select(F.col("node").alias("s1"), "s2", "n_shingles", "node_id", F.coalesce("component", "node").alias("group"))
     of_set = stash(of_set, "groups")
     least = of_set.groupBy("group").agg(F.min("node_id").alias("component_id"))
     of_set = of_set.join(least, "group").select("s1", "s2", "n_shingles", "component_id")
@@ -219,11 +221,11 @@ def _token_sets(rows: DataFrame, of_node: DataFrame, words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, hashes, ends in _sets(batch, 1, words):
-                a, b = _digest(hashes, ends)
+                a, _ = _digest(hashes, ends)
                 offsets = pa.array((ends * 8).astype(np.int64))
                 tokens = pa.LargeBinaryArray.from_buffers(pa.large_binary(), hi - lo, [None, offsets.buffers()[1], pa.py_buffer(hashes.tobytes())]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), tokens, pa.array(a), pa.array(b), pa.array(np.diff(ends))], ["node", "tokens", "s1", "s2", "n"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), tokens, pa.array(a)], ["node", "tokens", "s1"])
 
-    made = picked.mapInArrow(run, "node long, tokens binary, s1 long, s2 long, n long")
+    made = picked.mapInArrow(run, "node long, tokens binary, s1 long")
     # an id may have rows with other texts, and rows with the same one
-    return made.where(F.xxhash64("s1", "s2", "n") == F.col("node")).dropDuplicates(["node"]).select("node", "tokens")
+    return made.where("s1 = node").dropDuplicates(["node"]).select("node", "tokens")
