@@ -7,9 +7,9 @@
 3. The classes of an anchor are sorted by what follows it and by what precedes it (backwards) with a deep-shallow sort:
    multikey quicksort to a shallow depth, blind tries for the groups that are still equal there. The common prefixes of
    neighbours give for each pair of classes the longest match around the anchor.
-4. An anchor with more than `most_classes` classes is split: a repeated window takes at least half of its bytes either from
-   before or from after the middle of its range, so that classes part by a longer string before or after the anchor. This
-   goes on until a group is small or its windows are single and equal."""
+4. An anchor with more than `most_classes` classes is split: its windows are halved by how far they begin before the anchor,
+   and the classes part by what all windows of a half share. Members that agree in all that a half's windows reach are
+   repeated there, and one of them stands for them. This goes on until groups are small."""
 
 from __future__ import annotations
 
@@ -196,11 +196,12 @@ def _anchor_table(rows: DataFrame, length: int) -> DataFrame:
 
 
 def _cut(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """wanted: (did, rid, pos, h, context, before, after, n); adds the bytes before (backwards) and after each place."""
-    lists = wanted.groupBy("did", "rid").agg(F.collect_list(F.struct("pos", "h", "context", "before", "after", "n")).alias("places"))
+    """wanted: (did, rid, pos, h, before, after, size); (did, rid, pos, key, size, left, right) with the bytes before (backwards)
+    and after each place. A row that docs hold twice gives its places twice, which changes no result."""
+    lists = wanted.groupBy("did", "rid").agg(F.collect_list(F.struct("pos", "h", "before", "after", "size")).alias("places"))
     lists = lists.withColumnsRenamed({"did": "d2", "rid": "r2"})
     both = rows.join(lists, (F.col("rid") == F.col("r2")) & F.col("did").eqNullSafe(F.col("d2"))).select("did", "rid", "text", "places")
-    schema = f"{PLACE}, h long, context long, n long, left binary, right binary"
+    schema = f"{PLACE}, key long, size long, left binary, right binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -211,14 +212,13 @@ def _cut(rows: DataFrame, wanted: DataFrame) -> DataFrame:
                 text = data[base : int(offsets[k + 1])].tobytes()
                 for x in places:
                     p = x["pos"]
-                    out.append((batch.column(0)[k].as_py(), batch.column(1)[k].as_py(), p, x["h"], x["context"], x["n"], text[p - x["before"] : p][::-1], text[p : p + x["after"]]))
+                    out.append((batch.column(0)[k].as_py(), batch.column(1)[k].as_py(), p, x["h"], x["size"], text[p - x["before"] : p][::-1], text[p : p + x["after"]]))
             if out:
-                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
                 names = [x.split()[0] for x in schema.split(", ")]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
-    # rows that are repeated as a whole give the same places
-    return both.mapInArrow(run, schema).dropDuplicates(["h", "context"])
+    return both.mapInArrow(run, schema)
 
 
 def _solve(groups: DataFrame, length: int) -> DataFrame:
@@ -247,25 +247,26 @@ def _solve(groups: DataFrame, length: int) -> DataFrame:
 
 
 def _split(groups: DataFrame, length: int) -> DataFrame:
-    """The two halves of each member's range lo..hi of bytes before the anchor, keyed by what all its windows share."""
+    """The two halves of each member's range lo..hi of bytes before the anchor: keyed by what all windows of the half share, with
+    the bytes that any of them can reach and a hash of these (cls)."""
+
+    def number(head: bytes, a: bytes, b: bytes) -> int:
+        return int.from_bytes(hashlib.blake2b(head + a + b, digest_size=8).digest(), "little", signed=True)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            parts = []
-            for upper in (False, True):
-                half = pdf.copy()
-                middle = (half["lo"] + half["hi"]) // 2
-                half["lo"], half["hi"] = (middle + 1, half["hi"]) if upper else (half["lo"], middle)
-                keep = [len(a) >= lo and len(b) >= length - hi for a, b, lo, hi in zip(half["left"], half["right"], half["lo"], half["hi"], strict=True)]
-                half = half[keep]
-                half["key"] = [
-                    int.from_bytes(hashlib.blake2b(b"%d %d %d " % (k, lo, hi) + a[:lo] + b[: length - hi], digest_size=8).digest(), "little", signed=True)
-                    for k, lo, hi, a, b in zip(half["key"], half["lo"], half["hi"], half["left"], half["right"], strict=True)
-                ]
-                parts.append(half)
-            yield pd.concat(parts)
-
-    return groups.mapInPandas(run, groups.schema)
+            out = []
+            for key, did, rid, pos, left, right, lo, hi in zip(*(pdf[c] for c in ("key", "did", "rid", "pos", "left", "right", "lo", "hi")), strict=True):
+                middle = (lo + hi) // 2
+                for x, y in ((lo, middle), (middle + 1, hi)):
+                    a, b = left[:y], right[: length - x]
+                    if len(a) >= x and len(b) >= length - y and len(a) + len(b) >= length:
+                        own = number(b"%d %d %d " % (key, x, y), a[:x], b[: length - y])
+                        out.append((own, number(b"%d %d " % (own, len(a)), a, b), did, rid, pos, a, b, x, y))
+            yield pd.DataFrame(out, columns=["key", "cls", "did", "rid", "pos", "left", "right", "lo", "hi"])
+
+    fields = groups.select("key", "did", "rid", "pos", "left", "right", "lo", "hi")
+    return fields.mapInPandas(run, f"key long, cls long, {PLACE}, left binary, right binary, lo int, hi int")
 
 
 def repeated_spans(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text: str = "text", most_classes: int = 128) -> DataFrame:
@@ -285,21 +286,27 @@ def repeated_spans(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
     classes = stash(classes, "classes")
     several = classes.where("n > 1").select("h", "context")
     whole = found.join(several, ["h", "context"]).select("did", "rid", F.expr("pos - before").alias("start"), F.expr("pos + after").alias("end"))
-    wanted = classes.where("mixed").select("rep.did", "rep.rid", "rep.pos", "h", "context", "before", "after", "n")
-    level = _cut(rows, wanted).select(F.col("h").alias("key"), "did", "rid", "pos", "n", "left", "right", F.lit(0).alias("lo"), F.lit(length - ANCHOR).alias("hi"))
+    sizes = classes.where("mixed").groupBy("h").agg(F.count(F.lit(1)).alias("size"))
+    wanted = classes.where("mixed").join(sizes, "h").select("rep.did", "rep.rid", "rep.pos", "h", "before", "after", "size")
+    level = _cut(rows, wanted).withColumns({"lo": F.lit(0), "hi": F.lit(length - ANCHOR)})
     parts = [whole]
     while True:
         level = stash(level, "level")
-        sizes = level.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-        level = stash(level.join(sizes, "key"), "groups")
-        single = F.col("n") == 1
         solved = _solve(level.where(F.col("size") <= most_classes), length)
         parts.append(solved.select("did", "rid", F.expr("pos - back").alias("start"), F.expr("pos + forward").alias("end")))
         large = level.where(F.col("size") > most_classes)
         if large.isEmpty():
             break
-        parts.append(large.where(F.col("lo") == F.col("hi")).where(single).select("did", "rid", F.expr("pos - lo").alias("start"), F.expr(f"pos + {length} - lo").alias("end")))
-        level = _split(large.where(F.col("lo") < F.col("hi")).drop("size"), length)
+        pieces = stash(_split(large, length), "pieces")
+        counts = pieces.groupBy("key", "cls").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("did", "rid", "pos")).alias("rep"))
+        counts = stash(counts, "counts")
+        # members that agree in all that the half's windows reach are repeated there; one of them goes on for the others
+        equal = pieces.drop("key").join(counts.where("m > 1").select("cls"), "cls")
+        parts.append(equal.select("did", "rid", F.expr("pos - octet_length(left)").alias("start"), F.expr("pos + octet_length(right)").alias("end")))
+        sizes = counts.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+        going = counts.join(sizes, "key").select("cls", "rep", "size")
+        same = F.struct("did", "rid", "pos").eqNullSafe(F.col("rep"))
+        level = pieces.join(going, "cls").where(same).select("did", "rid", "pos", "key", "size", "left", "right", "lo", "hi")
     spans = parts[0]
     for part in parts[1:]:
         spans = spans.union(part)
