@@ -369,12 +369,13 @@ def _(v):
     return r6(v.table("part").select("p_partkey", derive.bmi(w, h, fallback).alias("bmi"), derive.bmi(w, h, fallback, 10, 60).alias("plausible_bmi")))
 
 
-@query("unit_convert", "select l_orderkey, " + rd(*[f"sum(l_extendedprice * {f}::double) {n}" for n, f in units.FACTORS.items()], "sum((l_extendedprice - 32) * 5 / 9) fahrenheit_to_celsius", "sum(l_extendedprice) wbc_to_si", "sum(l_extendedprice) as_is", places=3) + " from lineitem group by 1")
+@query("unit_convert", "select l_orderkey, " + rd(*[f"sum(l_extendedprice * {f}::double) {n}" for n, f in units.FACTORS.items()], places=7) + ", " + rd("sum((l_extendedprice - 32) * 5 / 9) fahrenheit_to_celsius", "sum(l_extendedprice) wbc_to_si", "sum(l_extendedprice) as_is", places=3) + " from lineitem group by 1")
 def _(v):
     x = F.col("l_extendedprice")
     names = [*units.FACTORS, "fahrenheit_to_celsius", "wbc_to_si"]
     out = v.table("lineitem").groupBy("l_orderkey").agg(*[F.sum(units.convert(x, n, strict=True)).alias(n) for n in names], F.sum(units.convert(x, "identity")).alias("as_is"))
-    return r6(out, 3)
+    exact = r6(out.select("l_orderkey", *units.FACTORS), 7)
+    return exact.join(r6(out.drop(*units.FACTORS), 3), "l_orderkey")
 
 
 _RULES = [
@@ -512,10 +513,10 @@ def _clipped(c: str) -> str:
     return f"case when {c} is not null then least(greatest({c}, quantile_cont({c}, 0.01) over ()), quantile_cont({c}, 0.99) over ()) end {c}"
 
 
-@query("winsorize", f"select id, {rd(_clipped('a_price'), _clipped('n_price'), _clipped('r_max'), places=4)}, any_f, rf_qty from feat")
+@query("winsorize", f"select id, {rd(_clipped('a_price'), _clipped('n_price'), _clipped('r_max'), places=7)}, any_f, rf_qty from feat")
 def _(v):
     out = cleaning.winsorize(v.feat, ["a_price", "n_price", "r_max", "any_f", "rf_qty"], exclude=("rf_qty",))
-    return r6(out.select("id", "a_price", "n_price", "r_max", "any_f", "rf_qty"), 4)
+    return r6(out.select("id", "a_price", "n_price", "r_max", "any_f", "rf_qty"), 7)
 
 
 _CONVERTED = {n: s for n, s in FEAT.items() if s.convert and s.ref_range}
@@ -544,9 +545,9 @@ def _(v):
     return r6(audit.join(totals, "feature"), 3)
 
 
-@query("align_si", "select id, " + rd(*[f"{n} * {f} {n}" for n, f in _FACTOR.items()]) + " from feat")
+@query("align_si", "select id, " + rd(*[f"{n} * {f}::double {n}" for n, f in _FACTOR.items()], places=9) + " from feat")
 def _(v):
-    return r6(units.align_to_si(v.feat, FEAT).select("id", *_FACTOR))
+    return r6(units.align_to_si(v.feat, FEAT).select("id", *_FACTOR), 9)
 
 
 _RANGES = {n: s.ref_range for n, s in FEAT.items() if s.ref_range}
@@ -612,11 +613,11 @@ def _(v):
 _MODEL = units.select_features(FEAT, "feature", in_model=True)
 
 
-@query("bifurcate", f"select id, any_f, {_split('feat', 'any_f', 'id')}, " + rd(*_MODEL, *[f"{n} * {_FACTOR.get(n, 1.0)} {n}_si" for n in _MODEL]) + " from feat")
+@query("bifurcate", f"select id, any_f, {_split('feat', 'any_f', 'id')}, " + rd(*_MODEL, *[f"{n} * {_FACTOR.get(n, 1.0)}::double {n}_si" for n in _MODEL], places=9) + " from feat")
 def _(v):
     report, model = cleaning.bifurcate(v.feat, FEAT, "any_f", "id")
     si = report.select("id", *[F.col(n).alias(f"{n}_si") for n in _MODEL])
-    return r6(model.join(si, "id").select("id", "any_f", "is_train", *_MODEL, *[f"{n}_si" for n in _MODEL]))
+    return r6(model.join(si, "id").select("id", "any_f", "is_train", *_MODEL, *[f"{n}_si" for n in _MODEL]), 9)
 
 
 _LOGS = ["a_price", "n_price"]
