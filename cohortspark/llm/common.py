@@ -31,7 +31,15 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     """Writes df once as Parquet to the shared folder and reads it back; cuts lineage and survives lost executors."""
     path = fresh_dir(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stashed = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes what stash() wrote for df, once everything that was made from it is written itself."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._stashed)
+    path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def fold(column: Column) -> Column:

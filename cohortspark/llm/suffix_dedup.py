@@ -1,6 +1,6 @@
 """Suffix-array dedup: removal of bytes that long repeated strings cover, over all texts.
 
-1. Anchors: of the 64-byte strings in a window of `length` bytes, those of the least hash. Equal windows have equal anchors
+1. Anchors: of the 40-byte strings in a window of `length` bytes, those of the least hash. Equal windows have equal anchors
    at equal places, so that a repeated window is found among the contexts of one anchor's occurrences.
 2. Occurrences with equal contexts (all windows that hold the anchor) are counted as one class. A class of two or more
    occurrences is repeated as a whole.
@@ -22,10 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import discard, stash
 from .textbytes import byte_column, chunks, mix, prefix_hashes, span_hash
 
-ANCHOR = 64
+ANCHOR = 40
 SHALLOW = 32
 
 
@@ -278,9 +278,10 @@ def repeated_spans(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
     if length <= ANCHOR:
         raise ValueError(f"length must be over {ANCHOR}")
     rows = _rows(docs, id_col, text)
-    found = stash(_anchor_table(rows, length), "anchors")
-    keys = found.groupBy("h").agg(F.count(F.lit(1)).alias("k"), (F.min("context") != F.max("context")).alias("mixed")).where("k > 1").select("h", "mixed")
-    found = stash(found.join(keys, "h"), "repeated")
+    every = stash(_anchor_table(rows, length), "anchors")
+    keys = every.groupBy("h").agg(F.count(F.lit(1)).alias("k"), (F.min("context") != F.max("context")).alias("mixed")).where("k > 1").select("h", "mixed")
+    found = stash(every.join(keys, "h"), "repeated")
+    discard(every)
     first = F.min(F.struct("did", "rid", "pos")).alias("rep")
     classes = found.groupBy("h", "context").agg(F.count(F.lit(1)).alias("n"), first, F.first("before").alias("before"), F.first("after").alias("after"), F.first("mixed").alias("mixed"))
     classes = stash(classes, "classes")
