@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -198,13 +199,16 @@ def labelled_texts(docs: DataFrame, keep, most: int, id_col: str = "doc_id", tex
     least hashes of their ids. Null languages and texts, and ids that are null, are left out."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
     ids = rows.where("lang is not null and text is not null and id is not null").where(keep(F.col("id"))).select("lang", "id")
-    found: dict[str, list[str]] = {}
-    for language in [r[0] for r in ids.select("lang").distinct().limit(1001).collect()]:
-        picked = ids.where(F.col("lang") == language).orderBy(F.xxhash64("id"), "id").limit(most).distinct()
-        texts = rows.where("text is not null").where(F.col("lang") == language).join(F.broadcast(picked.select("id")), "id").orderBy("id").collect()
-        found[language] = [r["text"] for r in texts]
-    if len(found) > 1000:
+    languages = sorted(r[0] for r in ids.select("lang").distinct().limit(1001).collect())
+    if len(languages) > 1000:
         raise ValueError("more than 1000 languages; the labels aren't languages")
+    if not languages:
+        return {}
+    picks = [ids.where(F.col("lang") == k).orderBy(F.xxhash64("id"), "id").limit(most).distinct() for k in languages]
+    picked = reduce(DataFrame.union, picks)
+    found: dict[str, list[str]] = {k: [] for k in languages}
+    for r in rows.where("text is not null").join(F.broadcast(picked), ["id", "lang"]).orderBy("id").collect():
+        found[r["lang"]].append(r["text"])
     return found
 
 
