@@ -2,11 +2,13 @@
 
 1. Each text becomes its set of shingle hashes. Rows with equal sets are one set from then on.
 2. A sketch of fixed size estimates how many texts hold each shingle. All sets are read in one order, rare shingles first.
-3. Two sets with Jaccard similarity of t share a token in their first n - ceil(t n) + 1 ones, and l tokens in their first
-   n - ceil(t n) + l ones. A set whose prefix is in many others takes a longer prefix (a greater l) and asks for as many
-   more shared tokens. A pair is held to the smaller l of both, whose prefixes both have.
-4. Candidates are verified on whole sets. Since the result is groups, sets that share a token are first tried against one
-   leader for each token, and only pairs that are still in different groups are tried one by one."""
+3. A set's prefix are its first n - ceil(t n) + l tokens; l is 1, and more for a set whose prefix meets many others by that
+   estimate. Sets of a and b tokens that are similar share k = ceil(t / (1 + t) (a + b)) tokens at least. After the first m of
+   these come k - m more, so that these m stand among the first a - k + m tokens of one and b - k + m of the other: two sets
+   are compared only if their prefixes share min(pa - a, pb - b) + k tokens, pa and pb being the lengths of the prefixes. A
+   longer prefix asks for as many more shared tokens.
+4. Candidates are verified on whole sets. Since the result is groups, sets that share a token are first tried against a few
+   leaders of the token, and only pairs that are still in different groups are tried one by one."""
 
 from __future__ import annotations
 
@@ -19,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, stash
+from .common import components, discard, stash
 from .shingles import shingle_sets
 from .textbytes import byte_column, chunks
 
@@ -90,12 +92,11 @@ def sketch(docs: DataFrame, words: int, bits: int = SKETCH_BITS) -> np.ndarray:
     return total
 
 
-def prefixes(hashes: np.ndarray, ends: np.ndarray, level: np.ndarray, count: np.ndarray, percent: int, costly: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(token, row, layer, layers of the row): the tokens of each set's prefix in the common order.
+def prefixes(hashes: np.ndarray, ends: np.ndarray, level: np.ndarray, count: np.ndarray, percent: int, costly: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(token, row, layers of the row): the tokens of each set's prefix in the common order.
 
-    level: the logarithm of a shingle's count, the order's first key; count: its estimate. layer: the least l whose prefix
-    has the token. The number of layers grows with the estimated number of rows that the one-layer prefix meets, and stops
-    at LAYERS or at the set's size."""
+    level: the logarithm of a shingle's count, the order's first key; count: its estimate. The number of layers (l) grows
+    with the estimated number of rows that the one-layer prefix meets, and stops at LAYERS or at the set's size."""
     bits = int(np.log2(len(level)))
     n = np.diff(ends)
     row = np.repeat(np.arange(len(n)), n)
@@ -107,9 +108,8 @@ def prefixes(hashes: np.ndarray, ends: np.ndarray, level: np.ndarray, count: np.
     cost = np.bincount(row, weights=np.where(rank < first[row], count[slot], 0), minlength=len(n))
     spare = np.maximum(n - first + 1, 1)
     layers = np.minimum(np.minimum(1 + np.floor(np.log2(np.maximum(cost / np.maximum(first * costly, 1), 1))).astype(np.int64), LAYERS), spare)
-    layer = np.maximum(rank - first[row] + 2, 1)
-    keep = layer <= layers[row]
-    return hashes[keep], row[keep], layer[keep], layers[row[keep]]
+    keep = rank < (first + layers - 1)[row]
+    return hashes[keep], row[keep], layers[row[keep]]
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -150,7 +150,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         for batch in batches:
             for _, _, hashes, ends in _sets(batch, 1, words):
                 node, _ = _digest(hashes, ends)
-                token, row, layer, layers = prefixes(hashes, ends, level, count, percent, costly)
+                token, row, layers = prefixes(hashes, ends, level, count, percent, costly)
                 # equal sets have equal postings: a task passes them on once, as far as it remembers
                 fresh = np.array([x not in seen and not seen.add(x) for x in node.tolist()], bool)
                 if len(seen) > 200_000:
@@ -160,40 +160,28 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
                 # what only one row holds meets no other
                 k = np.flatnonzero(fresh[row] & (count[slot] > 1))
                 row = row[k]
-                yield pa.RecordBatch.from_arrays([pa.array(token[k].view(np.int64)), pa.array(node[row]), pa.array(size[row] * 64 + layer[k] * 8 + layers[k])], ["token", "node", "packed"])
+                yield pa.RecordBatch.from_arrays([pa.array(token[k].view(np.int64)), pa.array(node[row]), pa.array(size[row] * 8 + layers[k])], ["token", "node", "packed"])
 
     postings = rows.where("id is not null").mapInArrow(emit, "token long, node long, packed long")
     # one shuffle: the same partitions serve to drop repeats and to drop the tokens that meet nothing
     postings = postings.repartition("token").dropDuplicates(["token", "node"])
     postings = postings.withColumn("met", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("met > 1")
-    unpacked = {"n": F.shiftright("packed", 6), "layer": F.shiftright("packed", 3).bitwiseAND(7), "layers": F.col("packed").bitwiseAND(7)}
-    postings = stash(postings.select("token", "node", *[c.alias(k) for k, c in unpacked.items()]), "postings")
+    postings = stash(postings.select("token", "node", F.shiftright("packed", 3).alias("n"), F.col("packed").bitwiseAND(7).alias("layers")), "postings")
 
-    found = postings.select("node").distinct()
-    of_node = stash(nodes.join(found, "node").groupBy("node").agg(F.min("node_id").alias("id")), "nodes")
-    sets = stash(_token_sets(rows, of_node, words), "sets")
-
-    links = None
-    labels = None
+    tried = None
     for k in range(leader_rounds):
-        held = postings if labels is None else _across(postings, labels)
-        order = F.xxhash64(F.lit(k), "node")
-        leaders = held.groupBy("token").agg(F.min_by(F.struct("node", "n"), order).alias("leader"))
-        pairs = held.join(leaders, "token").where("node <> leader.node").where(_lengths("n", "leader.n", percent))
-        if labels is not None:
-            lead = labels.select(F.col("node").alias("ln"), F.col("component").alias("leads"))
-            pairs = pairs.join(lead, F.col("leader.node") == F.col("ln"), "left").where("group <> coalesce(leads, leader.node)")
-        pairs = pairs.select(F.least("node", "leader.node").alias("a"), F.greatest("node", "leader.node").alias("b")).distinct()
-        new = stash(_verify(pairs, sets, percent), "links")
-        links = new if links is None else links.union(new)
-        labels = components(links)
+        leaders = postings.groupBy("token").agg(F.min_by(F.struct("node", "n", "layers"), F.xxhash64(F.lit(k), "node")).alias("leader"))
+        x = postings.select("token", *[F.col(c).alias(f"{c}x") for c in ("node", "n", "layers")])
+        y = leaders.select("token", *[F.col(f"leader.{c}").alias(f"{c}y") for c in ("node", "n", "layers")])
+        # a leader is seen in a part of the tokens only, and what is missed here is found in the end
+        found = _candidates(x.join(y, "token").where("nodex <> nodey"), percent, share=0.5)
+        tried = found if tried is None else tried.union(found)
+    near = _verified(stash(tried.distinct(), "tried"), rows, nodes, words, percent)
+    labels = components(near)
     held = _across(postings, labels)
-    x, y = (held.select("token", *[F.col(c).alias(c + s) for c in ("node", "n", "layer", "layers", "group")]) for s in "xy")
-    pairs = x.join(y, "token").where("nodex < nodey and groupx <> groupy").where(_lengths("nx", "ny", percent))
-    l = F.least("layersx", "layersy")
-    pairs = pairs.where(F.greatest("layerx", "layery") <= l).groupBy(F.col("nodex").alias("a"), F.col("nodey").alias("b")).agg(F.count(F.lit(1)).alias("met"), F.first(l).alias("l")).where("met >= l")
-    links = links.union(stash(_verify(pairs.select("a", "b"), sets, percent), "links"))
-    labels = components(links)
+    x, y = (held.select("token", *[F.col(c).alias(c + s) for c in ("node", "n", "layers", "group")]) for s in "xy")
+    pairs = stash(_candidates(x.join(y, "token").where("nodex < nodey and groupx <> groupy"), percent), "pairs")
+    labels = components(near.union(_verified(pairs, rows, nodes, words, percent)))
 
     of_set = nodes.join(labels, "node", "left").select(F.col("node").alias("s1"), "s2", "n_shingles", "node_id", F.coalesce("component", "node").alias("group"))
     of_set = stash(of_set, "groups")
@@ -203,8 +191,28 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     return out.select(F.col("id").alias(id_col), "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
 
 
-def _lengths(a: str, b: str, percent: int) -> F.Column:
-    return F.expr(f"100 * least({a}, {b}) >= {percent} * greatest({a}, {b})")
+def _candidates(met: DataFrame, percent: int, share: float = 1.0) -> DataFrame:
+    """(a, b) of rows of shared prefix tokens (nodex, nx, layersx, nodey, ny, layersy): pairs whose sizes agree and which share as
+    many tokens as similar sets do, or `share` of them and two at least."""
+    close = F.expr(f"100 * least(nx, ny) >= {percent} * greatest(nx, ny)")
+    both = met.where(close).groupBy(F.least("nodex", "nodey").alias("a"), F.greatest("nodex", "nodey").alias("b"))
+    counted = both.agg(F.count(F.lit(1)).alias("met"), F.first("nx").alias("nx"), F.first("ny").alias("ny"), F.first("layersx").alias("lx"), F.first("layersy").alias("ly"))
+    outside = lambda s: f"floor((n{s} * {percent} + 99) / 100) - l{s}"  # noqa: E731  tokens that aren't in the prefix
+    least = F.expr(f"ceil({percent} * (nx + ny) / {100 + percent}) - greatest({outside('x')}, {outside('y')})")
+    return counted.where(F.col("met") >= (least if share == 1.0 else F.greatest(least * share, F.lit(2)))).select("a", "b")
+
+
+def _verified(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, words: int, percent: int, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """The pairs that are similar, from the whole sets of their nodes. The nodes' ids are broadcast up to broadcast_rows, and joined
+    by a shuffle beyond."""
+    ends = stash(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "ends")
+    of_node = nodes.join(ends, "node").groupBy("node").agg(F.min("node_id").alias("id"))
+    if ends.limit(broadcast_rows + 1).count() <= broadcast_rows:
+        of_node = F.broadcast(of_node)
+    sets = stash(_token_sets(rows, of_node, words), "sets")
+    out = stash(_verify(pairs, sets, percent), "links")
+    discard(sets)
+    return out
 
 
 def _across(postings: DataFrame, labels: DataFrame) -> DataFrame:
