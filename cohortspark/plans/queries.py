@@ -885,6 +885,11 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.assemble(v.idx, [wide, slope, label], "user_id", names)
 
 
-@query("development_cohort")
+@query("development_cohort", f"""with w as (select user_id, min(value) filter (item = 'click') click_min, max(value) filter (item = 'click') click_max, avg(value) filter (item in ('click', 'view')) web_avg, count(value) filter (item = 'error') err_n from obs group by 1),
+  s as (select user_id, case when h > 0 then (l - f) / h else 0 end slope from (select user_id, {_ENDS} from obs where item = 'click' group by 1)),
+  daily as (select user_id, ts::date as day, max(value) filter (item = 'click') click, max(value) filter (item = 'view') as view from obs group by 1, 2),
+  p as (select user_id, (sum((click >= 60)::integer) >= 2)::integer c, (sum((view >= 40)::integer) >= 2)::integer v from daily group by 1)
+  select user_id, t0, click_min, click_max, {rd('web_avg')}, err_n, {rd('slope')}, coalesce(c, 0) persistent_click, coalesce(v, 0) persistent_view, greatest(coalesce(c, 0), coalesce(v, 0)) persistent_any
+  from idx left join w using (user_id) left join s using (user_id) left join p using (user_id)""")
 def _(v):
     return r6(flagship(v.spark, v.sf_dir))
