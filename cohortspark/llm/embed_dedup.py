@@ -2,12 +2,13 @@
 
 1. Equal vectors are one node with a weight.
 2. Sorting the nodes by the signs of random projections, several times, gives first neighbours.
-3. NN-descent: the neighbours of each node (both ways) are compared with each other; each node keeps its nearest ones. A list
-   that is full of links is enlarged: links don't compete for its places, up to `enlarged` of them.
+3. NN-descent: the neighbours of each node (both ways) are compared with each other; each node keeps its nearest ones inside
+   its group and as many outside it, so that a dense group doesn't hide its surroundings. Places bound the search only: each
+   link found between two groups makes them one, whatever its rank.
 4. After each round the links of a bounded sample of nodes are compared with those by brute force; rounds go on until that
-   recall is reached and few new links come, or a greatest number of rounds.
-5. Kept links make the groups. Within a group all vectors are compared in blocks, so that the numbers of links are exact there
-   however large the group is, and no list of pairs is made."""
+   recall is reached and a round makes no groups one, or a greatest number of rounds.
+5. Within a group all vectors are compared in blocks, so that the numbers of links are exact there however large the group is,
+   and no list of pairs is made."""
 
 from __future__ import annotations
 
@@ -80,39 +81,68 @@ def _first_edges(nodes: DataFrame, tables: int, reach: int, seed: int) -> DataFr
     return codes.repartitionByRange("t", "size", "code", "node").sortWithinPartitions("t", "size", "code", "node").mapInPandas(near, EDGE)
 
 
-def _nearest(edges: DataFrame, places: int, enlarged: int, threshold: float) -> DataFrame:
-    """(a, b, sim) both ways: each node's nearest `places`, and its links up to `enlarged` of them."""
+FOUND = EDGE + ", link boolean"
+
+
+def _nearest(edges: DataFrame, labels: DataFrame, places: int) -> DataFrame:
+    """(a, b, sim, same) both ways: each node's nearest `places` inside its own group and as many outside it."""
     both = edges.union(edges.select("b", "a", "sim")).groupBy("a", "b").agg(F.max("sim").alias("sim"))
-    rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("sim"), "b"))
-    ranked = both.withColumn("rank", rank)
-    return ranked.where((F.col("rank") <= places) | ((F.col("sim") >= threshold) & (F.col("rank") <= enlarged))).drop("rank")
+    both = both.join(labels.toDF("a", "ga"), "a").join(labels.toDF("b", "gb"), "b").withColumn("same", F.col("ga") == F.col("gb"))
+    rank = F.row_number().over(Window.partitionBy("a", "same").orderBy(F.desc("sim"), "b"))
+    return both.withColumn("rank", rank).where(F.col("rank") <= places).select("a", "b", "sim", "same")
+
+
+def _between(links: DataFrame, labels: DataFrame) -> DataFrame:
+    """(a, b): the different groups at the ends of links."""
+    ends = links.join(labels.toDF("a", "ga"), "a").join(labels.toDF("b", "gb"), "b")
+    return ends.where("ga <> gb").select(F.col("ga").alias("a"), F.col("gb").alias("b"))
 
 
-def _join_round(graph: DataFrame, nodes: DataFrame, places: int, seed: int) -> DataFrame:
-    """New edges from comparing each node's neighbours; a node with many neighbours compares them in random parts."""
+def _merge(labels: DataFrame, pairs: DataFrame) -> tuple[DataFrame, int]:
+    """labels with the groups of each pair (a, b) made one, and how many groups went."""
+    up = components(pairs)
+    gone = up.where("node <> component").count()
+    if not gone:
+        return labels, 0
+    joined = labels.join(up.toDF("old", "new"), F.col("group") == F.col("old"), "left")
+    return stash(joined.select("node", F.coalesce("new", "group").alias("group")), "groups"), gone
+
+
+def _join_round(graph: DataFrame, nodes: DataFrame, labels: DataFrame, places: int, threshold: float, seed: int) -> DataFrame:
+    """New edges from comparing each node's neighbours; a node with many neighbours compares them in random parts.
+
+    A link between two groups is always reported, once for each pair of groups, as (group, group, sim, true): it has no place
+    to compete for. Other rows are edges that are nearer than one that an end has, among those inside or outside its group."""
     around = graph.select(F.col("a").alias("center"), F.col("b").alias("node")).union(graph.select("b", "a")).distinct()
-    least = graph.groupBy("a").agg(F.min("sim").alias("least"), F.count(F.lit(1)).alias("n"))
-    least = least.select(F.col("a").alias("node"), F.when(F.col("n") >= places, F.col("least")).otherwise(-1.0).alias("least"))
+    # a list that isn't full takes any edge
+    bars = [F.when(F.count(F.when(w, 1)) >= places, F.min(F.when(w, F.col("sim")))).otherwise(-2.0).alias(c) for c, w in (("inside", F.col("same")), ("outside", ~F.col("same")))]
+    bars = graph.groupBy(F.col("a").alias("node")).agg(*bars)
     size = F.count(F.lit(1)).over(Window.partitionBy("center"))
     parted = around.withColumn("part", F.pmod(F.xxhash64("node", F.lit(seed)), F.ceil(size / JOIN_SIZE)))
-    rows = parted.join(nodes.join(least, "node").select("node", "vector", "least", F.size("vector").alias("size")), "node")
+    known = nodes.join(labels, "node").join(bars, "node").select("node", "vector", "group", "inside", "outside", F.size("vector").alias("size"))
     keys = ["center", "part", "size"]
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in _grouped(batches, keys):
-            node, least = pdf["node"].to_numpy(), pdf["least"].to_numpy()
-            at, found = _bounds(pdf, keys), []
+            node, group, inside, outside = (pdf[c].to_numpy() for c in ("node", "group", "inside", "outside"))
+            at, edges, links = _bounds(pdf, keys), [], []
             for lo, hi in zip(at[:-1], at[1:], strict=True):
                 if hi - lo > 1:
                     x = _matrix(pdf["vector"].iloc[lo:hi])
-                    sim = x @ x.T
-                    i, j = np.nonzero(np.triu((sim > least[lo:hi, None]) | (sim > least[None, lo:hi]), 1))
-                    found.append((node[lo + i], node[lo + j], sim[i, j]))
-            if found:
-                a, b, s = (np.concatenate(x) for x in zip(*found, strict=True))
-                yield pd.DataFrame({"a": a, "b": b, "sim": s}).drop_duplicates(["a", "b"])
-
-    return rows.select(*keys, "node", "least", "vector").repartition("center", "part").sortWithinPartitions(*keys).mapInPandas(compare, EDGE)
+                    sim, g = x @ x.T, group[lo:hi]
+                    same = g[:, None] == g
+                    nearer = sim > np.where(same, inside[lo:hi, None], outside[lo:hi, None])
+                    i, j = np.nonzero(np.triu(nearer | nearer.T, 1))
+                    edges.append((node[lo + i], node[lo + j], sim[i, j]))
+                    i, j = np.nonzero(np.triu((sim >= threshold) & ~same, 1))
+                    links.append((np.minimum(g[i], g[j]), np.maximum(g[i], g[j]), sim[i, j]))
+            for found, link in ((edges, False), (links, True)):
+                if found:
+                    a, b, s = (np.concatenate(x) for x in zip(*found, strict=True))
+                    yield pd.DataFrame({"a": a, "b": b, "sim": s, "link": link}).drop_duplicates(["a", "b"])
+
+    rows = parted.join(known, "node").select(*keys, "node", "group", "inside", "outside", "vector")
+    return rows.repartition("center", "part").sortWithinPartitions(*keys).mapInPandas(compare, FOUND)
 
 
 def _audit(nodes: DataFrame, rows: int, threshold: float) -> DataFrame:
@@ -169,7 +199,7 @@ def _count_links(members: DataFrame, threshold: float, block: int) -> DataFrame:
     return dealt.mapInPandas(count, "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", embedding: str = "embedding", places: int = 10, enlarged: int = 40, tables: int = 5, reach: int = 4, rounds: int = 6, audit_rows: int = 256, recall: float = 0.99, block: int = 512, seed: int = 11) -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", embedding: str = "embedding", places: int = 10, tables: int = 5, reach: int = 4, rounds: int = 6, audit_rows: int = 256, recall: float = 0.99, block: int = 512, seed: int = 11) -> DataFrame:
     """(id, n_links long, component_id long, kept boolean) for each row of vectors.
 
     n_links: other rows with a cosine of threshold or more (in double precision); component_id: the least id that the row
@@ -188,24 +218,23 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, id_col: str = "
     nodes = stash(nodes, "nodes")
     bare = nodes.select("node", "vector")
 
-    graph = stash(_nearest(_first_edges(bare, tables, reach, seed), places, enlarged, threshold), "graph")
+    first = stash(_first_edges(bare, tables, reach, seed), "edges")
+    labels, _ = _merge(bare.select("node", F.col("node").alias("group")), first.where(F.col("sim") >= threshold))
+    graph = stash(_nearest(first, labels, places), "graph")
     truth = stash(_audit(bare, audit_rows, threshold), "audit")
-    wanted, links = truth.count(), graph.where(F.col("sim") >= threshold).count()
+    wanted = truth.count()
     for k in range(rounds):
-        new = _join_round(graph, bare, places, seed + k)
-        graph = stash(_nearest(graph.union(new), places, enlarged, threshold), "graph")
-        now = graph.where(F.col("sim") >= threshold).count()
+        found = stash(_join_round(graph, bare, labels, places, threshold, seed + k), "found")
+        labels, merged = _merge(labels, found.where("link"))
+        graph = stash(_nearest(graph.drop("same").union(found.where("not link").drop("link")), labels, places), "graph")
         # a link counts as found if its ends are in one group, where all pairs are compared in the end
-        if now <= links * 1.01 + 1:
-            groups = components(graph.where(F.col("sim") >= threshold), "a", "b")
-            x, y = groups.toDF("a", "ca"), groups.toDF("b", "cb")
-            if truth.join(x, "a").join(y, "b").where("ca = cb").count() >= recall * wanted:
+        if not merged:
+            x, y = labels.toDF("a", "ga"), labels.toDF("b", "gb")
+            if truth.join(x, "a").join(y, "b").where("ga = gb").count() >= recall * wanted:
                 break
-        links = now
-    else:
-        groups = components(graph.where(F.col("sim") >= threshold), "a", "b")
-    sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    members = stash(groups.join(sizes, "component").join(nodes, "node"), "members")
+    labels, _ = _merge(labels, _between(truth, labels))
+    sizes = labels.groupBy("group").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    members = stash(labels.join(sizes, "group").withColumnRenamed("group", "component").join(nodes, "node"), "members")
     counted = _count_links(members, threshold, block)
     least = members.groupBy("component").agg(F.min("least").alias("component_id"))
     of_node = members.join(least, "component").select("node", "component_id").join(counted, "node", "left")

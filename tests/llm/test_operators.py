@@ -261,6 +261,23 @@ def test_near_duplicate_vectors(spark):
     assert near_duplicates(vectors.limit(0)).count() == 0
 
 
+def test_weak_links_between_dense_groups(spark):
+    rng = np.random.default_rng(1)
+    parts = []
+    for _ in range(6):
+        c, u = np.linalg.qr(rng.standard_normal((64, 2)))[0].T
+        for a, away in ((0.0, -0.12), (np.arccos(0.955), np.arccos(0.955) + 0.12)):
+            parts += [(np.cos(a) * c + np.sin(a) * u)[None], np.cos(away) * c + np.sin(away) * u + 0.008 * rng.standard_normal((60, 64))]
+    x = np.concatenate(parts).astype(np.float32)
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.95
+    np.fill_diagonal(near, False)
+    assert all(near[lo : lo + 61, lo + 61 : lo + 122].sum() == 1 for lo in range(0, len(x), 122))
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in near_duplicates(vectors).collect()}
+    assert got == {i: (near[i].sum(), i - i % 122) for i in range(len(x))}
+
+
 # 8
 
 
