@@ -5,8 +5,10 @@
 3. NN-descent: the neighbours of each node (both ways) are compared with each other; each node keeps its nearest ones inside
    its group and as many outside it, so that a dense group doesn't hide its surroundings. Places bound the search only: each
    link found between two groups makes them one, whatever its rank.
-4. After each round the links of a bounded sample of nodes are compared with those by brute force; rounds go on until that
-   recall is reached and a round makes no groups one, or a greatest number of rounds.
+4. After each round the links of a bounded sample of nodes are compared with those by brute force, node by node, so that large
+   groups don't outweigh small ones. Rounds go on until the audit is passed and a round makes no groups one; where `rounds`
+   of them don't suffice, with twice the places and new projections, and after `attempts` of that all pairs are compared, so
+   that no graph is taken which the audit didn't pass.
 5. Within a group all vectors are compared in blocks, so that the numbers of links are exact there however large the group is,
    and no list of pairs is made."""
 
@@ -166,6 +168,47 @@ def _audit(nodes: DataFrame, rows: int, threshold: float) -> DataFrame:
     return nodes.mapInPandas(compare, "a long, b long")
 
 
+def _audited(truth: DataFrame, labels: DataFrame) -> float:
+    """The share of the audited nodes with links that have all of them inside their group; 1 if there are none.
+
+    A link counts as found if its ends are in one group, where all pairs are compared in the end."""
+    ends = truth.join(labels.toDF("a", "ga"), "a").join(labels.toDF("b", "gb"), "b")
+    whole = ends.groupBy("a").agg(F.min((F.col("ga") == F.col("gb")).cast("int")).alias("whole"))
+    share = whole.agg(F.avg("whole").alias("share")).first()["share"]
+    return 1.0 if share is None else share
+
+
+def _all_pairs(nodes: DataFrame, labels: DataFrame, threshold: float, rows: int = 4096, step: int = 512) -> DataFrame:
+    """(a, b, sim): a link for each two different groups that have one, from comparing all pairs of vectors of one length.
+
+    Blocks of about `rows` nodes are compared with each other in tasks of their own, `step` rows at a time."""
+    known = nodes.join(labels, "node").withColumn("size", F.size("vector"))
+    counts = {r["size"]: -(-r["count"] // rows) for r in known.groupBy("size").count().collect()}
+    sizes = nodes.sparkSession.createDataFrame(list(counts.items()) or [(0, 1)], "size int, blocks int")
+    own = known.join(F.broadcast(sizes), "size").withColumn("own", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int"))
+    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+    keys = ["size", "i", "j"]
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in _grouped(batches, keys):
+            at = _bounds(pdf, keys)
+            group, own_, i_ = (pdf[c].to_numpy() for c in ("group", "own", "i"))
+            for lo, hi in zip(at[:-1], at[1:], strict=True):
+                x, g = _matrix(pdf["vector"].iloc[lo:hi]), group[lo:hi]
+                left = own_[lo:hi] == i_[lo]
+                right = left if left.all() else ~left
+                (x, y), (g, h) = (x[left], x[right]), (g[left], g[right])
+                for k in range(0, len(x), step):
+                    sim = x[k : k + step] @ y.T
+                    r, c = np.nonzero((sim >= threshold) & (g[k : k + step, None] != h))
+                    a, b = g[k + r], h[c]
+                    yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "sim": sim[r, c]}).drop_duplicates(["a", "b"])
+
+    dealt = dealt.select(*keys, "own", "group", "vector").repartition(*keys).sortWithinPartitions(*keys)
+    return dealt.mapInPandas(compare, EDGE)
+
+
 def _count_links(members: DataFrame, threshold: float, block: int) -> DataFrame:
     """(node, links): weights of the other members of a node's component that are linked with it, compared block by block.
 
@@ -199,7 +242,7 @@ def _count_links(members: DataFrame, threshold: float, block: int) -> DataFrame:
     return dealt.mapInPandas(count, "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", embedding: str = "embedding", places: int = 10, tables: int = 5, reach: int = 4, rounds: int = 6, audit_rows: int = 256, recall: float = 0.99, block: int = 512, seed: int = 11) -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", embedding: str = "embedding", places: int = 10, tables: int = 5, reach: int = 4, rounds: int = 6, attempts: int = 3, audit_rows: int = 256, recall: float = 0.99, block: int = 512, seed: int = 11) -> DataFrame:
     """(id, n_links long, component_id long, kept boolean) for each row of vectors.
 
     n_links: other rows with a cosine of threshold or more (in double precision); component_id: the least id that the row
@@ -222,16 +265,19 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, id_col: str = "
     labels, _ = _merge(bare.select("node", F.col("node").alias("group")), first.where(F.col("sim") >= threshold))
     graph = stash(_nearest(first, labels, places), "graph")
     truth = stash(_audit(bare, audit_rows, threshold), "audit")
-    wanted = truth.count()
-    for k in range(rounds):
+    for k in range(rounds * attempts):
+        if k and k % rounds == 0:
+            places *= 2
+            first = stash(_first_edges(bare, tables, reach, seed + k), "edges")
+            labels, _ = _merge(labels, _between(first.where(F.col("sim") >= threshold), labels))
+            graph = stash(_nearest(graph.drop("same").union(first), labels, places), "graph")
         found = stash(_join_round(graph, bare, labels, places, threshold, seed + k), "found")
         labels, merged = _merge(labels, found.where("link"))
+        if not merged and _audited(truth, labels) >= recall:
+            break
         graph = stash(_nearest(graph.drop("same").union(found.where("not link").drop("link")), labels, places), "graph")
-        # a link counts as found if its ends are in one group, where all pairs are compared in the end
-        if not merged:
-            x, y = labels.toDF("a", "ga"), labels.toDF("b", "gb")
-            if truth.join(x, "a").join(y, "b").where("ga = gb").count() >= recall * wanted:
-                break
+    else:
+        labels, _ = _merge(labels, stash(_all_pairs(bare, labels, threshold), "links"))
     labels, _ = _merge(labels, _between(truth, labels))
     sizes = labels.groupBy("group").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     members = stash(labels.join(sizes, "group").withColumnRenamed("group", "component").join(nodes, "node"), "members")

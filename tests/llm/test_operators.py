@@ -278,6 +278,20 @@ def test_weak_links_between_dense_groups(spark):
     assert got == {i: (near[i].sum(), i - i % 122) for i in range(len(x))}
 
 
+@pytest.mark.parametrize("attempts", [1, 2])
+def test_no_graph_is_taken_unaudited(spark, attempts):
+    # pairs in dense surroundings that aren't links: one projection and one round find few of the pairs
+    rng = np.random.default_rng(2)
+    base = rng.standard_normal((1, 32)) + 0.45 * rng.standard_normal((150, 32))
+    x = np.concatenate([base, base + 0.05 * rng.standard_normal((150, 32))]).astype(np.float32)
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.98
+    np.fill_diagonal(near, False)
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = near_duplicates(vectors, threshold=0.98, places=1, tables=1, reach=1, rounds=1, attempts=attempts, audit_rows=64)
+    assert {r["vec_id"]: r["n_links"] for r in got.collect()} == {i: near[i].sum() for i in range(len(x))}
+
+
 # 8
 
 
