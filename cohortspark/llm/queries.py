@@ -17,11 +17,12 @@ from .token_count import count_tokens
 from .toxicity import score_toxicity
 from .warc import warc_round_trip
 
+# MIX_MOST is the greatest rate that the SQL can follow; the query has no bound
 MIX_SEED, MIX_TEMPERATURE, MIX_MOST = 7, 2.0, 50.0
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_sources(table(spark, sf_dir, "documents"), seed=MIX_SEED, temperature=MIX_TEMPERATURE, most=MIX_MOST)
+    return mix_sources(table(spark, sf_dir, "documents"), seed=MIX_SEED, temperature=MIX_TEMPERATURE)
 
 
 OP4_SQL = f"""

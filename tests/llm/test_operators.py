@@ -192,6 +192,16 @@ def test_mixing_reaches_weights(spark):
     assert mix_sources(documents(spark).limit(0)).count() == 0
 
 
+def test_mixing_has_no_greatest_rate(spark):
+    docs = spark.createDataFrame([(i, "rare" if i < 5 else "common") for i in range(2005)], "doc_id long, source string")
+    rows = mix_sources(docs, weights={"rare": 1.0, "common": 1.0}, total=4000).collect()
+    n = Counter(r["source"] for r in rows)
+    assert all(abs(n[source] - 2000) < 5 * math.sqrt(2000) for source in ("rare", "common"))
+    copies = Counter(r["doc_id"] for r in rows if r["source"] == "rare")
+    assert len(copies) == 5 and len(set(copies.values())) > 1 and all(abs(c - 400) < 5 * math.sqrt(400) for c in copies.values())
+    assert len({(r["doc_id"], r["copy"]) for r in rows}) == len(rows)
+
+
 # 5
 
 
