@@ -247,6 +247,15 @@ def test_bm25(spark):
     assert bm25_top_k(docs.limit(0), docs.limit(0)).count() == 0
 
 
+def test_bm25_counts_all_of_a_word(spark):
+    rows = [(0, "w"), (1, "w " * 100_000 + "x " * 400_000), (2, "x y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in bm25_top_k(docs, docs.where("doc_id = 0"), k=10).collect()}
+    mean, idf = 500_003 / 3, math.log(1 + 1.5 / 2.5)
+    want = {i: idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean)) for i, tf, size in ((0, 1, 1), (1, 100_000, 500_000))}
+    assert got == pytest.approx(want, abs=2e-6)
+
+
 # 7
 
 
