@@ -10,20 +10,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textbytes import mix
+from .textbytes import byte_column, chunks, mix, releasing
 from .vocabulary import MODEL, SEGMENTS, Vocabulary, load_vocabulary
 
+#: Characters that are segmented at a time, so that temporary arrays stay small.
+PART = 1 << 17
+
 
 class Lattices:
-    """Backward distributions of the segments seen so far, in flat arrays.
+    """Backward distributions of the segments seen so far, in flat arrays of a fixed number of edges.
 
     Segment w of n characters has nodes base[w] + 1 .. base[w] + n, one for each end. The edges of node v stand together from
-    first[v] on, each with the probability of the edges up to and with it."""
+    first[v] on, each with the probability of the edges up to and with it. When the arrays are full they are emptied; only
+    segments that need more at once make them larger."""
 
-    def __init__(self, vocabulary: Vocabulary, alpha: float, most: int = 250_000):
-        self.vocabulary, self.alpha, self.most = vocabulary, alpha, most
+    def __init__(self, vocabulary: Vocabulary, alpha: float, most_edges: int = 3_000_000):
+        self.vocabulary, self.alpha, self.most_edges = vocabulary, alpha, most_edges
         pieces = {i: (len(t), s) for t, i, s in vocabulary.pieces}
-        self.widths = np.array([pieces.get(i, (0, 0))[0] for i in range(vocabulary.size)], np.int64)
+        self.widths = np.array([pieces.get(i, (0, 0))[0] for i in range(vocabulary.size)], np.int32)
         self.scores = np.array([pieces.get(i, (0, 0))[1] for i in range(vocabulary.size)]) * alpha
         # what stands for a character without pieces: token size + k is its UTF-8 bytes
         self.spelled: dict[str, int] = {}
@@ -32,18 +36,22 @@ class Lattices:
 
     def clear(self) -> None:
         self.index: dict[str, int] = {}
-        self.nodes, self.edges = 0, 0
-        self.base, self.length = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
-        self.first = np.zeros(1 << 14, np.int64)
-        self.reached, self.tokens, self.back = np.zeros(1 << 15), np.zeros(1 << 15, np.int32), np.zeros(1 << 15, np.int32)
-
-    def add(self, segments: list[str]) -> None:
-        """Forward filtering of new segments, all at once: the weight of a node is the sum over its edges."""
+        self.nodes, self.edges, n = 0, 0, self.most_edges
+        # pages of these are taken when they are written
+        self.base, self.length = np.zeros(n // 8, np.int32), np.zeros(n // 8, np.int32)
+        self.first = np.zeros(n, np.int32)
+        self.reached, self.tokens, self.back = np.zeros(n), np.zeros(n, np.int32), np.zeros(n, np.int16)
+
+    def add(self, segments: list[str]) -> bool:
+        """Forward filtering of new segments, all at once: the weight of a node is the sum over its edges. False, and nothing
+        added, if there is no room beside other segments."""
         size = np.array([len(x) for x in segments], np.int64)
         text = "\0".join(segments)
         start = np.cumsum(size + 1) - size - 1
-        flat = np.fromiter(chain.from_iterable(self.vocabulary.id_automaton.iter(text)), np.int64).reshape(-1, 2)
-        word_at = np.repeat(np.arange(len(segments)), size + 1)
+        flat = np.fromiter(chain.from_iterable(self.vocabulary.id_automaton.iter(text)), np.int32).reshape(-1, 2)
+        if self.index and (self.edges + len(flat) + size.sum() > len(self.reached) or len(self.index) + len(segments) > len(self.base)):
+            return False
+        word_at = np.repeat(np.arange(len(segments), dtype=np.int32), size + 1)
         base = np.cumsum(size) - size
         end, token = flat[:, 0], flat[:, 1]
         word, width, score = word_at[end], self.widths[token], self.scores[token]
@@ -55,10 +63,10 @@ class Lattices:
             w = np.searchsorted(base, bare, "right") - 1
             chars = [text[k] for k in (start[w] + bare - base[w]).tolist()]
             node = np.concatenate([node, bare])
-            word = np.concatenate([word, w])
-            token = np.concatenate([token, [self.spell(c) for c in chars]])
-            width = np.concatenate([width, np.ones(len(bare), np.int64)])
+            token = np.concatenate([token, np.array([self.spell(c) for c in chars], np.int32)])
+            width = np.concatenate([width, np.ones(len(bare), np.int32)])
             score = np.concatenate([score, np.full(len(bare), self.alpha * self.vocabulary.unknown_score)])
+            word = np.concatenate([word, w])
         place = node - base[word] + 1
         order = np.lexsort((node, place))
         ends = np.cumsum(np.bincount(place, minlength=1))
@@ -88,6 +96,7 @@ class Lattices:
         self.back = _put(self.back, n_edges, width[by_node])
         self.nodes, self.edges = n_nodes + len(single), n_edges + len(node)
         self.index.update(zip(segments, range(known, known + len(segments))))
+        return True
 
     def spell(self, char: str) -> int:
         if (token := self.spelled.get(char)) is None:
@@ -97,10 +106,10 @@ class Lattices:
 
     def sample(self, segments: list[str], seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(tokens, number of tokens for each segment); seeds: a 64-bit number for each segment."""
-        if len(self.index) > self.most:
+        fresh = [x for x in dict.fromkeys(segments) if x not in self.index]
+        if fresh and not self.add(fresh):
             self.clear()
-        if fresh := [x for x in dict.fromkeys(segments) if x not in self.index]:
-            self.add(fresh)
+            self.add(list(dict.fromkeys(segments)))
         which = np.fromiter(map(self.index.__getitem__, segments), np.int64, len(segments))
         base = self.base[which]
         at = base + self.length[which]
@@ -122,7 +131,7 @@ class Lattices:
         for a, _ in steps:
             count[a] += 1
         last = np.cumsum(count) - 1
-        out = np.empty(int(count.sum()), np.int64)
+        out = np.empty(int(count.sum()), np.int32)
         for k, (a, tokens) in enumerate(steps):
             out[last[a] - k] = tokens
         return out, count
@@ -132,7 +141,7 @@ def _put(array: np.ndarray, at: int, values: np.ndarray) -> np.ndarray:
     """array with values from `at` on, in a larger copy if they don't fit."""
     need = at + len(values)
     if need > len(array):
-        array = np.concatenate([array, np.zeros(max(need - len(array), len(array)), array.dtype)])
+        array = np.concatenate([array, np.zeros(need - len(array), array.dtype)])
     array[at:need] = values
     return array
 
@@ -161,7 +170,39 @@ def decode(ids: list[int], vocabulary: Vocabulary) -> str:
     return b"".join(vocabulary.piece_bytes[i] for i in ids)[1:].decode()
 
 
-_kept: dict[tuple[str, float], tuple[Lattices, Decoder]] = {}
+class Sampler:
+    """Ids of the rows of a task, some at a time."""
+
+    def __init__(self, vocabulary: Vocabulary, alpha: float):
+        self.vocabulary, self.lattices, self.decoder = vocabulary, Lattices(vocabulary, alpha), Decoder(vocabulary)
+
+    def ids(self, segments: list[str], seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids for each segment), PART characters at a time."""
+        done = np.cumsum(np.fromiter(map(len, segments), np.int64, len(segments)))
+        cuts = [0, *np.unique(np.searchsorted(done, np.arange(PART, done[-1], PART), "left") + 1).tolist(), len(segments)]
+        tokens, count = (np.concatenate(x) for x in zip(*(self.lattices.sample(segments[a:b], seeds[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if a < b), strict=True))
+        if tokens.max() >= self.vocabulary.size:
+            spelled = self.lattices.token_ids
+            widths = np.array([len(x) for x in spelled], np.int64)
+            flat, starts = np.array([i for x in spelled for i in x], np.int32), np.cumsum(widths) - widths
+            owner = np.repeat(np.arange(len(count)), count)
+            count = np.bincount(owner, weights=widths[tokens], minlength=len(count)).astype(np.int64)
+            tokens = flat[ragged(widths[tokens], starts[tokens])]
+        return tokens, count
+
+    def encode(self, texts: list[str | None], rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bool | None]]:
+        """(ids of all texts, number for each text, whether they decode to it)."""
+        found = [SEGMENTS.findall(" " + x) if x else [] for x in texts]
+        per_row = np.array([len(x) for x in found], np.int64)
+        if not per_row.sum():
+            return np.zeros(0, np.int32), per_row, [None if x is None else True for x in texts]
+        place = ragged(per_row, np.zeros(len(per_row), np.int64)).astype(np.uint64)
+        tokens, count = self.ids([s for x in found for s in x], mix(np.repeat(rows, per_row) ^ mix(place + np.uint64(1))))
+        n = np.add.reduceat(np.append(count, 0), np.minimum(np.cumsum(per_row) - per_row, len(count))) * (per_row > 0)
+        ends, same = np.cumsum(n), []
+        for x, lo, hi in zip(texts, ends - n, ends, strict=True):
+            same.append(None if x is None else self.decoder(tokens[lo:hi])[0].tobytes() == ((b" " + x.encode()) if x else b""))
+        return tokens, n, same
 
 
 def sample_encode(docs: DataFrame, model: str = MODEL, alpha: float = 0.001, seed: int = 1, keys: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
@@ -175,40 +216,19 @@ def sample_encode(docs: DataFrame, model: str = MODEL, alpha: float = 0.001, see
     n_keys = len(keys)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = sent.value
-        if (vocabulary.key, alpha) not in _kept:
-            _kept[vocabulary.key, alpha] = Lattices(vocabulary, alpha), Decoder(vocabulary)
-        lattices, decoder = _kept[vocabulary.key, alpha]
+        sampler = Sampler(sent.value, alpha)
         for whole in batches:
-            sizes = np.array([len(x) if x else 0 for x in whole.column(n_keys).to_pylist()], np.int64)
-            cuts = np.unique(np.concatenate([[0], np.searchsorted(np.cumsum(sizes), np.arange(0, sizes.sum(), 1 << 20), "right"), [len(sizes)]]))
-            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            _, offsets = byte_column(whole.column(n_keys))
+            for lo, hi in chunks(offsets, PART):
                 batch = whole.slice(lo, hi - lo)
                 texts = batch.column(n_keys).to_pylist()
-                rows = batch.column(n_keys + 1).to_numpy().astype(np.uint64)
-                found = [SEGMENTS.findall(" " + x) if x else [] for x in texts]
-                per_row = np.array([len(x) for x in found], np.int64)
-                segments = [s for x in found for s in x]
-                place = ragged(per_row, np.zeros(len(per_row), np.int64)).astype(np.uint64)
-                tokens, count = lattices.sample(segments, mix(np.repeat(rows, per_row) ^ mix(place + np.uint64(1))))
-                row_of = np.repeat(np.repeat(np.arange(len(texts)), per_row), count)
-                if len(tokens) and tokens.max() >= vocabulary.size:
-                    widths = np.array([len(x) for x in lattices.token_ids], np.int64)
-                    flat = np.array([i for x in lattices.token_ids for i in x], np.int64)
-                    starts = np.cumsum(widths) - widths
-                    row_of = np.repeat(row_of, widths[tokens])
-                    tokens = flat[ragged(widths[tokens], starts[tokens])]
-                n = np.bincount(row_of, minlength=len(texts))
-                data, lengths = decoder(tokens)
-                width = np.bincount(row_of, weights=lengths, minlength=len(texts)).astype(np.int64)
-                ends = np.cumsum(width)
-                same = [None if x is None else data[e - w : e].tobytes() == ((b" " + x.encode()) if x else b"") for x, w, e in zip(texts, width, ends, strict=True)]
-                offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+                tokens, n, same = sampler.encode(texts, batch.column(n_keys + 1).to_numpy().astype(np.uint64))
+                starts = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
                 null = np.array([x is None for x in texts], bool)
-                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(tokens.astype(np.int32)), mask=pa.array(null) if null.any() else None)
+                ids = pa.ListArray.from_arrays(pa.array(starts), pa.array(tokens), mask=pa.array(null) if null.any() else None)
                 yield pa.RecordBatch.from_arrays([*batch.columns[:n_keys], ids, pa.array(n.astype(np.int32)), pa.array(same, pa.bool_())], [*(f"k{i}" for i in range(n_keys)), "ids", "n_pieces", "lossless"])
 
     fields = ", ".join(f"k{i} {docs.schema[k].dataType.simpleString()}" for i, k in enumerate(keys))
     rows = docs.select(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], F.col(text).cast("string").alias("text"), F.xxhash64(F.lit(seed), *keys).alias("row"))
-    out = rows.mapInArrow(encode, f"{fields}, ids array<int>, n_pieces int, lossless boolean")
+    out = rows.mapInArrow(releasing(encode), f"{fields}, ids array<int>, n_pieces int, lossless boolean")
     return out.withColumnsRenamed({f"k{i}": k for i, k in enumerate(keys)})

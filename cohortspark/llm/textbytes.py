@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,20 @@ def powers(n: int, inverse: bool = False) -> np.ndarray:
     return found[:n]
 
 
+def releasing(task: Callable) -> Callable:
+    """A task that gives its memory back when it ends: workers are used again, by other operators too."""
+
+    @wraps(task)
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from task(batches)
+        finally:
+            _powers.clear()
+            pa.default_memory_pool().release_unused()
+
+    return run
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit (the finaliser of splitmix64)."""
     x = x ^ (x >> np.uint64(30))
