@@ -71,32 +71,41 @@ def fresh_name(df: DataFrame, *names: str) -> list[str]:
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for each node of the links a-b, component being the least node that it reaches.
 
-    Each round hooks every component to its least neighbour and contracts the links; both tables stay on the
-    executors, and a hot node costs one row for each of its links, summed before the shuffle."""
+    Each round hooks every component to the neighbour of the least hash, if that is less than its own, and contracts the links.
+    The hashes are new in each round, so that the number of rounds grows with the logarithm of the nodes whatever the ids are.
+    Both tables stay on the executors, and a hot node costs one row for each of its links, summed before the shuffle."""
     links = stash(
         edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null and a <> b").distinct(), "links"
     )
     labels = links.select(F.col("a").alias("node")).union(links.select("b")).distinct().select("node", F.col("node").alias("component"))
-    labels = stash(labels, "labels")
+    labels, k = stash(labels, "labels"), 0
     while not links.isEmpty():
+        order = lambda c, k=k: F.struct(F.xxhash64(F.lit(k), c).alias("hash"), F.col(c).alias("node"))
         both = links.union(links.select("b", "a"))
-        parents = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("parent")).where("parent <> a")
-        parents = stash(parents.withColumnRenamed("a", "child"), "parents")
+        parents = both.groupBy("a").agg(F.min(order("b")).alias("to")).where(F.col("to") < order("a"))
+        parents = stash(parents.select(F.col("a").alias("child"), F.col("to.node").alias("parent")), "parents")
         # two jumps: a parent may have hooked itself in the same round
         up = parents.select(F.col("child").alias("c2"), F.col("parent").alias("p2"))
-        parents = parents.join(up, F.col("parent") == F.col("c2"), "left").select("child", F.coalesce("p2", "parent").alias("parent"))
-        parents = stash(parents, "jumped")
+        jumped = stash(parents.join(up, F.col("parent") == F.col("c2"), "left").select("child", F.coalesce("p2", "parent").alias("parent")), "jumped")
+        old_labels, old_links = labels, links
         labels = stash(
-            labels.join(parents, F.col("component") == F.col("child"), "left").select("node", F.coalesce("parent", "component").alias("component")),
+            labels.join(jumped, F.col("component") == F.col("child"), "left").select("node", F.coalesce("parent", "component").alias("component")),
             "labels",
         )
-        pa, pb = (parents.select(F.col("child").alias(f"c{s}"), F.col("parent").alias(f"p{s}")) for s in "ab")
+        pa, pb = (jumped.select(F.col("child").alias(f"c{s}"), F.col("parent").alias(f"p{s}")) for s in "ab")
         links = stash(
             links.join(pa, F.col("a") == F.col("ca"), "left").join(pb, F.col("b") == F.col("cb"), "left")
             .select(F.coalesce("pa", "a").alias("a"), F.coalesce("pb", "b").alias("b")).where("a <> b").distinct(),
             "links",
         )
-    return labels
+        for done in (parents, jumped, old_labels, old_links):
+            discard(done)
+        k += 1
+    least = labels.groupBy("component").agg(F.min("node").alias("least"))
+    out = stash(labels.join(least, "component").select("node", F.col("least").alias("component")), "labels")
+    discard(labels)
+    discard(links)
+    return out
 
 
 def all_of(conditions: list[Column]) -> Column:

@@ -8,7 +8,10 @@
    are compared only if their prefixes share min(pa - a, pb - b) + k tokens, pa and pb being the lengths of the prefixes. A
    longer prefix asks for as many more shared tokens.
 4. Candidates are verified on whole sets. Since the result is groups, sets that share a token are first tried against a few
-   leaders of the token, and only pairs that are still in different groups are tried one by one."""
+   leaders of the token, and only pairs that are still in different groups are left.
+5. Of a token that at most `few` sets of several groups hold, each pair is tried. The sets of a token that more hold are dealt in
+   blocks, and a task compares two whole blocks and returns only what joins groups: as many rows as sets at most, while the
+   pairs of a large family that is just under the threshold are never listed."""
 
 from __future__ import annotations
 
@@ -18,12 +21,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, discard, stash
+from .sentencepiece_sample import ragged
 from .shingles import shingle_sets
-from .textbytes import byte_column, chunks
+from .textbytes import byte_column, chunks, releasing
 
 SKETCH_BITS = 20
 LAYERS = 4
@@ -58,7 +62,7 @@ def digests(docs: DataFrame, words: int) -> DataFrame:
                 a, b = _digest(hashes, ends)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(np.diff(ends)), pa.array(a), pa.array(b)], ["id", "n_shingles", "s1", "s2"])
 
-    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, n_shingles long, s1 long, s2 long")
+    return docs.mapInArrow(releasing(run), f"id {docs.schema['id'].dataType.simpleString()}, n_shingles long, s1 long, s2 long")
 
 
 def sketch(docs: DataFrame, words: int, bits: int = SKETCH_BITS) -> np.ndarray:
@@ -85,7 +89,7 @@ def sketch(docs: DataFrame, words: int, bits: int = SKETCH_BITS) -> np.ndarray:
                 totals[k] = totals[k] + part if k in totals else part
         yield pd.DataFrame({"slice": list(totals), "counts": [zlib.compress(v.tobytes(), 1) for v in totals.values()]})
 
-    parts = docs.mapInArrow(count, "slice int, counts binary").repartition("slice").mapInPandas(add, "slice int, counts binary").collect()
+    parts = docs.mapInArrow(releasing(count), "slice int, counts binary").repartition("slice").mapInPandas(add, "slice int, counts binary").collect()
     total = np.zeros(1 << bits, np.int64)
     for r in parts:
         total[r["slice"] * width : (r["slice"] + 1) * width] = np.frombuffer(zlib.decompress(bytes(r["counts"])), np.int64)
@@ -125,10 +129,10 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * both >= percent * (len(p) + len(q) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
+    return both.select("a", "b", "x", "y").mapInArrow(releasing(check), "a long, b long")
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80, leader_rounds: int = 3, costly: int = 20) -> DataFrame:
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80, leader_rounds: int = 3, costly: int = 20, few: int = 32, block_sets: int = 512) -> DataFrame:
     """(id, n_shingles, component_id) for each row of docs, linked where 100 * intersection >= percent * union of the sets.
 
     component_id: the least id that the row reaches by links, itself included. A row without words links with nothing, and
@@ -136,7 +140,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     beyond those that their set has. Repeated rows stay; other columns are ignored.
 
     costly: the average estimate for a prefix token from which a set takes a longer prefix. leader_rounds: how often sets are
-    tried against one leader for each token before the remaining pairs are tried."""
+    tried against one leader for each token before the remaining pairs are tried. few: how many sets of a token are tried pair by
+    pair; those of other tokens are compared in blocks of about block_sets. None of these changes the result."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text).cast("string").alias("text"))
     digest = stash(digests(rows, words), "digests")
     # a set's node is the first half of its digest; it goes by the least id of its rows
@@ -162,11 +167,12 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
                 row = row[k]
                 yield pa.RecordBatch.from_arrays([pa.array(token[k].view(np.int64)), pa.array(node[row]), pa.array(size[row] * 8 + layers[k])], ["token", "node", "packed"])
 
-    postings = rows.where("id is not null").mapInArrow(emit, "token long, node long, packed long")
-    # one shuffle: the same partitions serve to drop repeats and to drop the tokens that meet nothing
-    postings = postings.repartition("token").dropDuplicates(["token", "node"])
-    postings = postings.withColumn("met", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("met > 1")
-    postings = stash(postings.select("token", "node", F.shiftright("packed", 3).alias("n"), F.col("packed").bitwiseAND(7).alias("layers")), "postings")
+    postings = rows.where("id is not null").mapInArrow(releasing(emit), "token long, node long, packed long")
+    postings = stash(postings.dropDuplicates(["token", "node"]), "emitted")
+    emitted, met = postings, postings.groupBy("token").agg(F.count(F.lit(1)).alias("met")).where("met > 1").select("token")
+    postings = postings.join(met, "token").select("token", "node", F.shiftright("packed", 3).alias("n"), F.col("packed").bitwiseAND(7).alias("layers"))
+    postings = stash(postings, "postings")
+    discard(emitted)
 
     tried = None
     for k in range(leader_rounds):
@@ -177,11 +183,14 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         found = _candidates(x.join(y, "token").where("nodex <> nodey"), percent, share=0.5)
         tried = found if tried is None else tried.union(found)
     near = _verified(stash(tried.distinct(), "tried"), rows, nodes, words, percent)
-    labels = components(near)
-    held = _across(postings, labels)
-    x, y = (held.select("token", *[F.col(c).alias(c + s) for c in ("node", "n", "layers", "group")]) for s in "xy")
+    held = stash(_across(postings, components(near)), "held")
+    x, y = (held.where(F.col("sets") <= few).select("token", *[F.col(c).alias(c + s) for c in ("node", "n", "layers", "group")]) for s in "xy")
     pairs = stash(_candidates(x.join(y, "token").where("nodex < nodey and groupx <> groupy"), percent), "pairs")
-    labels = components(near.union(_verified(pairs, rows, nodes, words, percent)))
+    links = near.union(_verified(pairs, rows, nodes, words, percent))
+    hot = held.where(F.col("sets") > few)
+    if not hot.isEmpty():
+        links = links.union(_block_links(hot, rows, nodes, words, percent, block_sets))
+    labels = components(links)
 
     of_set = nodes.join(labels, "node", "left").select(F.col("node").alias("s1"), "s2", "n_shingles", "node_id", F.coalesce("component", "node").alias("group"))
     of_set = stash(of_set, "groups")
@@ -202,29 +211,178 @@ def _candidates(met: DataFrame, percent: int, share: float = 1.0) -> DataFrame:
     return counted.where(F.col("met") >= (least if share == 1.0 else F.greatest(least * share, F.lit(2)))).select("a", "b")
 
 
-def _verified(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, words: int, percent: int, broadcast_rows: int = 1_000_000) -> DataFrame:
-    """The pairs that are similar, from the whole sets of their nodes. The nodes' ids are broadcast up to broadcast_rows, and joined
-    by a shuffle beyond."""
-    ends = stash(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "ends")
-    of_node = nodes.join(ends, "node").groupBy("node").agg(F.min("node_id").alias("id"))
-    if ends.limit(broadcast_rows + 1).count() <= broadcast_rows:
-        of_node = F.broadcast(of_node)
-    sets = stash(_token_sets(rows, of_node, words), "sets")
+def _verified(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs that are similar, from the whole sets of their nodes."""
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    sets = _token_sets(rows, nodes, ends, words)
     out = stash(_verify(pairs, sets, percent), "links")
     discard(sets)
     return out
 
 
 def _across(postings: DataFrame, labels: DataFrame) -> DataFrame:
-    """Postings with their group, of the tokens that more than one group holds."""
+    """Postings with their group and the number of sets that hold the token (sets), of the tokens that several groups hold."""
     grouped = postings.join(labels, "node", "left").withColumn("group", F.coalesce("component", "node")).drop("component")
-    tokens = grouped.groupBy("token").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo <> hi").select("token")
-    return grouped.join(tokens, "token")
+    tokens = grouped.groupBy("token").agg(F.min("group").alias("lo"), F.max("group").alias("hi"), F.count(F.lit(1)).alias("sets"))
+    return grouped.join(tokens.where("lo <> hi").select("token", "sets"), "token")
+
+
+BLOCK_KEYS = ["token", "class1", "block1", "class2", "block2"]
+
+
+def _dealt_blocks(hot: DataFrame, percent: int, block_sets: int, block_tokens: int) -> DataFrame:
+    """(token, class1, block1, class2, block2, side, node, group): each set of a token in each pair of blocks that is to be compared.
+
+    The sets of a token are parted into classes and these into blocks of about block_sets sets and block_tokens shingles. Only
+    classes whose sizes agree meet: a class spans a factor of 100 / percent in size. Two kinds of classes aren't compared with
+    themselves: sets of one group, and sets whose largest token is one and the same other token, since they meet there."""
+    first = hot.groupBy("node").agg(F.max(F.struct("sets", "token"))["token"].alias("first"))
+    held = hot.join(first, "node")
+    many = block_sets // 4
+    of_group = held.groupBy("token", "group").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= many).select("token", "group", F.lit(True).alias("one_group"))
+    of_first = held.where("first <> token").groupBy("token", "first").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= many).select("token", "first", F.lit(True).alias("one_first"))
+    held = held.join(of_group, ["token", "group"], "left").join(of_first, ["token", "first"], "left")
+    step = -np.log(percent / 100) * 1.0001 if percent < 100 else 1e-9
+    held = held.select(
+        "token", "node", "group", "n", F.floor(F.log("n") / step).alias("span"), F.coalesce("one_group", "one_first", F.lit(False)).alias("done"),
+        F.when(F.col("one_group"), F.xxhash64(F.lit("group"), "group")).when(F.col("one_first"), F.xxhash64(F.lit("first"), "first")).otherwise(0).alias("kind"),
+    )
+    classes = held.groupBy("token", "span", "kind").agg(
+        F.first("done").alias("done"), F.count(F.lit(1)).alias("sets"),
+        F.greatest(F.ceil(F.count(F.lit(1)) / block_sets), F.ceil(F.sum("n") / block_tokens)).cast("int").alias("blocks"),
+    )
+    x, y = (classes.select("token", *[F.col(c).alias(c + s) for c in ("span", "kind", "done", "sets", "blocks")]) for s in "xy")
+    same = "(spanx = spany and kindx = kindy)"
+    meet = x.join(y, "token").where(f"abs(spanx - spany) <= 1 and if(kindx = kindy, not donex and (not {same} or setsx > 1), true)")
+    meet = meet.select("token", F.col("spanx").alias("span"), F.col("kindx").alias("kind"), "blocksx", F.col("spany").alias("span2"), F.col("kindy").alias("kind2"), "blocksy")
+    own = held.drop("done").join(meet, ["token", "span", "kind"])
+    own = own.withColumns({
+        "block": F.pmod(F.xxhash64("node"), F.col("blocksx")).cast("int"),
+        "class": F.xxhash64("span", "kind"), "other": F.xxhash64("span2", "kind2"),
+    })
+    own = own.withColumn("block2", F.explode(F.sequence(F.lit(0), F.col("blocksy") - 1)))
+    here, there = F.struct("class", "block"), F.struct(F.col("other").alias("class"), F.col("block2").alias("block"))
+    lo, hi = F.least(here, there), F.greatest(here, there)
+    return own.select("token", lo["class"].alias("class1"), lo["block"].alias("block1"), hi["class"].alias("class2"), hi["block"].alias("block2"), (here == lo).alias("side"), "node", "group")
+
+
+def shared_counts(x: np.ndarray, x_ends: np.ndarray, y: np.ndarray, y_ends: np.ndarray, columns: int = 2048, cells: int = 1 << 22) -> np.ndarray:
+    """Intersection sizes of each set of one block with each of another; x, y: their tokens one after the other.
+
+    Tokens that many of both hold are counted by a product of 0/1 matrices, `columns` at a time, others by their pairs of sets."""
+    nx, ny = len(x_ends) - 1, len(y_ends) - 1
+    out = np.zeros((nx, ny), np.float32)
+    xt, xi, xc = np.unique(x, return_inverse=True, return_counts=True)
+    yt, yi, yc = np.unique(y, return_inverse=True, return_counts=True)
+    _, xs, ys = np.intersect1d(xt, yt, assume_unique=True, return_indices=True)
+    if not len(xs):
+        return out
+    often = xc[xs] * yc[ys] * 64 >= nx * ny
+    rows = []
+    for inverse, counts, shared, ends in ((xi, xc, xs, x_ends), (yi, yc, ys, y_ends)):
+        place = np.full(len(counts), -1)
+        place[shared] = np.arange(len(shared))
+        column, row = place[inverse], np.repeat(np.arange(len(ends) - 1), np.diff(ends))
+        keep = np.flatnonzero(column >= 0)
+        keep = keep[np.argsort(column[keep], kind="stable")]
+        rows.append((column[keep], row[keep]))
+    (cx, rx), (cy, ry) = rows
+    dense = np.flatnonzero(often)
+    for k in range(0, len(dense), columns):
+        part = dense[k : k + columns]
+        a, b = np.zeros((nx, len(part)), np.float32), np.zeros((ny, len(part)), np.float32)
+        for m, c, r in ((a, cx, rx), (b, cy, ry)):
+            at = np.searchsorted(part, c)
+            inside = (at < len(part)) & (part[np.minimum(at, len(part) - 1)] == c)
+            m[r[inside], at[inside]] = 1
+        out += a @ b.T
+    sparse = np.flatnonzero(~often)
+    wx, wy = np.bincount(cx, minlength=len(xs)), np.bincount(cy, minlength=len(xs))
+    sx, sy = np.cumsum(wx) - wx, np.cumsum(wy) - wy
+    todo = np.cumsum(wx[sparse] * wy[sparse])
+    for lo in range(0, int(todo[-1]) if len(todo) else 0, cells):
+        part = sparse[np.searchsorted(todo, lo, "right") if lo else 0 : np.searchsorted(todo, lo + cells, "right")]
+        each = ragged(wx[part], sx[part])
+        width = np.repeat(wy[part], wx[part])
+        i, j = np.repeat(rx[each], width), ry[ragged(width, np.repeat(sy[part], wx[part]))]
+        out += np.bincount(i * ny + j, minlength=nx * ny).reshape(nx, ny)
+    return out
+
+
+def _joined(near: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """near: whether set i of one block is similar to set j of another; x, y: their groups. (k, 2): groups that become one."""
+    names, g = np.unique(np.concatenate([x, y]), return_inverse=True)
+    gx, gy = g[: len(x)], g[len(x) :]
+    i, j = np.nonzero(near & (gx[:, None] != gy))
+    if not len(i):
+        return np.zeros((0, 2), np.int64)
+    links = np.unique(np.minimum(gx[i], gy[j]) * len(names) + np.maximum(gx[i], gy[j]))
+    a, b = links // len(names), links % len(names)
+    label = np.arange(len(names))
+    while True:
+        least = label.copy()
+        np.minimum.at(least, a, label[b])
+        np.minimum.at(least, b, label[a])
+        least = least[least]
+        if (least == label).all():
+            break
+        label = least
+    moved = np.flatnonzero(label != np.arange(len(names)))
+    return np.stack([names[label[moved]], names[moved]], axis=1)
+
+
+def _block_links(hot: DataFrame, rows: DataFrame, nodes: DataFrame, words: int, percent: int, block_sets: int, block_tokens: int = 1 << 19) -> DataFrame:
+    """(a, b) of groups to be made one: for each token, all its sets that aren't in one group are compared, block by block."""
+    dealt = stash(_dealt_blocks(hot, percent, block_sets, block_tokens), "dealt")
+    sets = _token_sets(rows, nodes, dealt.select("node").distinct(), words)
+    whole = dealt.join(sets, "node").select(*BLOCK_KEYS, "side", "group", "tokens")
+
+    def compare(keys: list, held: list[tuple[bool, int, bytes]]) -> np.ndarray:
+        sides = []
+        for side in (True, False):
+            mine = [(g, np.frombuffer(t, np.uint64)) for s, g, t in held if s == side]
+            size = np.array([len(t) for _, t in mine], np.int64)
+            sides.append((np.array([g for g, _ in mine], np.int64), np.concatenate([t for _, t in mine]) if mine else None, np.concatenate([[0], np.cumsum(size)]), size))
+        if sides[1][1] is None and keys[1:3] == keys[3:5]:
+            sides[1] = sides[0]
+        (gx, x, x_ends, nx), (gy, y, y_ends, ny) = sides
+        if x is None or y is None:
+            return np.zeros((0, 2), np.int64)
+        both = shared_counts(x, x_ends, y, y_ends).astype(np.int64)
+        return _joined(100 * both >= percent * (nx[:, None] + ny - both), gx, gy)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, last = [], None
+        for batch in batches:
+            keys = list(zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True))
+            out = []
+            for k, (key, side, group) in enumerate(zip(keys, batch.column(5).to_pylist(), batch.column(6).to_pylist(), strict=True)):
+                if key != last and held:
+                    out.append(compare(list(last), held))
+                    held = []
+                last = key
+                held.append((side, group, batch.column(7)[k].as_py()))
+            if out:
+                out = np.concatenate(out)
+                yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], ["a", "b"])
+        if held:
+            out = compare(list(last), held)
+            yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], ["a", "b"])
+
+    found = stash(whole.repartition(*BLOCK_KEYS).sortWithinPartitions(*BLOCK_KEYS).mapInArrow(releasing(run), "a long, b long"), "joined")
+    discard(dealt)
+    discard(sets)
+    return found
 
 
-def _token_sets(rows: DataFrame, of_node: DataFrame, words: int) -> DataFrame:
-    """(node, tokens) of the nodes: the set of one row of each, packed."""
-    picked = rows.join(of_node.withColumnRenamed("id", "pick"), F.col("id") == F.col("pick")).select("node", "text")
+def _token_sets(rows: DataFrame, nodes: DataFrame, ends: DataFrame, words: int, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """(node, tokens) of the nodes in ends: the set of one row of each, packed. Their ids are broadcast up to broadcast_rows, and
+    joined by a shuffle beyond."""
+    ends = stash(ends, "ends")
+    of_node = nodes.join(ends, "node").groupBy("node").agg(F.min("node_id").alias("pick"))
+    if ends.limit(broadcast_rows + 1).count() <= broadcast_rows:
+        of_node = F.broadcast(of_node)
+    picked = rows.join(of_node, F.col("id") == F.col("pick")).select("node", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -234,6 +392,8 @@ def _token_sets(rows: DataFrame, of_node: DataFrame, words: int) -> DataFrame:
                 tokens = pa.LargeBinaryArray.from_buffers(pa.large_binary(), hi - lo, [None, offsets.buffers()[1], pa.py_buffer(hashes.tobytes())]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), tokens, pa.array(a)], ["node", "tokens", "s1"])
 
-    made = picked.mapInArrow(run, "node long, tokens binary, s1 long")
+    made = picked.mapInArrow(releasing(run), "node long, tokens binary, s1 long")
     # an id may have rows with other texts, and rows with the same one
-    return made.where("s1 = node").dropDuplicates(["node"]).select("node", "tokens")
+    out = stash(made.where("s1 = node").dropDuplicates(["node"]).select("node", "tokens"), "sets")
+    discard(ends)
+    return out

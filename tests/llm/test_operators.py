@@ -22,7 +22,7 @@ from cohortspark.llm.common import components, fold, fresh_dir
 from cohortspark.llm.embed_dedup import near_duplicates
 from cohortspark.llm.langid import entropies, fit, codes, identify_language
 from cohortspark.llm.mixing import mix_sources, poisson_table
-from cohortspark.llm.ngram_join import similar_groups
+from cohortspark.llm.ngram_join import shared_counts, similar_groups
 from cohortspark.llm.sentencepiece_sample import Lattices, decode, sample_encode
 from cohortspark.llm.suffix_dedup import deep_shallow_sort, remove_repeats
 from cohortspark.llm.token_count import count_pieces, count_tokens
@@ -46,12 +46,28 @@ def test_sampling_is_reproducible_and_lossless(spark):
     docs = documents(spark)
     one, two = ({(r["doc_id"], r["n_pieces"]): r for r in sample_encode(docs).collect()} for _ in range(2))
     assert one == two
-    for r in sample_encode(docs.select("text", F.monotonically_increasing_id().alias("doc_id"))).collect():
-        text = docs.collect()[0]["text"] if r["doc_id"] is None else None
-        assert r["lossless"] in (True, None) and (text is None or decode(r["ids"], vocabulary) == text)
+    texts = {i: x for i, x in enumerate([*TEXTS, "x" * 40_000 + " y" * 90_000, "\u2581 \u2581", "\0\x01"])}
+    rows = spark.createDataFrame([(i, x, "clash") for i, x in texts.items()] * 2, "doc_id long, text string, ids string")
+    decoded = sample_encode(rows).collect()
+    assert len(decoded) == 2 * len(texts)
+    for r in decoded:
+        text = texts[r["doc_id"]]
+        assert r["lossless"] is (None if text is None else True)
+        assert r["ids"] is None if text is None else (decode(r["ids"], vocabulary) == text and len(r["ids"]) == r["n_pieces"])
     assert sample_encode(docs.limit(0)).count() == 0
 
 
+def test_sampling_with_little_room():
+    vocabulary = load_vocabulary()
+    rng = random.Random(4)
+    words = [" " + "".join(rng.choice("abcdefgh\U0001f600") for _ in range(rng.randint(1, 30))) for _ in range(3000)]
+    seeds = np.random.default_rng(2).integers(0, 1 << 63, len(words)).astype(np.uint64)
+    small, large = Lattices(vocabulary, 0.001, most_edges=2000), Lattices(vocabulary, 0.001)
+    for k in range(0, len(words), 150):
+        for a, b in zip(small.sample(words[k : k + 150], seeds[k : k + 150]), large.sample(words[k : k + 150], seeds[k : k + 150]), strict=True):
+            assert (a == b).all()
+
+
 def test_sampling_follows_the_lattice():
     vocabulary = load_vocabulary()
     word, alpha = " thing", 0.0005
@@ -99,8 +115,8 @@ def brute_groups(rows, words, percent):
     return {i: (len(sets[i]), group[i]) for i in sets}
 
 
-@pytest.mark.parametrize(("words", "percent", "costly"), [(4, 85, 20), (5, 80, 1)])
-def test_jaccard_groups(spark, words, percent, costly):
+@pytest.mark.parametrize(("words", "percent", "costly", "few"), [(4, 85, 20, 32), (5, 80, 1, 2)])
+def test_jaccard_groups(spark, words, percent, costly, few):
     rng = random.Random(words)
     vocabulary = [f"w{k}" for k in range(300)]
     rows = []
@@ -112,10 +128,46 @@ def test_jaccard_groups(spark, words, percent, costly):
                 copy[rng.randrange(len(copy))] = rng.choice(vocabulary)
             rows.append((i * 10 + j, " ".join(copy)))
     rows += [(9000, None), (9001, ""), (9002, "one"), (9003, "ONE"), (9004, "x " * 3000), (9005, "x " * 3000)]
-    got = {r[0]: tuple(r[1:]) for r in similar_groups(spark.createDataFrame(rows, "doc_id long, text string"), words=words, percent=percent, costly=costly).collect()}
+    got = {r[0]: tuple(r[1:]) for r in similar_groups(spark.createDataFrame(rows, "doc_id long, text string"), words=words, percent=percent, costly=costly, few=few, block_sets=4).collect()}
     assert got == brute_groups(rows, words, percent)
 
 
+def test_jaccard_large_families(spark):
+    # near copies of one text, most of their pairs just under the threshold, and of a second one with other sizes
+    rng = random.Random(8)
+    rows, n = [], 0
+    for size, copies, changes in ((70, 260, 3), (90, 90, 2)):
+        base = [f"b{size}_{k}" for k in range(size)]
+        for _ in range(copies):
+            text = list(base)
+            for _ in range(rng.randint(0, changes)):
+                text[rng.randrange(size)] = f"u{n}_{rng.randint(0, 9999)}"
+            rows.append((n, " ".join(text[: size - rng.randint(0, 3)])))
+            n += 1
+    docs = spark.createDataFrame([(*r, 1, "t") for r in rows], "doc_id long, text string, node int, token string")
+    want = brute_groups(rows, 4, 85)
+    assert len({g for _, g in want.values()}) > 20
+    for few, block_sets in ((8, 32), (1, 512)):
+        got = {r[0]: tuple(r[1:]) for r in similar_groups(docs, words=4, percent=85, few=few, block_sets=block_sets, leader_rounds=1).collect()}
+        assert got == want
+
+
+def test_shared_counts():
+    rng = np.random.default_rng(3)
+    for most in (30, 300, 100_000):
+        sets = [np.unique(rng.integers(0, most, rng.integers(0, 60))).astype(np.uint64) for _ in range(50)]
+        ends = lambda part: np.concatenate([[0], np.cumsum([len(s) for s in part])])
+        x, y = sets[:30], sets[30:]
+        got = shared_counts(np.concatenate(x), ends(x), np.concatenate(y), ends(y), columns=7, cells=50)
+        assert got.tolist() == [[len(np.intersect1d(a, b)) for b in y] for a in x]
+
+
+def test_components_of_a_long_chain(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(500, 400), (500, 500), (None, 1)], "a long, b long")
+    got = {r["node"]: r["component"] for r in components(links).collect()}
+    assert got == {i: 0 for i in range(301)} | {500: 400, 400: 400}
+
+
 def test_jaccard_edges(spark):
     got = similar_groups(documents(spark))
     assert got.count() == len(TEXTS)
