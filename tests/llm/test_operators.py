@@ -276,12 +276,13 @@ def test_warc_round_trip(spark):
 # 6
 
 
-def test_bm25(spark):
+@pytest.mark.parametrize(("shard_docs", "most_queries"), [(70, 3), (25, 400_000)])
+def test_bm25(spark, shard_docs, most_queries):
     rng = random.Random(3)
     words = [f"w{k}" for k in range(80)] + ["é"]
     rows = [(i, " ".join(rng.choice(words[: rng.randint(2, 81)]) for _ in range(rng.randint(0, 60)))) for i in range(300)] + [(500, None), (501, ""), (502, "w1 w2"), (503, "w1 w2"), (None, "w1")]
     docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, term int")
-    got = {(r["query_id"], r["rank"]): (r["doc_id"], r["score"]) for r in bm25_top_k(docs, docs.where("doc_id % 50 = 0 or doc_id > 500"), shard_docs=70, query_block=3).collect()}
+    got = {(r["query_id"], r["rank"]): (r["doc_id"], r["score"]) for r in bm25_top_k(docs, docs.where("doc_id % 50 = 0 or doc_id > 500"), shard_docs=shard_docs, most_queries=most_queries).collect()}
     tf = {i: Counter(re.findall(r"\w+", t or "")) for i, t in rows if i is not None}
     n, mean = len(tf), sum(sum(c.values()) for c in tf.values()) / len(tf)
     df = Counter(t for c in tf.values() for t in c)
