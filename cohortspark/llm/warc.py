@@ -1,8 +1,9 @@
 """WARC archives with revisit records, and a two-level capture index over them.
 
 write_warc() writes gzip members, one for each record, to archives in a shared folder; build_index() sorts the captures by
-reversed-host URL key into compressed blocks and keeps a sparse directory of the blocks; lookup() finds captures by binary
-search in the directory, then in one block, then reads the record's byte range.
+reversed-host URL key into compressed blocks and keeps a sparse directory of the blocks; fetch() finds captures by binary
+search in the directory, then in a block, then reads the records' byte ranges. Tasks of fetch() take sorted ranges of keys and
+read only what of the directory their keys need. read_warc() reads all blocks without a search.
 
 Paths are URIs that pyarrow.fs resolves on the executors. A file's name holds a random part, and only the names that a
 finished task returned are used, so that a task that runs again leaves at most an unused file behind."""
@@ -18,12 +19,14 @@ import zlib
 from collections.abc import Iterator
 from urllib.parse import urlsplit
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.dataset as pads
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh_dir, stash
+from .textbytes import releasing
 
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -48,16 +51,32 @@ def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
 
+def link_of(url: str | None) -> str:
+    """A URL as it is written: without white space; null is empty."""
+    return "".join((url or "").split())
+
+
+def _urn(page_id: int | None) -> str:
+    return f"<urn:page:{'null' if page_id is None else page_id}>"
+
+
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    fields = [x.split() for x in schema.split(", ")]
+    columns = zip(*rows, strict=True) if rows else [[] for _ in fields]
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, (_, t) in zip(columns, fields, strict=True)], [n for n, _ in fields])
+
+
 def _record(kind: str, page_id: int, url: str, payload: bytes, digest: str, refers_to: int | None) -> bytes:
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http + payload if kind == "response" else http
     head = [
-        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{page_id}>", f"WARC-Target-URI: {url}",
+        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {_urn(page_id)}", f"WARC-Target-URI: {url}",
         "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: application/http; msgtype=response",
         f"Content-Length: {len(block)}",
     ]
     if kind == "revisit":
-        head[3:3] = [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To: <urn:page:{refers_to}>"]
+        head[3:3] = [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To: {_urn(refers_to)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
@@ -88,29 +107,27 @@ def write_warc(pages: DataFrame, folder: str, min_bytes: int = 0, page_id: str =
     fs, root = filesystem(folder)
     fs.create_dir(root)
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = filesystem(folder)
         name, out, at = f"{uuid.uuid4().hex}.warc.gz", None, 0
         try:
-            for pdf in batches:
+            for batch in batches:
                 got = []
-                for pid, link, text, first in zip(pdf["page_id"], pdf["url"], pdf["html"], pdf["first_id"], strict=True):
+                for pid, link, text, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     if out is None:
                         out = fs.open_output_stream(f"{root}/{name}", compression=None)
-                    pid, first = (None if pd.isna(x) else int(x) for x in (pid, first))
-                    payload, link = text.encode(), "".join(str(link or "").split())
+                    payload, link = text.encode(), link_of(link)
                     kind = "response" if first is None else "revisit"
                     data = _gzip(_record(kind, pid, link, payload, digest32(payload), first))
                     out.write(data)
                     got.append((url_key(link), pid, name, at, len(data), kind, first))
                     at += len(data)
-                frame = pd.DataFrame(got, columns=["url_key", "page_id", "file", "offset", "length", "record_type", "refers_to"])
-                yield frame.astype({"page_id": "Int64", "refers_to": "Int64"})
+                yield _batch(got, CAPTURE)
         finally:
             if out is not None:
                 out.close()
 
-    return stash(marked.select("page_id", "url", "html", "first_id").mapInPandas(write, CAPTURE), "captures")
+    return stash(marked.select("page_id", "url", "html", "first_id").mapInArrow(releasing(write), CAPTURE), "captures")
 
 
 DIRECTORY = "first_key string, first_id long, last_key string, file string, offset long, length long, n int"
@@ -124,7 +141,7 @@ def build_index(captures: DataFrame, folder: str, block_rows: int = 500) -> Data
     fs, root = filesystem(folder)
     fs.create_dir(root)
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = filesystem(folder)
         name, out, at, held, made = f"{uuid.uuid4().hex}.idx", None, 0, [], []
 
@@ -137,19 +154,19 @@ def build_index(captures: DataFrame, folder: str, block_rows: int = 500) -> Data
             made.append((held[0][0], held[0][1], held[-1][0], name, at, len(data), len(held)))
             at, held = at + len(data), []
 
-        for pdf in batches:
-            for row in pdf.itertuples(index=False):
-                held.append([None if pd.isna(x) else int(x) if isinstance(x, float) else x for x in row])
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                held.append(list(row))
                 if len(held) == block_rows:
                     flush()
         if held:
             flush()
         if out is not None:
             out.close()
-        yield pd.DataFrame(made, columns=[x.split()[0] for x in DIRECTORY.split(", ")]).astype({"first_id": "Int64"})
+        yield _batch(made, DIRECTORY)
 
     ordered = captures.repartitionByRange("url_key", "page_id").sortWithinPartitions("url_key", "page_id")
-    return stash(ordered.mapInPandas(write, DIRECTORY), "directory")
+    return stash(ordered.mapInArrow(releasing(write), DIRECTORY), "directory")
 
 
 def read_block(fs: pafs.FileSystem, path: str, offset: int, length: int) -> list[list]:
@@ -164,7 +181,7 @@ def parse_record(data: bytes) -> dict:
     fields = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
     http, _, payload = rest[: int(fields["Content-Length"])].partition(b"\r\n\r\n")
     said = dict(x.split(": ", 1) for x in http.decode().split("\r\n")[1:])
-    number = lambda x: None if x is None or x == "<urn:page:None>" else int(x.strip("<>").rpartition(":")[2])
+    number = lambda x: None if x is None or x == "<urn:page:null>" else int(x.strip("<>").rpartition(":")[2])
     return {
         "record_type": fields["WARC-Type"], "page_id": number(fields["WARC-Record-ID"]), "url": fields["WARC-Target-URI"],
         "payload_digest": fields["WARC-Payload-Digest"].removeprefix("sha1:"), "refers_to": number(fields.get("WARC-Refers-To")),
@@ -175,60 +192,101 @@ def parse_record(data: bytes) -> dict:
 RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string"
 
 
-def read_warc(directory: DataFrame, index_folder: str, folder: str, payload: bool = False) -> DataFrame:
-    """All records, found through the index: tasks take blocks, read each block's records in the order of the archives and
-    check a response's payload against its digest (a mismatch raises). A revisit's payload is that of the record it refers to."""
-    schema = RECORD + (", payload binary" if payload else "")
-
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index_fs, index_root = filesystem(index_folder)
-        fs, root = filesystem(folder)
-        for pdf in batches:
-            for name, offset, length in zip(pdf["file"], pdf["offset"], pdf["length"], strict=True):
-                got, opened, last = [], None, None
-                for _, _, file, at, n, _, _ in sorted(read_block(index_fs, f"{index_root}/{name}", int(offset), int(length)), key=lambda x: (x[2], x[3])):
-                    if file != last:
-                        if opened:
-                            opened.close()
-                        opened, last = fs.open_input_file(f"{root}/{file}"), file
-                    record = parse_record(opened.read_at(int(n), int(at)))
-                    if record["payload"] is not None and digest32(record["payload"]) != record["payload_digest"]:
-                        raise ValueError(f"payload of page {record['page_id']} does not match its digest")
-                    got.append(record)
+def _records(lines: list[list], fs: pafs.FileSystem, root: str) -> Iterator[dict]:
+    """The records of captures, read in the order of the archives; a response's payload is checked against its digest."""
+    opened, last = None, None
+    try:
+        for _, _, file, at, n, _, _ in sorted(lines, key=lambda x: (x[2], x[3])):
+            if file != last:
                 if opened:
                     opened.close()
-                frame = pd.DataFrame(got)[[x.split()[0] for x in schema.split(", ")]]
-                yield frame.astype({"page_id": "Int64", "refers_to": "Int64"})
-
-    return directory.select("file", "offset", "length").repartition("file", "offset").mapInPandas(read, schema)
-
-
-def lookup(urls: list[str], directory: DataFrame, index_folder: str, folder: str, most_blocks: int = 1_000_000) -> list[dict]:
-    """Records of a few URLs: binary search in the directory, then in the blocks, then range reads.
-
-    The directory has a row for each block_rows captures; it is searched on the driver up to most_blocks rows, and beyond
-    that the blocks that may hold a key are filtered by Spark."""
-    keys = [url_key(u) for u in urls]
-    if directory.limit(most_blocks + 1).count() > most_blocks:
-        directory = directory.where(" or ".join(["false"] + ["(first_key <= '{0}' and last_key >= '{0}')".format(k.replace("\\", "\\\\").replace("'", "\\'")) for k in keys]))
-    blocks = [tuple(r) for r in directory.orderBy("first_key", "first_id").collect()]
-    firsts, (index_fs, index_root), (fs, root), found = [b[0] for b in blocks], filesystem(index_folder), filesystem(folder), []
-    for key in keys:
-        k = max(0, bisect.bisect_left(firsts, key) - 1)
-        while k < len(blocks) and blocks[k][0] <= key:
-            if blocks[k][2] >= key:
-                lines = read_block(index_fs, f"{index_root}/{blocks[k][3]}", blocks[k][4], blocks[k][5])
-                for line in lines[bisect.bisect_left([x[0] for x in lines], key) :]:
-                    if line[0] != key:
-                        break
-                    with fs.open_input_file(f"{root}/{line[2]}") as f:
-                        found.append(parse_record(f.read_at(line[4], line[3])))
-            k += 1
-    return found
+                opened, last = fs.open_input_file(f"{root}/{file}"), file
+            record = parse_record(opened.read_at(n, at))
+            if record["payload"] is not None and digest32(record["payload"]) != record["payload_digest"]:
+                raise ValueError(f"payload of page {record['page_id']} does not match its digest")
+            yield record
+    finally:
+        if opened:
+            opened.close()
+
+
+def read_warc(directory: DataFrame, index_folder: str, folder: str, payload: bool = False) -> DataFrame:
+    """All records: tasks take a few blocks each, read their records in the order of the archives and check a response's payload
+    against its digest (a mismatch raises). A revisit's payload is that of the record it refers to."""
+    schema = RECORD + (", payload binary" if payload else "")
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (index_fs, index_root), (fs, root) = filesystem(index_folder), filesystem(folder)
+        for batch in batches:
+            for name, offset, length in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                found = _records(read_block(index_fs, f"{index_root}/{name}", offset, length), fs, root)
+                yield _batch([tuple(r[x] for x in names) for r in found], schema)
+
+    return directory.select("file", "offset", "length").repartition(_tasks(directory), "file", "offset").mapInArrow(releasing(read), schema)
+
+
+def _tasks(directory: DataFrame) -> int:
+    """Tasks to read records: four blocks for each. Blocks and keys are so small that Spark's own choice would be one task."""
+    return max(directory.sparkSession.sparkContext.defaultParallelism, -(-directory.count() // 4))
+
+
+def _place(key: str, page_id: int | None) -> tuple:
+    """Captures are in the order of this; null ids come first."""
+    return key, page_id is not None, page_id or 0
+
+
+def fetch(keys: DataFrame, directory: DataFrame, index_folder: str, folder: str, payload: bool = False) -> DataFrame:
+    """The records of the captures of keys (url, and page_id if there is such a column): binary search in the directory, then in the
+    blocks, then range reads.
+
+    Keys are sorted in ranges, and a task reads the directory only between the least and the greatest key of a batch. A key that
+    stands several times is one; without page_id all captures of a URL are found. Keys without captures give no rows."""
+    schema, exact = RECORD + (", payload binary" if payload else ""), "page_id" in keys.columns
+    names, path = [x.split()[0] for x in schema.split(", ")], directory._stashed
+
+    def key_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = pa.array([url_key(link_of(u)) for u in batch.column(0).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([own, batch.column(1)], ["url_key", "page_id"])
+
+    def blocks_between(lo: str, hi: str) -> list[tuple]:
+        fs, root = filesystem(path)
+        found = pads.dataset(root, filesystem=fs, format="parquet").to_table(filter=(pads.field("first_key") <= hi) & (pads.field("last_key") >= lo))
+        rows = zip(*(found[c].to_pylist() for c in ("first_key", "first_id", "file", "offset", "length")), strict=True)
+        return sorted((_place(key, i), file, offset, length) for key, i, file, offset, length in rows)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (index_fs, index_root), (fs, root) = filesystem(index_folder), filesystem(folder)
+        for batch in batches:
+            wanted = [_place(k, i) if exact else (k,) for k, i in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+            if not wanted:
+                continue
+            blocks, lines, loaded = blocks_between(wanted[0][0], wanted[-1][0]), [], (-1, [], [])
+            firsts = [b[0] for b in blocks]
+            for key in wanted:
+                # lines like the first of a block may stand at the end of the one before
+                k = max(0, bisect.bisect_left(firsts, key) - 1)
+                while k < len(blocks) and firsts[k][: len(key)] <= key:
+                    if loaded[0] != k:
+                        held = read_block(index_fs, f"{index_root}/{blocks[k][1]}", blocks[k][2], blocks[k][3])
+                        loaded = k, held, [_place(x[0], x[1]) for x in held]
+                    at = bisect.bisect_left(loaded[2], key)
+                    while at < len(loaded[2]) and loaded[2][at][: len(key)] == key:
+                        lines.append(loaded[1][at])
+                        at += 1
+                    k += 1
+            yield _batch([tuple(r[x] for x in names) for r in _records(lines, fs, root)], schema)
+
+    page = F.col("page_id").cast("long") if exact else F.lit(None).cast("long")
+    keyed = keys.select(F.col("url").cast("string").alias("url"), page.alias("page_id")).mapInArrow(releasing(key_of), "url_key string, page_id long")
+    ordered = keyed.distinct().repartitionByRange(_tasks(directory), "url_key", "page_id").sortWithinPartitions("url_key", "page_id")
+    return ordered.mapInArrow(releasing(read), schema)
 
 
 def warc_round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """Writes pages as archives with their index and reads every record back through it."""
+    """Writes pages (page_id, url, html) as archives with their index and fetches every record by its key through it."""
     spark = pages.sparkSession
     archives, index = fresh_dir(spark, "warc"), fresh_dir(spark, "index")
-    return read_warc(build_index(write_warc(pages, archives, min_bytes), index), index, archives)
+    directory = build_index(write_warc(pages, archives, min_bytes), index)
+    return fetch(pages.select("url", "page_id"), directory, index, archives)
