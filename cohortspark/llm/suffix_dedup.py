@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, stash
@@ -197,10 +197,11 @@ def _anchor_table(rows: DataFrame, length: int) -> DataFrame:
 
 def _cut(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """wanted: (did, rid, pos, h, before, after, size); (did, rid, pos, key, size, left, right) with the bytes before (backwards)
-    and after each place. A row that docs hold twice gives its places twice, which changes no result."""
+    and after each place, once for rows that docs hold several times."""
     lists = wanted.groupBy("did", "rid").agg(F.collect_list(F.struct("pos", "h", "before", "after", "size")).alias("places"))
     lists = lists.withColumnsRenamed({"did": "d2", "rid": "r2"})
-    both = rows.join(lists, (F.col("rid") == F.col("r2")) & F.col("did").eqNullSafe(F.col("d2"))).select("did", "rid", "text", "places")
+    both = rows.join(lists, (F.col("rid") == F.col("r2")) & (F.col("did") == F.col("d2"))).select("did", "rid", "text", "places")
+    both = both.groupBy("did", "rid").agg(F.first("text").alias("text"), F.first("places").alias("places"))
     schema = f"{PLACE}, key long, size long, left binary, right binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,7 +274,7 @@ def repeated_spans(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
     """(did, rid, spans array<struct<start int, end int>>) for the texts of which something is repeated: bytes that a string of
     `length` bytes covers that also starts elsewhere, in the same text or another one. rid: xxhash64(id, text).
 
-    length is over 64 at least. Spans may overlap. A null text is empty; a text shorter than length has no spans; rows that are
+    length is over 40 (ANCHOR). Spans may overlap. A null text is empty; a text shorter than length has no spans; rows that are
     repeated as a whole repeat each other."""
     if length <= ANCHOR:
         raise ValueError(f"length must be over {ANCHOR}")
@@ -316,7 +317,12 @@ def repeated_spans(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
 
 def _rows(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    return docs.select(F.col(id_col).cast("long").alias("did"), F.xxhash64(F.col(id_col).cast("long"), body).alias("rid"), body.alias("text"))
+    return docs.select(_did(id_col), F.xxhash64(F.col(id_col).cast("long"), body).alias("rid"), body.alias("text"))
+
+
+def _did(id_col: str) -> Column:
+    """The id without nulls, which pandas would turn into floats; rid tells a null from the number that stands for it."""
+    return F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("did")
 
 
 def _runs(spans: list[dict] | None) -> list[tuple[int, int]]:
@@ -340,7 +346,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
     docs = docs.drop(*added)
     spans = repeated_spans(docs, length, id_col, text, most_classes).withColumnsRenamed({"did": "span_did", "rid": "span_rid", "spans": "span_list"})
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    on = (F.xxhash64(F.col(id_col).cast("long"), body) == F.col("span_rid")) & F.col(id_col).cast("long").eqNullSafe(F.col("span_did"))
+    on = (F.xxhash64(F.col(id_col).cast("long"), body) == F.col("span_rid")) & (_did(id_col) == F.col("span_did"))
     both = docs.join(spans, on, "left").select(*[docs[c] for c in docs.columns], "span_list")
     place, n = docs.columns.index(text), len(docs.columns)
 
