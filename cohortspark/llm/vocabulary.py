@@ -52,13 +52,14 @@ class Vocabulary:
         return out
 
 
-def load_vocabulary(path: str = MODEL) -> Vocabulary:
+def load_vocabulary(path: str = MODEL, floor: float = -50_000.0) -> Vocabulary:
     """The pieces of a model file with a space prefix, identity normalisation and byte fallback. Its scores are read as
-    unigram log weights; an unknown character has the least score less 10, as in the library."""
+    unigram log weights, those below `floor` as that: pieces that the model never makes have -1e9, which leaves no digits for the
+    rest of a sum. An unknown character has the least score less 10, as in the library."""
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     n = sp.get_piece_size()
     ordinary = [i for i in range(n) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
-    pieces = tuple((sp.id_to_piece(i).replace("▁", " "), i, sp.get_score(i)) for i in ordinary)
+    pieces = tuple((sp.id_to_piece(i).replace("▁", " "), i, max(sp.get_score(i), floor)) for i in ordinary)
     if any(" " in p.lstrip(" ") or "\n" in p for p, _, _ in pieces):
         raise ValueError("a piece holds a space after another character, or a line break")
     if not sp.is_byte(sp.piece_to_id("<0x00>")):
