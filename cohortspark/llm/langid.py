@@ -2,21 +2,19 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .textbytes import mix
 
 ORDER = 4
 UNDETERMINED = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 _OTHER = 0
 
 
@@ -37,8 +35,8 @@ _table: list[np.ndarray] = []
 
 def _is_letter(points: np.ndarray) -> np.ndarray:
     if not _table:
-        _table.append(np.array([chr(i).isalpha() for i in range(0x30000)]))
-    return _table[0][np.minimum(points, 0x2FFFF)]
+        _table.append(np.array([chr(i).isalpha() for i in range(0x110000)]))
+    return _table[0][points]
 
 
 def grams(points: np.ndarray, order: int) -> list[np.ndarray]:
@@ -110,7 +108,7 @@ def fit(samples: dict[str, list[str]], order: int = ORDER, checks: int = 4) -> M
         contexts.append(left)
         weights.append(np.log2(weight).astype(np.float32))
     models = Models(languages, hashes, logs, contexts, weights, floor)
-    rest = [(k, x) for k, v in samples.items() for i, x in enumerate(v) if not (i + 1) % checks and len(v) >= checks and _LETTER.search(x)]
+    rest = [(k, x) for k, v in samples.items() for i, x in enumerate(v) if not (i + 1) % checks and len(v) >= checks and codes(x).any()]
     if rest:
         bits = entropies([codes(x) for _, x in rest], models)
         models.reject = float(np.quantile(bits.min(axis=1), 0.999) + 0.5)
@@ -196,7 +194,8 @@ def _softmax(x: np.ndarray) -> np.ndarray:
 
 def labelled_texts(docs: DataFrame, keep, most: int, id_col: str = "doc_id", text: str = "text", lang: str = "lang") -> dict[str, list[str]]:
     """Texts by language of the rows that keep (a condition on the id) holds for: of each language the `most` rows with the
-    least hashes of their ids. Null languages and texts, and ids that are null, are left out."""
+    least hashes of their ids, and at most `most` rows altogether where ids repeat. Null languages and texts, and ids that are
+    null, are left out."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
     ids = rows.where("lang is not null and text is not null and id is not null").where(keep(F.col("id"))).select("lang", "id")
     languages = sorted(r[0] for r in ids.select("lang").distinct().limit(1001).collect())
@@ -207,7 +206,10 @@ def labelled_texts(docs: DataFrame, keep, most: int, id_col: str = "doc_id", tex
     picks = [ids.where(F.col("lang") == k).orderBy(F.xxhash64("id"), "id").limit(most).distinct() for k in languages]
     picked = reduce(DataFrame.union, picks)
     found: dict[str, list[str]] = {k: [] for k in languages}
-    for r in rows.where("text is not null").join(F.broadcast(picked), ["id", "lang"]).orderBy("id").collect():
+    # an id may have many rows
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", F.xxhash64("text"), "text")
+    rows = rows.where("text is not null").join(F.broadcast(picked), ["id", "lang"]).withColumn("place", F.row_number().over(order))
+    for r in rows.where(F.col("place") <= most).orderBy("id", "place").collect():
         found[r["lang"]].append(r["text"])
     return found
 
@@ -217,7 +219,7 @@ def identify_language(docs: DataFrame, keep, most: int = 600, reject: bool = Fal
 
     keep: a condition on the id column: rows whose lang may be learned from; most: the greatest number of them for each
     language, the rows with the least hashes of their ids. The prediction is the language of the lowest cross-entropy a
-    character of the whole text. score: its calibrated probability. A text that is null or has no letter is `und` with score
+    character of the whole text. score: its calibrated probability. A text that is null or has no letter (str.isalpha) is `und` with score
     0; so is every text where no language can be learned; with reject, also a text whose entropy is beyond what nearly all
     texts of the languages have. Ties go to the first language in order. Columns of docs of these two names are replaced."""
     models = fit(labelled_texts(docs, keep, most, id_col, text, lang))
@@ -232,10 +234,10 @@ def identify_language(docs: DataFrame, keep, most: int = 600, reject: bool = Fal
             names, scores = [UNDETERMINED] * len(texts), np.zeros(len(texts))
             group, held, size = [], [], 0
             for k, x in enumerate(texts):
-                if models is not None and x and _LETTER.search(x):
+                if models is not None and x and (own := codes(x)).any():
                     group.append(k)
-                    held.append(codes(x))
-                    size += len(held[-1])
+                    held.append(own)
+                    size += len(own)
                 if group and (size > 1 << 19 or k == len(texts) - 1):
                     bits = entropies(held, models)
                     best = bits.argmin(axis=1)

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .sentencepiece_sample import ragged
@@ -285,7 +285,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, keep, most: int, id_col:
     n = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     picked = [known.where(F.col("label") == y).orderBy(F.xxhash64("id"), "id").limit(most) for y in (0, 1)]
     rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).where("text is not null").join(F.broadcast(picked[0].union(picked[1])), "id")
-    got = rows.select("id", "text", "label").orderBy("id").collect()
+    # an id may have many rows
+    order = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id", F.xxhash64("text"), "text")
+    rows = rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
+    got = rows.select("id", "text", "label").orderBy("id", "place").collect()
     shares = tuple(min(1.0, most / max(n.get(y, 1), 1)) for y in (0, 1))
     return [r["text"] for r in got], [r["label"] for r in got], shares
 
