@@ -218,6 +218,17 @@ def test_deep_shallow_sort():
         assert common[1:] == [len(os.path.commonprefix([strings[a], strings[b]])) for a, b in zip(order, order[1:])]
 
 
+def test_repeats_of_one_row(spark):
+    rng = random.Random(5)
+    one = " ".join(str(rng.randint(0, 10**6)) for _ in range(80))
+    other = "before " + one[:300] + " after " * 20
+    rows = [(None, one)] * 20_000 + [((1 << 60) + 1, other), (7, "alone " + str(rng.random()))]
+    got = remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), 200)
+    n = len(one.encode())
+    assert {tuple(r) for r in got.select("doc_id", "n_bytes", "n_removed", "n_spans").distinct().collect()} == {(None, n, n, 1), ((1 << 60) + 1, len(other), 300, 1), (7, len(rows[-1][1]), 0, 0)}
+    assert got.count() == len(rows)
+
+
 def test_repeats_edges(spark):
     docs = documents(spark)
     assert remove_repeats(docs.union(docs)).count() == 2 * len(TEXTS)
@@ -268,11 +279,22 @@ def test_warc_round_trip(spark):
         data = (html or "").encode()
         assert got[i]["payload_bytes"] == len(data) and got[i]["payload_digest"] == base64.b32encode(hashlib.sha1(data).digest()).decode()
     assert [(got[i]["record_type"], got[i]["refers_to"]) for i in (1, 2, 3, 4, 6)] == [("response", None), ("revisit", 1), ("response", None), ("revisit", 3), ("revisit", 1)]
-    found = warc.lookup(["http://a.example.com/", "http://nowhere.org/"], directory, index, archives)
-    assert sorted(x["page_id"] for x in found) == [2, 4, 6]
+    keys = spark.createDataFrame([("http://a.example.com/",), ("http://nowhere.org/",), ("http://a.example.com/",)], "url string")
+    assert sorted(x["page_id"] for x in warc.fetch(keys, directory, index, archives).collect()) == [2, 4, 6]
+    fetched = warc.fetch(pages.select("url", "page_id"), directory, index, archives, payload=True)
+    assert {r["page_id"]: r for r in fetched.collect()} == got and fetched.count() == len(rows)
     assert warc.warc_round_trip(pages.limit(0)).count() == 0
 
 
+def test_warc_keeps_ids_beyond_doubles(spark):
+    big = 1 << 60
+    rows = [(big + 1, "same"), (big + 3, "same"), (big + 5, "other"), (big + 5, "same"), (big + 5, "same"), (None, "same"), (7, "x" * 3_000_000)]
+    pages = spark.createDataFrame([(i, "http://a.example.com/", h) for i, h in rows], "page_id long, url string, html string").coalesce(1)
+    got = Counter((r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.warc_round_trip(pages).collect())
+    revisit = lambda i: (i, 4, "revisit", big + 1)
+    assert got == {(big + 1, 4, "response", None): 1, revisit(big + 3): 1, (big + 5, 5, "response", None): 1, revisit(big + 5): 2, revisit(None): 1, (7, 3_000_000, "response", None): 1}
+
+
 # 6
 
 
@@ -371,11 +393,11 @@ def test_languages(spark):
     rng = random.Random(2)
     made = {"aa": ["ka", "ko", "ta"], "bb": ["sch", "ung", "eit"], "cc": ["que", "eau", "ion"]}
     rows = [(i, " ".join("".join(rng.choice(s) for _ in range(3)) for _ in range(30)), k) for i, (k, s) in enumerate(list(made.items()) * 40)]
-    rows += [(900, None, "aa"), (901, "", None), (902, "123 !", "bb"), (903, "KAKO " * 4000, None)]
+    rows += [(900, None, "aa"), (901, "", None), (902, "123 ! \u00bd \u00b2 \u2167", "bb"), (903, "KAKO " * 4000, None), (904, "\U00030000", None), (905, "KAKO", "aa"), (905, "KAKO", "aa")]
     docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, lang string, score string")
     got = {r["doc_id"]: r for r in identify_language(docs, lambda i: fold(i) != 2).collect()}
     assert all(got[i]["lang_pred"] == k for i, _, k in rows[:120]) and got[903]["lang_pred"] == "aa"
-    assert [got[i]["lang_pred"] for i in (900, 901, 902)] == ["und"] * 3 and all(0 <= r["score"] <= 1 for r in got.values())
+    assert [got[i]["lang_pred"] for i in (900, 901, 902)] == ["und"] * 3 and got[904]["lang_pred"] != "und" and all(0 <= r["score"] <= 1 for r in got.values())
     assert {r["lang_pred"] for r in identify_language(docs.withColumn("lang", F.lit(None).cast("string")), lambda i: fold(i) != 2).collect()} == {"und"}
     rejected = identify_language(docs.select("doc_id", "text", "lang").union(spark.createDataFrame([(999, "zzz xxx yyy www " * 9, None)], "doc_id long, text string, lang string")), lambda i: fold(i) != 2, reject=True)
     assert rejected.where("doc_id = 999").first()["lang_pred"] == "und"
@@ -398,21 +420,26 @@ def test_character_model_sums_to_one():
 # 9
 
 
-def test_counts_follow_the_library(tmp_path):
-    """The library's unigram search, on scores that its single precision adds without rounding."""
+def test_counts_follow_the_library(spark, tmp_path):
+    """The library's unigram search on all whole texts, with the scores that load_vocabulary() gives."""
     proto = sentencepiece_model_pb2.ModelProto()
     proto.ParseFromString(open(MODEL, "rb").read())
     proto.trainer_spec.model_type = 1
     for piece in proto.pieces:
-        piece.score = max(piece.score, -50_000) / 1024
+        piece.score = max(piece.score, -50_000)
     path = f"{tmp_path}/unigram.model"
     open(path, "wb").write(proto.SerializeToString())
-    sp, vocabulary = sentencepiece.SentencePieceProcessor(model_file=path), load_vocabulary(path)
+    sp, vocabulary = sentencepiece.SentencePieceProcessor(model_file=path), load_vocabulary()
     rng = random.Random(4)
     words = "the thing ation heit sch eau queque ción internationalisation Thstinnt x zzzzzz représentation".split()
     for _ in range(500):
         word = "".join(rng.choice(words)[: rng.randint(1, 9)] for _ in range(rng.randint(1, 3)))
         assert count_pieces(" " + word, vocabulary)[1] == len(sp.encode(word)), word
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("length(text) < 50000")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    got = {r["doc_id"]: r["n_tokens"] for r in count_tokens(docs).collect()}
+    assert len(got) == len(texts) > 900
+    assert {i: len(sp.encode(x or "")) for i, x in texts.items()} == got
 
 
 def test_counts_edges(spark):
