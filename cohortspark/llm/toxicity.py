@@ -6,7 +6,7 @@ trained in numpy on a bounded sample of labelled rows and scores all overlapping
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -62,15 +62,15 @@ def _slots(hashes: np.ndarray, bits: int) -> np.ndarray:
     return (hashes >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def evidence(pairs: list[tuple[np.ndarray, int]], bits: int) -> list[np.ndarray]:
+def evidence(held: Iterable[np.ndarray], labels: list[int], bits: int) -> list[np.ndarray]:
     """Log odds of label 1 by slot, from the documents that hold it, shrunk to 0 where few do: as a document of label 0 has
     them without itself, as one of label 1 has them without itself, and as a new document has them.
 
-    pairs: slots of a document, label."""
+    held: the slots of each document, one at a time."""
     counts = np.zeros((2, 1 << bits))
-    for slots, label in pairs:
+    for slots, label in zip(held, labels, strict=True):
         counts[label, np.unique(slots)] += 1
-    prior, k = (sum(y for _, y in pairs) + 1) / (len(pairs) + 2), 2.0
+    prior, k = (sum(labels) + 1) / (len(labels) + 2), 2.0
 
     def odds(n: np.ndarray) -> np.ndarray:
         n = np.maximum(n, 0)
@@ -168,16 +168,15 @@ def train(texts: list[str], labels: list[int], shares: tuple[float, float] = (1.
     if len(set(labels)) < 2:
         return None
     rng = np.random.default_rng(seed)
-    docs = [WORDS.findall(x.lower()) for x in texts]
     index: dict[str, int] = {}
-    ids = [np.array([index.setdefault(w, len(index)) for w in d], np.int64) for d in docs]
+    ids = [np.array([index.setdefault(w, len(index)) for w in WORDS.findall(x.lower())], np.int32) for x in texts]
     if not index:
         return None
     words = list(index)
     ws, gs, n = slots = word_slots(words)
     at = np.cumsum(n) - n
-    by_word = evidence([(ws[x], y) for x, y in zip(ids, labels, strict=True)], WORD_BITS)
-    by_gram = evidence([(gs[ragged(n[u], at[u])], y) for u, y in zip(map(np.unique, ids), labels, strict=True)], GRAM_BITS)
+    by_word = evidence((ws[x] for x in ids), labels, WORD_BITS)
+    by_gram = evidence((gs[ragged(n[u], at[u])] for u in map(np.unique, ids)), labels, GRAM_BITS)
     inputs = np.concatenate([features(words, slots, by_word[y], by_gram[y]) for y in (0, 1)])
     strong, rows, target = np.maximum(inputs[:, 0], inputs[:, 1]), [], []
     for own, y in zip(ids, labels, strict=True):
@@ -219,7 +218,7 @@ def train(texts: list[str], labels: list[int], shares: tuple[float, float] = (1.
                 m[k] += 0.1 * (g[k] - m[k])
                 v[k] += 0.01 * (g[k] * g[k] - v[k])
                 a -= (0.01 * m[k] / (1 - 0.9**step) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-7)).astype(np.float32)
-    z, t = zip(*[(z, y) for y in (0, 1) for z in Scorer(Net(by_word[y], by_gram[y], w)).logits([d for d, own in zip(docs, labels, strict=True) if own == y and d])], strict=True)
+    z, t = zip(*[(z, y) for y in (0, 1) for z in Scorer(Net(by_word[y], by_gram[y], w)).logits([[words[i] for i in x] for x, own in zip(ids, labels, strict=True) if own == y and len(x)])], strict=True)
     t = np.array(t)
     return Net(by_word[2], by_gram[2], w, *_logistic(np.array(z), t.astype(float), 1 / np.array(shares)[t]))
 
