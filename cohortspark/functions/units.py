@@ -42,8 +42,14 @@ register_conversion("wbc_to_si")(lambda c: c)
 register_conversion("identity")(lambda c: c)
 
 
-def convert(column: Column, name: str | None, strict: bool = False) -> Column:
-    """The column converted; no name is the identity, an unknown one raises (strict) or warns and leaves the column."""
+#: The way back of the conversions that aren't a factor.
+INVERSES: dict[str, Conversion] = {"fahrenheit_to_celsius": lambda c: c * 9.0 / 5.0 + 32.0, "wbc_to_si": lambda c: c, "identity": lambda c: c}
+
+
+def convert(column: Column, name: str | None, strict: bool = False, inverse: bool = False) -> Column:
+    """The column converted; no name is the identity, an unknown one raises (strict) or warns and leaves the column.
+
+    inverse: from the SI unit to the conventional one; a conversion without a way back raises."""
     if name is None:
         return column
     if name not in CONVERSIONS:
@@ -51,7 +57,13 @@ def convert(column: Column, name: str | None, strict: bool = False) -> Column:
             raise KeyError(f"no conversion {name!r}")
         warnings.warn(f"no conversion {name!r}; values are left as they are", stacklevel=2)
         return column
-    return CONVERSIONS[name](column)
+    if not inverse:
+        return CONVERSIONS[name](column)
+    if name in FACTORS:
+        return column / FACTORS[name]
+    if name not in INVERSES:
+        raise KeyError(f"conversion {name!r} has no inverse")
+    return INVERSES[name](column)
 
 
 #: What a specification may say.

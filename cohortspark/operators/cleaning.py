@@ -58,27 +58,42 @@ def winsorize(df: DataFrame, columns: list[str], lo: float = 0.01, hi: float = 0
     return clamp(df, {c: (float(a), float(b)) for c, (a, b) in clipped.items()})
 
 
-def infer_units(df: DataFrame, registry: Registry, delta: float = 0.3, least: float = 0.7) -> DataFrame:
-    """(feature, inferred_unit, p_raw, p_inv, delta_p): whether values or converted values fit the reference range."""
+DIRECTIONS = ("forward", "inverse")
+
+
+def _inverse(direction: str) -> bool:
+    if direction not in DIRECTIONS:
+        raise ValueError(f"direction is one of {DIRECTIONS}")
+    return direction == "inverse"
+
+
+def infer_units(df: DataFrame, registry: Registry, delta: float = 0.3, least: float = 0.7, direction: str = "forward") -> DataFrame:
+    """(feature, inferred_unit, p_raw, p_inv, delta_p, confidence): whether values or converted values fit the reference range.
+
+    direction: values in question are converted by the factor to SI units (forward), or by the way back (inverse). confidence is
+    high where one of the two fits clearly, else medium."""
+    back = _inverse(direction)
     named = {n: registry[n] for n in select_features(registry) if n in df.columns and registry[n].convert and registry[n].ref_range}
-    shares = {n: {"p_raw": F.avg(F.col(n).between(*s.ref_range).cast("int")), "p_inv": F.avg(convert(F.col(n), s.convert).between(*s.ref_range).cast("int"))} for n, s in named.items()}
+    shares = {n: {"p_raw": F.avg(F.col(n).between(*s.ref_range).cast("int")), "p_inv": F.avg(convert(F.col(n), s.convert, inverse=back).between(*s.ref_range).cast("int"))} for n, s in named.items()}
     table = long_form(df, shares).withColumn("delta_p", F.col("p_inv") - F.col("p_raw"))
     kind = F.when((F.col("delta_p") >= delta) & (F.col("p_inv") >= least), "unit_si").when((F.col("delta_p") <= -delta) & (F.col("p_raw") >= least), "unit").otherwise("ambiguous")
-    return table.withColumn("inferred_unit", kind)
+    table = table.withColumn("inferred_unit", kind)
+    return table.withColumn("confidence", F.when(F.col("inferred_unit") == "ambiguous", "medium").otherwise("high"))
 
 
-def patch_units(df: DataFrame, registry: Registry, inferred: dict[str, str]) -> tuple[DataFrame, DataFrame]:
+def patch_units(df: DataFrame, registry: Registry, inferred: dict[str, str], direction: str = "forward") -> tuple[DataFrame, DataFrame]:
     """(df, (feature, global_converted, inverse_patched, forward_patched)).
 
     A column inferred as unit_si is converted; then a value out of range that conversion brings into range is converted. The
-    second compensation after a global conversion finds nothing that the first left, so that forward_patched is 0."""
-    fixed, audit = {}, {}
+    second compensation after a global conversion finds nothing that the first left, so that forward_patched is 0. direction is that
+    of infer_units()."""
+    fixed, audit, back = {}, {}, _inverse(direction)
     for n, kind in inferred.items():
         s = registry[n]
         if not (s.convert and s.ref_range):
             continue
-        x = convert(F.col(n), s.convert) if kind == "unit_si" else F.col(n)
-        again = convert(x, s.convert)
+        x = convert(F.col(n), s.convert, inverse=back) if kind == "unit_si" else F.col(n)
+        again = convert(x, s.convert, inverse=back)
         fixable = ~x.between(*s.ref_range) & again.between(*s.ref_range)
         fixed[n] = F.when(fixable, again).otherwise(x)
         audit[n] = {"global_converted": F.max(F.lit(int(kind == "unit_si"))), "inverse_patched": F.count_if(fixable), "forward_patched": F.max(F.lit(0))}
@@ -93,13 +108,13 @@ def plausibility_audit(df: DataFrame, ranges: dict[str, tuple[float, float]], le
 
 
 def cleaning_report(registry_rows: DataFrame, decisions: DataFrame) -> DataFrame:
-    """One row for each registered feature with what was decided and counted for it."""
+    """One row for each registered feature with what was decided and counted for it: final_unit is that of a table in SI units."""
     joined = registry_rows.join(decisions.withColumnRenamed("feature", "name"), "name", "left")
     unit = F.coalesce("inferred_unit", F.lit("unit"))
     return joined.select(
         F.col("name").alias("feature"), "role", unit.alias("inferred_unit"), F.when(unit == "unit_si", "converted").otherwise("kept").alias("action"),
-        F.coalesce("inverse_patched", F.lit(0)).alias("patched"), F.coalesce("removed", F.lit(0)).alias("removed"), F.col("log_transform").cast("int").alias("log"),
-        F.col("zscore").cast("int").alias("z"), F.coalesce("impute", F.lit("median")).alias("impute"), F.coalesce(F.when(unit == "unit_si", F.col("unit")), "unit").alias("final_unit"),
+        F.coalesce("inverse_patched", F.lit(0)).alias("patched"), F.coalesce("removed", F.lit(0)).alias("removed"), F.col("clip_bounds").isNotNull().cast("int").alias("hard_clip"), F.col("log_transform").cast("int").alias("log"),
+        F.col("zscore").cast("int").alias("z"), F.coalesce("impute", F.lit("median")).alias("impute"), F.when(F.col("convert").isNotNull(), F.col("unit_si")).otherwise(F.col("unit")).alias("final_unit"),
     )
 
 
@@ -222,10 +237,16 @@ def stratified_split(df: DataFrame, y: str, key: str, fraction: float = 0.8, sal
 
 
 def bifurcate(df: DataFrame, registry: Registry, outcome: str, key: str, fraction: float = 0.8) -> tuple[DataFrame, DataFrame]:
-    """(report branch in SI units, nothing imputed; model branch: key, model features, outcome and is_train)."""
-    features = [n for n in select_features(registry, "feature", in_model=True) if n in df.columns]
-    model = stratified_split(df.select(key, *features, outcome).where(F.col(outcome).isNotNull()), outcome, key, fraction)
-    return align_to_si(df, registry), model
+    """(report branch, model branch).
+
+    Report: features, confounders, outcomes and groups; features in SI units, nothing imputed. Model: the key, features and
+    confounders that models may use, the outcome and is_train; rows without an outcome are left out."""
+    held = [s for s in registry.values() if s.name in df.columns]
+    shown = [s.name for s in held if s.role in ("feature", "confounder", "outcome", "group")]
+    used = [s.name for s in held if s.role in ("feature", "confounder") and s.in_model]
+    features = {s.name: s for s in held if s.role == "feature"}
+    model = stratified_split(df.select(key, *used, outcome).where(F.col(outcome).isNotNull()), outcome, key, fraction)
+    return align_to_si(df.select(shown), features), model
 
 
 @dataclass

@@ -20,9 +20,14 @@ def roc_points(df: DataFrame, y: str, p: str, by: list[str], weight: str | None
     """(by, threshold, pos, neg, cum_pos, cum_neg, n_pos, n_neg, tpr, fpr) at each distinct score, from the greatest down."""
     w = F.col(weight) if weight else F.lit(1)
     counts = df.where(F.col(p).isNotNull() & F.col(y).isNotNull()).groupBy(*by, F.col(p).alias("threshold")).agg(F.sum(w * F.col(y)).alias("pos"), F.sum(w * (1 - F.col(y))).alias("neg"))
-    part = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
     out = running(counts, by, "threshold", ["pos", "neg"], descending=True, ranges=ranges)
-    out = out.withColumns({"n_pos": F.sum("pos").over(part), "n_neg": F.sum("neg").over(part)})
+    if ranges is None:
+        part = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
+        out = out.withColumns({"n_pos": F.sum("pos").over(part), "n_neg": F.sum("neg").over(part)})
+    else:  # no task holds a whole group
+        keys = {f"_n_{b}": F.col(b) for b in by} or {"_n_": F.lit(1)}
+        totals = counts.groupBy(*[c.alias(n) for n, c in keys.items()]).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
+        out = out.join(totals, [c.eqNullSafe(F.col(n)) for n, c in keys.items()]).drop(*keys)
     return out.withColumns({"tpr": F.try_divide("cum_pos", "n_pos"), "fpr": F.try_divide("cum_neg", "n_neg")})
 
 
@@ -85,37 +90,53 @@ def poisson1(u: Column) -> Column:
 def bootstrap_ci(df: DataFrame, y: str, p: str, key: str, replicates: int, by: list[str] | None = None, vectorised: bool = False, seed: int = 42) -> DataFrame:
     """(by, metric, lo, hi) of auc, average_precision and brier: index percentiles int(.025 B) and int(.975 B) of the sorted
     replicates; single-class replicates are left out. Rows count Poisson(1) times, drawn by a hash of key and replicate (columns,
-    exact in SQL), or by numpy for a block of rows and all replicates, summed to scores before the shuffle (vectorised)."""
+    exact in SQL), or in numpy by a hash of the key for all replicates at once, summed to scores before the shuffle (vectorised).
+    All three metrics come from one curve of each replicate. Rows without a score or an outcome are left out."""
     by = by or []
+    df = df.where(F.col(p).isNotNull() & F.col(y).isNotNull())
     if vectorised:
+        steps = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(12)])
 
         def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            reps = _scatter(np.arange(replicates, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
             for pdf in batches:
-                for part in np.array_split(np.arange(len(pdf)), max(1, len(pdf) // 2000)):
-                    rows = pdf.iloc[part]
-                    if not len(rows):
-                        continue
-                    rng = np.random.default_rng([seed, *[int(x) & 0x7FFFFFFF for x in (rows[key].iloc[0], rows[key].iloc[-1], len(rows))]])
-                    n = rng.poisson(1.0, (replicates, len(rows)))
+                for lo in range(0, len(pdf), 2000):
+                    rows = pdf.iloc[lo : lo + 2000]
+                    # a row's draws depend on its key alone, however rows are dealt
+                    u = (_scatter(rows["_own"].to_numpy().view(np.uint64)[None, :] ^ reps[:, None]) >> np.uint64(11)) * 2.0**-53
+                    n = np.searchsorted(steps, u, "right")
                     rep, at = np.nonzero(n)
                     out = rows.iloc[at][[*by, y, p]].assign(rep=rep, w=n[rep, at])
                     yield out.groupby([*by, "rep", y, p], as_index=False, dropna=False)["w"].sum()[[*by, y, p, "rep", "w"]]
 
         kinds = dict(df.dtypes)
         fields = ", ".join(f"{c} {kinds[c]}" for c in [*by, y, p])
-        drawn = df.select(key, *by, y, p).mapInPandas(draw, f"{fields}, rep int, w long")
+        drawn = df.select(F.xxhash64(key).alias("_own"), *by, y, p).mapInPandas(draw, f"{fields}, rep int, w long")
     else:
         rep = df.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
         drawn = rep.withColumn("w", poisson1(hash_number(F.col(key), F.col("rep"), salt=str(seed)))).where("w > 0")
-    drawn = drawn.groupBy(*by, "rep", y, p).agg(F.sum("w").alias("w"))
     keys = [*by, "rep"]
-    joined = auc(drawn, y, p, keys, "w").join(average_precision(drawn, y, p, keys, "w"), keys).join(brier(drawn, y, p, keys, "w"), keys).where("auc is not null")
-    long = joined.unpivot(keys, ["auc", "average_precision", "brier"], "metric", "score")
+    points = roc_points(drawn, y, p, keys, "w")
+    t, pos, neg = F.col("threshold"), F.col("pos"), F.col("neg")
+    area = F.sum(neg * (F.col("cum_pos") - pos / 2))
+    step = F.try_divide(pos, F.col("n_pos")) * F.try_divide(F.col("cum_pos"), F.col("cum_pos") + F.col("cum_neg"))
+    found = points.groupBy(*keys).agg(
+        F.try_divide(area, F.max("n_pos") * F.max("n_neg")).alias("auc"), F.sum(step).alias("average_precision"),
+        F.try_divide(F.sum(pos * (t - 1) * (t - 1) + neg * t * t), F.sum(pos + neg)).alias("brier"),
+    ).where("auc is not null")
+    long = found.unpivot(keys, ["auc", "average_precision", "brier"], "metric", "score")
     lists = long.groupBy(*by, "metric").agg(F.sort_array(F.collect_list("score")).alias("s"))
     at = lambda q: F.try_element_at("s", (F.size("s") * F.lit(q)).cast("int") + 1)
     return lists.select(*by, "metric", F.size("s").alias("n_reps"), at(0.025).alias("lo"), F.coalesce(at(0.975), F.array_max("s")).alias("hi"))
 
 
+def _scatter(x: np.ndarray) -> np.ndarray:
+    """64-bit numbers with every bit spread (the finaliser of splitmix64)."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
 def calibration_bins(df: DataFrame, y: str, p: str, by: list[str], n: int = 10) -> DataFrame:
     """(by, bin, n, mean_predicted, observed) of n equal bins of the score; empty ones are left out."""
     b = F.least(F.floor(F.col(p) * n), F.lit(n - 1)).cast("int")

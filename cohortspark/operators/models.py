@@ -85,19 +85,21 @@ def tune(df: DataFrame, y: str, columns: list[str], key: str, names: tuple[str,
     return df.sparkSession.createDataFrame(rows, "model string, mean_auc double"), models
 
 
-def calibrate(df: DataFrame, y: str, columns: list[str], key: str, k: int = 3) -> tuple[DataFrame, list]:
+def calibrate(df: DataFrame, y: str, columns: list[str], key: str, k: int = 3, estimator=None) -> tuple[DataFrame, list]:
     """((key, y, p) averaged over k cross-fitted pairs, the pairs): a model is fitted on the other folds and its scores are
-    made isotonic on the fold itself."""
+    made isotonic on the fold itself. estimator: any classifier of MLlib that gives a probability; logistic by default."""
+    estimator = estimator or LogisticRegression(labelCol=y, maxIter=50)
     data = with_folds(with_vectors(df.select(key, y, *columns).dropna(), columns), y, key, k).persist()
     pairs = []
     for f in range(k):
-        model = LogisticRegression(labelCol=y, maxIter=50).fit(data.where(F.col("fold") != f))
+        model = estimator.fit(data.where(F.col("fold") != f))
         pairs.append((model, IsotonicRegression(labelCol=y, featuresCol="p").fit(probability(model, data.where(F.col("fold") == f)).select("p", F.col(y).cast("double")))))
     out = data
     for f, (model, iso) in enumerate(pairs):
         raw = probability(model, out).drop("rawPrediction", "probability", "prediction")
         out = iso.transform(raw).withColumnRenamed("prediction", f"_c{f}").drop("p")
     mean = reduce(lambda a, b: a + b, [F.col(f"_c{f}") for f in range(k)]) / k
+    data.unpersist()
     return out.select(key, y, mean.alias("p")), pairs
 
 
@@ -128,6 +130,18 @@ def attribute(df: DataFrame, coefficients: dict[str, float], key: str) -> tuple[
     return shares, ranks.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("mean_abs"), "feature")))
 
 
+def attribution_report(df: DataFrame, coefficients: dict[str, float], key: str, top: int = 3) -> DataFrame:
+    """(place, feature, mean_abs, key, total, contribution, value): the `top` features by mean absolute contribution, with what
+    they add for the row of the highest risk (the least key of equal ones) and its raw values."""
+    shares, ranks = attribute(df, coefficients, key)
+    total = reduce(lambda a, b: a + b, [F.col(c) for c in coefficients])
+    worst = shares.withColumn("total", total).where("total is not null").orderBy(F.desc("total"), key).limit(1)
+    own = worst.select(key, "total", F.explode(F.create_map(*[x for c in coefficients for x in (F.lit(c), F.col(c))])).alias("feature", "contribution"))
+    raw = df.join(worst.select(key), key, "left_semi").select(F.explode(F.create_map(*[x for c in coefficients for x in (F.lit(c), F.col(c).cast("double"))])).alias("feature", "value"))
+    # one row for each feature
+    return ranks.where(F.col("rank") <= top).join(own, "feature").join(raw, "feature").select(F.col("rank").alias("place"), "feature", "mean_abs", key, "total", "contribution", "value")
+
+
 def odds_ratios(df: DataFrame, y: str, columns: list[str], key: str, replicates: int = 50, steps: int = 8, ridge: float = 1e-3, seed: int = 42) -> DataFrame:
     """(feature, coef, odds_ratio, lo, hi): logistic fit with bootstrap intervals (2.5 and 97.5 %, interpolated).
 

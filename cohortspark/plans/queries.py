@@ -525,11 +525,16 @@ _KIND = "case when p_inv - p_raw >= 0.3 and p_inv >= 0.7 then 'unit_si' when p_i
 _INFER = " union all ".join(f"select '{n}' feature, avg(({n} between {s.ref_range[0]} and {s.ref_range[1]})::integer) p_raw, avg(({n} * {_FACTOR[n]} between {s.ref_range[0]} and {s.ref_range[1]})::integer) p_inv from feat" for n, s in _CONVERTED.items())
 
 
-@query("infer_units", f"select feature, {rd('p_raw', 'p_inv', 'p_inv - p_raw delta_p')}, {_KIND} inferred_unit from ({_INFER})")
+@query("infer_units", f"select feature, {rd('p_raw', 'p_inv', 'p_inv - p_raw delta_p')}, {_KIND} inferred_unit, case when {_KIND} = 'ambiguous' then 'medium' else 'high' end confidence from ({_INFER})")
 def _(v):
     return r6(cleaning.infer_units(v.feat, FEAT))
 
 
+@query("infer_units_inverse", f"select feature, {rd('p_raw', 'p_inv', 'p_inv - p_raw delta_p')}, {_KIND} inferred_unit, case when {_KIND} = 'ambiguous' then 'medium' else 'high' end confidence from ({_INFER.replace(' * ', ' / ')})")
+def _(v):
+    return r6(cleaning.infer_units(v.feat, FEAT, direction="inverse"))
+
+
 def _inferred(v: Views) -> dict[str, str]:
     return {r["feature"]: r["inferred_unit"] for r in cleaning.infer_units(v.feat, FEAT).collect()}
 
@@ -560,11 +565,11 @@ def _(v):
 
 def _report_sql() -> str:
     q = lambda x: "null" if x is None else f"'{x}'"
-    rows = ", ".join(f"({q(s.name)}, {q(s.role)}, {q(s.unit)}, {int(s.log_transform)}, {int(s.zscore)}, {q(s.impute or 'median')})" for s in FEAT.values())
+    rows = ", ".join(f"({q(s.name)}, {q(s.role)}, {q(s.unit_si if s.convert else s.unit)}, {int(s.clip_bounds is not None)}, {int(s.log_transform)}, {int(s.zscore)}, {q(s.impute or 'median')})" for s in FEAT.values())
     removed = " union all ".join(f"select '{c}' feature, count(*) filter (not {_within(c)}) removed from feat" for c in _BOUNDS)
     return f"""with inferred as (select feature, p_raw, p_inv, {_KIND} kind0 from ({_INFER})), kinds as (select feature, kind0 from inferred), patched as ({_PATCHED.replace(_KIND + " kind", "kind0 kind")}),
-      fixes as (select feature, count(*) filter (fix) patched from patched group by 1), gone as ({removed}), reg(name, role, unit, log, z, impute) as (values {rows})
-      select name feature, role, coalesce(kind0, 'unit') inferred_unit, case when kind0 = 'unit_si' then 'converted' else 'kept' end as action, coalesce(patched, 0) patched, coalesce(removed, 0) removed, log::integer as log, z::integer z, impute, unit final_unit
+      fixes as (select feature, count(*) filter (fix) patched from patched group by 1), gone as ({removed}), reg(name, role, unit, hard_clip, log, z, impute) as (values {rows})
+      select name feature, role, coalesce(kind0, 'unit') inferred_unit, case when kind0 = 'unit_si' then 'converted' else 'kept' end as action, coalesce(patched, 0) patched, coalesce(removed, 0) removed, hard_clip::integer hard_clip, log::integer as log, z::integer z, impute, unit final_unit
       from reg left join kinds k on k.feature = name left join fixes x on x.feature = name left join gone g on g.feature = name"""
 
 
@@ -610,14 +615,19 @@ def _(v):
     return cleaning.stratified_split(v.stays.select("stay_id", "status"), "status", "stay_id")
 
 
-_MODEL = units.select_features(FEAT, "feature", in_model=True)
+_MODEL = [s.name for s in FEAT.values() if s.role in ("feature", "confounder") and s.in_model]
+_SHOWN = [s for s in FEAT.values() if s.role in ("feature", "confounder", "outcome", "group")]
+_COUNTS = ("n_lines", "any_f", "rf_qty")  # columns that aren't doubles
 
 
-@query("bifurcate", f"select id, any_f, {_split('feat', 'any_f', 'id')}, " + rd(*_MODEL, *[f"{n} * {_FACTOR.get(n, 1.0)}::double {n}_si" for n in _MODEL], places=9) + " from feat")
+@query("bifurcate", f"select id, any_f, n_lines, {_split('feat', 'any_f', 'id')}, " + rd(*[c for c in _MODEL if c != "n_lines"], places=9) + " from feat")
 def _(v):
-    report, model = cleaning.bifurcate(v.feat, FEAT, "any_f", "id")
-    si = report.select("id", *[F.col(n).alias(f"{n}_si") for n in _MODEL])
-    return r6(model.join(si, "id").select("id", "any_f", "is_train", *_MODEL, *[f"{n}_si" for n in _MODEL]), 9)
+    return r6(cleaning.bifurcate(v.feat, FEAT, "any_f", "id")[1], 9)
+
+
+@query("bifurcate_report", "select " + ", ".join(s.name if s.name in _COUNTS else rd(f"{s.name} * {_FACTOR.get(s.name, 1.0)}::double {s.name}", places=9) for s in _SHOWN) + " from feat")
+def _(v):
+    return r6(cleaning.bifurcate(v.feat, FEAT, "any_f", "id")[0], 9)
 
 
 _LOGS = ["a_price", "n_price"]
@@ -733,9 +743,10 @@ def _(v):
 
 
 _ATTR = ", ".join(f"({c} - avg({c}) over ()) * ({w}::double) s_{c}" for c, w in LINEAR.items())
+_SHARES = f"with s as (select id, r_max, {_ATTR} from feat), t as (select {', '.join(f'avg(abs(s_{c})) a_{c}' for c in LINEAR)} from s)"
 
 
-@query("linear_attribution", f"with s as (select id, r_max, {_ATTR} from feat), t as (select {', '.join(f'avg(abs(s_{c})) a_{c}' for c in LINEAR)} from s) select id, r_max raw_r_max, {rd(*[f's_{c} {c}' for c in LINEAR], *[f'a_{c} {c}_mean_abs' for c in LINEAR])} from s, t")
+@query("linear_attribution", f"{_SHARES} select id, r_max raw_r_max, {rd(*[f's_{c} {c}' for c in LINEAR], *[f'a_{c} {c}_mean_abs' for c in LINEAR])} from s, t")
 def _(v):
     shares, ranks = models.attribute(v.feat, LINEAR, "id")
     mean = {r["feature"]: r["mean_abs"] for r in ranks.collect()}  # one row for each feature
@@ -743,6 +754,18 @@ def _(v):
     return r6(out.withColumns({f"{c}_mean_abs": F.lit(mean[c]) for c in LINEAR}))
 
 
+_TOP = " union all ".join(f"select '{c}' feature, a_{c} mean_abs from t" for c in LINEAR)
+_RAW = "case feature " + " ".join(f"when '{c}' then {c}" for c in LINEAR) + " end"
+_OWN = "case feature " + " ".join(f"when '{c}' then s_{c}" for c in LINEAR) + " end"
+
+
+@query("attribution_report", f"""{_SHARES}, ranks as (select *, row_number() over (order by mean_abs desc, feature)::integer as place from ({_TOP})),
+  risk as (select id, {' + '.join(f's_{c}' for c in LINEAR)} total from s), worst as (select id, total from risk where total is not null order by total desc, id limit 1)
+  select place, feature, {rd('mean_abs')}, id, {rd('total', f'{_OWN} contribution', f'{_RAW} as_value')} from ranks, worst join s using (id) join (select id, {', '.join(c for c in LINEAR if c != 'r_max')} from feat) using (id) where place <= 3""")
+def _(v):
+    return r6(models.attribution_report(v.feat, LINEAR, "id").withColumnRenamed("value", "as_value"))
+
+
 # evaluation
 
 _ROC = """(select grp, threshold, pos, neg, sum(pos) over w cum_pos, sum(neg) over w cum_neg, sum(pos) over (partition by grp) n_pos, sum(neg) over (partition by grp) n_neg
@@ -817,7 +840,7 @@ def _(v):
 
 @query("bootstrap_ci_vectorised")
 def _(v):
-    return r6(evaluate.bootstrap_ci(v.scored, "y", "p", "id", 200, vectorised=True), 3)
+    return r6(evaluate.bootstrap_ci(v.scored, "y", "p", "id", 1000, vectorised=True), 3)
 
 
 @query("calibration_bins", f"select grp, least(floor(p * 10), 9)::integer bin, count(*) n, {rd('avg(p) mean_predicted', 'avg(y) observed')} from scored group by 1, 2")
@@ -844,6 +867,12 @@ def _(v):
     return r6(evaluate.nomogram(v.feat, LINEAR).withColumnRenamed("value", "as_value").drop("coef"), 4)
 
 
+@query("nomogram_risks", f"select r::double risk, {rd(f'(ln(r / (1 - r)) - ({INTERCEPT}::double)) / {_MOST} * 100 total_points', places=4)} from (select unnest([{', '.join(f'{r}::double' for r in evaluate.RISKS)}]) r, (select count(*) from feat) n) where (ln(r / (1 - r)) - ({INTERCEPT}::double)) / {_MOST} * 100 between 0 and 100 and n > 0")
+def _(v):
+    found = evaluate.nomogram(v.feat, LINEAR).agg(F.max(F.abs("coef")).alias("most")).first()["most"]
+    return r6(evaluate.risk_points(v.spark, INTERCEPT, found), 4)
+
+
 # order, sets and shape
 
 

@@ -162,6 +162,40 @@ def test_decision_curve_counts_rows(spark):
         assert r["model"] == pytest.approx((hit & (y == 1)).mean() - (hit & (y == 0)).mean() * t / (1 - t))
 
 
+def test_bootstrap_is_the_same_in_any_partitions(spark):
+    df = spark.range(900).select("id", (F.col("id") % 3 == 0).cast("int").alias("y"), ((F.col("id") * 37 % 101) / 101 + (F.col("id") % 3 == 0).cast("int") / 5).alias("p"))
+    first, *others = [sorted(map(tuple, evaluate.bootstrap_ci(df.repartition(n), "y", "p", "id", 40, vectorised=True).collect())) for n in (1, 4, 16)]
+    for other in others:
+        for a, b in zip(first, other, strict=True):
+            assert a[:2] == b[:2] and a[2:] == pytest.approx(b[2:], abs=1e-12)
+
+
+def test_units_back_and_forth(spark):
+    df = spark.createDataFrame([(float(x),) for x in (2, 30, 300)], "x double")
+    for name in units.CONVERSIONS:
+        there = units.convert(F.col("x"), name)
+        assert [round(r[0], 9) for r in df.select(units.convert(there, name, inverse=True)).collect()] == [2.0, 30.0, 300.0]
+    registry = units.registry_of([units.FeatureSpec("x", unit="g/dL", unit_si="g/L", convert="gdl_to_gl_multiply_10", ref_range=(2.0, 40.0))])
+    si = spark.createDataFrame([(float(x),) for x in (100, 150, 300, 350)], "x double")
+    found = cleaning.infer_units(si, registry, direction="inverse").first()
+    assert (found["inferred_unit"], found["confidence"], found["p_inv"]) == ("unit_si", "high", 1.0)
+    fixed, audit = cleaning.patch_units(si, registry, {"x": "unit_si"}, direction="inverse")
+    assert [r[0] for r in fixed.collect()] == [10.0, 15.0, 30.0, 35.0] and audit.first()["global_converted"] == 1
+    with pytest.raises(ValueError):
+        cleaning.infer_units(si, registry, direction="back")
+
+
+def test_branches_by_role(spark):
+    registry = units.registry_of([
+        units.FeatureSpec("a", convert="gdl_to_gl_multiply_10"), units.FeatureSpec("b", in_model=False), units.FeatureSpec("c", role="confounder", convert="gdl_to_gl_multiply_10"),
+        units.FeatureSpec("o", role="outcome"), units.FeatureSpec("g", role="group"), units.FeatureSpec("i", role="id"), units.FeatureSpec("absent"),
+    ])
+    df = spark.createDataFrame([(k, 1.0, 2.0, 3.0, k % 2 if k else None, "g", "extra") for k in range(11)], "i int, a double, b double, c double, o int, g string, extra string")
+    report, model = cleaning.bifurcate(df, registry, "o", "i")
+    assert report.columns == ["a", "b", "c", "o", "g"] and report.first()[:3] == (10.0, 2.0, 3.0) and report.count() == 11
+    assert model.columns == ["i", "a", "c", "o", "is_train"] and model.count() == 10 and model.where("is_train = 1").count() == 8
+
+
 def test_bootstrap_forms_agree(spark):
     df, _, _ = scored(spark, 600)
     a, b = ({r["metric"]: (r["lo"], r["hi"]) for r in evaluate.bootstrap_ci(df, "y", "p", "id", 60, vectorised=v).collect()} for v in (False, True))
