@@ -260,8 +260,33 @@ class Assets:
     mice: Mice | None = None
 
     def table(self, spark) -> DataFrame:
-        rows = [(c, i, c in self.logs, self.fill.get(c), *self.scale[c]) for i, c in enumerate(self.order)]
-        return spark.createDataFrame(rows, "feature string, position int, is_log boolean, median double, mean double, std double")
+        """A row for each feature, with its equation where there are some: what assets_of() reads."""
+        m = self.mice
+        equation = lambda c: (None, None, None, None) if m is None else (m.start[c], *m.equations.get(c, (None, None)), m.sweeps)
+        rows = [(c, i, c in self.logs, self.fill.get(c), *self.scale[c], *equation(c)) for i, c in enumerate(self.order)]
+        return spark.createDataFrame(rows, ASSET_COLUMNS)
+
+    def save(self, spark, path: str) -> None:
+        self.table(spark).coalesce(1).write.mode("overwrite").parquet(path)
+
+
+ASSET_COLUMNS = "feature string, position int, is_log boolean, median double, mean double, std double, start double, intercept double, weights array<double>, sweeps int"
+
+
+def load_assets(spark, path: str) -> Assets:
+    """What Assets.save() wrote; one row for each feature."""
+    return assets_of(spark.read.schema(ASSET_COLUMNS).parquet(path))
+
+
+def assets_of(table: DataFrame) -> Assets:
+    rows = table.orderBy("position").collect()
+    order = [r["feature"] for r in rows]
+    mice = None
+    if any(r["start"] is not None for r in rows):
+        equations = {r["feature"]: (r["intercept"], list(r["weights"])) for r in rows if r["weights"] is not None}
+        mice = Mice(order, {r["feature"]: r["start"] for r in rows}, equations, rows[0]["sweeps"])
+    fill = {r["feature"]: r["median"] for r in rows if r["median"] is not None}
+    return Assets(order, [r["feature"] for r in rows if r["is_log"]], fill, {r["feature"]: (r["mean"], r["std"]) for r in rows}, mice)
 
 
 def fit_assets(df: DataFrame, features: list[str], logs: list[str], mice: bool = False) -> Assets:

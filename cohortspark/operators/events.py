@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.units import Registry
 from .select import ilike_any
 
 HOUR = 3_600_000_000
@@ -114,6 +115,15 @@ def temporal_aggregate(fact: DataFrame, cohort: DataFrame, key: str, ts: str, t0
     return cohort.select(key).join(rows.groupBy(key).agg(*[column(s) for s in specs]), key, "left")
 
 
+def aggregate_registry(fact: DataFrame, cohort: DataFrame, key: str, ts: str, anchor: str, item: str, value: str, registry: Registry, items: dict[str, str] | None = None) -> DataFrame:
+    """temporal_aggregate() of the registry's features that have an aggregation and a window, from the cohort's column `anchor` on.
+
+    items: feature -> its item in the facts; a feature that isn't there goes by its own name."""
+    timed = [s for s in registry.values() if s.role == "feature" and s.aggregation and s.window_h is not None]
+    specs = [{"name": s.name, "item": (items or {}).get(s.name, s.name), "how": s.aggregation, "hours": s.window_h} for s in timed]
+    return temporal_aggregate(fact, cohort, key, ts, anchor, item, value, specs)
+
+
 def first_event(df: DataFrame, entity: str, order: list[Column], where: Column | None = None, having: Column | None = None) -> DataFrame:
     """The first row of each entity in the order given. where: filters before ranking; having: filters after it, so that an
     entity is lost if its first row fails. The order has to be total."""

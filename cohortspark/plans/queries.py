@@ -312,6 +312,15 @@ def _temporal_sql() -> str:
     return f"select user_id, {out} from (select user_id from idx) left join {parts[0]} using (user_id) left join {parts[1]} using (user_id)"
 
 
+_TIMED = units.registry_of([units.FeatureSpec(s["name"], domain=s["item"], aggregation=s["how"], window_h=float(s["hours"])) for s in _SPECS])
+
+
+@query("temporal_aggregate_registry", _temporal_sql())
+def _(v):
+    out = events.aggregate_registry(v.obs.drop("t0"), v.idx, "user_id", "ts", "t0", "item", "value", _TIMED, {s["name"]: s["item"] for s in _SPECS})
+    return r6(out.fillna(0, [s["name"] for s in _SPECS if s["how"] == "count"]))
+
+
 @query("temporal_aggregate", _temporal_sql())
 def _(v):
     out = events.temporal_aggregate(v.obs.drop("t0"), v.idx, "user_id", "ts", "t0", "item", "value", _SPECS)
@@ -642,7 +651,9 @@ def _assets_sql() -> str:
 
 @query("transfer_assets", _assets_sql())
 def _(v):
-    assets = cleaning.fit_assets(v.coh_a, NUMBERS, _LOGS)
+    path = tables.scratch(v.spark, "assets")
+    cleaning.fit_assets(v.coh_a, NUMBERS, _LOGS).save(v.spark, path)
+    assets = cleaning.load_assets(v.spark, path)
     return r6(cleaning.replay(v.coh_b, assets, ["id"], ("any_f",)).select("id", "any_f", *NUMBERS))
 
 

@@ -185,6 +185,18 @@ def test_units_back_and_forth(spark):
         cleaning.infer_units(si, registry, direction="back")
 
 
+@pytest.mark.parametrize("mice", [False, True])
+def test_stored_assets_replay_alike(spark, tmp_path, mice):
+    rows = [(k, float(k % 13) if k % 5 else None, float(k % 7) * 2 if k % 4 else None, float(k)) for k in range(200)]
+    df = spark.createDataFrame(rows, "id int, a double, b double, c double")
+    assets = cleaning.fit_assets(df, ["a", "b", "c"], ["c"], mice=mice)
+    assets.save(spark, f"{tmp_path}/assets")
+    again = cleaning.load_assets(spark, f"{tmp_path}/assets")
+    assert again == assets
+    other = df.withColumn("c", F.col("c") + 3)
+    assert cleaning.replay(other, again, ["id"]).orderBy("id").collect() == cleaning.replay(other, assets, ["id"]).orderBy("id").collect()
+
+
 def test_branches_by_role(spark):
     registry = units.registry_of([
         units.FeatureSpec("a", convert="gdl_to_gl_multiply_10"), units.FeatureSpec("b", in_model=False), units.FeatureSpec("c", role="confounder", convert="gdl_to_gl_multiply_10"),
