@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import derive, units
-from ..operators import cleaning, evaluate, events, joins, models, profile, select, stats
+from ..operators import cleaning, evaluate, events, flows, joins, models, profile, select, stats
 from ..sources import tables
 from .registry import FEAT
 from .views import Views, with_views
@@ -639,6 +639,34 @@ def _(v):
     return r6(cleaning.bifurcate(v.feat, FEAT, "any_f", "id")[0], 9)
 
 
+def _flow_sql() -> str:
+    """The flow step by step: units, bounds, split, fill, logarithm, scale."""
+    kind = lambda n: f"(select {_KIND} from inferred where feature = '{n}')"
+    unit, fixed, bounded = [], [], []
+    for n in (c for c in _MODEL if c != "n_lines"):
+        lo, hi = FEAT[n].ref_range or (0, 0)
+        f = _FACTOR.get(n)
+        unit.append(f"case when {kind(n)} = 'unit_si' then {n} * {f} else {n} end {n}" if f else n)
+        fixed.append(f"case when not ({n} between {lo} and {hi}) and {n} * {f} between {lo} and {hi} then {n} * {f} else {n} end {n}" if f else n)
+        bounded.append(f"case when {_within(n)} then {n} end {n}" if n in _BOUNDS else n)
+    names = [c for c in _MODEL if c != "n_lines"]
+    fill = {n: _AGG[FEAT[n].impute].format(c=n) for n in names if FEAT[n].impute}
+    filled = [f"coalesce({n}, f_{n}, 0) {n}" if n in fill else n for n in names]  # 0 where training rows have no value
+    scaled = [n for n in names if FEAT[n].zscore]
+    value = {n: f"case when {n} is not null then ln(1 + greatest({n}, 0)) end" if FEAT[n].log_transform else n for n in names}
+    last = [f"({value[n]} - m_{n}) / s_{n} {n}" if n in scaled else f"{value[n]} {n}" for n in names]
+    return f"""with inferred as ({_INFER}), u as (select id, any_f, n_lines, {', '.join(unit)} from feat), x as (select id, any_f, n_lines, {', '.join(fixed)} from u),
+      b as (select id, any_f, n_lines, {', '.join(bounded)} from x), m as (select *, {_split('b', 'any_f', 'id')} from b where any_f is not null),
+      f as (select {', '.join(f'{e} f_{n}' for n, e in fill.items())} from m where is_train = 1), i as (select id, any_f, n_lines, is_train, {', '.join(filled)} from m, f),
+      s as (select {', '.join(f'avg({n}) m_{n}, coalesce(nullif(stddev_samp({n}), 0), 1) s_{n}' for n in scaled)} from i where is_train = 1)
+      select id, any_f, n_lines, is_train, {rd(*last)} from i, s"""
+
+
+@query("cleaning_flow", _flow_sql())
+def _(v):
+    return r6(flows.clean_cohort(v.feat, FEAT, "any_f", "id").model)
+
+
 _LOGS = ["a_price", "n_price"]
 
 
