@@ -22,6 +22,7 @@ MIX_SEED, MIX_TEMPERATURE, MIX_MOST = 7, 2.0, 50.0
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents, each as often as a Poisson draw of its source's rate says, with its copy number and key of order."""
     return mix_sources(table(spark, sf_dir, "documents"), seed=MIX_SEED, temperature=MIX_TEMPERATURE)
 
 
@@ -41,6 +42,7 @@ from copies
 """
 
 def op5_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as archives and fetched back by key; null html is an empty payload."""
     return warc_round_trip(table(spark, sf_dir, "pages"), min_bytes=0).drop("url")
 
 
@@ -57,40 +59,48 @@ from f
 """
 
 def op1_sentencepiece_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sampled piece ids of every whole text; null texts have null ids."""
     return sample_encode(table(spark, sf_dir, "documents"))
 
 
 def op9_count_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens and characters of every whole text; null and empty ones have none."""
     return count_tokens(table(spark, sf_dir, "documents"))
 
 
 def op10_score_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents by a network that learned from the training folds; empty texts score 0."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = score_toxicity(docs, table(spark, sf_dir, "labels"), lambda i: fold(i) != 2)
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
 def op8_identify_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents by models of the training folds; und without a letter."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     found = identify_language(docs, lambda i: fold(i) != 2)
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of all documents by 4-word shingles at a similarity of 0.85; those without words stay alone."""
     return similar_groups(table(spark, sf_dir, "documents"), words=4, percent=85)
 
 
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What all documents keep when the bytes of repeated 200-byte strings go."""
     cleaned = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), length=200)
     return cleaned.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op6_bm25_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for every document whose id 50 divides."""
     docs = table(spark, sf_dir, "documents")
     return bm25_top_k(docs, docs.where("doc_id % 50 = 0"), k=10)
 
 
 def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Link counts and groups of all embeddings at a cosine of 0.95."""
     return near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.95)
 
 
