@@ -27,8 +27,9 @@ JOIN_SIZE = 48
 
 
 def _matrix(vectors: pd.Series) -> np.ndarray:
-    """Unit rows in double precision."""
+    """Unit rows in double precision; each is brought to a greatest component of 1 first, so that no square overflows."""
     x = np.array([np.asarray(v, np.float64) for v in vectors]) if len(vectors) else np.zeros((0, 1))
+    x = x / np.abs(x).max(axis=1, initial=np.finfo(np.float64).tiny)[:, None]
     return x / np.sqrt((x * x).sum(axis=1))[:, None]
 
 
@@ -79,7 +80,7 @@ def _first_edges(nodes: DataFrame, tables: int, reach: int, seed: int) -> DataFr
                     yield pd.DataFrame({"a": own[:-d], "b": own[d:], "sim": (x[:-d] * x[d:]).sum(axis=1)})
             held = pdf.iloc[-reach:]
 
-    codes = nodes.mapInPandas(project, "t int, size int, code long, node long, vector array<float>")
+    codes = nodes.mapInPandas(project, f"t int, size int, code long, node long, vector {nodes.schema['vector'].dataType.simpleString()}")
     return codes.repartitionByRange("t", "size", "code", "node").sortWithinPartitions("t", "size", "code", "node").mapInPandas(near, EDGE)
 
 
@@ -250,11 +251,13 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, id_col: str = "
     non-finite components, links with nothing and keeps its own id, and so do vectors of different lengths among each other. A
     row with a null id has a null component_id, isn't kept and lends no links. Repeated rows of one id count as rows. Other
     columns are ignored."""
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(embedding).cast("array<float>").alias("vector"))
+    # floats stay as small as they are
+    kind = "float" if vectors.schema[embedding].dataType.simpleString() == "array<float>" else "double"
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(embedding).cast(f"array<{kind}>").alias("vector"))
     finite = F.forall("vector", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
     ok = F.coalesce(finite & F.exists("vector", lambda v: v != 0), F.lit(False)) & F.col("id").isNotNull()
     # -0.0 and 0.0 are equal numbers
-    good = rows.where(ok).withColumn("vector", F.transform("vector", lambda v: v + F.lit(0.0).cast("float")))
+    good = rows.where(ok).withColumn("vector", F.transform("vector", lambda v: v + F.lit(0.0).cast(kind)))
     nodes = stash(good.groupBy("vector").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("weight")), "nodes")
     # an id with several vectors: each is a node of its own
     nodes = nodes.withColumn("least", F.col("node")).withColumn("node", F.xxhash64("node", "vector"))
@@ -286,7 +289,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, id_col: str = "
     of_node = members.join(least, "component").select("node", "component_id").join(counted, "node", "left")
     of_node = nodes.join(of_node, "node", "left").select("vector", F.coalesce("component_id", "least").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
     of_node = of_node.withColumnRenamed("vector", "own")
-    keyed = rows.withColumn("key", F.when(ok, F.transform("vector", lambda v: v + F.lit(0.0).cast("float"))))
+    keyed = rows.withColumn("key", F.when(ok, F.transform("vector", lambda v: v + F.lit(0.0).cast(kind))))
     out = keyed.join(of_node, F.col("key") == F.col("own"), "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
     return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(False)).alias("kept"))

@@ -355,6 +355,13 @@ def test_near_duplicate_vectors(spark):
     assert near_duplicates(vectors.limit(0)).count() == 0
 
 
+def test_vectors_of_doubles(spark):
+    rows = [(1, [1e300, 1e300]), (2, [1e-300, 1.0000001e-300]), (3, [1.0, 0.0]), (3, [0.0, 2.0]), (3, [0.0, 2.0]), (4, [1.0 + 1e-12, 0.0]), (5, [float("inf"), 1.0])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in near_duplicates(vectors).collect())
+    assert got == [(1, 1, 1), (2, 1, 1), (3, 1, 3), (3, 1, 3), (3, 1, 3), (4, 1, 3), (5, 0, 5)]
+
+
 def test_weak_links_between_dense_groups(spark):
     rng = np.random.default_rng(1)
     parts = []
