@@ -150,6 +150,25 @@ def _unscan(kept: list, mask: np.ndarray, d_out: np.ndarray, u: np.ndarray) -> t
     return d_gates, du, dc
 
 
+def gradients(shown: np.ndarray, mask: np.ndarray, target: np.ndarray, weight: np.ndarray, w: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Gradients, for each weight, of the mean over windows of weight times cross-entropy; shown: (word, window, input)."""
+    h, keep = HIDDEN, {}
+    logits = pooled_logits(shown @ w["in"] + w["in_bias"], mask > 0, w, keep)
+    d = ((sigmoid(logits) - target) * weight / len(target)).astype(np.float32)
+    d_pooled = d[:, None] * w["out"]
+    d_both = keep["share"][:, :, None] * d_pooled
+    d_share = (keep["both"] * d_pooled).sum(axis=2)
+    d_s = keep["share"] * (d_share - (keep["share"] * d_share).sum(axis=0))
+    d_both += d_s[:, :, None] * w["attend"]
+    gf, duf, dcf = _unscan(keep["kept"][0], mask, d_both[:, :, :h], w["uf"])
+    gb, dub, dcb = _unscan(keep["kept"][1], mask, d_both[:, :, h:], w["ub"])
+    gates = np.concatenate([gf, gb], axis=2)
+    return {
+        "in": np.tensordot(shown, gates, ((0, 1), (0, 1))), "in_bias": gates.sum(axis=(0, 1)), "uf": duf, "ub": dub, "cf": dcf, "cb": dcb,
+        "attend": np.einsum("tn,tnh->h", d_s, keep["both"]), "out": keep["pooled"].T @ d, "bias": np.array([d.sum()], np.float32),
+    }
+
+
 def windows_of(n: np.ndarray, width: int = WIDTH, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document, first word, number of words) of overlapping windows that cover documents of n words; the last one of a
     long document ends with it. A document without words has none."""
@@ -200,19 +219,8 @@ def train(texts: list[str], labels: list[int], shares: tuple[float, float] = (1.
         mixed = rng.permutation(len(y))
         for lo in range(0, len(y), 256):
             b = mixed[lo : lo + 256]
-            mask, keep = (x[b].T >= 0).astype(np.float32)[:, :, None], {}
-            shown = inputs[np.maximum(x[b].T, 0)]
-            logits = pooled_logits(shown @ w["in"] + w["in_bias"], mask > 0, w, keep)
-            d = ((sigmoid(logits) - y[b]) * weight[b] / len(b)).astype(np.float32)
-            d_pooled = d[:, None] * w["out"]
-            d_both = keep["share"][:, :, None] * d_pooled
-            d_share = (keep["both"] * d_pooled).sum(axis=2)
-            d_s = keep["share"] * (d_share - (keep["share"] * d_share).sum(axis=0))
-            d_both += d_s[:, :, None] * w["attend"]
-            gf, duf, dcf = _unscan(keep["kept"][0], mask, d_both[:, :, :h], w["uf"])
-            gb, dub, dcb = _unscan(keep["kept"][1], mask, d_both[:, :, h:], w["ub"])
-            gates = np.concatenate([gf, gb], axis=2)
-            g = {"in": np.tensordot(shown, gates, ((0, 1), (0, 1))), "in_bias": gates.sum(axis=(0, 1)), "uf": duf, "ub": dub, "cf": dcf, "cb": dcb, "attend": np.einsum("tn,tnh->h", d_s, keep["both"]), "out": keep["pooled"].T @ d, "bias": np.array([d.sum()], np.float32)}
+            mask = (x[b].T >= 0).astype(np.float32)[:, :, None]
+            g = gradients(inputs[np.maximum(x[b].T, 0)], mask, y[b], weight[b], w)
             step += 1
             for k, a in w.items():
                 m[k] += 0.1 * (g[k] - m[k])
