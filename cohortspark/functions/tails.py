@@ -1,4 +1,4 @@
-"""Tail probabilities of test statistics; small driver-side functions and their column forms."""
+"""Tail probabilities of test statistics; as columns."""
 
 from __future__ import annotations
 
@@ -8,33 +8,26 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def chi2_tail(x: float, df: int) -> float:
-    """P(X > x) of a chi-square variable: the regularised upper gamma function, by series or continued fraction."""
-    if x <= 0 or df <= 0:
-        return 1.0
-    a, z = df / 2, x / 2
-    front = math.exp(a * math.log(z) - z - math.lgamma(a))
-    if z < a + 1:
-        term = total = 1 / a
-        k = a
-        while abs(term) > abs(total) * 1e-15:
-            k += 1
-            term *= z / k
-            total += term
-        return max(0.0, 1 - front * total)
-    tiny = 1e-300
-    b = z + 1 - a
-    c, d = 1 / tiny, 1 / b
-    h = d
-    for i in range(1, 500):
-        an = -i * (i - a)
-        b += 2
-        d = 1 / (an * d + b or tiny)
-        c = b + an / c or tiny
-        h *= d * c
-        if abs(d * c - 1) < 1e-15:
-            break
-    return min(1.0, front * h)
+def erfc(x: Column, terms: int = 60, depth: int = 120) -> Column:
+    """The complementary error function of x >= 0: one minus a series of positive terms, or a continued fraction from 2 on."""
+    x2 = x * x
+    first = F.struct(x.alias("term"), x.alias("total"))
+    add = lambda s, k: F.struct((s["term"] * 2.0 * x2 / (2.0 * k + 1.0)).alias("term"), (s["total"] + s["term"] * 2.0 * x2 / (2.0 * k + 1.0)).alias("total"))
+    series = 1.0 - 2.0 / math.sqrt(math.pi) * F.exp(-x2) * F.aggregate(F.sequence(F.lit(1), F.lit(terms)), first, add)["total"]
+    below = F.aggregate(F.sequence(F.lit(depth), F.lit(1)), x, lambda s, k: x + k / 2.0 / s)
+    return F.when(x < 2, series).otherwise(F.exp(-x2) / math.sqrt(math.pi) / below)
+
+
+def chi2_tail(x: Column, dof: Column) -> Column:
+    """P(X > x) of a chi-square variable of a whole number of degrees: that of one or two degrees and a term for each two more."""
+    z, odd = F.greatest(x.cast("double"), F.lit(1e-300)) / 2, dof % 2 == 1
+    a = F.when(odd, 0.5).otherwise(1.0)
+    log = a * F.log(z) - z - F.when(odd, 0.5 * math.log(math.pi) - math.log(2)).otherwise(0.0)
+    more = F.filter(F.sequence(F.lit(0), F.floor((dof - 1) / 2).cast("int")), lambda k: k > 0)
+    first = F.struct(log.alias("log"), F.when(odd, erfc(F.sqrt(z))).otherwise(F.exp(-z)).alias("total"))
+    add = lambda s, k: F.struct((s["log"] + F.log(z) - F.log(a + k)).alias("log"), (s["total"] + F.exp(s["log"])).alias("total"))
+    tail = F.least(F.lit(1.0), F.aggregate(more, first, add)["total"])
+    return F.when(x.isNull(), F.lit(None)).when((x <= 0) | (dof <= 0), 1.0).otherwise(tail)
 
 
 def kolmogorov_tail(d: Column, n_a: Column, n_b: Column, terms: int = 40) -> Column:

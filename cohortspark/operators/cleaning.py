@@ -7,11 +7,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.derive import log1p_floor
 from ..functions.units import Registry, align_to_si, convert, select_features
+from .cumulative import placed
 from .select import align_space
 
 
@@ -27,13 +28,19 @@ def long_form(df: DataFrame, columns: dict[str, dict[str, Column]], key: str = "
     return wide.select(F.explode(F.array(*wide.columns)).alias("x")).select("x.*")
 
 
-def median_of(c: str) -> Column:
-    return F.percentile(c, F.lit(0.5))
+def quantiles_of(c: str, qs: list[float], approximate: int | None = None) -> Column:
+    """Interpolated quantiles as an array. They are exact and keep a count of each distinct value in one buffer, unless an accuracy
+    of percentile_approx is given, for columns of more distinct values than a task can hold."""
+    return F.percentile(c, F.array(*[F.lit(q) for q in qs])) if approximate is None else F.percentile_approx(F.col(c).cast("double"), qs, approximate)
 
 
-def repair_units(df: DataFrame, rules: dict[str, tuple[float, float]], share: float = 0.2) -> DataFrame:
+def median_of(c: str, approximate: int | None = None) -> Column:
+    return F.percentile(c, F.lit(0.5)) if approximate is None else F.percentile_approx(F.col(c).cast("double"), 0.5, approximate)
+
+
+def repair_units(df: DataFrame, rules: dict[str, tuple[float, float]], share: float = 0.2, approximate: int | None = None) -> DataFrame:
     """rules: column -> (logical minimum, factor): a column whose median is under share * minimum is multiplied."""
-    medians = _stats(df, {c: median_of(c) for c in rules})
+    medians = _stats(df, {c: median_of(c, approximate) for c in rules})
     low = {c: f for c, (m, f) in rules.items() if medians[c] is not None and medians[c] < share * m}
     return df.withColumns({c: F.col(c) * f for c, f in low.items()})
 
@@ -52,8 +59,7 @@ def winsorize(df: DataFrame, columns: list[str], lo: float = 0.01, hi: float = 0
     """Columns clipped to their quantiles (exact and interpolated, or percentile_approx of an accuracy). Columns of two values
     at most are left alone unless keep_binary is False: clipping would erase rare flags."""
     used = [c for c in columns if c not in exclude]
-    q = F.array(F.lit(lo), F.lit(hi))
-    found = _stats(df, {f"q_{c}": F.percentile(c, q) if approximate is None else F.percentile_approx(c, [lo, hi], approximate) for c in used} | ({f"r_{c}": F.approx_count_distinct(c) for c in used} if keep_binary else {}))
+    found = _stats(df, {f"q_{c}": quantiles_of(c, [lo, hi], approximate) for c in used} | ({f"r_{c}": F.approx_count_distinct(c) for c in used} if keep_binary else {}))
     clipped = {c: found[f"q_{c}"] for c in used if found[f"q_{c}"] and not (keep_binary and found[f"r_{c}"] <= 2)}
     return clamp(df, {c: (float(a), float(b)) for c, (a, b) in clipped.items()})
 
@@ -100,9 +106,9 @@ def patch_units(df: DataFrame, registry: Registry, inferred: dict[str, str], dir
     return df.withColumns(fixed), long_form(df, audit)
 
 
-def plausibility_audit(df: DataFrame, ranges: dict[str, tuple[float, float]], least: float = 0.8) -> DataFrame:
+def plausibility_audit(df: DataFrame, ranges: dict[str, tuple[float, float]], least: float = 0.8, approximate: int | None = None) -> DataFrame:
     """(feature, in_range, p5, p50, p95, implausible)."""
-    q = lambda c, p: F.percentile(c, F.lit(p))
+    q = lambda c, p: F.try_element_at(quantiles_of(c, [p], approximate), F.lit(1))
     stats = {c: {"in_range": F.avg(F.col(c).between(lo, hi).cast("int")), "p5": q(c, 0.05), "p50": q(c, 0.5), "p95": q(c, 0.95)} for c, (lo, hi) in ranges.items()}
     return long_form(df, stats).withColumn("implausible", (F.col("in_range") < least).cast("int"))
 
@@ -118,9 +124,9 @@ def cleaning_report(registry_rows: DataFrame, decisions: DataFrame) -> DataFrame
     )
 
 
-def fit_imputer(df: DataFrame, methods: dict[str, str]) -> dict[str, float]:
+def fit_imputer(df: DataFrame, methods: dict[str, str], approximate: int | None = None) -> dict[str, float]:
     """Fill values from one pass: median, mean or constant_zero for each column; a column without values gets 0."""
-    made = {"median": median_of, "mean": F.avg, "constant_zero": lambda c: F.lit(0.0)}
+    made = {"median": lambda c: median_of(c, approximate), "mean": F.avg, "constant_zero": lambda c: F.lit(0.0)}
     if unknown := set(methods.values()) - set(made):
         raise ValueError(f"no simple imputation: {sorted(unknown)}")
     found = _stats(df, {c: F.max(F.lit(0.0)) if m == "constant_zero" else made[m](c) for c, m in methods.items()})
@@ -166,8 +172,10 @@ def fit_mice(df: DataFrame, columns: list[str], sweeps: int = 15, tolerance: flo
     """Linear chained equations of at most a hundred columns, all refitted from the state of the sweep before.
 
     A sweep is one pass: tasks add up, for each column, the products of the rows where it is known; the driver solves one
-    small system for each. It ends when no weight moves by the tolerance. Filling replays `rounds` predictions."""
+    small system for each. It ends when no weight moves by the tolerance. Filling replays `rounds` predictions. The columns are
+    kept in memory and on disk from the first pass on."""
     p = len(columns)
+    df = df.select(*columns).persist()
     m = Mice(columns, fit_imputer(df, {c: "mean" for c in columns}))
     known = [f"_k_{i}" for i in range(p)]
     for sweep in range(sweeps):
@@ -200,6 +208,7 @@ def fit_mice(df: DataFrame, columns: list[str], sweeps: int = 15, tolerance: flo
         m.sweeps = sweep + 1
         if moved < tolerance:
             break
+    df.unpersist()
     return m
 
 
@@ -227,13 +236,12 @@ def hash_number(*columns: Column, salt: str = "") -> Column:
 
 def stratified_split(df: DataFrame, y: str, key: str, fraction: float = 0.8, salt: str = "42", exact: bool = True) -> DataFrame:
     """is_train 0/1: of each outcome round(fraction * n) rows in the order of a hash (exact), or the rows whose hash is under
-    the fraction, which needs no sort and is meant for large tables."""
+    the fraction, in one pass without a shuffle."""
     h = hash_number(F.col(key), salt=salt)
     if not exact:
         return df.withColumn("is_train", (h < fraction).cast("int"))
-    part = Window.partitionBy(y)
-    rank = F.row_number().over(part.orderBy(h, key))
-    return df.withColumn("is_train", (rank <= F.round(F.count(F.lit(1)).over(part) * fraction)).cast("int"))
+    is_train = (F.col("_place") <= F.round(F.col("_size") * fraction)).cast("int")
+    return placed(df, y, h, key).withColumn("is_train", is_train).drop("_place", "_size")
 
 
 def bifurcate(df: DataFrame, registry: Registry, outcome: str, key: str, fraction: float = 0.8) -> tuple[DataFrame, DataFrame]:
@@ -289,12 +297,12 @@ def assets_of(table: DataFrame) -> Assets:
     return Assets(order, [r["feature"] for r in rows if r["is_log"]], fill, {r["feature"]: (r["mean"], r["std"]) for r in rows}, mice)
 
 
-def fit_assets(df: DataFrame, features: list[str], logs: list[str], mice: bool = False) -> Assets:
+def fit_assets(df: DataFrame, features: list[str], logs: list[str], mice: bool = False, approximate: int | None = None) -> Assets:
     logged = align_space(df, features).withColumns({c: log1p_floor(F.col(c)) for c in logs})
     if mice:
         m = fit_mice(logged, features)
         return Assets(features, logs, {}, fit_scaler(apply_mice(logged, m), features), m)
-    fill = fit_imputer(logged, {c: "median" for c in features})
+    fill = fit_imputer(logged, {c: "median" for c in features}, approximate)
     return Assets(features, logs, fill, fit_scaler(apply_imputer(logged, fill), features))
 
 

@@ -12,16 +12,19 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .cleaning import hash_number
-from .cumulative import running
+from .cleaning import hash_number, quantiles_of
+from .cumulative import ranges_for, running
 
 
 def roc_points(df: DataFrame, y: str, p: str, by: list[str], weight: str | None = None, ranges: int | None = None) -> DataFrame:
-    """(by, threshold, pos, neg, cum_pos, cum_neg, n_pos, n_neg, tpr, fpr) at each distinct score, from the greatest down."""
+    """(by, threshold, pos, neg, cum_pos, cum_neg, n_pos, n_neg, tpr, fpr) at each distinct score, from the greatest down.
+
+    ranges: see running(); measured on df where it is None."""
+    ranges = ranges_for(df, p) if ranges is None else ranges
     w = F.col(weight) if weight else F.lit(1)
     counts = df.where(F.col(p).isNotNull() & F.col(y).isNotNull()).groupBy(*by, F.col(p).alias("threshold")).agg(F.sum(w * F.col(y)).alias("pos"), F.sum(w * (1 - F.col(y))).alias("neg"))
     out = running(counts, by, "threshold", ["pos", "neg"], descending=True, ranges=ranges)
-    if ranges is None:
+    if ranges == 1:
         part = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
         out = out.withColumns({"n_pos": F.sum("pos").over(part), "n_neg": F.sum("neg").over(part)})
     else:  # no task holds a whole group
@@ -31,15 +34,15 @@ def roc_points(df: DataFrame, y: str, p: str, by: list[str], weight: str | None
     return out.withColumns({"tpr": F.try_divide("cum_pos", "n_pos"), "fpr": F.try_divide("cum_neg", "n_neg")})
 
 
-def auc(df: DataFrame, y: str, p: str, by: list[str], weight: str | None = None) -> DataFrame:
+def auc(df: DataFrame, y: str, p: str, by: list[str], weight: str | None = None, ranges: int | None = None) -> DataFrame:
     """(by, auc): the chance that a positive row scores above a negative one, ties counting half; NULL for a single class."""
-    points = roc_points(df, y, p, by, weight)
+    points = roc_points(df, y, p, by, weight, ranges)
     area = F.sum(F.col("neg") * (F.col("cum_pos") - F.col("pos") / 2))
     return points.groupBy(*by).agg(F.try_divide(area, F.max("n_pos") * F.max("n_neg")).alias("auc"))
 
 
-def average_precision(df: DataFrame, y: str, p: str, by: list[str], weight: str | None = None) -> DataFrame:
-    points = roc_points(df, y, p, by, weight)
+def average_precision(df: DataFrame, y: str, p: str, by: list[str], weight: str | None = None, ranges: int | None = None) -> DataFrame:
+    points = roc_points(df, y, p, by, weight, ranges)
     step = F.try_divide(F.col("pos"), F.col("n_pos")) * F.try_divide(F.col("cum_pos"), F.col("cum_pos") + F.col("cum_neg"))
     return points.groupBy(*by).agg(F.sum(step).alias("average_precision"))
 
@@ -49,9 +52,9 @@ def brier(df: DataFrame, y: str, p: str, by: list[str], weight: str | None = Non
     return df.groupBy(*by).agg((F.avg(e) if weight is None else F.try_divide(F.sum(e * F.col(weight)), F.sum(weight))).alias("brier"))
 
 
-def youden(df: DataFrame, y: str, p: str, by: list[str]) -> DataFrame:
+def youden(df: DataFrame, y: str, p: str, by: list[str], ranges: int | None = None) -> DataFrame:
     """(by, cutoff, j): the greatest score of the greatest tpr - fpr, at most 1; 0.5 where there is a single class."""
-    points = roc_points(df, y, p, by).withColumn("j", F.col("tpr") - F.col("fpr"))
+    points = roc_points(df, y, p, by, ranges=ranges).withColumn("j", F.col("tpr") - F.col("fpr"))
     best = points.groupBy(*by).agg(F.max(F.struct("j", "threshold")).alias("best"))
     cutoff = F.when(F.col("best.j").isNull(), 0.5).otherwise(F.least(F.lit(1.0), F.col("best.threshold")))
     return best.select(*by, cutoff.alias("cutoff"), F.col("best.j").alias("j"))
@@ -70,12 +73,12 @@ def metrics_by_group(df: DataFrame, y: str, p: str, in_subgroup: Column, by: lis
     """Metrics at each population's own cut-off, for all rows ("full") and the subgroup ("sub"); a population of `least` rows or
     fewer, or of a single class, is left out."""
     parts = df.withColumn("population", F.explode(F.when(in_subgroup, F.array(F.lit("full"), F.lit("sub"))).otherwise(F.array(F.lit("full")))))
-    keys = [*by, "population"]
+    keys, ranges = [*by, "population"], ranges_for(df, p)
     ok = parts.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum(y).alias("pos")).where((F.col("n") > least) & (F.col("pos") > 0) & (F.col("pos") < F.col("n")))
     parts = parts.join(ok.select(*keys), keys, "left_semi")
-    cut = youden(parts, y, p, keys).drop("j")
+    cut = youden(parts, y, p, keys, ranges).drop("j")
     scored = parts.join(cut, keys)
-    return metrics_at(scored, y, p, [*keys, "cutoff"], F.col("cutoff")).join(auc(parts, y, p, keys), keys)
+    return metrics_at(scored, y, p, [*keys, "cutoff"], F.col("cutoff")).join(auc(parts, y, p, keys, ranges=ranges), keys)
 
 
 def poisson1(u: Column) -> Column:
@@ -94,6 +97,7 @@ def bootstrap_ci(df: DataFrame, y: str, p: str, key: str, replicates: int, by: l
     All three metrics come from one curve of each replicate. Rows without a score or an outcome are left out."""
     by = by or []
     df = df.where(F.col(p).isNotNull() & F.col(y).isNotNull())
+    ranges = ranges_for(df, p)  # replicates have no other scores
     if vectorised:
         steps = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(12)])
 
@@ -116,7 +120,7 @@ def bootstrap_ci(df: DataFrame, y: str, p: str, key: str, replicates: int, by: l
         rep = df.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
         drawn = rep.withColumn("w", poisson1(hash_number(F.col(key), F.col("rep"), salt=str(seed)))).where("w > 0")
     keys = [*by, "rep"]
-    points = roc_points(drawn, y, p, keys, "w")
+    points = roc_points(drawn, y, p, keys, "w", ranges)
     t, pos, neg = F.col("threshold"), F.col("pos"), F.col("neg")
     area = F.sum(neg * (F.col("cum_pos") - pos / 2))
     step = F.try_divide(pos, F.col("n_pos")) * F.try_divide(F.col("cum_pos"), F.col("cum_pos") + F.col("cum_neg"))
@@ -151,18 +155,18 @@ def decision_curve(df: DataFrame, y: str, p: str, by: list[str], steps: int = 76
     groups = counts.groupBy(*by).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
     grid = groups.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))))
     full = grid.join(counts, [*by, "k"], "left").fillna(0, ["pos", "neg"])
-    out = running(full, by, "k", ["pos", "neg"], descending=True)
+    out = running(full, by, "k", ["pos", "neg"], descending=True, ranges=1)
     t, n = F.col("k") * F.lit(step), F.col("n_pos") + F.col("n_neg")
     odds = t / (1 - t)
     return out.select(*by, "k", t.alias("threshold"), (F.col("cum_pos") / n - F.col("cum_neg") / n * odds).alias("model"), (F.col("n_pos") / n - F.col("n_neg") / n * odds).alias("treat_all"))
 
 
-def nomogram(df: DataFrame, coefficients: dict[str, float], top: int = 10, ticks: int = 5) -> DataFrame:
+def nomogram(df: DataFrame, coefficients: dict[str, float], top: int = 10, ticks: int = 5, approximate: int | None = None) -> DataFrame:
     """(feature, coef, points_max, tick, value, points): the top features by weight, ticks over their 1 to 99 % range; a negative
     weight's points fall with the value."""
     chosen = sorted(coefficients.items(), key=lambda x: (-abs(x[1]), x[0]))[:top]
     most = max(abs(c) for _, c in chosen)
-    q = df.agg(*[F.percentile(f, F.array(F.lit(0.01), F.lit(0.99))).alias(f) for f, _ in chosen])
+    q = df.agg(*[quantiles_of(f, [0.01, 0.99], approximate).alias(f) for f, _ in chosen])
     rows = q.select(F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(c).alias("coef"), F.lit(abs(c) / most * 100).alias("points_max"), F.col(f).alias("q")) for f, c in chosen])).alias("x")).select("x.*")
     rows = rows.withColumn("tick", F.explode(F.sequence(F.lit(0), F.lit(ticks - 1))))
     share = F.col("tick") / F.lit(float(ticks - 1))

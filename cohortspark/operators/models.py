@@ -18,13 +18,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .cleaning import hash_number
+from .cumulative import MOST, placed
 from .evaluate import auc
 
 
 def with_folds(df: DataFrame, y: str, key: str, k: int, salt: str = "fold") -> DataFrame:
     """fold 0 .. k-1, dealt in turn within each outcome in the order of a hash."""
-    order = Window.partitionBy(y).orderBy(hash_number(F.col(key), salt=salt), key)
-    return df.withColumn("fold", F.pmod(F.row_number().over(order), F.lit(k)).cast("int"))
+    dealt = placed(df, y, hash_number(F.col(key), salt=salt), key)
+    return dealt.withColumn("fold", F.pmod("_place", F.lit(k)).cast("int")).drop("_place", "_size")
 
 
 def with_vectors(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -51,7 +52,7 @@ def l1_select(df: DataFrame, y: str, columns: list[str], key: str, grid: tuple[f
     scores: dict[float, list[float]] = {}
     for c in grid:
         parts = [probability(fit(data.where(F.col("fold") != f), c, n * (k - 1) / k), data.where(F.col("fold") == f)).select("fold", y, "p") for f in range(k)]
-        found = auc(reduce(DataFrame.union, parts), y, "p", ["fold"]).collect()
+        found = auc(reduce(DataFrame.union, parts), y, "p", ["fold"], ranges=n // MOST + 1).collect()
         scores[c] = [r["auc"] for r in found if r["auc"] is not None]
     mean = {c: float(np.mean(s)) for c, s in scores.items()}
     best = max(grid, key=lambda c: (mean[c], -c))
@@ -149,7 +150,7 @@ def odds_ratios(df: DataFrame, y: str, columns: list[str], key: str, replicates:
     the data for each Newton step adds up the gradients and Hessians of all replicates; the driver solves small systems."""
     p, r = len(columns) + 1, replicates + 1
     beta = np.zeros((r, p))
-    rows = df.select(key, F.col(y).cast("double").alias("y"), *columns).dropna()
+    rows = df.select(key, F.col(y).cast("double").alias("y"), *columns).dropna().persist()
 
     for _ in range(steps):
         now = beta
@@ -182,6 +183,7 @@ def odds_ratios(df: DataFrame, y: str, columns: list[str], key: str, replicates:
         beta = beta + move
         if np.abs(move).max() < 1e-8:
             break
+    rows.unpersist()
     lo, hi = np.percentile(np.exp(beta[1:]), [2.5, 97.5], axis=0)
     out = [(c, float(beta[0, i + 1]), float(np.exp(beta[0, i + 1])), float(lo[i + 1]), float(hi[i + 1])) for i, c in enumerate(columns)]
     return df.sparkSession.createDataFrame(out, "feature string, coef double, odds_ratio double, lo double, hi double")

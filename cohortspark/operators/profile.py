@@ -13,23 +13,25 @@ def fill_rates(df: DataFrame, columns: list[str]) -> DataFrame:
     return long_form(df, {c: {"n": F.count(c), "fill_rate": F.count(c) * F.lit(100.0) / F.count(F.lit(1))} for c in columns})
 
 
-def cohort_audit(df: DataFrame, labels: list[str], numbers: list[str], key: str) -> DataFrame:
+def cohort_audit(df: DataFrame, labels: list[str], numbers: list[str], key: str, approximate: int | None = None) -> DataFrame:
     """One row: rows, entities, per cent of each label, and mean, least, greatest and median of each number."""
     made = [F.count(F.lit(1)).alias("n_rows"), F.count_distinct(key).alias("n_entities"), *[(F.avg(c) * 100).alias(f"{c}_pct") for c in labels]]
     for c in numbers:
-        made += [F.avg(c).alias(f"{c}_mean"), F.min(c).alias(f"{c}_min"), F.max(c).alias(f"{c}_max"), median_of(c).alias(f"{c}_median")]
+        made += [F.avg(c).alias(f"{c}_mean"), F.min(c).alias(f"{c}_min"), F.max(c).alias(f"{c}_max"), median_of(c, approximate).alias(f"{c}_median")]
     return df.agg(*made)
 
 
-def numeric_profile(df: DataFrame, columns: list[str]) -> DataFrame:
+def numeric_profile(df: DataFrame, columns: list[str], approximate: int | None = None) -> DataFrame:
     """(feature, missing_pct, median, mean, max); 0 where all is missing."""
     zero = lambda c: F.coalesce(c, F.lit(0.0))
-    return long_form(df, {c: {"missing_pct": F.avg(F.col(c).isNull().cast("int")) * 100, "median": zero(median_of(c)), "mean": zero(F.avg(c)), "max": zero(F.max(c).cast("double"))} for c in columns})
+    return long_form(df, {c: {"missing_pct": F.avg(F.col(c).isNull().cast("int")) * 100, "median": zero(median_of(c, approximate)), "mean": zero(F.avg(c)), "max": zero(F.max(c).cast("double"))} for c in columns})
 
 
 def standardisation_audit(df: DataFrame, columns: list[str]) -> DataFrame:
     """(feature, mean, std, is_binary, abs_mean, abs_std_off): what a standardised column should have as 0, 1, 0, 0."""
-    two = lambda c: (F.count_distinct(c) <= 2).cast("int")
+    ends = df.agg(*[f(c).alias(f"{n}_{c}") for c in columns for n, f in (("lo", F.min), ("hi", F.max))]).first()
+    # two values at most: none between the least and the greatest
+    two = lambda c: (F.count_if((F.col(c) != F.lit(ends[f"lo_{c}"])) & (F.col(c) != F.lit(ends[f"hi_{c}"]))) == 0).cast("int")
     return long_form(df, {c: {"mean": F.avg(c), "std": F.stddev_samp(c), "is_binary": two(c)} for c in columns}).withColumns({"abs_mean": F.abs("mean"), "abs_std_off": F.abs(F.col("std") - 1)})
 
 

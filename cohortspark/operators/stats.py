@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.tails import chi2_tail, kolmogorov_tail
-from .cumulative import running
+from .cleaning import quantiles_of
+from .cumulative import ranges_for, running
 
 OVERALL = "overall"
 
@@ -21,9 +22,9 @@ def _grouped(df: DataFrame, group: str) -> DataFrame:
     return df.withColumn("grp", F.explode(F.array(F.lit(OVERALL), F.col(group).cast("string"))))
 
 
-def table1_continuous(df: DataFrame, columns: list[str], group: str) -> DataFrame:
+def table1_continuous(df: DataFrame, columns: list[str], group: str, approximate: int | None = None) -> DataFrame:
     """(feature, grp, n, missing, median, q1, q3) overall and by group."""
-    q = F.percentile("value", F.array(F.lit(0.5), F.lit(0.25), F.lit(0.75)))
+    q = quantiles_of("value", [0.5, 0.25, 0.75], approximate)
     long = melt(df, [group], columns)
     out = _grouped(long, group).groupBy("feature", "grp").agg(F.count("value").alias("n"), F.count_if(F.col("value").isNull()).alias("missing"), q.alias("q"))
     return out.select("feature", "grp", "n", "missing", *[F.try_element_at("q", F.lit(i + 1)).alias(c) for i, c in enumerate(("median", "q1", "q3"))])
@@ -42,7 +43,7 @@ def kruskal(df: DataFrame, columns: list[str], group: str) -> DataFrame:
     long = melt(df.where(F.col(group).isNotNull()), [group], columns).where("value is not null")
     cells = long.groupBy("feature", "value", F.col(group).alias("grp")).agg(F.count(F.lit(1)).alias("c"))
     values = cells.groupBy("feature", "value").agg(F.sum("c").alias("t"))
-    ranks = running(values, ["feature"], "value", ["t"]).withColumn("rank", F.col("cum_t") - (F.col("t") - 1) / 2)
+    ranks = running(values, ["feature"], "value", ["t"], ranges=ranges_for(long, "value")).withColumn("rank", F.col("cum_t") - (F.col("t") - 1) / 2)
     ties = ranks.groupBy("feature").agg(F.sum("t").alias("n"), F.sum(F.pow("t", F.lit(3)) - F.col("t")).alias("ties"))
     sums = cells.join(ranks.select("feature", "value", "rank"), ["feature", "value"]).groupBy("feature", "grp").agg(F.sum(F.col("rank") * F.col("c")).alias("r"), F.sum("c").alias("m"))
     parts = sums.groupBy("feature").agg(F.sum(F.col("r") * F.col("r") / F.col("m")).alias("s"), F.count(F.lit(1)).alias("groups"))
@@ -50,8 +51,7 @@ def kruskal(df: DataFrame, columns: list[str], group: str) -> DataFrame:
     raw = 12.0 / (n * (n + 1)) * F.col("s") - 3 * (n + 1)
     fix = 1 - F.col("ties") / (F.pow(n, F.lit(3)) - n)
     out = parts.join(ties, "feature").select("feature", "n", "groups", F.when(fix > 0, raw / fix).alias("h"))
-    p = F.udf(lambda h, k: None if h is None else chi2_tail(h, k - 1), "double")  # one row for each feature
-    return out.withColumn("p", p("h", "groups"))
+    return out.withColumn("p", chi2_tail(F.col("h"), F.col("groups") - 1))
 
 
 def chi2(df: DataFrame, columns: list[str], group: str) -> DataFrame:
@@ -63,8 +63,7 @@ def chi2(df: DataFrame, columns: list[str], group: str) -> DataFrame:
     expected = F.col("row_n") * F.col("col_n") / F.col("n")
     # cells without rows aren't there: they add their expectation, so that all of them make sum(o^2 / e) - n
     out = cells.groupBy("feature").agg((F.sum(F.col("o") * F.col("o") / expected) - F.first("n")).alias("statistic"), ((F.count_distinct("level") - 1) * (F.count_distinct("g") - 1)).alias("dof"))
-    p = F.udf(lambda x, k: None if x is None else chi2_tail(x, k), "double")  # one row for each feature
-    return out.withColumn("p", p("statistic", "dof"))
+    return out.withColumn("p", chi2_tail(F.col("statistic"), F.col("dof")))
 
 
 def ks_drift(a: DataFrame, b: DataFrame, features: list[str], alpha: float = 0.05, least: int = 5) -> DataFrame:
@@ -73,7 +72,7 @@ def ks_drift(a: DataFrame, b: DataFrame, features: list[str], alpha: float = 0.0
     long = melt(a, [], features).withColumn("in_a", F.lit(1)).union(melt(b, [], features).withColumn("in_a", F.lit(0))).where("value is not null")
     values = long.groupBy("feature", "value").agg(F.sum("in_a").alias("a"), F.sum(1 - F.col("in_a")).alias("b"))
     n = values.groupBy("feature").agg(F.sum("a").alias("n_a"), F.sum("b").alias("n_b"))
-    curves = running(values, ["feature"], "value", ["a", "b"]).join(n, "feature")
+    curves = running(values, ["feature"], "value", ["a", "b"], ranges=ranges_for(long, "value")).join(n, "feature")
     gap = F.max(F.abs(F.try_divide("cum_a", "n_a") - F.try_divide("cum_b", "n_b")))
     out = curves.groupBy("feature", "n_a", "n_b").agg(gap.alias("gap"))
     enough = (F.col("n_a") >= least) & (F.col("n_b") >= least)

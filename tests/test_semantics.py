@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import math
 from datetime import datetime, timedelta
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cohortspark.functions import derive, units
 from cohortspark.functions.tails import chi2_tail
-from cohortspark.operators import cleaning, cumulative, evaluate, events, joins, models, select, stats
+from cohortspark.operators import cleaning, cumulative, evaluate, events, joins, models, profile, select, stats
 
 T0 = datetime(2150, 1, 1, 12)
 
@@ -230,8 +232,50 @@ def test_running_totals_in_parts(spark):
     assert cumulative.running(df, ["g"], "v", ["n"], ranges=6).orderBy("g", "v").collect() == whole
 
 
-def test_chi_square_tail():
-    assert chi2_tail(3.841458820694124, 1) == pytest.approx(0.05) and chi2_tail(18.307038053275146, 10) == pytest.approx(0.05) and chi2_tail(0, 3) == 1
+def test_chi_square_tail(spark):
+    def density(t, k):
+        return math.exp((k / 2 - 1) * math.log(t) - t / 2 - k / 2 * math.log(2) - math.lgamma(k / 2))
+
+    cases = [(x, k) for k in (1, 2, 3, 4, 7, 10, 51) for x in (0.3, 1.0, 3.9, 7.9, 8.1, 30.0, 90.0)]
+    df = spark.createDataFrame([*cases, (0.0, 3), (None, 2), (5.0, 0), (3.841458820694124, 1), (18.307038053275146, 10)], "x double, k int")
+    got = {(r["x"], r["k"]): r["p"] for r in df.withColumn("p", chi2_tail(F.col("x"), F.col("k"))).collect()}
+    assert got[3.841458820694124, 1] == pytest.approx(0.05) and got[18.307038053275146, 10] == pytest.approx(0.05)
+    assert got[0.0, 3] == 1 and got[None, 2] is None and got[5.0, 0] == 1
+    for x, k in cases:  # Simpson's rule over a tail long enough
+        n, width = 20_000, 400.0
+        f = [density(x + width * i / n, k) for i in range(n + 1)]
+        want = width / n / 3 * (f[0] + f[-1] + 4 * sum(f[1:-1:2]) + 2 * sum(f[2:-1:2]))
+        assert got[x, k] == pytest.approx(want, rel=1e-5), (x, k)
+
+
+def test_places_are_those_of_one_sort(spark):
+    df = spark.range(500).select("id", F.when(F.col("id") % 3 != 0, F.col("id") % 3).alias("y"))
+    h = cleaning.hash_number(F.col("id"), salt="s")
+    w = Window.partitionBy("y")
+    want = df.withColumns({"_place": F.row_number().over(w.orderBy(h, "id")), "_size": F.count(F.lit(1)).over(w)})
+    for buckets in (1, 7, 4096):
+        assert cumulative.placed(df, "y", h, "id", buckets).orderBy("id").collect() == want.orderBy("id").collect()
+    assert cleaning.stratified_split(df.limit(0), "y", "id").count() == 0
+
+
+def test_curves_measure_their_ranges(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    df = spark.createDataFrame([(int(i % 2), int(y), float(p)) for i, (y, p) in enumerate(zip(rng.integers(0, 2, 400), np.round(rng.random(400), 2), strict=True))], "g int, y int, p double")
+    both = df.withColumns({"q": F.col("p") * 3, "h": F.col("g").cast("string")})
+    whole = [f(df, "y", "p", ["g"]).orderBy("g").collect() for f in (evaluate.auc, evaluate.youden)], stats.kruskal(both, ["p", "q"], "h").orderBy("feature").collect(), stats.ks_drift(df.where("g = 0"), df.where("g = 1"), ["p"]).collect()
+    monkeypatch.setattr(cumulative.ranges_for, "__defaults__", (10,))
+    assert cumulative.ranges_for(df, "p") > 5
+    parts = [f(df, "y", "p", ["g"]).orderBy("g").collect() for f in (evaluate.auc, evaluate.youden)], stats.kruskal(both, ["p", "q"], "h").orderBy("feature").collect(), stats.ks_drift(df.where("g = 0"), df.where("g = 1"), ["p"]).collect()
+    flat = lambda found: [v for part in ([x for f in found[0] for x in f], found[1], found[2]) for r in part for v in r]
+    assert flat(parts) == [v if isinstance(v, (str, int)) else pytest.approx(v) for v in flat(whole)]
+
+
+def test_approximate_quantiles_stand_near(spark):
+    df = spark.range(1000).select(F.col("id"), F.col("id").cast("double").alias("x"), F.lit(None).cast("double").alias("none"))
+    exact, near = (cleaning.fit_imputer(df, {"x": "median", "none": "median"}, approximate=a) for a in (None, 1000))
+    assert near == pytest.approx(exact, abs=2) and near["none"] == 0
+    assert profile.numeric_profile(df, ["x"], 1000).first()["median"] == pytest.approx(499.5, abs=2)
+    assert [tuple(r) for r in profile.standardisation_audit(df.withColumn("flag", F.col("id") % 2), ["x", "flag", "none"]).select("feature", "is_binary").collect()] == [("x", 0), ("flag", 1), ("none", 1)]
 
 
 def test_odds_ratios_by_newton(spark):
