@@ -117,8 +117,10 @@ def bootstrap_ci(df: DataFrame, y: str, p: str, key: str, replicates: int, by: l
         fields = ", ".join(f"{c} {kinds[c]}" for c in [*by, y, p])
         drawn = df.select(F.xxhash64(key).alias("_own"), *by, y, p).mapInPandas(draw, f"{fields}, rep int, w long")
     else:
-        rep = df.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-        drawn = rep.withColumn("w", poisson1(hash_number(F.col(key), F.col("rep"), salt=str(seed)))).where("w > 0")
+        # a hash for each row and replicate, once: columns that are filtered later would be worked out twice
+        u = F.transform(F.sequence(F.lit(0), F.lit(replicates - 1)), lambda r: F.struct(r.alias("rep"), hash_number(F.col(key), r, salt=str(seed)).alias("u")))
+        w = F.filter(F.transform(u, lambda x: F.struct(x["rep"].alias("rep"), poisson1(x["u"]).alias("w"))), lambda x: x["w"] > 0)
+        drawn = df.select(*by, y, p, F.explode(w).alias("drawn")).select(*by, y, p, "drawn.rep", "drawn.w")
     keys = [*by, "rep"]
     points = roc_points(drawn, y, p, keys, "w", ranges)
     t, pos, neg = F.col("threshold"), F.col("pos"), F.col("neg")
