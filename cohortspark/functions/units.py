@@ -1,28 +1,27 @@
-"""Named unit conversions and the feature registry."""
+"""Unit conversions as a table of straight lines, and the registry of variables."""
 
 from __future__ import annotations
 
 import warnings
-from collections.abc import Callable
-from dataclasses import asdict, dataclass
+from collections.abc import Callable, Mapping
+from dataclasses import dataclass, field
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-Conversion = Callable[[Column], Column]
-CONVERSIONS: dict[str, Conversion] = {}
 
+class Line(NamedTuple):
+    """A conversion to the SI unit, (value + shift) * scale, which has a way back by itself."""
 
-def register_conversion(name: str) -> Callable[[Conversion], Conversion]:
-    """Registers a Column -> Column function under a name that isn't taken."""
+    scale: float = 1.0
+    shift: float = 0.0
 
-    def put(function: Conversion) -> Conversion:
-        if name in CONVERSIONS:
-            raise KeyError(f"conversion {name!r} is there already")
-        CONVERSIONS[name] = function
-        return function
+    def to_si(self, c: Column) -> Column:
+        return (c + self.shift if self.shift else c) * self.scale
 
-    return put
+    def from_si(self, c: Column) -> Column:
+        return c / self.scale - self.shift if self.shift else c / self.scale
 
 
 #: Factors from the conventional unit to the SI unit.
@@ -35,101 +34,141 @@ FACTORS = {
     "calcium_mgdl_to_mmol": 0.2495,
     "bilirubin_mgdl_to_umol": 17.1,
 }
-for _name, _factor in FACTORS.items():
-    register_conversion(_name)(lambda c, f=_factor: c * f)
-register_conversion("fahrenheit_to_celsius")(lambda c: (c - 32.0) * 5.0 / 9.0)
-register_conversion("wbc_to_si")(lambda c: c)
-register_conversion("identity")(lambda c: c)
-
+#: The conversions by name.
+CONVERSIONS: Mapping[str, Line] = {
+    **{name: Line(scale) for name, scale in FACTORS.items()},
+    "fahrenheit_to_celsius": Line(5 / 9, -32.0),
+    "wbc_to_si": Line(),
+    "identity": Line(),
+}
 
-#: The way back of the conversions that aren't a factor.
-INVERSES: dict[str, Conversion] = {"fahrenheit_to_celsius": lambda c: c * 9.0 / 5.0 + 32.0, "wbc_to_si": lambda c: c, "identity": lambda c: c}
 
+def with_conversion(table: Mapping[str, Line], name: str, line: Line) -> dict[str, Line]:
+    """A new table that has one conversion more; the table given stays as it is. A line of scale 0 has no way back."""
+    if name in table or not line.scale:
+        raise ValueError(f"{name!r} stands in the table already, or has a scale of 0")
+    return {**table, name: line}
 
-def convert(column: Column, name: str | None, strict: bool = False, inverse: bool = False) -> Column:
-    """The column converted; no name is the identity, an unknown one raises (strict) or warns and leaves the column.
 
-    inverse: from the SI unit to the conventional one; a conversion without a way back raises."""
-    if name is None:
-        return column
-    if name not in CONVERSIONS:
-        if strict:
-            raise KeyError(f"no conversion {name!r}")
+def convert(column: Column, name: str | None, strict: bool = False, inverse: bool = False, table: Mapping[str, Line] = CONVERSIONS) -> Column:
+    """The column in its SI unit, or from it (inverse). Without a name it stays; so it does, with a warning, for a name that the
+    table lacks, which raises where strict."""
+    line = Line() if name is None else table.get(name)
+    if line is None and strict:
+        raise KeyError(f"no conversion {name!r}")
+    if line is None:
         warnings.warn(f"no conversion {name!r}; values are left as they are", stacklevel=2)
+    if line in (None, Line()):
         return column
-    if not inverse:
-        return CONVERSIONS[name](column)
-    if name in FACTORS:
-        return column / FACTORS[name]
-    if name not in INVERSES:
-        raise KeyError(f"conversion {name!r} has no inverse")
-    return INVERSES[name](column)
+    return line.from_si(column) if inverse else line.to_si(column)
 
 
-#: What a specification may say.
+#: What a variable may say.
 ROLES = ("feature", "outcome", "id", "group", "confounder")
 IMPUTE = ("median", "mean", "mice", "constant_zero")
 AGGREGATIONS = ("first", "last", "min", "max", "mean", "median", "slope", "trend", "count")
 
 
+Bounds = tuple[float, float] | None
+
+
+def _one_of(value: str | None, known: tuple[str, ...]) -> None:
+    if value is not None and value not in known:
+        raise ValueError(f"{value!r} is none of {known}")
+
+
+def _in_order(bounds: Bounds) -> None:
+    if bounds and bounds[0] > bounds[1]:
+        raise ValueError(f"{bounds} are in the wrong order")
+
+
 @dataclass(frozen=True)
-class FeatureSpec:
-    """What is known about a column: its unit, how it is prepared, when it is measured, and what it is for."""
+class Use:
+    """What a variable is for."""
 
-    name: str
     role: str = "feature"
     domain: str = "other"
+    in_model: bool = True
+    in_selection: bool = True
+
+    def __post_init__(self) -> None:
+        _one_of(self.role, ROLES)
+
+
+@dataclass(frozen=True)
+class Measure:
+    """How a variable is measured: its units and plausible values in SI units, and how it is taken from a window of hours."""
+
     unit: str | None = None
     unit_si: str | None = None
     convert: str | None = None
-    log_transform: bool = False
-    zscore: bool = False
+    plausible: Bounds = None
+    how: str | None = None
+    hours: float | None = None
+
+    def __post_init__(self) -> None:
+        _one_of(self.how, AGGREGATIONS)
+        _in_order(self.plausible)
+
+
+@dataclass(frozen=True)
+class Prepare:
+    """What is done to a variable before it is used."""
+
+    bounds: Bounds = None
     impute: str | None = None
-    aggregation: str | None = None
-    window_h: float | None = None
-    in_model: bool = True
-    in_selection: bool = True
-    ref_range: tuple[float, float] | None = None
-    clip_bounds: tuple[float, float] | None = None
+    log: bool = False
+    zscore: bool = False
 
     def __post_init__(self) -> None:
-        if self.role not in ROLES or self.impute not in (None, *IMPUTE) or self.aggregation not in (None, *AGGREGATIONS):
-            raise ValueError(f"{self.name}: unknown role, imputation or aggregation")
-        for bounds in (self.ref_range, self.clip_bounds):
-            if bounds and bounds[0] > bounds[1]:
-                raise ValueError(f"{self.name}: bounds in the wrong order")
+        _one_of(self.impute, IMPUTE)
+        _in_order(self.bounds)
+
+
+@dataclass(frozen=True)
+class Variable:
+    name: str
+    use: Use = field(default_factory=Use)
+    measure: Measure = field(default_factory=Measure)
+    prepare: Prepare = field(default_factory=Prepare)
 
 
-Registry = dict[str, FeatureSpec]
+Registry = dict[str, Variable]
 
 
-def registry_of(specs: list[FeatureSpec]) -> Registry:
-    out = {s.name: s for s in specs}
-    if len(out) < len(specs):
-        raise ValueError("two specifications have one name")
+def registry_of(*variables: Variable) -> Registry:
+    out = {v.name: v for v in variables}
+    if len(out) < len(variables):
+        raise ValueError("two variables have one name")
     return out
 
 
+_BOUNDS = "struct<lo:double,hi:double>"
+REGISTRY_COLUMNS = f"""name string, use struct<role:string,domain:string,in_model:boolean,in_selection:boolean>,
+    measure struct<unit:string,unit_si:string,convert:string,plausible:{_BOUNDS},how:string,hours:double>,
+    prepare struct<bounds:{_BOUNDS},impute:string,log:boolean,zscore:boolean>"""
+
+
 def registry_table(spark: SparkSession, registry: Registry) -> DataFrame:
-    """The registry as a small table, ranges as structs."""
-    pair = lambda p: None if p is None else {"lo": float(p[0]), "hi": float(p[1])}
-    rows = [asdict(s) | {"ref_range": pair(s.ref_range), "clip_bounds": pair(s.clip_bounds)} for s in registry.values()]
-    bounds = "struct<lo:double,hi:double>"
-    schema = f"name string, role string, domain string, unit string, unit_si string, convert string, log_transform boolean, zscore boolean, impute string, aggregation string, window_h double, in_model boolean, in_selection boolean, ref_range {bounds}, clip_bounds {bounds}"
-    return spark.createDataFrame(rows, schema)
+    """A row for each variable, its parts as structs."""
+
+    def plain(part: Use | Measure | Prepare) -> dict:
+        return {k: tuple(map(float, x)) if isinstance(x, tuple) else float(x) if k == "hours" and x is not None else x for k, x in vars(part).items()}
+
+    return spark.createDataFrame([(v.name, plain(v.use), plain(v.measure), plain(v.prepare)) for v in registry.values()], REGISTRY_COLUMNS)
 
 
-def select_features(registry: Registry, role: str | None = "feature", domain: str | None = None, in_model: bool | None = None, in_selection: bool | None = None, window_h: float | None = None, exclude: tuple[str, ...] = ()) -> list[str]:
-    """Names of the specifications that agree with all conditions given, in the registry's order."""
-    wanted = {"role": role, "domain": domain, "in_model": in_model, "in_selection": in_selection, "window_h": window_h}
-    return [n for n, s in registry.items() if n not in exclude and all(v is None or getattr(s, k) == v for k, v in wanted.items())]
+def names(registry: Registry, role: str | None = "feature", where: Callable[[Variable], bool] = lambda v: True) -> list[str]:
+    """Names of the variables of a role (None: of all) that a condition holds for, in the registry's order."""
+    return [v.name for v in registry.values() if role in (None, v.use.role) and where(v)]
 
 
 def route_by_role(df: DataFrame, registry: Registry) -> dict[str, DataFrame]:
     """The columns of each role that df has."""
-    return {role: df.select([n for n in select_features(registry, role) if n in df.columns]) for role in ROLES}
+    return {role: df.select(names(registry, role, lambda v: v.name in df.columns)) for role in ROLES}
 
 
 def align_to_si(df: DataFrame, registry: Registry) -> DataFrame:
     """Every registered column that has a conversion, in SI units."""
-    return df.withColumns({n: convert(F.col(n), s.convert) for n, s in registry.items() if s.convert and n in df.columns})
+    held = [v for v in registry.values() if v.measure.convert and v.name in df.columns]
+    return df.withColumns({v.name: convert(F.col(v.name), v.measure.convert) for v in held})

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.derive import log1p_floor
-from ..functions.units import Registry, align_to_si, convert, select_features
+from ..functions.units import Registry, align_to_si, convert, names
 from .cumulative import placed
 from .select import align_space
 
@@ -79,8 +79,8 @@ def infer_units(df: DataFrame, registry: Registry, delta: float = 0.3, least: fl
     direction: values in question are converted by the factor to SI units (forward), or by the way back (inverse). confidence is
     high where one of the two fits clearly, else medium."""
     back = _inverse(direction)
-    named = {n: registry[n] for n in select_features(registry) if n in df.columns and registry[n].convert and registry[n].ref_range}
-    shares = {n: {"p_raw": F.avg(F.col(n).between(*s.ref_range).cast("int")), "p_inv": F.avg(convert(F.col(n), s.convert, inverse=back).between(*s.ref_range).cast("int"))} for n, s in named.items()}
+    named = {n: registry[n] for n in names(registry) if n in df.columns and registry[n].measure.convert and registry[n].measure.plausible}
+    shares = {n: {"p_raw": F.avg(F.col(n).between(*s.measure.plausible).cast("int")), "p_inv": F.avg(convert(F.col(n), s.measure.convert, inverse=back).between(*s.measure.plausible).cast("int"))} for n, s in named.items()}
     table = long_form(df, shares).withColumn("delta_p", F.col("p_inv") - F.col("p_raw"))
     kind = F.when((F.col("delta_p") >= delta) & (F.col("p_inv") >= least), "unit_si").when((F.col("delta_p") <= -delta) & (F.col("p_raw") >= least), "unit").otherwise("ambiguous")
     table = table.withColumn("inferred_unit", kind)
@@ -96,11 +96,11 @@ def patch_units(df: DataFrame, registry: Registry, inferred: dict[str, str], dir
     fixed, audit, back = {}, {}, _inverse(direction)
     for n, kind in inferred.items():
         s = registry[n]
-        if not (s.convert and s.ref_range):
+        if not (s.measure.convert and s.measure.plausible):
             continue
-        x = convert(F.col(n), s.convert, inverse=back) if kind == "unit_si" else F.col(n)
-        again = convert(x, s.convert, inverse=back)
-        fixable = ~x.between(*s.ref_range) & again.between(*s.ref_range)
+        x = convert(F.col(n), s.measure.convert, inverse=back) if kind == "unit_si" else F.col(n)
+        again = convert(x, s.measure.convert, inverse=back)
+        fixable = ~x.between(*s.measure.plausible) & again.between(*s.measure.plausible)
         fixed[n] = F.when(fixable, again).otherwise(x)
         audit[n] = {"global_converted": F.max(F.lit(int(kind == "unit_si"))), "inverse_patched": F.count_if(fixable), "forward_patched": F.max(F.lit(0))}
     return df.withColumns(fixed), long_form(df, audit)
@@ -118,9 +118,9 @@ def cleaning_report(registry_rows: DataFrame, decisions: DataFrame) -> DataFrame
     joined = registry_rows.join(decisions.withColumnRenamed("feature", "name"), "name", "left")
     unit = F.coalesce("inferred_unit", F.lit("unit"))
     return joined.select(
-        F.col("name").alias("feature"), "role", unit.alias("inferred_unit"), F.when(unit == "unit_si", "converted").otherwise("kept").alias("action"),
-        F.coalesce("inverse_patched", F.lit(0)).alias("patched"), F.coalesce("removed", F.lit(0)).alias("removed"), F.col("clip_bounds").isNotNull().cast("int").alias("hard_clip"), F.col("log_transform").cast("int").alias("log"),
-        F.col("zscore").cast("int").alias("z"), F.coalesce("impute", F.lit("median")).alias("impute"), F.when(F.col("convert").isNotNull(), F.col("unit_si")).otherwise(F.col("unit")).alias("final_unit"),
+        F.col("name").alias("feature"), F.col("use.role").alias("role"), unit.alias("inferred_unit"), F.when(unit == "unit_si", "converted").otherwise("kept").alias("action"),
+        F.coalesce("inverse_patched", F.lit(0)).alias("patched"), F.coalesce("removed", F.lit(0)).alias("removed"), F.col("prepare.bounds").isNotNull().cast("int").alias("hard_clip"), F.col("prepare.log").cast("int").alias("log"),
+        F.col("prepare.zscore").cast("int").alias("z"), F.coalesce("prepare.impute", F.lit("median")).alias("impute"), F.when(F.col("measure.convert").isNotNull(), F.col("measure.unit_si")).otherwise(F.col("measure.unit")).alias("final_unit"),
     )
 
 
@@ -250,9 +250,9 @@ def bifurcate(df: DataFrame, registry: Registry, outcome: str, key: str, fractio
     Report: features, confounders, outcomes and groups; features in SI units, nothing imputed. Model: the key, features and
     confounders that models may use, the outcome and is_train; rows without an outcome are left out."""
     held = [s for s in registry.values() if s.name in df.columns]
-    shown = [s.name for s in held if s.role in ("feature", "confounder", "outcome", "group")]
-    used = [s.name for s in held if s.role in ("feature", "confounder") and s.in_model]
-    features = {s.name: s for s in held if s.role == "feature"}
+    shown = [s.name for s in held if s.use.role in ("feature", "confounder", "outcome", "group")]
+    used = [s.name for s in held if s.use.role in ("feature", "confounder") and s.use.in_model]
+    features = {s.name: s for s in held if s.use.role == "feature"}
     model = stratified_split(df.select(key, *used, outcome).where(F.col(outcome).isNotNull()), outcome, key, fraction)
     return align_to_si(df.select(shown), features), model
 

@@ -119,8 +119,8 @@ def aggregate_registry(fact: DataFrame, cohort: DataFrame, key: str, ts: str, an
     """temporal_aggregate() of the registry's features that have an aggregation and a window, from the cohort's column `anchor` on.
 
     items: feature -> its item in the facts; a feature that isn't there goes by its own name."""
-    timed = [s for s in registry.values() if s.role == "feature" and s.aggregation and s.window_h is not None]
-    specs = [{"name": s.name, "item": (items or {}).get(s.name, s.name), "how": s.aggregation, "hours": s.window_h} for s in timed]
+    timed = [s for s in registry.values() if s.use.role == "feature" and s.measure.how and s.measure.hours is not None]
+    specs = [{"name": s.name, "item": (items or {}).get(s.name, s.name), "how": s.measure.how, "hours": s.measure.hours} for s in timed]
     return temporal_aggregate(fact, cohort, key, ts, anchor, item, value, specs)
 
 

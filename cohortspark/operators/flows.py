@@ -34,18 +34,18 @@ def clean_cohort(df: DataFrame, registry: Registry, outcome: str, key: str, frac
     inferred = infer_units(df, registry)
     kinds = {r["feature"]: r["inferred_unit"] for r in inferred.collect()}  # one row for each feature
     patched, audit = patch_units(df, registry, kinds)
-    bounded, removed = hard_bounds(patched, {n: s.clip_bounds for n, s in registry.items() if s.clip_bounds and n in df.columns})
+    bounded, removed = hard_bounds(patched, {n: s.prepare.bounds for n, s in registry.items() if s.prepare.bounds and n in df.columns})
     report, model = bifurcate(bounded, registry, outcome, key, fraction)
     held = [s for s in registry.values() if s.name in model.columns and s.name != outcome]
     train = model.where("is_train = 1")
-    simple = {s.name: s.impute for s in held if s.role in ("feature", "confounder") and s.impute and s.impute != "mice"}
-    fill, chained = fit_imputer(train, simple), [s.name for s in held if s.impute == "mice"]
+    simple = {s.name: s.prepare.impute for s in held if s.use.role in ("feature", "confounder") and s.prepare.impute and s.prepare.impute != "mice"}
+    fill, chained = fit_imputer(train, simple), [s.name for s in held if s.prepare.impute == "mice"]
     model, train, mice = apply_imputer(model, fill), apply_imputer(train, fill), None
     if chained:
         mice = fit_mice(train, chained)
         model, train = apply_mice(model, mice), apply_mice(train, mice)
-    scaled = [s.name for s in held if s.role == "feature" and s.zscore]
-    logs = {s.name: log1p_floor(F.col(s.name)) for s in held if s.role == "feature" and s.log_transform}
+    scaled = [s.name for s in held if s.use.role == "feature" and s.prepare.zscore]
+    logs = {s.name: log1p_floor(F.col(s.name)) for s in held if s.use.role == "feature" and s.prepare.log}
     scale = fit_scaler(train.withColumns(logs) if scale_logged else train, scaled, ddof=1)
     model = apply_scaler(model.withColumns(logs), scale)
     decisions = removed.join(inferred.select("feature", "inferred_unit"), "feature", "full").join(audit.select("feature", "inverse_patched"), "feature", "full")

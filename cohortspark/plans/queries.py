@@ -106,7 +106,7 @@ def _(v):
 @query("select_by_role", "select id, r_min, r_max, a_price, disc, tax from feat")
 def _(v):
     routed = units.route_by_role(v.feat, FEAT)["id"].columns
-    return v.feat.select(*routed, *units.select_features(FEAT, in_model=True, exclude=("n_price",)))
+    return v.feat.select(*routed, *units.names(FEAT, where=lambda x: x.use.in_model and x.name != "n_price"))
 
 
 @query("rename_align", "select id, a_price price, any_f outcome from feat")
@@ -312,7 +312,7 @@ def _temporal_sql() -> str:
     return f"select user_id, {out} from (select user_id from idx) left join {parts[0]} using (user_id) left join {parts[1]} using (user_id)"
 
 
-_TIMED = units.registry_of([units.FeatureSpec(s["name"], domain=s["item"], aggregation=s["how"], window_h=float(s["hours"])) for s in _SPECS])
+_TIMED = units.registry_of(*[units.Variable(s["name"], units.Use(domain=s["item"]), units.Measure(how=s["how"], hours=float(s["hours"]))) for s in _SPECS])
 
 
 @query("temporal_aggregate_registry", _temporal_sql())
@@ -499,7 +499,7 @@ def _(v):
     return r6(cleaning.repair_units(v.feat.select("id", "disc", "r_max"), _REPAIR))
 
 
-_BOUNDS = {n: s.clip_bounds for n, s in FEAT.items() if s.clip_bounds}
+_BOUNDS = {n: s.prepare.bounds for n, s in FEAT.items() if s.prepare.bounds}
 
 
 def _within(c: str) -> str:
@@ -528,10 +528,10 @@ def _(v):
     return r6(out.select("id", "a_price", "n_price", "r_max", "any_f", "rf_qty"), 7)
 
 
-_CONVERTED = {n: s for n, s in FEAT.items() if s.convert and s.ref_range}
-_FACTOR = {n: units.FACTORS[s.convert] for n, s in _CONVERTED.items()}
+_CONVERTED = {n: s for n, s in FEAT.items() if s.measure.convert and s.measure.plausible}
+_FACTOR = {n: units.FACTORS[s.measure.convert] for n, s in _CONVERTED.items()}
 _KIND = "case when p_inv - p_raw >= 0.3 and p_inv >= 0.7 then 'unit_si' when p_inv - p_raw <= -0.3 and p_raw >= 0.7 then 'unit' else 'ambiguous' end"
-_INFER = " union all ".join(f"select '{n}' feature, avg(({n} between {s.ref_range[0]} and {s.ref_range[1]})::integer) p_raw, avg(({n} * {_FACTOR[n]} between {s.ref_range[0]} and {s.ref_range[1]})::integer) p_inv from feat" for n, s in _CONVERTED.items())
+_INFER = " union all ".join(f"select '{n}' feature, avg(({n} between {s.measure.plausible[0]} and {s.measure.plausible[1]})::integer) p_raw, avg(({n} * {_FACTOR[n]} between {s.measure.plausible[0]} and {s.measure.plausible[1]})::integer) p_inv from feat" for n, s in _CONVERTED.items())
 
 
 @query("infer_units", f"select feature, {rd('p_raw', 'p_inv', 'p_inv - p_raw delta_p')}, {_KIND} inferred_unit, case when {_KIND} = 'ambiguous' then 'medium' else 'high' end confidence from ({_INFER})")
@@ -548,7 +548,7 @@ def _inferred(v: Views) -> dict[str, str]:
     return {r["feature"]: r["inferred_unit"] for r in cleaning.infer_units(v.feat, FEAT).collect()}
 
 
-_PATCHED = " union all ".join(f"select id, '{n}' feature, x, x * {_FACTOR[n]} again, not (x between {s.ref_range[0]} and {s.ref_range[1]}) and x * {_FACTOR[n]} between {s.ref_range[0]} and {s.ref_range[1]} fix, kind from (select id, kind, case when kind = 'unit_si' then {n} * {_FACTOR[n]} else {n} end x from feat, (select {_KIND} kind from inferred where feature = '{n}'))" for n, s in _CONVERTED.items())
+_PATCHED = " union all ".join(f"select id, '{n}' feature, x, x * {_FACTOR[n]} again, not (x between {s.measure.plausible[0]} and {s.measure.plausible[1]}) and x * {_FACTOR[n]} between {s.measure.plausible[0]} and {s.measure.plausible[1]} fix, kind from (select id, kind, case when kind = 'unit_si' then {n} * {_FACTOR[n]} else {n} end x from feat, (select {_KIND} kind from inferred where feature = '{n}'))" for n, s in _CONVERTED.items())
 
 
 @query("patch_units", f"""with inferred as ({_INFER}), patched as ({_PATCHED}) select feature, max((kind = 'unit_si')::integer) global_converted, count(*) filter (fix) inverse_patched, 0 forward_patched,
@@ -564,7 +564,7 @@ def _(v):
     return r6(units.align_to_si(v.feat, FEAT).select("id", *_FACTOR), 9)
 
 
-_RANGES = {n: s.ref_range for n, s in FEAT.items() if s.ref_range}
+_RANGES = {n: s.measure.plausible for n, s in FEAT.items() if s.measure.plausible}
 
 
 @query("plausibility_audit", " union all ".join(f"select '{c}' feature, {rd(f'avg(({c} between {lo} and {hi})::integer) in_range', f'quantile_cont({c}, 0.05) p5', f'quantile_cont({c}, 0.5) p50', f'quantile_cont({c}, 0.95) p95')}, (avg(({c} between {lo} and {hi})::integer) < 0.8)::integer implausible from feat" for c, (lo, hi) in _RANGES.items()))
@@ -574,7 +574,7 @@ def _(v):
 
 def _report_sql() -> str:
     q = lambda x: "null" if x is None else f"'{x}'"
-    rows = ", ".join(f"({q(s.name)}, {q(s.role)}, {q(s.unit_si if s.convert else s.unit)}, {int(s.clip_bounds is not None)}, {int(s.log_transform)}, {int(s.zscore)}, {q(s.impute or 'median')})" for s in FEAT.values())
+    rows = ", ".join(f"({q(s.name)}, {q(s.use.role)}, {q(s.measure.unit_si if s.measure.convert else s.measure.unit)}, {int(s.prepare.bounds is not None)}, {int(s.prepare.log)}, {int(s.prepare.zscore)}, {q(s.prepare.impute or 'median')})" for s in FEAT.values())
     removed = " union all ".join(f"select '{c}' feature, count(*) filter (not {_within(c)}) removed from feat" for c in _BOUNDS)
     return f"""with inferred as (select feature, p_raw, p_inv, {_KIND} kind0 from ({_INFER})), kinds as (select feature, kind0 from inferred), patched as ({_PATCHED.replace(_KIND + " kind", "kind0 kind")}),
       fixes as (select feature, count(*) filter (fix) patched from patched group by 1), gone as ({removed}), reg(name, role, unit, hard_clip, log, z, impute) as (values {rows})
@@ -591,7 +591,7 @@ def _(v):
     return cleaning.cleaning_report(units.registry_table(v.spark, FEAT), decisions)
 
 
-_METHODS = {n: s.impute or "median" for n, s in FEAT.items() if s.zscore}
+_METHODS = {n: s.prepare.impute or "median" for n, s in FEAT.items() if s.prepare.zscore}
 _AGG = {"median": "median({c})", "mean": "avg({c})", "constant_zero": "0"}
 
 
@@ -624,8 +624,8 @@ def _(v):
     return cleaning.stratified_split(v.stays.select("stay_id", "status"), "status", "stay_id")
 
 
-_MODEL = [s.name for s in FEAT.values() if s.role in ("feature", "confounder") and s.in_model]
-_SHOWN = [s for s in FEAT.values() if s.role in ("feature", "confounder", "outcome", "group")]
+_MODEL = [s.name for s in FEAT.values() if s.use.role in ("feature", "confounder") and s.use.in_model]
+_SHOWN = [s for s in FEAT.values() if s.use.role in ("feature", "confounder", "outcome", "group")]
 _COUNTS = ("n_lines", "any_f", "rf_qty")  # columns that aren't doubles
 
 
@@ -644,16 +644,16 @@ def _flow_sql() -> str:
     kind = lambda n: f"(select {_KIND} from inferred where feature = '{n}')"
     unit, fixed, bounded = [], [], []
     for n in (c for c in _MODEL if c != "n_lines"):
-        lo, hi = FEAT[n].ref_range or (0, 0)
+        lo, hi = FEAT[n].measure.plausible or (0, 0)
         f = _FACTOR.get(n)
         unit.append(f"case when {kind(n)} = 'unit_si' then {n} * {f} else {n} end {n}" if f else n)
         fixed.append(f"case when not ({n} between {lo} and {hi}) and {n} * {f} between {lo} and {hi} then {n} * {f} else {n} end {n}" if f else n)
         bounded.append(f"case when {_within(n)} then {n} end {n}" if n in _BOUNDS else n)
     names = [c for c in _MODEL if c != "n_lines"]
-    fill = {n: _AGG[FEAT[n].impute].format(c=n) for n in names if FEAT[n].impute}
+    fill = {n: _AGG[FEAT[n].prepare.impute].format(c=n) for n in names if FEAT[n].prepare.impute}
     filled = [f"coalesce({n}, f_{n}, 0) {n}" if n in fill else n for n in names]  # 0 where training rows have no value
-    scaled = [n for n in names if FEAT[n].zscore]
-    value = {n: f"case when {n} is not null then ln(1 + greatest({n}, 0)) end" if FEAT[n].log_transform else n for n in names}
+    scaled = [n for n in names if FEAT[n].prepare.zscore]
+    value = {n: f"case when {n} is not null then ln(1 + greatest({n}, 0)) end" if FEAT[n].prepare.log else n for n in names}
     last = [f"({value[n]} - m_{n}) / s_{n} {n}" if n in scaled else f"{value[n]} {n}" for n in names]
     return f"""with inferred as ({_INFER}), u as (select id, any_f, n_lines, {', '.join(unit)} from feat), x as (select id, any_f, n_lines, {', '.join(fixed)} from u),
       b as (select id, any_f, n_lines, {', '.join(bounded)} from x), m as (select *, {_split('b', 'any_f', 'id')} from b where any_f is not null),

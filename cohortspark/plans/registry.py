@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from ..functions.units import FeatureSpec, registry_of
+from ..functions.units import Measure, Prepare, Use, Variable, registry_of
 
-FEAT = registry_of([
-    FeatureSpec("id", role="id", in_model=False, in_selection=False),
-    FeatureSpec("r_min", domain="quantity", unit="g/dL", unit_si="g/L", convert="gdl_to_gl_multiply_10", zscore=True, impute="median", aggregation="min", window_h=24.0, ref_range=(20.0, 400.0), clip_bounds=(2.0, 45.0)),
-    FeatureSpec("r_max", domain="quantity", unit="g/dL", unit_si="g/L", convert="gdl_to_gl_multiply_10", zscore=True, impute="mean", aggregation="max", window_h=24.0, ref_range=(51.0, 500.0), clip_bounds=(5.0, 48.0)),
-    FeatureSpec("a_price", domain="price", log_transform=True, zscore=True, impute="median", aggregation="max", window_h=48.0, ref_range=(1000.0, 100000.0), clip_bounds=(2000.0, 100000.0)),
-    FeatureSpec("n_price", domain="price", unit="mg/dL", unit_si="mmol/L", convert="glucose_mgdl_to_mmol", log_transform=True, zscore=True, aggregation="mean", ref_range=(10000.0, 100000.0), clip_bounds=(3000.0, 90000.0)),
-    FeatureSpec("disc", domain="rate", zscore=True, impute="constant_zero", ref_range=(0.0, 0.1), clip_bounds=(0.01, 0.09)),
-    FeatureSpec("tax", domain="rate", unit="mg/dL", unit_si="umol/L", convert="bilirubin_mgdl_to_umol", zscore=True, impute="median", ref_range=(0.0, 0.08), clip_bounds=(0.01, 0.07)),
-    FeatureSpec("n_lines", role="confounder", in_selection=False),
-    FeatureSpec("any_f", role="outcome", in_model=False, in_selection=False),
-    FeatureSpec("rf_qty", domain="quantity", in_model=False, impute="median"),
-])
+FEAT = registry_of(
+    Variable("id", Use("id", in_model=False, in_selection=False)),
+    Variable("r_min", Use(domain="quantity"), Measure("g/dL", "g/L", "gdl_to_gl_multiply_10", (20.0, 400.0), "min", 24.0), Prepare((2.0, 45.0), "median", zscore=True)),
+    Variable("r_max", Use(domain="quantity"), Measure("g/dL", "g/L", "gdl_to_gl_multiply_10", (51.0, 500.0), "max", 24.0), Prepare((5.0, 48.0), "mean", zscore=True)),
+    Variable("a_price", Use(domain="price"), Measure(plausible=(1000.0, 100000.0), how="max", hours=48.0), Prepare((2000.0, 100000.0), "median", log=True, zscore=True)),
+    Variable("n_price", Use(domain="price"), Measure("mg/dL", "mmol/L", "glucose_mgdl_to_mmol", (10000.0, 100000.0), "mean"), Prepare((3000.0, 90000.0), log=True, zscore=True)),
+    Variable("disc", Use(domain="rate"), Measure(plausible=(0.0, 0.1)), Prepare((0.01, 0.09), "constant_zero", zscore=True)),
+    Variable("tax", Use(domain="rate"), Measure("mg/dL", "umol/L", "bilirubin_mgdl_to_umol", (0.0, 0.08)), Prepare((0.01, 0.07), "median", zscore=True)),
+    Variable("n_lines", Use("confounder", in_selection=False)),
+    Variable("any_f", Use("outcome", in_model=False, in_selection=False)),
+    Variable("rf_qty", Use(domain="quantity", in_model=False), prepare=Prepare(impute="median")),
+)

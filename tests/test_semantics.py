@@ -89,10 +89,12 @@ def test_conversions(spark):
         units.convert(F.col("x"), "nothing", strict=True)
     with pytest.warns(UserWarning):
         units.convert(F.col("x"), "nothing")
-    with pytest.raises(KeyError):
-        units.register_conversion("identity")(lambda c: c)
+    more = units.with_conversion(units.CONVERSIONS, "feet_to_m", units.Line(0.3048))
+    assert one(spark, units.convert(F.col("x"), "feet_to_m", table=more), x=10.0) == pytest.approx(3.048) and "feet_to_m" not in units.CONVERSIONS
+    with pytest.raises(ValueError):
+        units.with_conversion(units.CONVERSIONS, "identity", units.Line(2.0))
     with pytest.raises(ValueError):
-        units.FeatureSpec("x", impute="normal")
+        units.Prepare(impute="normal")
 
 
 def test_no_product_of_facts(spark):
@@ -112,7 +114,7 @@ def test_winsorising_spares_flags_and_is_stable(spark):
 
 
 def test_patching(spark):
-    registry = units.registry_of([units.FeatureSpec("c", convert="creatinine_mgdl_to_umol", ref_range=(30.0, 200.0))])
+    registry = units.registry_of(units.Variable("c", measure=units.Measure(convert="creatinine_mgdl_to_umol", plausible=(30.0, 200.0))))
     df = spark.createDataFrame([(1.0,)] * 8 + [(90.0,), (None,)], "c double")
     inferred = {r["feature"]: r["inferred_unit"] for r in cleaning.infer_units(df, registry).collect()}
     assert inferred == {"c": "unit_si"}
@@ -177,7 +179,7 @@ def test_units_back_and_forth(spark):
     for name in units.CONVERSIONS:
         there = units.convert(F.col("x"), name)
         assert [round(r[0], 9) for r in df.select(units.convert(there, name, inverse=True)).collect()] == [2.0, 30.0, 300.0]
-    registry = units.registry_of([units.FeatureSpec("x", unit="g/dL", unit_si="g/L", convert="gdl_to_gl_multiply_10", ref_range=(2.0, 40.0))])
+    registry = units.registry_of(units.Variable("x", measure=units.Measure("g/dL", "g/L", "gdl_to_gl_multiply_10", (2.0, 40.0))))
     si = spark.createDataFrame([(float(x),) for x in (100, 150, 300, 350)], "x double")
     found = cleaning.infer_units(si, registry, direction="inverse").first()
     assert (found["inferred_unit"], found["confidence"], found["p_inv"]) == ("unit_si", "high", 1.0)
@@ -200,10 +202,11 @@ def test_stored_assets_replay_alike(spark, tmp_path, mice):
 
 
 def test_branches_by_role(spark):
-    registry = units.registry_of([
-        units.FeatureSpec("a", convert="gdl_to_gl_multiply_10"), units.FeatureSpec("b", in_model=False), units.FeatureSpec("c", role="confounder", convert="gdl_to_gl_multiply_10"),
-        units.FeatureSpec("o", role="outcome"), units.FeatureSpec("g", role="group"), units.FeatureSpec("i", role="id"), units.FeatureSpec("absent"),
-    ])
+    V, to_gl = units.Variable, units.Measure(convert="gdl_to_gl_multiply_10")
+    registry = units.registry_of(
+        V("a", measure=to_gl), V("b", units.Use(in_model=False)), V("c", units.Use("confounder"), to_gl),
+        V("o", units.Use("outcome")), V("g", units.Use("group")), V("i", units.Use("id")), V("absent"),
+    )
     df = spark.createDataFrame([(k, 1.0, 2.0, 3.0, k % 2 if k else None, "g", "extra") for k in range(11)], "i int, a double, b double, c double, o int, g string, extra string")
     report, model = cleaning.bifurcate(df, registry, "o", "i")
     assert report.columns == ["a", "b", "c", "o", "g"] and report.first()[:3] == (10.0, 2.0, 3.0) and report.count() == 11
