@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, stash
+from .common import discard, fresh_name, stash
 from .textbytes import byte_column, chunks, mix, prefix_hashes, span_hash
 
 ANCHOR = 40
@@ -341,13 +341,15 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
     repeated strings cover, the number of maximal removed runs and the bytes that are left.
 
     kept may cut characters; kept_text string is kept without the parts of characters that are cut. Both judge all texts as they
-    are given. The id column is an integer. Columns of docs with these names are replaced."""
+    are given. The id column is an integer. Columns of docs with these names are replaced; all others stay, whatever their names."""
     added = ["n_bytes", "n_removed", "n_spans", "kept", "kept_text"]
     docs = docs.drop(*added)
-    spans = repeated_spans(docs, length, id_col, text, most_classes).withColumnsRenamed({"did": "span_did", "rid": "span_rid", "spans": "span_list"})
+    spans = repeated_spans(docs, length, id_col, text, most_classes)
+    did, rid, held = fresh_name(docs, "span_did", "span_rid", "span_list")
+    spans = spans.withColumnsRenamed({"did": did, "rid": rid, "spans": held})
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    on = (F.xxhash64(F.col(id_col).cast("long"), body) == F.col("span_rid")) & (_did(id_col) == F.col("span_did"))
-    both = docs.join(spans, on, "left").select(*[docs[c] for c in docs.columns], "span_list")
+    on = (F.xxhash64(F.col(id_col).cast("long"), body) == F.col(rid)) & (_did(id_col) == F.col(did))
+    both = docs.join(spans, on, "left").select(*docs.columns, held)
     place, n = docs.columns.index(text), len(docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
