@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +14,8 @@ from .textbytes import mix
 
 ORDER = 4
 UNDETERMINED = "und"
+#: Bytes of text that are learned from at most.
+SAMPLE_BYTES = 64 << 20
 _OTHER = 0
 
 
@@ -67,13 +68,15 @@ class Models:
 
 
 def fit(samples: dict[str, list[str]], order: int = ORDER, checks: int = 4) -> Models | None:
-    """Models of samples of text by language; None without any.
+    """Models of samples of text by language; None without any. A language whose samples have no letter is left out.
 
     Interpolated Kneser-Ney with one discount for each order, n1 / (n1 + 2 n2): the highest order counts occurrences, the
     lower ones the distinct characters before. Every checks-th text of a language calibrates the rejection and the score and
     isn't counted, where a language has that many."""
+    samples = {k: v for k, v in samples.items() if any(codes(x).any() for x in v)}
     languages = sorted(samples)
     counted = {k: [x for i, x in enumerate(v) if (i + 1) % checks or len(v) < checks] for k, v in samples.items()}
+    counted = {k: v if any(codes(x).any() for x in v) else samples[k] for k, v in counted.items()}
     if not languages:
         return None
     tables: list[dict[str, tuple]] = []
@@ -192,10 +195,11 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def labelled_texts(docs: DataFrame, keep, most: int, id_col: str = "doc_id", text: str = "text", lang: str = "lang") -> dict[str, list[str]]:
+def labelled_texts(docs: DataFrame, keep, most: int, id_col: str = "doc_id", text: str = "text", lang: str = "lang", most_bytes: int = SAMPLE_BYTES) -> dict[str, list[str]]:
     """Texts by language of the rows that keep (a condition on the id) holds for: of each language the `most` rows with the
     least hashes of their ids, and at most `most` rows altogether where ids repeat. Null languages and texts, and ids that are
-    null, are left out."""
+    null, are left out. A language has an equal share of most_bytes: a text of more than an eighth of that isn't a sample, and
+    texts count until the share is used up."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
     ids = rows.where("lang is not null and text is not null and id is not null").where(keep(F.col("id"))).select("lang", "id")
     languages = sorted(r[0] for r in ids.select("lang").distinct().limit(1001).collect())
@@ -203,13 +207,15 @@ def labelled_texts(docs: DataFrame, keep, most: int, id_col: str = "doc_id", tex
         raise ValueError("more than 1000 languages; the labels aren't languages")
     if not languages:
         return {}
-    picks = [ids.where(F.col("lang") == k).orderBy(F.xxhash64("id"), "id").limit(most).distinct() for k in languages]
-    picked = reduce(DataFrame.union, picks)
+    share = most_bytes // len(languages)
+    least = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
+    picked = ids.withColumn("place", least).where(F.col("place") <= most).select("lang", "id").distinct()
     found: dict[str, list[str]] = {k: [] for k in languages}
     # an id may have many rows
     order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", F.xxhash64("text"), "text")
-    rows = rows.where("text is not null").join(F.broadcast(picked), ["id", "lang"]).withColumn("place", F.row_number().over(order))
-    for r in rows.where(F.col("place") <= most).orderBy("id", "place").collect():
+    rows = rows.where(F.octet_length("text") <= share // 8).join(F.broadcast(picked), ["id", "lang"]).withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
+    used = F.sum(F.octet_length("text").cast("long")).over(Window.partitionBy("lang").orderBy("place").rowsBetween(Window.unboundedPreceding, 0))
+    for r in rows.withColumn("used", used).where(F.col("used") <= share).orderBy("id", "place").collect():
         found[r["lang"]].append(r["text"])
     return found
 
@@ -218,7 +224,7 @@ def identify_language(docs: DataFrame, keep, most: int = 600, reject: bool = Fal
     """docs with `lang_pred` string and `score` double.
 
     keep: a condition on the id column: rows whose lang may be learned from; most: the greatest number of them for each
-    language, the rows with the least hashes of their ids. The prediction is the language of the lowest cross-entropy a
+    language, the rows with the least hashes of their ids (most_bytes of labelled_texts() bounds their size). The prediction is the language of the lowest cross-entropy a
     character of the whole text. score: its calibrated probability. A text that is null or has no letter (str.isalpha) is `und` with score
     0; so is every text where no language can be learned; with reject, also a text whose entropy is beyond what nearly all
     texts of the languages have. Ties go to the first language in order. Columns of docs of these two names are replaced."""
