@@ -18,6 +18,8 @@ from .sentencepiece_sample import ragged
 from .textbytes import mix, prefix_hashes, span_hash
 
 WORDS = re.compile(r"\w+")
+#: Bytes of text that are learned from at most.
+SAMPLE_BYTES = 64 << 20
 WIDTH, STRIDE = 64, 48
 HIDDEN, NGRAMS = 8, (3, 4, 5, 6)
 WORD_BITS, GRAM_BITS = 18, 18
@@ -283,18 +285,21 @@ class Scorer:
         return np.where(np.isfinite(z := self.logits(docs)), sigmoid(np.clip(z * self.net.slope + self.net.shift, -50, 50)), 0.0)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, keep, most: int, id_col: str = "doc_id", text: str = "text", label: str = "toxic") -> tuple[list[str], list[int], tuple[float, float]]:
+def labelled_sample(docs: DataFrame, labels: DataFrame, keep, most: int, id_col: str = "doc_id", text: str = "text", label: str = "toxic", most_bytes: int = SAMPLE_BYTES) -> tuple[list[str], list[int], tuple[float, float]]:
     """Texts, labels, and the share of its rows that each label's texts are: at most `most` labelled documents of each label, those with the least hashes of their ids.
+    A label has half of most_bytes: a text of more than an eighth of that isn't a sample, and texts count until it is used up.
 
     keep: a condition on the id column. An id with several labels counts as the greatest; null texts and labels are left out."""
     known = labels.select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("label")).where("label in (0, 1) and id is not null").where(keep(F.col("id")))
     known = known.groupBy("id").agg(F.max("label").alias("label"))
     n = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     picked = [known.where(F.col("label") == y).orderBy(F.xxhash64("id"), "id").limit(most) for y in (0, 1)]
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).where("text is not null").join(F.broadcast(picked[0].union(picked[1])), "id")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).where(F.octet_length("text") <= most_bytes // 16).join(F.broadcast(picked[0].union(picked[1])), "id")
     # an id may have many rows
     order = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id", F.xxhash64("text"), "text")
     rows = rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
+    used = F.sum(F.octet_length("text").cast("long")).over(Window.partitionBy("label").orderBy("place").rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("used", used).where(F.col("used") <= most_bytes // 2)
     got = rows.select("id", "text", "label").orderBy("id", "place").collect()
     shares = tuple(min(1.0, most / max(n.get(y, 1), 1)) for y in (0, 1))
     return [r["text"] for r in got], [r["label"] for r in got], shares
