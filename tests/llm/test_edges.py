@@ -12,11 +12,12 @@ import corpus_pipeline
 from cohortspark.llm.bm25 import bm25_top_k
 from cohortspark.llm.common import fold
 from cohortspark.llm.embed_dedup import near_duplicates
-from cohortspark.llm.langid import identify_language
+from cohortspark.llm.langid import fit, identify_language, labelled_texts
 from cohortspark.llm.mixing import mix_sources
 from cohortspark.llm.ngram_join import similar_groups
+from cohortspark.llm.suffix_dedup import remove_repeats
 from cohortspark.llm.token_count import count_tokens
-from cohortspark.llm.toxicity import score_toxicity
+from cohortspark.llm.toxicity import labelled_sample, score_toxicity
 from cohortspark.llm.warc import warc_round_trip
 
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -95,3 +96,31 @@ def test_pipeline_on_no_rows_and_null_rows(spark, tmp_path):
             kept = stage(spark, docs, f"{tmp_path}/{name}")
             assert kept.columns == docs.columns and kept.count() == len(held)
         assert corpus_pipeline.run(spark, f"{tmp_path}/{name}").where("not lossless").count() == 0
+
+
+def test_repeats_beside_taken_names(spark):
+    names = ("span_list", "span_did", "span_rid", "did", "rid", "spans", "h", "kept")
+    docs = spark.createDataFrame([(1, "x" * 300), (2, "clean")], "doc_id long, text string").withColumns({c: F.lit(f"own {c}") for c in names})
+    rows = {r["doc_id"]: r for r in remove_repeats(docs).collect()}
+    assert rows[1]["n_removed"] == 300 and rows[2]["n_removed"] == 0
+    assert all(rows[1][c] == f"own {c}" for c in names if c != "kept")
+
+
+def test_languages_without_letters(spark):
+    rows = [(i, "", "a") for i in range(30)] + [(40, "abc", None), (41, "12", "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r["lang_pred"] for r in identify_language(docs, TRAIN).collect()} == {"und"}
+    with_b = docs.union(spark.createDataFrame([(100 + i, "" if i % 2 else "wo wa", "b") for i in range(12)], docs.schema))
+    assert {r["lang_pred"] for r in identify_language(with_b, TRAIN).where("text like '%w%' or doc_id = 40").collect()} == {"b"}
+    assert fit({"a": ["", "", "", "only the fourth has letters"], "b": ["..."]}).languages == ["a"]
+
+
+def test_samples_are_bounded_in_bytes(spark):
+    rows = [(i, f"text {i} " * 20, "ab"[i % 2]) for i in range(40)] + [(99, "y" * 3_000_000, "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    marks = docs.select("doc_id", (F.col("lang") == "a").cast("int").alias("toxic"))
+    everyone = lambda i: i >= 0
+    found = labelled_texts(docs, everyone, 600, most_bytes=4000)
+    assert all(0 < sum(map(len, v)) <= 2000 for v in found.values()) and len(found) == 2
+    texts, labels, _ = labelled_sample(docs, marks, everyone, 600, most_bytes=8000)
+    assert 0 < sum(len(x) for x, y in zip(texts, labels) if y) <= 4000 and max(map(len, texts)) <= 500

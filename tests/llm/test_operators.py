@@ -298,30 +298,61 @@ def test_warc_keeps_ids_beyond_doubles(spark):
 # 6
 
 
-@pytest.mark.parametrize(("shard_docs", "most_queries"), [(70, 3), (25, 400_000)])
-def test_bm25(spark, shard_docs, most_queries):
-    rng = random.Random(3)
-    words = [f"w{k}" for k in range(80)] + ["é"]
-    rows = [(i, " ".join(rng.choice(words[: rng.randint(2, 81)]) for _ in range(rng.randint(0, 60)))) for i in range(300)] + [(500, None), (501, ""), (502, "w1 w2"), (503, "w1 w2"), (None, "w1")]
-    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, term int")
-    got = {(r["query_id"], r["rank"]): (r["doc_id"], r["score"]) for r in bm25_top_k(docs, docs.where("doc_id % 50 = 0 or doc_id > 500"), shard_docs=shard_docs, most_queries=most_queries).collect()}
+def best_by_bm25(rows, queries, k=10):
+    """(query, rank) -> (id, score) of rows (id, text), each scored in full."""
     tf = {i: Counter(re.findall(r"\w+", t or "")) for i, t in rows if i is not None}
     n, mean = len(tf), sum(sum(c.values()) for c in tf.values()) / len(tf)
     df = Counter(t for c in tf.values() for t in c)
     want = {}
-    for q in (i for i in tf if i % 50 == 0 or i > 500):
+    for q in queries:
         scores = []
         for i, c in tf.items():
             size = sum(c.values())
-            s = sum(k * math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * c[t] * 2.2 / (c[t] + 1.2 * (0.25 + 0.75 * size / mean)) for t, k in tf[q].items() if t in c)
+            s = sum(m * math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * c[t] * 2.2 / (c[t] + 1.2 * (0.25 + 0.75 * size / mean)) for t, m in tf[q].items() if t in c)
             if s > 0:
                 scores.append((-round(s, 6), i))
-        want |= {(q, k + 1): (i, -s) for k, (s, i) in enumerate(sorted(scores)[:10])}
+        want |= {(q, r + 1): (i, -s) for r, (s, i) in enumerate(sorted(scores)[:k])}
+    return want
+
+
+@pytest.mark.parametrize(("shard_docs", "most_queries"), [(70, 3), (25, 400_000)])
+def test_bm25(spark, shard_docs, most_queries):
+    rng = random.Random(3)
+    words = [f"w{k}" for k in range(80)] + ["é"]
+    rows = [(i, " ".join(rng.choice(words[: rng.randint(2, 81)]) for _ in range(rng.randint(0, 60)))) for i in range(300)] + [(500, None), (501, ""), (502, "w1 w2"), (503, "w1 w2"), (None, "w1")]
+    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, term int")
+    got = {(r["query_id"], r["rank"]): (r["doc_id"], r["score"]) for r in bm25_top_k(docs, docs.where("doc_id % 50 = 0 or doc_id > 500"), shard_docs=shard_docs, most_queries=most_queries).collect()}
+    want = best_by_bm25(rows, [i for i, _ in rows if i is not None and (i % 50 == 0 or i > 500)])
     assert got.keys() == want.keys()
     assert all(got[k][0] == want[k][0] and got[k][1] == pytest.approx(want[k][1], abs=2e-6) for k in want)
     assert bm25_top_k(docs.limit(0), docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("tasks", [1, 4])
+@pytest.mark.parametrize("seed", [1, 2])
+def test_bm25_of_short_queries_keeps_the_last_rank_and_its_ties(spark, tasks, seed):
+    rng = random.Random(seed)
+    words = [f"w{k}" for k in range(400)]
+    texts = [" ".join(rng.choice(words[: rng.choice([20, 400])]) for _ in range(rng.randint(1, 12))) for _ in range(1000)]
+    rows = list(enumerate([*texts, *texts]))  # each twice: ties, and over tasks
+    asked = [(10_000 + i, " ".join(rng.choice(words) for _ in range(rng.randint(1, 3)))) for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(tasks, "doc_id")
+    queries = spark.createDataFrame(asked, "doc_id long, text string")
+    got = {(r["query_id"], r["rank"]): (r["doc_id"], r["score"]) for r in bm25_top_k(docs, queries, shard_docs=2000 if tasks == 1 else 300).collect()}
+    tf = [Counter(x.split()) for _, x in rows]
+    n, mean = len(tf), sum(sum(c.values()) for c in tf) / len(tf)
+    df = Counter(t for c in tf for t in c)
+    for q, text in asked:
+        scores = []
+        for i, c in enumerate(tf):
+            s = sum(math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * c[t] * 2.2 / (c[t] + 1.2 * (0.25 + 0.75 * sum(c.values()) / mean)) * m for t, m in Counter(text.split()).items() if t in c)
+            if s > 0:
+                scores.append((-round(s, 6), i))
+        want = sorted(scores)[:10]
+        own = [got[q, k] for k in range(1, 11) if (q, k) in got]
+        assert [i for i, _ in own] == [i for _, i in want] and [s for _, s in own] == pytest.approx([-s for s, _ in want], abs=2e-6)
+
+
 def test_bm25_counts_all_of_a_word(spark):
     rows = [(0, "w"), (1, "w " * 100_000 + "x " * 400_000), (2, "x y")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
