@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .bm25 import bm25_top_k
 from .common import fold, held_out, table
+from .divergence import audit_sources
 from .embed_dedup import near_duplicates
 from .langid import identify_language
 from .mixing import mix_sources
@@ -104,5 +105,30 @@ def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.95)
 
 
-QUERIES = {"op6_bm25_top_k": op6_bm25_top_k, "op7_embedding_near_dedup": op7_embedding_near_dedup, "op3_suffix_array_dedup": op3_suffix_array_dedup, "op2_ngram_jaccard_join": op2_ngram_jaccard_join, "op8_identify_language": op8_identify_language, "op10_score_toxicity": op10_score_toxicity, "op1_sentencepiece_sample": op1_sentencepiece_sample, "op9_count_tokens": op9_count_tokens, "op5_warc_round_trip": op5_warc_round_trip, "op4_mix_sources": op4_mix_sources}
-ORACLES = {"op5_warc_round_trip": OP5_SQL, "op4_mix_sources": OP4_SQL}
+def op11_audit_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the sources of each language differ in the terms that ten of its documents hold, over all documents."""
+    return audit_sources(table(spark, sf_dir, "documents"), least=10, top=10)
+
+
+OP11_SQL = r"""
+with d as (select row_number() over () r, coalesce(lang, '') lang, coalesce(source, '') source, coalesce(text, '') body from documents),
+t as (select r, lang, source, translate(unnest(regexp_extract_all(body, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') term from d),
+kept as (select lang, term, count(*)::hugeint m from t group by lang, term having count(distinct r) >= 10),
+langs as (select lang, count(*)::hugeint v, sum(m)::hugeint n from kept group by lang),
+cells as (select t.lang, t.source, t.term, count(*)::hugeint c from t join kept using (lang, term) group by all),
+sums as (select lang, source, sum(c)::hugeint n from cells group by all),
+groups as (select distinct lang, source from d),
+p as (select g.lang, g.source, k.term, coalesce(c.c, 0) c, 1 + (1000000000 * (coalesce(c.c, 0) + 2)) // (coalesce(s.n, 0) + 2 * l.v) p, 1 + (1000000000 * (k.m + 2)) // (l.n + 2 * l.v) q
+      from groups g join kept k using (lang) join langs l using (lang) left join sums s using (lang, source) left join cells c using (lang, source, term)),
+sides as (select a.lang, a.source, b.source item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) f from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+pairs as (select a.lang, a.source, b.source item, coalesce(f, 0)::bigint as value from groups a join groups b on a.lang = b.lang and a.source <> b.source
+          left join sides s on s.lang = a.lang and s.source = a.source and s.item = b.source),
+over_q as (select lang, source, term item, (((p - q) * (p - q)) // (p + q))::bigint as value from p where c > 0 and p > q),
+both_parts as (select lang, source, 'pair' part, item, value from pairs union all select lang, source, 'term', item, value from over_q),
+ranked as (select *, (row_number() over (partition by lang, source, part order by value desc, encode(item)))::integer as rank from both_parts)
+select * from ranked where part = 'pair' or rank <= 10
+"""
+
+
+QUERIES = {"op11_audit_sources": op11_audit_sources, "op6_bm25_top_k": op6_bm25_top_k, "op7_embedding_near_dedup": op7_embedding_near_dedup, "op3_suffix_array_dedup": op3_suffix_array_dedup, "op2_ngram_jaccard_join": op2_ngram_jaccard_join, "op8_identify_language": op8_identify_language, "op10_score_toxicity": op10_score_toxicity, "op1_sentencepiece_sample": op1_sentencepiece_sample, "op9_count_tokens": op9_count_tokens, "op5_warc_round_trip": op5_warc_round_trip, "op4_mix_sources": op4_mix_sources}
+ORACLES = {"op11_audit_sources": OP11_SQL, "op5_warc_round_trip": OP5_SQL, "op4_mix_sources": OP4_SQL}
