@@ -12,6 +12,7 @@ from .embed_dedup import near_duplicates
 from .langid import identify_language
 from .mixing import mix_sources
 from .ngram_join import similar_groups
+from .private_data import BASE_KINDS, private_spans
 from .sentencepiece_sample import sample_encode
 from .suffix_dedup import remove_repeats
 from .token_count import count_tokens
@@ -130,5 +131,15 @@ select * from ranked where part = 'pair' or rank <= 10
 """
 
 
-QUERIES = {"op11_audit_sources": op11_audit_sources, "op6_bm25_top_k": op6_bm25_top_k, "op7_embedding_near_dedup": op7_embedding_near_dedup, "op3_suffix_array_dedup": op3_suffix_array_dedup, "op2_ngram_jaccard_join": op2_ngram_jaccard_join, "op8_identify_language": op8_identify_language, "op10_score_toxicity": op10_score_toxicity, "op1_sentencepiece_sample": op1_sentencepiece_sample, "op9_count_tokens": op9_count_tokens, "op5_warc_round_trip": op5_warc_round_trip, "op4_mix_sources": op4_mix_sources}
+def op12_find_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents: how many base spans of each kind, a digest of them, and all spans."""
+    found = private_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    own = lambda wanted: F.filter("private_spans", wanted)
+    listed = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+    of = lambda k: own(lambda x: x["base"] & (x["kind"] == k))
+    counts = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in BASE_KINDS]
+    return found.select("doc_id", *counts, F.sha2(listed(own(lambda x: x["base"])).cast("binary"), 256).alias("base_sha256"), listed(F.col("private_spans")).alias("spans"))
+
+
+QUERIES = {"op12_find_private_data": op12_find_private_data, "op11_audit_sources": op11_audit_sources, "op6_bm25_top_k": op6_bm25_top_k, "op7_embedding_near_dedup": op7_embedding_near_dedup, "op3_suffix_array_dedup": op3_suffix_array_dedup, "op2_ngram_jaccard_join": op2_ngram_jaccard_join, "op8_identify_language": op8_identify_language, "op10_score_toxicity": op10_score_toxicity, "op1_sentencepiece_sample": op1_sentencepiece_sample, "op9_count_tokens": op9_count_tokens, "op5_warc_round_trip": op5_warc_round_trip, "op4_mix_sources": op4_mix_sources}
 ORACLES = {"op11_audit_sources": OP11_SQL, "op5_warc_round_trip": OP5_SQL, "op4_mix_sources": OP4_SQL}
