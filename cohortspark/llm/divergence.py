@@ -21,14 +21,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .bits import bit_table, has
 from .common import discard, stash
 from .runs import gather, parts, spans
 from .textbytes import mix, prefix_hashes, releasing, span_hash
 
 #: Fixed values of the smoothing: what is added to each count, and the unit of shares.
 ADDED, UNIT = 2, 1_000_000_000
-#: Bits of the table of prefixes that are left.
-BITS = 1 << 26
 
 #: Bytes of terms: letters of ASCII and all bytes of other characters.
 _TERM = np.array([i >= 0x80 or chr(i).isalpha() for i in range(256)])
@@ -39,9 +38,9 @@ def _salt(lang: str) -> int:
     return int.from_bytes(hashlib.blake2b(lang.encode(), digest_size=8).digest(), "little")
 
 
-def _place(hashes: np.ndarray, salts: np.ndarray) -> np.ndarray:
-    """The bit of a prefix of a language."""
-    return mix(hashes ^ salts) % np.uint64(BITS)
+def _hash(hashes: np.ndarray, salts: np.ndarray) -> np.ndarray:
+    """The hash of a prefix of a language."""
+    return mix(hashes ^ salts)
 
 
 def _level(docs: DataFrame, length: int, left: np.ndarray | None) -> DataFrame:
@@ -65,8 +64,7 @@ def _level(docs: DataFrame, length: int, left: np.ndarray | None) -> DataFrame:
                 prefix = prefix_hashes(text)
                 if before:
                     longer = np.flatnonzero(end - start > before)
-                    at = _place(span_hash(prefix, start[longer], start[longer] + before), salts[langs[row[longer]]])
-                    longer = longer[(left[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1]
+                    longer = longer[has(left, _hash(span_hash(prefix, start[longer], start[longer] + before), salts[langs[row[longer]]]))]
                     start, end, row = start[longer], end[longer], row[longer]
                 whole = end - start <= length
                 end = np.minimum(end, start + length)
@@ -88,21 +86,18 @@ def _level(docs: DataFrame, length: int, left: np.ndarray | None) -> DataFrame:
     return docs.mapInArrow(releasing(run), _LEVEL)
 
 
-def _bit_table(prefixes: DataFrame) -> np.ndarray:
-    """The table of BITS bits that has those of the prefixes (lang, term); a fixed size, whatever their number."""
+def _prefix_hashes(prefixes: DataFrame) -> DataFrame:
+    """(h): what _hash() makes of (lang, term)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lang = batch.column(0).dictionary_encode()
             salts = np.array([_salt(x) for x in lang.dictionary.to_pylist()], np.uint64)[lang.indices.to_numpy()]
             for lo, hi, text, offsets in parts(batch.column(1)):
-                at = _place(span_hash(prefix_hashes(text), offsets[:-1], offsets[1:]), salts[lo:hi])
-                yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(3)).astype(np.int32)), pa.array(1 << (at & np.uint64(7)).astype(np.int32))], ["byte", "bits"])
+                h = _hash(span_hash(prefix_hashes(text), offsets[:-1], offsets[1:]), salts[lo:hi])
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], ["h"])
 
-    table = np.zeros(BITS // 8, np.uint8)
-    got = prefixes.select("lang", "term").mapInArrow(releasing(run), "byte int, bits int").groupBy("byte").agg(F.bit_or("bits").cast("int").alias("bits")).toArrow()
-    table[got["byte"].to_numpy()] = got["bits"].to_numpy()
-    return table
+    return prefixes.select("lang", "term").mapInArrow(releasing(run), "h long")
 
 
 def kept_terms(docs: DataFrame, least: int, first: int = 8) -> tuple[DataFrame, list[DataFrame]]:
@@ -118,7 +113,7 @@ def kept_terms(docs: DataFrame, least: int, first: int = 8) -> tuple[DataFrame,
         found.append(cells.select("lang", "source", F.col("term").cast("string").alias("term"), "n"))
         prefixes = stash(enough.where("not whole").select("lang", "term"), "prefixes")
         done = prefixes.isEmpty()
-        left = None if done else _bit_table(prefixes)
+        left = None if done else bit_table(_prefix_hashes(prefixes))
         discard(prefixes)
         if done:
             return reduce(DataFrame.union, found), stored

@@ -17,6 +17,7 @@ from .sentencepiece_sample import sample_encode
 from .suffix_dedup import remove_repeats
 from .token_count import count_tokens
 from .toxicity import score_toxicity
+from .variants import spelling_variants
 from .warc import warc_round_trip
 
 # MIX_MOST is the greatest rate that the SQL can follow; the query has no bound
@@ -141,5 +142,10 @@ def op12_find_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(listed(own(lambda x: x["base"])).cast("binary"), 256).alias("base_sha256"), listed(F.col("private_spans")).alias("spans"))
 
 
-QUERIES = {"op12_find_private_data": op12_find_private_data, "op11_audit_sources": op11_audit_sources, "op6_bm25_top_k": op6_bm25_top_k, "op7_embedding_near_dedup": op7_embedding_near_dedup, "op3_suffix_array_dedup": op3_suffix_array_dedup, "op2_ngram_jaccard_join": op2_ngram_jaccard_join, "op8_identify_language": op8_identify_language, "op10_score_toxicity": op10_score_toxicity, "op1_sentencepiece_sample": op1_sentencepiece_sample, "op9_count_tokens": op9_count_tokens, "op5_warc_round_trip": op5_warc_round_trip, "op4_mix_sources": op4_mix_sources}
+def op13_group_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of all documents with their near words, forms and roots."""
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op13_group_spelling_variants": op13_group_spelling_variants, "op12_find_private_data": op12_find_private_data, "op11_audit_sources": op11_audit_sources, "op6_bm25_top_k": op6_bm25_top_k, "op7_embedding_near_dedup": op7_embedding_near_dedup, "op3_suffix_array_dedup": op3_suffix_array_dedup, "op2_ngram_jaccard_join": op2_ngram_jaccard_join, "op8_identify_language": op8_identify_language, "op10_score_toxicity": op10_score_toxicity, "op1_sentencepiece_sample": op1_sentencepiece_sample, "op9_count_tokens": op9_count_tokens, "op5_warc_round_trip": op5_warc_round_trip, "op4_mix_sources": op4_mix_sources}
 ORACLES = {"op11_audit_sources": OP11_SQL, "op5_warc_round_trip": OP5_SQL, "op4_mix_sources": OP4_SQL}
