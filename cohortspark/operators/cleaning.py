@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.derive import log1p_floor
 from ..functions.units import Registry, align_to_si, convert, names
 from .cumulative import placed
+from .quantiles import exact_quantiles
 from .select import align_space
 
 
@@ -28,9 +29,29 @@ def long_form(df: DataFrame, columns: dict[str, dict[str, Column]], key: str = "
     return wide.select(F.explode(F.array(*wide.columns)).alias("x")).select("x.*")
 
 
+#: For `approximate`: exact quantiles by counts of ranges, in a few passes and without a buffer of a column.
+RANGES = "ranges"
+
+
+def column_quantiles(df: DataFrame, columns: list[str], qs: list[float]) -> DataFrame:
+    """(feature, q) of columns of numbers by selection; see exact_quantiles()."""
+    long = df.select(*[F.col(c).cast("double") for c in columns]).unpivot([], columns, "feature", "value")
+    return exact_quantiles(long, ["feature"], "value", qs)
+
+
+def _quantiles(df: DataFrame, columns: list[str], qs: list[float], approximate: int | str | None) -> dict[str, list[float] | None]:
+    if not columns:
+        return {}
+    if approximate == RANGES:
+        found = {r["feature"]: r["q"] for r in column_quantiles(df, columns, qs).collect()}  # one row for each column
+        return {c: found[c] if c in found and found[c][0] is not None else None for c in columns}
+    return _stats(df, {c: quantiles_of(c, qs, approximate) for c in columns})
+
+
 def quantiles_of(c: str, qs: list[float], approximate: int | None = None) -> Column:
     """Interpolated quantiles as an array. They are exact and keep a count of each distinct value in one buffer, unless an accuracy
-    of percentile_approx is given, for columns of more distinct values than a task can hold."""
+    of percentile_approx is given, for columns of more distinct values than a task can hold. (Functions that take `approximate`
+    also take RANGES.)"""
     return F.percentile(c, F.array(*[F.lit(q) for q in qs])) if approximate is None else F.percentile_approx(F.col(c).cast("double"), qs, approximate)
 
 
@@ -38,10 +59,10 @@ def median_of(c: str, approximate: int | None = None) -> Column:
     return F.percentile(c, F.lit(0.5)) if approximate is None else F.percentile_approx(F.col(c).cast("double"), 0.5, approximate)
 
 
-def repair_units(df: DataFrame, rules: dict[str, tuple[float, float]], share: float = 0.2, approximate: int | None = None) -> DataFrame:
+def repair_units(df: DataFrame, rules: dict[str, tuple[float, float]], share: float = 0.2, approximate: int | str | None = None) -> DataFrame:
     """rules: column -> (logical minimum, factor): a column whose median is under share * minimum is multiplied."""
-    medians = _stats(df, {c: median_of(c, approximate) for c in rules})
-    low = {c: f for c, (m, f) in rules.items() if medians[c] is not None and medians[c] < share * m}
+    medians = _quantiles(df, list(rules), [0.5], approximate)
+    low = {c: f for c, (m, f) in rules.items() if medians[c] is not None and medians[c][0] < share * m}
     return df.withColumns({c: F.col(c) * f for c, f in low.items()})
 
 
@@ -55,11 +76,15 @@ def clamp(df: DataFrame, bounds: dict[str, tuple[float, float]]) -> DataFrame:
     return df.withColumns({c: F.when(F.col(c).isNotNull(), F.least(F.greatest(F.col(c), F.lit(lo)), F.lit(hi))) for c, (lo, hi) in bounds.items()})
 
 
-def winsorize(df: DataFrame, columns: list[str], lo: float = 0.01, hi: float = 0.99, exclude: tuple[str, ...] = (), approximate: int | None = None, keep_binary: bool = True) -> DataFrame:
+def winsorize(df: DataFrame, columns: list[str], lo: float = 0.01, hi: float = 0.99, exclude: tuple[str, ...] = (), approximate: int | str | None = None, keep_binary: bool = True) -> DataFrame:
     """Columns clipped to their quantiles (exact and interpolated, or percentile_approx of an accuracy). Columns of two values
     at most are left alone unless keep_binary is False: clipping would erase rare flags."""
     used = [c for c in columns if c not in exclude]
-    found = _stats(df, {f"q_{c}": quantiles_of(c, [lo, hi], approximate) for c in used} | ({f"r_{c}": F.approx_count_distinct(c) for c in used} if keep_binary else {}))
+    kinds = {f"r_{c}": F.approx_count_distinct(c) for c in used} if keep_binary else {}
+    if approximate == RANGES:
+        found = _stats(df, kinds) | {f"q_{c}": q for c, q in _quantiles(df, used, [lo, hi], RANGES).items()}
+    else:
+        found = _stats(df, {f"q_{c}": quantiles_of(c, [lo, hi], approximate) for c in used} | kinds)
     clipped = {c: found[f"q_{c}"] for c in used if found[f"q_{c}"] and not (keep_binary and found[f"r_{c}"] <= 2)}
     return clamp(df, {c: (float(a), float(b)) for c, (a, b) in clipped.items()})
 
@@ -106,10 +131,16 @@ def patch_units(df: DataFrame, registry: Registry, inferred: dict[str, str], dir
     return df.withColumns(fixed), long_form(df, audit)
 
 
-def plausibility_audit(df: DataFrame, ranges: dict[str, tuple[float, float]], least: float = 0.8, approximate: int | None = None) -> DataFrame:
+def plausibility_audit(df: DataFrame, ranges: dict[str, tuple[float, float]], least: float = 0.8, approximate: int | str | None = None) -> DataFrame:
     """(feature, in_range, p5, p50, p95, implausible)."""
     q = lambda c, p: F.try_element_at(quantiles_of(c, [p], approximate), F.lit(1))
-    stats = {c: {"in_range": F.avg(F.col(c).between(lo, hi).cast("int")), "p5": q(c, 0.05), "p50": q(c, 0.5), "p95": q(c, 0.95)} for c, (lo, hi) in ranges.items()}
+    share = lambda c: F.avg(F.col(c).between(*ranges[c]).cast("int"))
+    if approximate == RANGES:
+        found = column_quantiles(df, list(ranges), [0.05, 0.5, 0.95])
+        own = long_form(df, {c: {"in_range": share(c)} for c in ranges}).join(found, "feature")
+        out = own.select("feature", "in_range", *[F.col("q")[i].alias(n) for i, n in enumerate(("p5", "p50", "p95"))])
+        return out.withColumn("implausible", (F.col("in_range") < least).cast("int"))
+    stats = {c: {"in_range": share(c), "p5": q(c, 0.05), "p50": q(c, 0.5), "p95": q(c, 0.95)} for c in ranges}
     return long_form(df, stats).withColumn("implausible", (F.col("in_range") < least).cast("int"))
 
 
@@ -124,12 +155,14 @@ def cleaning_report(registry_rows: DataFrame, decisions: DataFrame) -> DataFrame
     )
 
 
-def fit_imputer(df: DataFrame, methods: dict[str, str], approximate: int | None = None) -> dict[str, float]:
+def fit_imputer(df: DataFrame, methods: dict[str, str], approximate: int | str | None = None) -> dict[str, float]:
     """Fill values from one pass: median, mean or constant_zero for each column; a column without values gets 0."""
     made = {"median": lambda c: median_of(c, approximate), "mean": F.avg, "constant_zero": lambda c: F.lit(0.0)}
     if unknown := set(methods.values()) - set(made):
         raise ValueError(f"no simple imputation: {sorted(unknown)}")
-    found = _stats(df, {c: F.max(F.lit(0.0)) if m == "constant_zero" else made[m](c) for c, m in methods.items()})
+    ranged = [c for c, m in methods.items() if m == "median"] if approximate == RANGES else []
+    found = _stats(df, {c: F.max(F.lit(0.0)) if m == "constant_zero" else made[m](c) for c, m in methods.items() if c not in ranged})
+    found |= {c: q and q[0] for c, q in _quantiles(df, ranged, [0.5], RANGES).items()}
     return {c: float(v or 0.0) for c, v in found.items()}
 
 
@@ -297,7 +330,7 @@ def assets_of(table: DataFrame) -> Assets:
     return Assets(order, [r["feature"] for r in rows if r["is_log"]], fill, {r["feature"]: (r["mean"], r["std"]) for r in rows}, mice)
 
 
-def fit_assets(df: DataFrame, features: list[str], logs: list[str], mice: bool = False, approximate: int | None = None) -> Assets:
+def fit_assets(df: DataFrame, features: list[str], logs: list[str], mice: bool = False, approximate: int | str | None = None) -> Assets:
     logged = align_space(df, features).withColumns({c: log1p_floor(F.col(c)) for c in logs})
     if mice:
         m = fit_mice(logged, features)

@@ -5,14 +5,12 @@ Scores are summed to distinct values first, so that what is sorted is bounded by
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .cleaning import hash_number, quantiles_of
+from .bootstrap import replicate_metrics
+from .cleaning import RANGES, column_quantiles, hash_number, quantiles_of
 from .cumulative import ranges_for, running
 
 
@@ -93,56 +91,32 @@ def poisson1(u: Column) -> Column:
 def bootstrap_ci(df: DataFrame, y: str, p: str, key: str, replicates: int, by: list[str] | None = None, vectorised: bool = False, seed: int = 42) -> DataFrame:
     """(by, metric, lo, hi) of auc, average_precision and brier: index percentiles int(.025 B) and int(.975 B) of the sorted
     replicates; single-class replicates are left out. Rows count Poisson(1) times, drawn by a hash of key and replicate (columns,
-    exact in SQL), or in numpy by a hash of the key for all replicates at once, summed to scores before the shuffle (vectorised).
+    exact in SQL), or by a hash of the key for all replicates at once in ranges of the score (vectorised, see bootstrap.py).
     All three metrics come from one curve of each replicate. Rows without a score or an outcome are left out."""
     by = by or []
     df = df.where(F.col(p).isNotNull() & F.col(y).isNotNull())
-    ranges = ranges_for(df, p)  # replicates have no other scores
+    keys = [*by, "rep"]
     if vectorised:
-        steps = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(12)])
-
-        def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            reps = _scatter(np.arange(replicates, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
-            for pdf in batches:
-                for lo in range(0, len(pdf), 2000):
-                    rows = pdf.iloc[lo : lo + 2000]
-                    # a row's draws depend on its key alone, however rows are dealt
-                    u = (_scatter(rows["_own"].to_numpy().view(np.uint64)[None, :] ^ reps[:, None]) >> np.uint64(11)) * 2.0**-53
-                    n = np.searchsorted(steps, u, "right")
-                    rep, at = np.nonzero(n)
-                    out = rows.iloc[at][[*by, y, p]].assign(rep=rep, w=n[rep, at])
-                    yield out.groupby([*by, "rep", y, p], as_index=False, dropna=False)["w"].sum()[[*by, y, p, "rep", "w"]]
-
-        kinds = dict(df.dtypes)
-        fields = ", ".join(f"{c} {kinds[c]}" for c in [*by, y, p])
-        drawn = df.select(F.xxhash64(key).alias("_own"), *by, y, p).mapInPandas(draw, f"{fields}, rep int, w long")
+        found = replicate_metrics(df, y, p, key, replicates, by, seed)
     else:
         # a hash for each row and replicate, once: columns that are filtered later would be worked out twice
         u = F.transform(F.sequence(F.lit(0), F.lit(replicates - 1)), lambda r: F.struct(r.alias("rep"), hash_number(F.col(key), r, salt=str(seed)).alias("u")))
         w = F.filter(F.transform(u, lambda x: F.struct(x["rep"].alias("rep"), poisson1(x["u"]).alias("w"))), lambda x: x["w"] > 0)
         drawn = df.select(*by, y, p, F.explode(w).alias("drawn")).select(*by, y, p, "drawn.rep", "drawn.w")
-    keys = [*by, "rep"]
-    points = roc_points(drawn, y, p, keys, "w", ranges)
-    t, pos, neg = F.col("threshold"), F.col("pos"), F.col("neg")
-    area = F.sum(neg * (F.col("cum_pos") - pos / 2))
-    step = F.try_divide(pos, F.col("n_pos")) * F.try_divide(F.col("cum_pos"), F.col("cum_pos") + F.col("cum_neg"))
-    found = points.groupBy(*keys).agg(
-        F.try_divide(area, F.max("n_pos") * F.max("n_neg")).alias("auc"), F.sum(step).alias("average_precision"),
-        F.try_divide(F.sum(pos * (t - 1) * (t - 1) + neg * t * t), F.sum(pos + neg)).alias("brier"),
-    ).where("auc is not null")
+        points = roc_points(drawn, y, p, keys, "w", ranges_for(df, p))  # replicates have no other scores
+        t, pos, neg = F.col("threshold"), F.col("pos"), F.col("neg")
+        area = F.sum(neg * (F.col("cum_pos") - pos / 2))
+        step = F.try_divide(pos, F.col("n_pos")) * F.try_divide(F.col("cum_pos"), F.col("cum_pos") + F.col("cum_neg"))
+        found = points.groupBy(*keys).agg(
+            F.try_divide(area, F.max("n_pos") * F.max("n_neg")).alias("auc"), F.sum(step).alias("average_precision"),
+            F.try_divide(F.sum(pos * (t - 1) * (t - 1) + neg * t * t), F.sum(pos + neg)).alias("brier"),
+        ).where("auc is not null")
     long = found.unpivot(keys, ["auc", "average_precision", "brier"], "metric", "score")
     lists = long.groupBy(*by, "metric").agg(F.sort_array(F.collect_list("score")).alias("s"))
     at = lambda q: F.try_element_at("s", (F.size("s") * F.lit(q)).cast("int") + 1)
     return lists.select(*by, "metric", F.size("s").alias("n_reps"), at(0.025).alias("lo"), F.coalesce(at(0.975), F.array_max("s")).alias("hi"))
 
 
-def _scatter(x: np.ndarray) -> np.ndarray:
-    """64-bit numbers with every bit spread (the finaliser of splitmix64)."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def calibration_bins(df: DataFrame, y: str, p: str, by: list[str], n: int = 10) -> DataFrame:
     """(by, bin, n, mean_predicted, observed) of n equal bins of the score; empty ones are left out."""
     b = F.least(F.floor(F.col(p) * n), F.lit(n - 1)).cast("int")
@@ -163,12 +137,15 @@ def decision_curve(df: DataFrame, y: str, p: str, by: list[str], steps: int = 76
     return out.select(*by, "k", t.alias("threshold"), (F.col("cum_pos") / n - F.col("cum_neg") / n * odds).alias("model"), (F.col("n_pos") / n - F.col("n_neg") / n * odds).alias("treat_all"))
 
 
-def nomogram(df: DataFrame, coefficients: dict[str, float], top: int = 10, ticks: int = 5, approximate: int | None = None) -> DataFrame:
+def nomogram(df: DataFrame, coefficients: dict[str, float], top: int = 10, ticks: int = 5, approximate: int | str | None = None) -> DataFrame:
     """(feature, coef, points_max, tick, value, points): the top features by weight, ticks over their 1 to 99 % range; a negative
     weight's points fall with the value."""
     chosen = sorted(coefficients.items(), key=lambda x: (-abs(x[1]), x[0]))[:top]
     most = max(abs(c) for _, c in chosen)
-    q = df.agg(*[quantiles_of(f, [0.01, 0.99], approximate).alias(f) for f, _ in chosen])
+    if approximate == RANGES:
+        q = column_quantiles(df, [f for f, _ in chosen], [0.01, 0.99]).groupBy().pivot("feature", [f for f, _ in chosen]).agg(F.first("q"))
+    else:
+        q = df.agg(*[quantiles_of(f, [0.01, 0.99], approximate).alias(f) for f, _ in chosen])
     rows = q.select(F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(c).alias("coef"), F.lit(abs(c) / most * 100).alias("points_max"), F.col(f).alias("q")) for f, c in chosen])).alias("x")).select("x.*")
     rows = rows.withColumn("tick", F.explode(F.sequence(F.lit(0), F.lit(ticks - 1))))
     share = F.col("tick") / F.lit(float(ticks - 1))

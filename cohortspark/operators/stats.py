@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.tails import chi2_tail, kolmogorov_tail
-from .cleaning import quantiles_of
+from .cleaning import RANGES, quantiles_of
 from .cumulative import ranges_for, running
+from .quantiles import exact_quantiles
 
 OVERALL = "overall"
 
@@ -22,11 +23,16 @@ def _grouped(df: DataFrame, group: str) -> DataFrame:
     return df.withColumn("grp", F.explode(F.array(F.lit(OVERALL), F.col(group).cast("string"))))
 
 
-def table1_continuous(df: DataFrame, columns: list[str], group: str, approximate: int | None = None) -> DataFrame:
+def table1_continuous(df: DataFrame, columns: list[str], group: str, approximate: int | str | None = None) -> DataFrame:
     """(feature, grp, n, missing, median, q1, q3) overall and by group."""
-    q = quantiles_of("value", [0.5, 0.25, 0.75], approximate)
-    long = melt(df, [group], columns)
-    out = _grouped(long, group).groupBy("feature", "grp").agg(F.count("value").alias("n"), F.count_if(F.col("value").isNull()).alias("missing"), q.alias("q"))
+    long, qs = _grouped(melt(df, [group], columns), group), [0.5, 0.25, 0.75]
+    counts = F.count("value").alias("n"), F.count_if(F.col("value").isNull()).alias("missing")
+    if approximate == RANGES:
+        found = exact_quantiles(long, ["feature", "grp"], "value", qs).select(F.col("feature").alias("_f"), F.col("grp").alias("_g"), "q")
+        own = long.groupBy("feature", "grp").agg(*counts)
+        out = own.join(found, (F.col("feature") == F.col("_f")) & F.col("grp").eqNullSafe(F.col("_g")))
+    else:
+        out = long.groupBy("feature", "grp").agg(*counts, quantiles_of("value", qs, approximate).alias("q"))
     return out.select("feature", "grp", "n", "missing", *[F.try_element_at("q", F.lit(i + 1)).alias(c) for i, c in enumerate(("median", "q1", "q3"))])
 
 

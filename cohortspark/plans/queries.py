@@ -697,6 +697,11 @@ def _(v):
     return r6(stats.table1_continuous(v.feat, _CONT, "any_f"))
 
 
+@query("table1_continuous_by_ranges", f"with l as ({_LONG}) {_T1.format(g='g::varchar')} union all {_T1.format(g=chr(39) + 'overall' + chr(39))}")
+def _(v):
+    return r6(stats.table1_continuous(v.feat, _CONT, "any_f", cleaning.RANGES))
+
+
 _CAT = " union all ".join(f"select status g, '{c}' feature, {c}::varchar as level from stays" for c in ("segment", "priority", "nation"))
 _T2 = "select feature, level, g grp, n, " + rd("n * 100.0 / sum(n) over (partition by feature, g) pct") + " from (select feature, level, g, count(*) n from (select * from l union all select 'overall', feature, level from l) group by all)"
 

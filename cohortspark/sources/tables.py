@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,11 +14,24 @@ _CSV = {"header": "true", "nullValue": "\\N", "emptyValue": '""', "timestampNTZF
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder in the one that all executors share (spark.checkpoint.dir), or a local one where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
+    """A new folder in the one that all executors share (spark.checkpoint.dir), or a local one where it is unset and all runs on one
+    machine; elsewhere it raises."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def keep_table(df: DataFrame, name: str) -> DataFrame:
+    """df written once to scratch() and read back: it is computed once, and lost executors cost a reread."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_cohort_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").options(**_CSV).csv(path)
 
