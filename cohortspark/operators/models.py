@@ -18,8 +18,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .cleaning import hash_number
-from .cumulative import MOST, placed
+from .cumulative import placed
 from .evaluate import auc
+from .l1path import held_out_scores, l1_path
 
 
 def with_folds(df: DataFrame, y: str, key: str, k: int, salt: str = "fold") -> DataFrame:
@@ -43,23 +44,20 @@ def probability(model, df: DataFrame) -> DataFrame:
     return model.transform(df).withColumn("p", vector_to_array("probability")[1])
 
 
-def l1_select(df: DataFrame, y: str, columns: list[str], key: str, grid: tuple[float, ...], k: int = 5, most: int = 12, max_iter: int = 60) -> DataFrame:
+def l1_select(df: DataFrame, y: str, columns: list[str], key: str, grid: tuple[float, ...], k: int = 5, most: int = 12, max_iter: int = 500, bins: int | None = None) -> DataFrame:
     """(feature, coef, best_c, mean_auc): L1 logistic path over C, k folds, the smallest C within one standard error of the best
-    mean AUC, refitted on all rows; the features with coefficients, at most `most` by weight. lambda is 1 / (C n)."""
-    data = with_folds(with_vectors(df.select(key, y, *columns).dropna(), columns), y, key, k).persist()
-    n = data.count()
-    fit = lambda rows, c, m: LogisticRegression(labelCol=y, elasticNetParam=1.0, regParam=1.0 / (c * m), maxIter=max_iter, standardization=False).fit(rows)
-    scores: dict[float, list[float]] = {}
-    for c in grid:
-        parts = [probability(fit(data.where(F.col("fold") != f), c, n * (k - 1) / k), data.where(F.col("fold") == f)).select("fold", y, "p") for f in range(k)]
-        found = auc(reduce(DataFrame.union, parts), y, "p", ["fold"], ranges=n // MOST + 1).collect()
-        scores[c] = [r["auc"] for r in found if r["auc"] is not None]
-    mean = {c: float(np.mean(s)) for c, s in scores.items()}
-    best = max(grid, key=lambda c: (mean[c], -c))
-    bar = mean[best] - float(np.std(scores[best], ddof=1) / np.sqrt(len(scores[best])))
-    chosen = min(c for c in grid if mean[c] >= bar)
-    coef = fit(data, chosen, n).coefficients.toArray()
+    mean AUC, with the weights of all rows; the features with coefficients, at most `most` by weight. lambda is 1 / (C n). All
+    strengths and folds are fitted together, a pass over the rows for each step (l1_path). bins: see held_out_scores()."""
+    data = with_folds(df.select(key, y, *columns).dropna(), y, key, k).persist()
+    path = l1_path(data, y, columns, list(grid), k, max_iter=max_iter)
+    found = auc(held_out_scores(data, path, y, columns, bins=bins), "y", "p", ["c", "fold"]).collect()  # a row for each strength and fold
     data.unpersist()
+    scores = {c: [r["auc"] for r in found if r["c"] == c and r["auc"] is not None] for c in grid}
+    mean = {c: float(np.mean(s)) if s else 0.5 for c, s in scores.items()}
+    best = max(grid, key=lambda c: (mean[c], -c))
+    spread = float(np.std(scores[best], ddof=1) / np.sqrt(len(scores[best]))) if len(scores[best]) > 1 else 0.0
+    chosen = min(c for c in grid if mean[c] >= mean[best] - spread)
+    coef = path.weights[path.grid.index(chosen), k]
     kept = sorted(((f, float(w)) for f, w in zip(columns, coef, strict=True) if w), key=lambda x: (-abs(x[1]), x[0]))[:most]
     return df.sparkSession.createDataFrame([(f, w, float(chosen), mean[chosen]) for f, w in kept], "feature string, coef double, best_c double, mean_auc double")
 

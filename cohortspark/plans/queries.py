@@ -755,7 +755,8 @@ def _trained(v: Views) -> DataFrame:
 
 @query("l1_select")
 def _(v):
-    return r6(models.l1_select(_trained(v), "any_f", NUMBERS, "id", (0.003, 0.01, 0.1), k=3), 4)
+    grid = tuple(10 ** (-3 + 4 * i / 99) for i in range(100))
+    return r6(models.l1_select(_trained(v), "any_f", NUMBERS, "id", grid, k=10, bins=1 << 14), 4)
 
 
 @query("tune_and_fit")

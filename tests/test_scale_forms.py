@@ -8,7 +8,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cohortspark.operators import bootstrap, cleaning, evaluate, quantiles, stats
+from pyspark.ml.classification import LogisticRegression
+
+from cohortspark.operators import bootstrap, cleaning, evaluate, models, quantiles, stats
+from cohortspark.operators.l1path import held_out_scores, l1_path
 
 
 def plain_replicates(rows, replicates, seed=42):
@@ -79,3 +82,24 @@ def test_operators_with_quantiles_by_selection(spark):
         assert a == b
     plan = quantiles.exact_quantiles(df, ["g"], "a", [0.5])._jdf.queryExecution().toString()
     assert " percentile(" not in plan.lower() and "collect_list" not in plan.lower()
+
+
+def test_l1_path_as_single_fits(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(800, 4)) * [1.0, 20.0, 0.1, 1.0] + [0, 100, 3, 0]
+    x[:, 3] = 7.0
+    y = (rng.random(800) < 1 / (1 + np.exp(-(x[:, 0] - (x[:, 1] - 100) / 15 - 1)))).astype(int)
+    df = spark.createDataFrame([(i, int(t), *map(float, r)) for i, (t, r) in enumerate(zip(y, x, strict=True))], "id long, y int, a double, b double, c double, d double")
+    names, grid, k = ["a", "b", "c", "d"], [0.002, 0.01, 0.05, 0.2, 1.0, 3.0, 10.0, 30.0, 100.0], 3
+    rows = models.with_folds(df, "y", "id", k).persist()
+    path = l1_path(rows, "y", names, grid, k)
+    for c, f in ((0.01, 0), (0.2, 2), (10.0, 3)):
+        part = models.with_vectors(rows.where(F.col("fold") != f), names)
+        fit = LogisticRegression(labelCol="y", elasticNetParam=1.0, regParam=1 / (c * part.count()), maxIter=500, tol=1e-10, standardization=False).fit(part)
+        at = grid.index(c)
+        assert path.weights[at, f] == pytest.approx(fit.coefficients.toArray(), abs=1e-3) and path.intercepts[at, f] == pytest.approx(fit.intercept, abs=2e-2)
+    assert (path.weights[..., 3] == 0).all()
+    scored = held_out_scores(rows, path, "y", names)
+    assert scored.count() == 800 * len(grid) and set(scored.groupBy("c").agg(F.count_distinct("fold").alias("k")).select("k").toPandas()["k"]) == {k}
+    picked = {r["feature"]: r for r in models.l1_select(df, "y", names, "id", tuple(grid), k=k).collect()}
+    assert {"a", "b"} <= picked.keys() and "d" not in picked and picked["a"]["coef"] > 0 > picked["b"]["coef"]
