@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.select import ilike_any
+from ..sources.tables import keep_table
 
 
 def parse_age(text: Column) -> Column:
@@ -29,14 +30,19 @@ def bmi(weight_kg: Column, height_cm: Column, fallback_cm: Column | None = None,
     return value if lo is None else F.when(value.between(lo, hi), value)
 
 
-def clean_by_rules(name: Column, value: Column, rules: list[dict]) -> Column:
+def _matches(name: Column, rule: dict) -> Column:
+    return ilike_any(name, rule["patterns"], rule.get("but", ()))
+
+
+def clean_by_rules(name: Column, value: Column, rules: list[dict], matched: Column | None = None) -> Column:
     """The first rule whose patterns (and not `but`) match the name decides; NULL where no rule gives a value.
 
     A rule has any of: steps (divide, over, lo, hi): divided values that are over `over` and then within lo..hi; lo, hi: plain
-    values within. A rule whose range doesn't fit passes a value on only if it has passes=True, as the ladder's plain rules do."""
+    values within. A rule whose range doesn't fit passes a value on only if it has passes=True, as the ladder's plain rules do.
+    matched: an array of flags, one for each rule, where names were held against the patterns before."""
     out = None
-    for r in rules:
-        on = ilike_any(name, r["patterns"], r.get("but", ()))
+    for k, r in enumerate(rules):
+        on = _matches(name, r) if matched is None else F.coalesce(matched[k], F.lit(False))
         plain = value.between(r["lo"], r["hi"])
         if r.get("not_in"):
             plain = plain & ~value.isin(*r["not_in"])
@@ -51,6 +57,14 @@ def clean_by_rules(name: Column, value: Column, rules: list[dict]) -> Column:
     return out
 
 
+def clean_by_names(df: DataFrame, name: str, value: str, rules: list[dict], out: str = "clean", most: int = 100_000) -> DataFrame:
+    """df with column `out` of clean_by_rules(). Patterns meet each distinct name once; rows meet their name by a join, which is broadcast
+    where there are at most `most` names and left to Spark beyond that. A null name matches no rule."""
+    names = keep_table(df.where(F.col(name).isNotNull()).groupBy(F.col(name).alias("_name")).agg(F.lit(1).alias("_one")).select("_name", F.array(*[F.coalesce(_matches(F.col("_name"), r), F.lit(False)) for r in rules]).alias("_matched")), "names")
+    known = F.broadcast(names) if names.count() <= most else names
+    return df.join(known, F.col(name) == F.col("_name"), "left").withColumn(out, clean_by_rules(F.col(name), F.col(value), rules, F.col("_matched"))).drop("_name", "_matched")
+
+
 def ratio(a: Column, b: Column, floor: float | None = None) -> Column:
     """a / b, NULL where b isn't positive; with floor, a / greatest(b, floor) and NULL only for NULL."""
     return F.when(b > 0, a / b) if floor is None else F.when(b.isNotNull(), a / F.greatest(b, F.lit(floor)))

@@ -201,11 +201,36 @@ def _filled(df: DataFrame, m: Mice, rounds: int) -> DataFrame:
     return out
 
 
-def fit_mice(df: DataFrame, columns: list[str], sweeps: int = 15, tolerance: float = 1e-3, ridge: float = 1e-6, rounds: int = 3) -> Mice:
+def bayesian_ridge(gram: np.ndarray, target: np.ndarray, target2: float, steps: int = 300, tolerance: float = 1e-3, prior: float = 1e-6) -> np.ndarray:
+    """(intercept, weights) of a linear model whose weights and noise have precisions with flat gamma priors, at the greatest evidence.
+
+    gram: products of (1, x) with itself, target: with y, target2: of y with itself; nothing else of the rows is needed. The precisions
+    are moved to their fixed point in the basis where the centred Gram matrix is diagonal."""
+    n = gram[0, 0]
+    mean, y_mean = gram[0, 1:] / n, target[0] / n
+    xx, xy, yy = gram[1:, 1:] - n * np.outer(mean, mean), target[1:] - n * mean * y_mean, max(target2 - n * y_mean**2, 0.0)
+    values, basis = np.linalg.eigh(xx)
+    values, side = np.maximum(values, 0.0), basis.T @ xy
+    noise, weight, old = n / (yy + 1e-12 * n), 1.0, None
+    for _ in range(steps):
+        inner = side / (values + weight / noise)
+        wrong = max(yy - 2 * inner @ side + inner @ (values * inner), 0.0)
+        known = (noise * values / (weight + noise * values)).sum()
+        weight = (known + 2 * prior) / (inner @ inner + 2 * prior)
+        noise = (n - known + 2 * prior) / (wrong + 2 * prior)
+        coef = basis @ inner
+        if old is not None and np.abs(coef - old).sum() < tolerance:
+            break
+        old = coef
+    coef = basis @ (side / (values + weight / noise))
+    return np.append(y_mean - mean @ coef, coef)
+
+
+def fit_mice(df: DataFrame, columns: list[str], sweeps: int = 15, tolerance: float = 1e-3, ridge: float | None = None, rounds: int = 3) -> Mice:
     """Linear chained equations of at most a hundred columns, all refitted from the state of the sweep before.
 
     A sweep is one pass: tasks add up, for each column, the products of the rows where it is known; the driver solves one
-    small system for each. It ends when no weight moves by the tolerance. Filling replays `rounds` predictions. The columns are
+    small system for each: a Bayesian ridge, or one of a fixed relative `ridge`. It ends when no weight moves by the tolerance. Filling replays `rounds` predictions. The columns are
     kept in memory and on disk from the first pass on."""
     p = len(columns)
     df = df.select(*columns).persist()
@@ -232,7 +257,10 @@ def fit_mice(df: DataFrame, columns: list[str], sweeps: int = 15, tolerance: flo
         for i, c in enumerate(columns):
             use = [j for j in range(p + 1) if j != i + 1]
             a, y = g[i][np.ix_(use, use)], g[i][use, i + 1]
-            w = np.linalg.solve(a + ridge * np.diag(np.append(0.0, np.diag(a)[1:]) + 1e-9), y)
+            if ridge is not None:
+                w = np.linalg.solve(a + ridge * np.diag(np.append(0.0, np.diag(a)[1:]) + 1e-9), y)
+            else:
+                w = bayesian_ridge(a, y, g[i][i + 1, i + 1]) if a[0, 0] else np.zeros(p)
             full = np.zeros(p + 1)
             full[use] = w
             old = np.array([m.equations[c][0], *m.equations[c][1]]) if c in m.equations else np.zeros(p + 1)

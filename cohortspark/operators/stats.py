@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.tails import chi2_tail, kolmogorov_tail
+from ..functions.tails import chi2_tail, exact_kolmogorov, kolmogorov_tail
 from .cleaning import RANGES, quantiles_of
 from .cumulative import ranges_for, running
 from .quantiles import exact_quantiles
@@ -72,9 +72,12 @@ def chi2(df: DataFrame, columns: list[str], group: str) -> DataFrame:
     return out.withColumn("p", chi2_tail(F.col("statistic"), F.col("dof")))
 
 
-def ks_drift(a: DataFrame, b: DataFrame, features: list[str], alpha: float = 0.05, least: int = 5) -> DataFrame:
+def ks_drift(a: DataFrame, b: DataFrame, features: list[str], alpha: float = 0.05, least: int = 5, exact_to: int = 0) -> DataFrame:
     """(feature, n_a, n_b, statistic, p, significant): two-sample test for each feature; under `least` values in either cohort
-    the statistic and p are NULL and nothing is significant."""
+    the statistic and p are NULL and nothing is significant.
+
+    exact_to: where neither cohort has more values of a feature than this, p is exact (that of samples without ties), else
+    asymptotic; its work grows with the product of the two numbers, once for each feature."""
     long = melt(a, [], features).withColumn("in_a", F.lit(1)).union(melt(b, [], features).withColumn("in_a", F.lit(0))).where("value is not null")
     values = long.groupBy("feature", "value").agg(F.sum("in_a").alias("a"), F.sum(1 - F.col("in_a")).alias("b"))
     n = values.groupBy("feature").agg(F.sum("a").alias("n_a"), F.sum("b").alias("n_b"))
@@ -84,6 +87,10 @@ def ks_drift(a: DataFrame, b: DataFrame, features: list[str], alpha: float = 0.0
     enough = (F.col("n_a") >= least) & (F.col("n_b") >= least)
     out = out.select("feature", "n_a", "n_b", F.when(enough, F.col("gap")).alias("statistic"))
     p = F.when(F.col("statistic").isNotNull(), kolmogorov_tail(F.col("statistic"), F.col("n_a"), F.col("n_b")))
+    if exact_to:
+        small = F.greatest("n_a", "n_b") <= exact_to
+        out = out.withColumn("_p", exact_kolmogorov(F.when(small, F.col("statistic")), F.col("n_a"), F.col("n_b")))
+        return out.withColumn("p", F.when(small, F.col("_p")).otherwise(p)).drop("_p").withColumn("significant", F.coalesce(F.col("p") < alpha, F.lit(False)).cast("int"))
     return out.withColumn("p", p).withColumn("significant", F.coalesce(F.col("p") < alpha, F.lit(False)).cast("int"))
 
 

@@ -62,7 +62,10 @@ def _(v):
 
 @query("table_roundtrip", "select * from stays")
 def _(v):
-    return tables.publish_table(v.stays, tables.scratch(v.spark, "table"), ["segment"])
+    path = tables.scratch(v.spark, "table")
+    tables.publish_table(v.stays.where("los > 1"), path, ["segment"])
+    tables.publish_table(tables.read_published(v.spark, path, v.stays.schema).unionByName(v.stays.where("los <= 1 or los is null")), path, ["segment"])
+    return tables.read_published(v.spark, path, v.stays.schema).select(v.stays.columns)
 
 
 @query("json_assets_roundtrip", "select event_type outcome, 'k' || (k % 5)::varchar as feature, sum(k)::double weight from (select event_type, json_extract(props, '$.k')::integer k from events) group by all")
@@ -400,7 +403,7 @@ _RULES = [
   when item ilike '%er%' then case when value > 10 and value / 10 between 1 and 6 then value / 10 when value between 1 and 6 then value end
   when item ilike '%p%' and value between 5 and 150 and value not in (7.0, 8.0) then value end clean''')} from obs""")
 def _(v):
-    return r6(v.obs.select("event_id", derive.clean_by_rules(F.col("item"), F.col("value"), _RULES).alias("clean")))
+    return r6(derive.clean_by_names(v.obs, "item", "value", _RULES).select("event_id", "clean"))
 
 
 @query("guarded_ratios", f"select id, {rd('case when disc > 0 then tax / disc end guarded', 'case when r_min is not null then r_max / greatest(r_min, 5) end floored', 'r_max / nullif(r_min, 1) nulled')} from feat")
@@ -738,6 +741,11 @@ def _(v):
     return r6(stats.ks_drift(v.coh_a, v.coh_b, NUMBERS))
 
 
+@query("ks_drift_exact")
+def _(v):
+    return r6(stats.ks_drift(v.coh_a, v.coh_b, NUMBERS, exact_to=10_000))
+
+
 @query("drift_summary", f"{_KS} select feature, {rd('statistic')}, row_number() over (order by statistic desc, feature)::integer as rank, (select count(*) from ks) n_features, (select sum((p < 0.05)::integer)::bigint from ks) n_significant from ks")
 def _(v):
     totals, top = stats.drift_summary(stats.ks_drift(v.coh_a, v.coh_b, NUMBERS))

@@ -41,10 +41,48 @@ def read_cohort_csv(spark: SparkSession, path: str, schema: StructType | str) ->
     return spark.read.schema(schema).options(**_CSV, mode="FAILFAST").csv(path)
 
 
-def publish_table(df: DataFrame, path: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Replaces the table at path and returns it as it was written."""
-    df.write.mode("overwrite").partitionBy(*(partition_by or [])).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path).select(df.columns)
+def _files(spark: SparkSession, path: str):
+    """(Hadoop's path class, the file system of path)."""
+    kind = spark._jvm.org.apache.hadoop.fs.Path
+    return kind, kind(path).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
+def _pointers(spark: SparkSession, path: str) -> list[tuple[int, str]]:
+    """(number, folder) of the versions that were published at path, oldest first."""
+    kind, fs = _files(spark, path)
+    if not fs.exists(kind(path)):
+        return []
+    names = [x.getPath().getName() for x in fs.listStatus(kind(path))]
+    found = [re.fullmatch(r"_current\.(\d+)\.([\w-]+)", n) for n in names]
+    return sorted((int(m[1]), m[2]) for m in found if m)
+
+
+def publish_table(df: DataFrame, path: str, partition_by: list[str] | None = None, keep: int = 2) -> DataFrame:
+    """Replaces the table at path and returns it as it was written.
+
+    The rows go to a folder of their own first; only when all of it is written does an empty file of the next number name that
+    folder, in one step. A job that fails leaves the table as it was, a table may be read and replaced by one job, and readers keep
+    the folder they began with: the last `keep` versions stay. Of two jobs at once, the last one by number and name counts."""
+    spark = df.sparkSession
+    kind, fs = _files(spark, path)
+    folder = f"data-{uuid.uuid4().hex}"
+    df.write.partitionBy(*(partition_by or [])).parquet(f"{path}/{folder}")
+    before = _pointers(spark, path)
+    fs.createNewFile(kind(f"{path}/_current.{before[-1][0] + 1 if before else 1}.{folder}"))
+    after = _pointers(spark, path)
+    for number, old in after[: -max(keep, 1)]:
+        fs.delete(kind(f"{path}/_current.{number}.{old}"), False)
+        fs.delete(kind(f"{path}/{old}"), True)
+    return spark.read.schema(df.schema).parquet(f"{path}/{folder}").select(df.columns)
+
+
+def read_published(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
+    """The table that was last published at path."""
+    found = _pointers(spark, path)
+    if not found:
+        raise FileNotFoundError(f"no table was published at {path}")
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    return reader.parquet(f"{path}/{found[-1][1]}")
 
 
 def write_assets_json(df: DataFrame, path: str) -> None:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import numpy as np
@@ -10,8 +11,11 @@ from pyspark.sql import functions as F
 
 from pyspark.ml.classification import LogisticRegression
 
+from cohortspark.functions import derive
+from cohortspark.functions.tails import lattice_tail
 from cohortspark.operators import bootstrap, cleaning, evaluate, models, quantiles, stats
 from cohortspark.operators.l1path import held_out_scores, l1_path
+from cohortspark.sources import tables
 
 
 def plain_replicates(rows, replicates, seed=42):
@@ -103,3 +107,78 @@ def test_l1_path_as_single_fits(spark):
     assert scored.count() == 800 * len(grid) and set(scored.groupBy("c").agg(F.count_distinct("fold").alias("k")).select("k").toPandas()["k"]) == {k}
     picked = {r["feature"]: r for r in models.l1_select(df, "y", names, "id", tuple(grid), k=k).collect()}
     assert {"a", "b"} <= picked.keys() and "d" not in picked and picked["a"]["coef"] > 0 > picked["b"]["coef"]
+
+
+@pytest.mark.parametrize(("n", "m"), [(1, 1), (2, 5), (4, 4), (6, 3), (7, 8)])
+def test_exact_tails_as_enumerated(n, m):
+    gaps = []
+    for places in itertools.combinations(range(n + m), n):
+        i, worst = 0, 0.0
+        for t in range(n + m):
+            i += t in places
+            worst = max(worst, abs(i / n - (t + 1 - i) / m))
+        gaps.append(worst)
+    for d in sorted(set(gaps)):
+        assert lattice_tail(d, n, m) == pytest.approx(sum(g >= d - 1e-12 for g in gaps) / len(gaps), rel=1e-12)
+
+
+def test_exact_drift(spark):
+    a = spark.createDataFrame([(float(i), None) for i in range(6)], "f double, empty double")
+    b = spark.createDataFrame([(i + 3.5, 1.0) for i in range(7)], "f double, empty double")
+    exact, plain = ({r["feature"]: r for r in stats.ks_drift(a, b, ["f", "empty"], exact_to=n).collect()} for n in (10, 6))
+    assert exact["f"]["p"] == pytest.approx(lattice_tail(5 / 7, 6, 7)) and exact["f"]["statistic"] == plain["f"]["statistic"]
+    assert plain["f"]["p"] != exact["f"]["p"] and exact["empty"]["p"] is None and exact["empty"]["significant"] == 0
+
+
+def test_bayesian_ridge():
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(400, 3))
+    y = 2 + x @ [1.0, -2.0, 0.0] + 0.1 * rng.normal(size=400)
+
+    def of(rows):
+        one = np.column_stack([np.ones(rows), x[:rows]])
+        return cleaning.bayesian_ridge(one.T @ one, one.T @ y[:rows], float(y[:rows] @ y[:rows]), tolerance=1e-10)
+
+    # the plain form, with the rows at hand
+    xc, yc = x - x.mean(axis=0), y - y.mean()
+    noise, weight = 1 / y.var(), 1.0
+    for _ in range(500):
+        inverse = np.linalg.inv(noise * xc.T @ xc + weight * np.eye(3))
+        coef = noise * inverse @ xc.T @ yc
+        known = 3 - weight * np.trace(inverse)
+        weight, noise = (known + 2e-6) / (coef @ coef + 2e-6), (400 - known + 2e-6) / (((yc - xc @ coef) ** 2).sum() + 2e-6)
+    assert of(400)[1:] == pytest.approx(coef, abs=1e-6) and of(400)[0] == pytest.approx(y.mean() - x.mean(axis=0) @ coef, abs=1e-6)
+    y = rng.normal(size=400)  # nothing to learn from few rows: weights shrink
+    few, least = of(8)[1:], np.linalg.lstsq(np.column_stack([np.ones(8), x[:8]]), y[:8], rcond=None)[0][1:]
+    assert np.abs(few).sum() < 0.95 * np.abs(least).sum()
+
+
+def test_rules_meet_each_name_once(spark):
+    rules = [{"patterns": ["%ab%"], "lo": 1, "hi": 5}, {"patterns": ["%a%"], "but": ["%x%"], "passes": False, "lo": 0, "hi": 9, "step": {"divide": 10, "over": 20}}]
+    rows = [(i, n, float(i % 40)) for i, n in enumerate(["ABc", "cab", "axe", "a", None, "none", "A"] * 30)]
+    df = spark.createDataFrame(rows, "id long, name string, v double")
+    want = sorted(map(tuple, df.select("id", derive.clean_by_rules(F.col("name"), F.col("v"), rules)).collect()))
+    for most in (100, 1):
+        out = derive.clean_by_names(df, "name", "v", rules, most=most)
+        assert sorted(map(tuple, out.select("id", "clean").collect())) == want and out.columns == ["id", "name", "v", "clean"]
+        plan = out._jdf.queryExecution().executedPlan().toString().lower()
+        assert "ilike" not in plan and "like" not in plan and "contains(" not in plan
+
+
+def test_a_failed_replacement_leaves_the_table(spark, tmp_path):
+    path = f"file://{tmp_path}/table"
+    with pytest.raises(FileNotFoundError):
+        tables.read_published(spark, path)
+    first = spark.range(10).withColumn("g", F.col("id") % 2)
+    assert tables.publish_table(first, path, ["g"]).count() == 10
+    bad = first.withColumn("id", F.when(F.col("id") == 9, F.raise_error(F.lit("no"))).otherwise(F.col("id")).cast("long"))
+    with pytest.raises(Exception, match="no"):
+        tables.publish_table(bad, path)
+    old = tables.read_published(spark, path, first.schema)
+    assert old.count() == 10
+    # read and replaced in one job; who has begun to read keeps the old rows
+    tables.publish_table(old.where("id < 3"), path)
+    assert tables.read_published(spark, path).count() == 3 and old.count() == 10
+    for n in (4, 5):
+        tables.publish_table(spark.range(n), path)
+    assert tables.read_published(spark, path).count() == 5 and len(tables._pointers(spark, path)) == 2
