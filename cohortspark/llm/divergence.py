@@ -58,7 +58,7 @@ def _level(docs: DataFrame, length: int, left: np.ndarray | None) -> DataFrame:
             langs, sources = lang.indices.to_numpy().astype(np.int64), source.indices.to_numpy().astype(np.int64)
             salts = np.array([_salt(x) for x in lang.dictionary.to_pylist()], np.uint64)
             width = len(source.dictionary) + 1  # the last place is that of no source
-            for lo, _, text, offsets in parts(batch.column(2)):
+            for lo, _, text, offsets in parts(batch.column(2), 2 << 20):
                 start, end, row = spans(_TERM[text], offsets)
                 row += lo
                 prefix = prefix_hashes(text)
