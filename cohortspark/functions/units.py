@@ -97,7 +97,8 @@ class Use:
 
 @dataclass(frozen=True)
 class Measure:
-    """How a variable is measured: its units and plausible values in SI units, and how it is taken from a window of hours."""
+    """How a variable is measured: its units and plausible values in SI units, and how it is taken from a window of hours after an
+    anchor, a column of the cohort (the job's own where it is None)."""
 
     unit: str | None = None
     unit_si: str | None = None
@@ -105,6 +106,7 @@ class Measure:
     plausible: Bounds = None
     how: str | None = None
     hours: float | None = None
+    anchor: str | None = None
 
     def __post_init__(self) -> None:
         _one_of(self.how, AGGREGATIONS)

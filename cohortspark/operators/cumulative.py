@@ -6,9 +6,11 @@ need places in the order of a hash: rows are ranked in buckets of the hash and s
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import keep_table
+
 #: distinct values that one task may order
 MOST = 1_000_000
 
@@ -18,6 +20,14 @@ def ranges_for(df: DataFrame, value: str, most: int = MOST) -> int:
     return df.agg(F.approx_count_distinct(value).alias("n")).first()["n"] // most + 1
 
 
+def collapsed(counts: DataFrame, name: str = "distinct") -> tuple[DataFrame, int]:
+    """(counts stored, how many ranges they have to be split into): the rows are counted while they are written, so that what they were
+    summed from is read once."""
+    seen = Observation()
+    out = keep_table(counts.observe(seen, F.count(F.lit(1)).alias("n")), name)
+    return out, seen.get["n"] // MOST + 1
+
+
 def running(df: DataFrame, by: list[str], value: str, sums: list[str], descending: bool = False, ranges: int | None = None) -> DataFrame:
     """df (one row for each by and value) with cum_<s> for each s: the total of the rows up to and with this one.
 

@@ -11,16 +11,17 @@ from pyspark.sql import functions as F
 
 from .bootstrap import replicate_metrics
 from .cleaning import RANGES, column_quantiles, hash_number, quantiles_of
-from .cumulative import ranges_for, running
+from .cumulative import collapsed, ranges_for, running
 
 
 def roc_points(df: DataFrame, y: str, p: str, by: list[str], weight: str | None = None, ranges: int | None = None) -> DataFrame:
     """(by, threshold, pos, neg, cum_pos, cum_neg, n_pos, n_neg, tpr, fpr) at each distinct score, from the greatest down.
 
-    ranges: see running(); measured on df where it is None."""
-    ranges = ranges_for(df, p) if ranges is None else ranges
+    ranges: see running(); where it is None, the distinct scores are stored and counted meanwhile."""
     w = F.col(weight) if weight else F.lit(1)
     counts = df.where(F.col(p).isNotNull() & F.col(y).isNotNull()).groupBy(*by, F.col(p).alias("threshold")).agg(F.sum(w * F.col(y)).alias("pos"), F.sum(w * (1 - F.col(y))).alias("neg"))
+    if ranges is None:
+        counts, ranges = collapsed(counts)
     out = running(counts, by, "threshold", ["pos", "neg"], descending=True, ranges=ranges)
     if ranges == 1:
         part = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
@@ -71,12 +72,12 @@ def metrics_by_group(df: DataFrame, y: str, p: str, in_subgroup: Column, by: lis
     """Metrics at each population's own cut-off, for all rows ("full") and the subgroup ("sub"); a population of `least` rows or
     fewer, or of a single class, is left out."""
     parts = df.withColumn("population", F.explode(F.when(in_subgroup, F.array(F.lit("full"), F.lit("sub"))).otherwise(F.array(F.lit("full")))))
-    keys, ranges = [*by, "population"], ranges_for(df, p)
+    keys = [*by, "population"]
     ok = parts.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum(y).alias("pos")).where((F.col("n") > least) & (F.col("pos") > 0) & (F.col("pos") < F.col("n")))
     parts = parts.join(ok.select(*keys), keys, "left_semi")
-    cut = youden(parts, y, p, keys, ranges).drop("j")
+    cut = youden(parts, y, p, keys).drop("j")
     scored = parts.join(cut, keys)
-    return metrics_at(scored, y, p, [*keys, "cutoff"], F.col("cutoff")).join(auc(parts, y, p, keys, ranges=ranges), keys)
+    return metrics_at(scored, y, p, [*keys, "cutoff"], F.col("cutoff")).join(auc(parts, y, p, keys), keys)
 
 
 def poisson1(u: Column) -> Column:
@@ -164,6 +165,15 @@ def risk_points(spark, intercept: float, max_coef: float, risks: tuple[float, ..
     return rows.withColumn("total_points", total).where(F.col("total_points").between(0, 100))
 
 
+def rows_above(df: DataFrame, points: Column, marks: DataFrame, mark: str) -> DataFrame:
+    """marks (a few rows) with n_above: how many rows of df have at least so many points. Each row is put between two marks once."""
+    at = sorted(r[mark] for r in marks.select(mark).collect())  # the marks of an axis
+    passed = F.size(F.filter(F.lit(at), lambda m: points >= m)) if at else F.lit(0)
+    counts = {r["k"]: r["count"] for r in df.select(passed.alias("k")).groupBy("k").count().collect()}  # at most one row a mark
+    above = F.create_map(*[x for i, m in enumerate(at) for x in (F.lit(m), F.lit(sum(n for k, n in counts.items() if k is not None and k > i)))]) if at else F.lit(None)
+    return marks.withColumn("n_above", F.try_element_at(above, F.col(mark)).cast("long")) if at else marks.withColumn("n_above", F.lit(None).cast("long"))
+
+
 def best_model(metrics: DataFrame, by: str, model: str, score: str) -> DataFrame:
     """The model with the greatest score of each outcome; the first by name of equal ones."""
     rank = F.row_number().over(Window.partitionBy(by).orderBy(F.desc_nulls_last(score), model))

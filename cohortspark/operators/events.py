@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -96,19 +98,25 @@ def outcome_summary(df: DataFrame, outcomes: list[str]) -> DataFrame:
 
 def temporal_aggregate(fact: DataFrame, cohort: DataFrame, key: str, ts: str, t0: str, item: str, value: str, specs: list[dict]) -> DataFrame:
     """One column for each spec (name, item, how, hours): first, last, min, max, mean, median, slope (last - first an hour),
-    trend (least squares an hour) or count of the item's values within the hours after the anchor. Ties in time go by value."""
-    h = hours(F.col(ts), F.col(t0))
-    rows = fact.join(cohort, key).withColumn("h", h).where((F.col("h") >= 0) & F.col(value).isNotNull())
+    trend (least squares an hour) or count of the item's values within the hours after the anchor. Ties in time go by value.
+
+    A spec may name its anchor, a column of the cohort, t0 by default. All anchors go through one join and one shuffle of the facts;
+    facts in no spec's window are left out before it. A null anchor has no window."""
+    anchors = sorted({s.get("anchor") or t0 for s in specs})
+    h = {a: f"_h{i}" for i, a in enumerate(anchors)}
+    within = lambda s: (F.col(item) == s["item"]) & F.col(h[s.get("anchor") or t0]).between(0, s["hours"])
+    rows = fact.join(cohort.select(key, *anchors), key).withColumns({n: hours(F.col(ts), F.col(a)) for a, n in h.items()}).where(F.col(value).isNotNull())
+    rows = rows.where(reduce(lambda a, b: a | b, [within(s) for s in {(s["item"], s.get("anchor")): s for s in sorted(specs, key=lambda s: s["hours"])}.values()]))
 
     def column(s: dict) -> Column:
-        on = (F.col(item) == s["item"]) & (F.col("h") <= s["hours"])
-        v, t = F.when(on, F.col(value)), F.when(on, F.struct("h", value))
+        on, at = within(s), h[s.get("anchor") or t0]
+        v, t = F.when(on, F.col(value)), F.when(on, F.struct(at, value))
         first, last = F.min(t), F.max(t)
-        span = last["h"] - first["h"]
+        span = last[at] - first[at]
         made = {
             "first": lambda: first[value], "last": lambda: last[value], "min": lambda: F.min(v), "max": lambda: F.max(v), "mean": lambda: F.avg(v),
             "median": lambda: F.percentile(v, F.lit(0.5)), "count": lambda: F.count(v), "slope": lambda: F.when(span > 0, (last[value] - first[value]) / span),
-            "trend": lambda: F.regr_slope(v, F.when(on, F.col("h"))),
+            "trend": lambda: F.regr_slope(v, F.when(on, F.col(at))),
         }
         return made[s["how"]]().alias(s["name"])
 
@@ -116,11 +124,12 @@ def temporal_aggregate(fact: DataFrame, cohort: DataFrame, key: str, ts: str, t0
 
 
 def aggregate_registry(fact: DataFrame, cohort: DataFrame, key: str, ts: str, anchor: str, item: str, value: str, registry: Registry, items: dict[str, str] | None = None) -> DataFrame:
-    """temporal_aggregate() of the registry's features that have an aggregation and a window, from the cohort's column `anchor` on.
+    """temporal_aggregate() of the registry's features that have an aggregation and a window, from the cohort's column `anchor` on, or from
+    the one that the feature names.
 
     items: feature -> its item in the facts; a feature that isn't there goes by its own name."""
     timed = [s for s in registry.values() if s.use.role == "feature" and s.measure.how and s.measure.hours is not None]
-    specs = [{"name": s.name, "item": (items or {}).get(s.name, s.name), "how": s.measure.how, "hours": s.measure.hours} for s in timed]
+    specs = [{"name": s.name, "item": (items or {}).get(s.name, s.name), "how": s.measure.how, "hours": s.measure.hours, "anchor": s.measure.anchor} for s in timed]
     return temporal_aggregate(fact, cohort, key, ts, anchor, item, value, specs)
 
 

@@ -17,6 +17,7 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import keep_table
 from .cleaning import hash_number
 from .cumulative import placed
 from .evaluate import auc
@@ -98,8 +99,9 @@ def calibrate(df: DataFrame, y: str, columns: list[str], key: str, k: int = 3, e
         raw = probability(model, out).drop("rawPrediction", "probability", "prediction")
         out = iso.transform(raw).withColumnRenamed("prediction", f"_c{f}").drop("p")
     mean = reduce(lambda a, b: a + b, [F.col(f"_c{f}") for f in range(k)]) / k
+    out = keep_table(out.select(key, y, mean.alias("p")), "calibrated")  # before the folds are let go
     data.unpersist()
-    return out.select(key, y, mean.alias("p")), pairs
+    return out, pairs
 
 
 def linear_score(coefficients: dict[str, float], intercept: float) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.tails import chi2_tail, exact_kolmogorov, kolmogorov_tail
 from .cleaning import RANGES, quantiles_of
-from .cumulative import ranges_for, running
+from .cumulative import collapsed, running
 from .quantiles import exact_quantiles
 
 OVERALL = "overall"
@@ -48,8 +48,9 @@ def kruskal(df: DataFrame, columns: list[str], group: str) -> DataFrame:
     """(feature, n, groups, h, p): rank test with mid-ranks and the correction for ties."""
     long = melt(df.where(F.col(group).isNotNull()), [group], columns).where("value is not null")
     cells = long.groupBy("feature", "value", F.col(group).alias("grp")).agg(F.count(F.lit(1)).alias("c"))
+    cells, ranges = collapsed(cells)
     values = cells.groupBy("feature", "value").agg(F.sum("c").alias("t"))
-    ranks = running(values, ["feature"], "value", ["t"], ranges=ranges_for(long, "value")).withColumn("rank", F.col("cum_t") - (F.col("t") - 1) / 2)
+    ranks = running(values, ["feature"], "value", ["t"], ranges=ranges).withColumn("rank", F.col("cum_t") - (F.col("t") - 1) / 2)
     ties = ranks.groupBy("feature").agg(F.sum("t").alias("n"), F.sum(F.pow("t", F.lit(3)) - F.col("t")).alias("ties"))
     sums = cells.join(ranks.select("feature", "value", "rank"), ["feature", "value"]).groupBy("feature", "grp").agg(F.sum(F.col("rank") * F.col("c")).alias("r"), F.sum("c").alias("m"))
     parts = sums.groupBy("feature").agg(F.sum(F.col("r") * F.col("r") / F.col("m")).alias("s"), F.count(F.lit(1)).alias("groups"))
@@ -80,8 +81,9 @@ def ks_drift(a: DataFrame, b: DataFrame, features: list[str], alpha: float = 0.0
     asymptotic; its work grows with the product of the two numbers, once for each feature."""
     long = melt(a, [], features).withColumn("in_a", F.lit(1)).union(melt(b, [], features).withColumn("in_a", F.lit(0))).where("value is not null")
     values = long.groupBy("feature", "value").agg(F.sum("in_a").alias("a"), F.sum(1 - F.col("in_a")).alias("b"))
+    values, ranges = collapsed(values)
     n = values.groupBy("feature").agg(F.sum("a").alias("n_a"), F.sum("b").alias("n_b"))
-    curves = running(values, ["feature"], "value", ["a", "b"], ranges=ranges_for(long, "value")).join(n, "feature")
+    curves = running(values, ["feature"], "value", ["a", "b"], ranges=ranges).join(n, "feature")
     gap = F.max(F.abs(F.try_divide("cum_a", "n_a") - F.try_divide("cum_b", "n_b")))
     out = curves.groupBy("feature", "n_a", "n_b").agg(gap.alias("gap"))
     enough = (F.col("n_a") >= least) & (F.col("n_b") >= least)

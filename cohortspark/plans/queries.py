@@ -302,6 +302,26 @@ def _(v):
 _SPECS = [{"name": f"{k}_{h}", "item": k, "how": h, "hours": n} for k, n in (("click", 96), ("view", 168)) for h in ("first", "last", "min", "max", "mean", "median", "slope", "trend", "count")]
 
 
+def _anchored_sql() -> str:
+    """Counts and first values after the first signup, and means after the first purchase."""
+    h = lambda a: f"(epoch_us(ts) - epoch_us({a})) / 3600000000.0::double"
+    return f"""with p as (select user_id, min(ts) t1 from events where event_type = 'purchase' group by 1), c as (select idx.user_id, t0, t1 from idx left join p using (user_id)),
+      f as (select c.user_id, event_type item, value v, {h('t0')} h0, {h('t1')} h1 from events join c using (user_id) where value is not null)
+      select c.user_id, {rd("arg_min(v, struct_pack(h0 := h0, v := v)) filter (item = 'click' and h0 between 0 and 96) first_click", "avg(v) filter (item = 'view' and h1 between 0 and 48) mean_view", "max(v) filter (item = 'click' and h1 between 0 and 24) max_click")}
+      from c left join f using (user_id) group by 1"""
+
+
+_ANCHORED = units.registry_of(*[units.Variable(n, units.Use(domain=i), units.Measure(how=how, hours=h, anchor=a)) for n, i, how, h, a in (("first_click", "click", "first", 96.0, None), ("mean_view", "view", "mean", 48.0, "t1"), ("max_click", "click", "max", 24.0, "t1"))])
+
+
+@query("temporal_aggregate_anchors", _anchored_sql())
+def _(v):
+    facts = v.table("events").select("user_id", "ts", F.col("event_type").alias("item"), "value")
+    bought = facts.where("item = 'purchase'").groupBy("user_id").agg(F.min("ts").alias("t1"))
+    cohort = v.idx.join(bought, "user_id", "left")
+    return r6(events.aggregate_registry(facts, cohort, "user_id", "ts", "t0", "item", "value", _ANCHORED, {"first_click": "click", "mean_view": "view", "max_click": "click"}))
+
+
 def _temporal_sql() -> str:
     made = {
         "first": "arg_min(v, struct_pack(h := h, v := v))", "last": "arg_max(v, struct_pack(h := h, v := v))", "min": "min(v)", "max": "max(v)", "mean": "avg(v)", "median": "median(v)", "count": "count(v)",
@@ -920,10 +940,14 @@ def _(v):
     return r6(evaluate.nomogram(v.feat, LINEAR).withColumnRenamed("value", "as_value").drop("coef"), 4)
 
 
-@query("nomogram_risks", f"select r::double risk, {rd(f'(ln(r / (1 - r)) - ({INTERCEPT}::double)) / {_MOST} * 100 total_points', places=4)} from (select unnest([{', '.join(f'{r}::double' for r in evaluate.RISKS)}]) r, (select count(*) from feat) n) where (ln(r / (1 - r)) - ({INTERCEPT}::double)) / {_MOST} * 100 between 0 and 100 and n > 0")
+_RISKED = f"select r::double risk, (ln(r / (1 - r)) - ({INTERCEPT}::double)) / {_MOST} * 100 total_points from (select unnest([{', '.join(f'{r}::double' for r in evaluate.RISKS)}]) r)"
+
+
+@query("nomogram_risks", f"with k as ({_RISKED}), s as (select id, {' + '.join(f'coalesce({c}, 0) * ({w}::double)' for c, w in LINEAR.items())} z from feat) select risk, {rd('total_points', places=4)}, (select count(*) from s where z / {_MOST} * 100 >= total_points) n_above from k where total_points between 0 and 100")
 def _(v):
-    found = evaluate.nomogram(v.feat, LINEAR).agg(F.max(F.abs("coef")).alias("most")).first()["most"]
-    return r6(evaluate.risk_points(v.spark, INTERCEPT, found), 4)
+    risks = evaluate.risk_points(v.spark, INTERCEPT, _MOST)
+    z = sum((F.coalesce(F.col(c).cast("double"), F.lit(0.0)) * w for c, w in LINEAR.items()), F.lit(0.0))
+    return r6(evaluate.rows_above(v.feat, z / _MOST * 100, risks, "total_points"), 4)
 
 
 # order, sets and shape
