@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from cohortspark.llm.queries import op13_group_spelling_variants
 from cohortspark.llm.variants import crc32_of, near_words, neighbourhoods, one_edit, spelling_variants, symbols_of
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -134,3 +135,11 @@ def test_very_long_words_meet(spark):
     got = {(len(r["word"]), len(r["other"])) for r in near_words(words).collect()}
     k = len(long)
     assert got == {(k, k - 1), (k - 1, k), (k, k + 1), (k + 1, k), (k - 1, k - 2), (k - 2, k - 1)}
+
+
+def test_query_as_the_plain_version(spark, tmp_path):
+    rows = texts(9, 150)
+    spark.createDataFrame(rows, "doc_id long, text string").withColumns({"lang": F.lit("en"), "source": F.lit("s")}).write.parquet(f"{tmp_path}/documents.parquet")
+    got = op13_group_spelling_variants(spark, str(tmp_path))
+    assert got.columns == ["word", "form", "root", "n", "n_near", "form_n"]
+    assert {r["word"]: (r["form"], r["root"], r["n"], r["n_near"], r["form_n"]) for r in got.collect()} == plain(rows)
