@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
@@ -22,6 +20,7 @@ from .cleaning import hash_number
 from .cumulative import placed
 from .evaluate import auc
 from .l1path import held_out_scores, l1_path
+from .replicates import logistic_replicates, stratified_leaves
 
 
 def with_folds(df: DataFrame, y: str, key: str, k: int, salt: str = "fold") -> DataFrame:
@@ -143,49 +142,18 @@ def attribution_report(df: DataFrame, coefficients: dict[str, float], key: str,
     return ranks.where(F.col("rank") <= top).join(own, "feature").join(raw, "feature").select(F.col("rank").alias("place"), "feature", "mean_abs", key, "total", "contribution", "value")
 
 
-def odds_ratios(df: DataFrame, y: str, columns: list[str], key: str, replicates: int = 50, steps: int = 8, ridge: float = 1e-3, seed: int = 42) -> DataFrame:
+def odds_ratios(df: DataFrame, y: str, columns: list[str], key: str, replicates: int = 500, steps: int = 12, ridge: float = 1e-3, seed: int = 42) -> DataFrame:
     """(feature, coef, odds_ratio, lo, hi): logistic fit with bootstrap intervals (2.5 and 97.5 %, interpolated).
 
-    Replicate 0 counts each row once, the others Poisson(1) times, drawn by a generator seeded by the row's key. One pass over
-    the data for each Newton step adds up the gradients and Hessians of all replicates; the driver solves small systems."""
-    p, r = len(columns) + 1, replicates + 1
-    beta = np.zeros((r, p))
-    rows = df.select(key, F.col(y).cast("double").alias("y"), *columns).dropna().persist()
-
-    for _ in range(steps):
-        now = beta
-
-        def pass_over(batches: Iterator[pd.DataFrame], now: np.ndarray = now) -> Iterator[pd.DataFrame]:
-            g, h = np.zeros((r, p)), np.zeros((r, p, p))
-            for pdf in batches:
-                for lo in range(0, len(pdf), 2000):
-                    part = pdf.iloc[lo : lo + 2000]
-                    x = np.column_stack([np.ones(len(part)), part[columns].to_numpy(float)])
-                    ids = part[key].to_numpy(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15) + (np.arange(r, dtype=np.uint64) + np.uint64(seed))[None, :] * np.uint64(0xBF58476D1CE4E5B9)
-                    ids ^= ids >> np.uint64(29)
-                    ids *= np.uint64(0x94D049BB133111EB)
-                    ids ^= ids >> np.uint64(32)
-                    u = (ids >> np.uint64(11)).astype(float) * 2.0**-53
-                    w = np.searchsorted(np.cumsum(np.exp(-1.0) / np.cumprod([1.0, *range(1, 12)])), u.ravel(), "right").reshape(u.shape).astype(float)
-                    w[:, 0] = 1.0
-                    mu = 1 / (1 + np.exp(-np.clip(x @ now.T, -30, 30)))
-                    g += (w * (part["y"].to_numpy()[:, None] - mu)).T @ x
-                    v = w * mu * (1 - mu)
-                    h += np.einsum("nr,ni,nj->rij", v, x, x, optimize=True)
-            flat = np.concatenate([g.ravel(), h.ravel()])
-            yield pd.DataFrame({"place": np.arange(len(flat)), "value": flat})
-
-        sums = np.zeros(r * p + r * p * p)
-        for row in rows.mapInPandas(pass_over, "place int, value double").groupBy("place").agg(F.sum("value").alias("value")).collect():
-            sums[row["place"]] = row["value"]
-        g, h = sums[: r * p].reshape(r, p), sums[r * p :].reshape(r, p, p)
-        move = np.linalg.solve(h + ridge * np.eye(p), (g - ridge * beta)[:, :, None])[:, :, 0]
-        beta = beta + move
-        if np.abs(move).max() < 1e-8:
-            break
-    rows.unpersist()
-    lo, hi = np.percentile(np.exp(beta[1:]), [2.5, 97.5], axis=0)
-    out = [(c, float(beta[0, i + 1]), float(np.exp(beta[0, i + 1])), float(lo[i + 1]), float(hi[i + 1])) for i, c in enumerate(columns)]
+    A replicate draws as many rows of each class as the table has, with replacement (see replicates.py); rows with a NULL are left
+    out. All rows are fitted first, and the replicates start from there. A table of no rows has no odds ratios."""
+    leaves, classes, depth = stratified_leaves(df, y, columns, key)
+    out: list[tuple] = []
+    if classes:
+        whole = logistic_replicates(leaves, classes, depth, len(columns), 0, np.zeros(len(columns) + 1), steps, ridge, seed)[0]
+        drawn = logistic_replicates(leaves, classes, depth, len(columns), replicates, whole, steps, ridge, seed)[1:]
+        lo, hi = np.percentile(np.exp(drawn), [2.5, 97.5], axis=0)
+        out = [(c, float(w), float(np.exp(w)), float(lo[i]), float(hi[i])) for i, (c, w) in enumerate(zip(columns, whole[1:], strict=True), 1)]
     return df.sparkSession.createDataFrame(out, "feature string, coef double, odds_ratio double, lo double, hi double")
 
 

@@ -929,7 +929,7 @@ def _(v):
 
 @query("odds_ratios")
 def _(v):
-    return r6(models.odds_ratios(_trained(v), "any_f", NUMBERS, "id", replicates=20), 4)
+    return r6(models.odds_ratios(_trained(v), "any_f", NUMBERS, "id"), 4)
 
 
 _MOST = max(abs(w) for w in LINEAR.values())
