@@ -180,6 +180,11 @@ def best_model(metrics: DataFrame, by: str, model: str, score: str) -> DataFrame
     return metrics.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
 
 
+def top_by(df: DataFrame, group: str, order: list[Column], most: int) -> DataFrame:
+    """The first `most` rows of each group in a total order."""
+    return df.withColumn("_rank", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("_rank") <= most).drop("_rank")
+
+
 def ranked_report(df: DataFrame, order: list[Column], formats: dict[str, str]) -> DataFrame:
     """Rows in report order with their place and formatted columns."""
     rank = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*order))

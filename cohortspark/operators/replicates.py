@@ -45,7 +45,8 @@ def stratified_leaves(df: DataFrame, y: str, columns: list[str], key: str, rows:
     listed = dealt.groupBy("_y", "_leaf").agg(F.sort_array(F.collect_list(F.struct("_own", "_n", *names))).alias("r"))
     ways = _paths(dealt.groupBy("_y", "_leaf").agg(F.sum("_n").alias("n")), depth)
     leaves = listed.join(ways, ["_y", "_leaf"]).select("_y", "_leaf", "lefts", "nodes", *[F.col(f"r.{c}").alias(c) for c in ("_n", *names)])
-    return keep_table(leaves, "replicate_leaves"), {r["_y"]: r["n"] for r in classes}, depth
+    files = max(df.sparkSession.sparkContext.defaultParallelism, 2**depth // 64)  # a pass costs replicates x rows, so small tables are dealt too
+    return keep_table(leaves.repartition(files), "replicate_leaves"), {r["_y"]: r["n"] for r in classes}, depth
 
 
 def leaf_weights(place: int, total: int, leaf: int, depth: int, lefts: np.ndarray, nodes: np.ndarray, n: np.ndarray, replicates: int, seed: int) -> np.ndarray:

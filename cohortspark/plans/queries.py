@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import derive, units
-from ..operators import cleaning, evaluate, events, flows, joins, models, profile, select, stats
+from ..operators import cleaning, evaluate, events, flows, joins, models, profile, select, stats, validation
 from ..sources import tables
 from .registry import FEAT
 from .views import Views, with_views
@@ -892,8 +893,6 @@ def _(v):
 
 
 def _bootstrap_sql(b: int = 20) -> str:
-    import math
-
     total, steps = 0.0, []
     for k in range(12):
         total += math.exp(-1) / math.factorial(k)
@@ -916,6 +915,66 @@ def _(v):
     return r6(evaluate.bootstrap_ci(v.scored, "y", "p", "id", 1000, vectorised=True), 3)
 
 
+_TWO = f"select id, any_f y, 'linear' model, round({_RISK}, 4) p from {{t}} union all select id, any_f, 'simple', round(1 / (1 + exp(-(r_max / 50 - 0.5::double))), 4) from {{t}} where r_max is not null"
+
+
+def _validation_sql(b: int = 20) -> str:
+    curve = """(select model, threshold, pos, neg, sum(pos) over w cp, sum(neg) over w cn, sum(pos) over (partition by model) np, sum(neg) over (partition by model) nn
+      from (select model, p threshold, sum(y) pos, sum(1 - y) neg from {t} group by 1, 2) window w as (partition by model order by threshold desc))"""
+    total, steps = 0.0, []
+    for k in range(12):
+        total += math.exp(-1) / math.factorial(k)
+        steps.append(f"(u >= {total!r}::double)::integer")
+    at = lambda m, q: f"list_sort(list({m}))[{int(b * q) + 1}]"
+    return f"""with a as ({_TWO.format(t='coh_a')}), x as ({_TWO.format(t='coh_b')}), ca as (select * from {curve.format(t='a')}), cx as (select * from {curve.format(t='x')}),
+      own as (select model, sum(neg * (cp - pos / 2.0::double)) / max(np * nn) auc_own, least(1.0::double, max_by(threshold, (cp / np::double - cn / nn::double, threshold))) threshold from ca group by 1),
+      m as (select model, (max(np) + max(nn))::bigint n, max(np)::bigint n_pos, sum(neg * (cp - pos / 2.0::double)) / max(np * nn) auc, sum(pos / np::double * cp / (cp + cn)) average_precision,
+        sum(pos * pow(c.threshold - 1, 2) + neg * c.threshold * c.threshold) / sum(pos + neg) brier, max(o.threshold) threshold, max(auc_own) auc_own, max(nn) nn,
+        coalesce(sum(pos) filter (c.threshold >= o.threshold), 0) tp, coalesce(sum(neg) filter (c.threshold >= o.threshold), 0) fp from cx c join own o using (model) group by 1),
+      d as (select model, rep, y, p, {' + '.join(steps)} w from (select model, rep, y, p, ('0x' || substr(md5(id::varchar || ':' || rep::varchar || ':42'), 1, 8))::ubigint / 4294967296.0::double u from x, range({b}) r(rep))),
+      e as (select model, rep, p, sum(w * y) pos, sum(w * (1 - y)) neg, sum(w) n from d where w > 0 group by all),
+      f as (select *, sum(pos) over v cp, sum(neg) over v cn, sum(pos) over (partition by model, rep) np, sum(neg) over (partition by model, rep) nn from e window v as (partition by model, rep order by p desc)),
+      g as (select model, rep, sum(neg * (cp - pos / 2.0::double)) / max(np * nn) auc, sum(pos / np::double * cp / (cp + cn)) ap, (sum(pos * pow(p - 1, 2)) + sum(neg * p * p)) / sum(n) brier from f group by all),
+      h as (select model, {', '.join(f'{at(m, q)} {m}_{e}' for m in ('auc', 'ap', 'brier') for q, e in ((0.025, 'lo'), (0.975, 'hi')))} from g group by 1)
+      select model, n, n_pos, {rd('auc', 'auc_lo', 'auc_hi', 'average_precision', 'ap_lo average_precision_lo', 'ap_hi average_precision_hi', 'brier', 'brier_lo', 'brier_hi', 'threshold', 'tp / n_pos sensitivity', '(nn - fp) / nn specificity', 'tp / (tp + fp) ppv', '(nn - fp) / (nn - fp + n_pos - tp) npv', 'auc_own', 'auc - auc_own auc_change')} from m join h using (model)"""
+
+
+def _two_models(cohort: DataFrame) -> DataFrame:
+    both = {"linear": models.linear_score(LINEAR, INTERCEPT), "simple": 1 / (1 + F.exp(-(F.col("r_max") / 50 - 0.5)))}
+    return models.score(cohort, both, None, ["id", "any_f"]).select("id", F.col("any_f").alias("y"), "model", F.round("p", 4).alias("p"))
+
+
+@query("validation_flow", _validation_sql())
+def _(v):
+    """Cut-offs are found on the development cohort and published; the report of the other cohort reads them back."""
+    path, made = tables.scratch(v.spark, "cutoffs"), _two_models(v.coh_a)
+    tables.publish_table(validation.cutoffs(made, "y", "p", ["model"]), path)
+    stored = tables.read_published(v.spark, path, "model string, threshold double")
+    return r6(validation.validate(_two_models(v.coh_b), "y", "p", "id", ["model"], stored, 20, vectorised=False, own=evaluate.auc(made, "y", "p", ["model"])))
+
+
+_OUTCOMES = {"any_f": "any_f", "taxed": "(tax >= 0.04)::integer"}
+_SELECTED = " union all ".join(f"select '{o}' outcome, '{c}' feature, round(corr({c}, {e}), 6) + 0.0::double weight, count(*) n from coh_a" for o, e in _OUTCOMES.items() for c in NUMBERS if c not in e)
+
+
+@query("selection_flow", f"""with s as ({_SELECTED}), k as (select *, row_number() over (partition by outcome order by abs(weight) desc, feature)::integer place from s where weight is not null),
+  t as (select *, count(*) over (partition by outcome)::integer n_features from k where place <= 3), w as (select outcome, id, sum(weight * coalesce(x, 0)) score from t join (select id, name feature, x from (unpivot coh_b on {', '.join(NUMBERS)} into name name value x)) using (feature) group by all)
+  select outcome, place, feature, weight, n_features, 1.0::double best_c, {rd('1 / n::double best_lambda', places=9)}, mean_score from t join (select outcome, round(sum(score) / (select count(*) from coh_b), 6) mean_score from w group by 1) using (outcome)""")
+def _(v):
+    """The three features that go best with each outcome are handed over as a JSON document, and score the other cohort from it."""
+    outcomes = {"any_f": F.col("any_f"), "taxed": (F.col("tax") >= 0.04).cast("int")}
+    pairs = [(o, c) for o in outcomes for c in NUMBERS if not (o == "taxed" and c == "tax")]
+    stats_row = v.coh_a.agg(F.count(F.lit(1)).alias("n"), *[F.corr(c, outcomes[o]).alias(f"{o}:{c}") for o, c in pairs])
+    rows = stats_row.select("n", F.explode(F.array(*[F.struct(F.lit(o).alias("outcome"), F.lit(c).alias("feature"), (F.round(F.col(f"`{o}:{c}`"), 6) + 0.0).alias("weight")) for o, c in pairs])).alias("x")).select("n", "x.*")
+    top = evaluate.top_by(rows.where("weight is not null"), "outcome", [F.desc(F.abs("weight")), F.asc("feature")], 3)
+    path = tables.scratch(v.spark, "selection")
+    tables.write_selection(top.select("outcome", "feature", "weight", F.lit(1.0).alias("best_c"), (1 / F.col("n")).alias("best_lambda")), path)
+    chosen = tables.read_selection(v.spark, path)
+    mean = v.coh_b.select([F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in NUMBERS]).agg(*[F.avg(c).alias(c) for c in NUMBERS]).unpivot([], NUMBERS, "feature", "mean")
+    scored = chosen.join(mean, "feature").groupBy("outcome").agg(F.round(F.sum(F.col("weight") * F.col("mean")), 6).alias("mean_score"))
+    return chosen.withColumn("best_lambda", F.round("best_lambda", 9)).join(scored, "outcome")
+
+
 @query("calibration_bins", f"select grp, least(floor(p * 10), 9)::integer bin, count(*) n, {rd('avg(p) mean_predicted', 'avg(y) observed')} from scored group by 1, 2")
 def _(v):
     return r6(evaluate.calibration_bins(v.scored, "y", "p", ["grp"]))

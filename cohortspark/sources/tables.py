@@ -97,3 +97,27 @@ def read_assets_json(spark: SparkSession, path: str, schema: StructType | str, m
 def explode_weights(df: DataFrame, key: str, weights: str) -> DataFrame:
     """(key, feature, weight) from a map column."""
     return df.select(key, F.explode(weights).alias("feature", "weight"))
+
+
+#: Fixed format: one JSON document, outcome -> its selected features.
+SELECTION = "map<string, struct<n_features: int, features: array<string>, weights: map<string, double>, best_C: double, best_lambda: double>>"
+
+
+def write_selection(selection: DataFrame, path: str) -> None:
+    """One JSON document of selected features from (outcome, feature, weight, best_c, best_lambda): features stand in the order of their
+    absolute weight, then name; rows of one outcome agree on the last two. What is written is bounded by outcomes and features."""
+    listed = F.sort_array(F.collect_list(F.struct((-F.abs("weight")).alias("k"), "feature", "weight")))
+    each = selection.groupBy("outcome").agg(listed.alias("l"), F.max("best_c").alias("c"), F.max("best_lambda").alias("m"))
+    weights = F.map_from_entries(F.transform("l", lambda x: F.struct(x["feature"], x["weight"])))
+    entry = F.struct("outcome", F.struct(F.size("l").alias("n_features"), F.col("l.feature").alias("features"), weights.alias("weights"), F.col("c").alias("best_C"), F.col("m").alias("best_lambda")))
+    document = each.agg(F.map_from_entries(F.collect_list(entry)).alias("d"))
+    document.select(F.to_json("d", {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(path)
+
+
+def read_selection(spark: SparkSession, path: str) -> DataFrame:
+    """(outcome, place, feature, weight, n_features, best_c, best_lambda), place from 1 in the order of the document's list; a listed
+    feature without a weight has NULL. A document that doesn't parse raises."""
+    parsed = spark.read.text(path, wholetext=True).select(F.from_json("value", SELECTION, {"mode": "FAILFAST"}).alias("d"))
+    each = parsed.select(F.explode("d").alias("outcome", "s"))
+    rows = each.select("outcome", "s", F.posexplode("s.features").alias("at", "feature"))
+    return rows.select("outcome", (F.col("at") + 1).alias("place"), "feature", F.try_element_at("s.weights", "feature").alias("weight"), F.col("s.n_features").alias("n_features"), F.col("s.best_C").alias("best_c"), F.col("s.best_lambda").alias("best_lambda"))
