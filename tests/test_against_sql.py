@@ -8,7 +8,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from cohortspark.plans.queries import ORACLES, QUERIES
+from cohortspark.plans.clinical import ORACLES, QUERIES
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
