@@ -1,15 +1,15 @@
-"""The cleaning of one wide table from its registry, as a job made of the operators."""
+"""Cleaning as jobs made of the operators: one wide table from its registry, and another cohort's for the models that are there."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.derive import log1p_floor
 from ..functions.units import Registry, registry_table
-from .cleaning import Mice, apply_imputer, apply_mice, apply_scaler, bifurcate, cleaning_report, fit_imputer, fit_mice, fit_scaler, hard_bounds, infer_units, patch_units
+from .cleaning import Assets, Mice, apply_imputer, apply_mice, apply_scaler, bifurcate, cleaning_report, fit_imputer, fit_mice, fit_scaler, hard_bounds, infer_units, long_form, patch_units, repair_units, replay, winsorize
 
 
 @dataclass
@@ -50,3 +50,50 @@ def clean_cohort(df: DataFrame, registry: Registry, outcome: str, key: str, frac
     model = apply_scaler(model.withColumns(logs), scale)
     decisions = removed.join(inferred.select("feature", "inferred_unit"), "feature", "full").join(audit.select("feature", "inverse_patched"), "feature", "full")
     return Cleaned(report, model, cleaning_report(registry_table(df.sparkSession, registry), decisions), fill, scale, mice)
+
+
+@dataclass(frozen=True)
+class Limits:
+    """What is logical for a feature, and the factor that mends a column in another unit."""
+
+    lo: float | None = None
+    hi: float | None = None
+    factor: float = 1.0
+
+
+@dataclass
+class Prepared:
+    """audited: the other cohort in its own units; removed: (feature, removed); tables: outcome -> key, its selected features in the frozen
+    space and the protected columns; spread: (feature, mean, std) in that space, which should be near 0 and 1."""
+
+    audited: DataFrame
+    removed: DataFrame
+    spread: DataFrame
+    tables: dict[str, DataFrame] = field(default_factory=dict)
+
+
+def prepare_external(df: DataFrame, limits: dict[str, Limits], selection: DataFrame, assets: Assets, key: str, protected: list[str], renames: dict[str, str] | None = None, flags: dict[str, Column] | None = None, approximate: int | str | None = None) -> Prepared:
+    """Another cohort made ready for the models of the first: renamed, cut to the features that some outcome selected and that have
+    limits, units mended by the median, values beyond the limits removed, the rest clipped to their 1 to 99 %, then put through the
+    frozen logarithms, fills and scales.
+
+    selection: what read_selection() gives. flags: columns made before anything is cleaned, NULL counting as 0; they and `protected`
+    keep their own values as integers (0 for NULL) and are never clipped. A feature that the cohort lacks is filled like a missing
+    value; a selected feature that the frozen space lacks is left out. Statistics cost two passes over the rows."""
+    chosen: dict[str, list[str]] = {}
+    for r in selection.select("outcome", "place", "feature").orderBy("outcome", "place").collect():  # outcomes x features
+        chosen.setdefault(r["outcome"], []).append(r["feature"])
+    out = df.withColumnsRenamed(renames or {}).withColumns({n: F.coalesce(c.cast("int"), F.lit(0)) for n, c in (flags or {}).items()})
+    own = [c for c in [*protected, *(flags or {})] if c in out.columns]
+    wanted = {f for fs in chosen.values() for f in fs}
+    used = [f for f in limits if f in wanted and f in out.columns and f not in own and f != key]
+    out = out.select(key, *used, *own)
+    out = repair_units(out, {f: (limits[f].lo, limits[f].factor) for f in used if limits[f].lo is not None and limits[f].factor != 1.0}, approximate=approximate)
+    bounds = {f: (limits[f].lo, limits[f].hi) for f in used if limits[f].lo is not None and limits[f].hi is not None}
+    removed = df.sparkSession.createDataFrame([], "feature string, removed long")
+    if bounds:
+        out, removed = hard_bounds(out, bounds)
+    audited = winsorize(out, used, keep_binary=False, approximate=approximate)
+    frozen = replay(audited, assets, [key, *own]).withColumns({c: F.coalesce(F.col(c).cast("int"), F.lit(0)) for c in own})
+    spread = long_form(frozen, {c: {"mean": F.avg(c), "std": F.stddev_samp(c)} for c in assets.order})
+    return Prepared(audited, removed, spread, {o: frozen.select(key, *[f for f in fs if f in assets.order], *own) for o, fs in chosen.items()})

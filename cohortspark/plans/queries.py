@@ -709,6 +709,38 @@ def _(v):
     return r6(cleaning.replay(v.coh_b, assets, ["id"], ("any_f",)).select("id", "any_f", *NUMBERS))
 
 
+_LIMITS = {"r_min": flows.Limits(2.0, 45.0), "r_max": flows.Limits(5.0, 48.0), "a_price": flows.Limits(2000.0, 90000.0), "n_price": flows.Limits(3000.0), "disc": flows.Limits(1.0, 9.0, 100.0), "r_other": flows.Limits(0.0, 1.0)}
+_CHOSEN = {"any_f": ["r_max", "disc", "a_price"], "taxed": ["r_min", "n_price", "tax"]}
+
+
+def _external_sql() -> str:
+    frozen = _assets_sql().split(" select id, any_f, ")[0].replace("b as (select id, ", "b0 as (select id, ")
+    used = [c for c in _LIMITS if c != "r_other"]
+    both = {c: m for c, m in _LIMITS.items() if c in used and m.hi is not None}
+    mended = ", ".join(f"{c} * (case when (select median({c}) from coh_b) < 0.2 * {m.lo} then {m.factor} else 1 end) {c}" if m.factor != 1 else c for c, m in _LIMITS.items() if c in used)
+    bounded = ", ".join(f"case when {c} between {both[c].lo} and {both[c].hi} then {c} end {c}" if c in both else c for c in used)
+    edges = ", ".join(f"quantile_cont({c}, 0.01) lo_{c}, quantile_cont({c}, 0.99) hi_{c}" for c in used)
+    clipped = {c: f"case when {c} is not null then least(greatest({c}, lo_{c}), hi_{c}) end" for c in used}
+    logged = {c: f"case when {c} is not null then ln(1 + greatest({clipped[c]}, 0)) end" if c in _LOGS else clipped[c] for c in used} | {"tax": "null::double"}
+    own = "id, any_f, taxed, (r_low)::integer r_low"
+    z = ", ".join(f"(coalesce({logged[c]}, f_{c}) - m_{c}) / s_{c} {c}" for fs in _CHOSEN.values() for c in fs)
+    parts = " union all ".join(f"select '{o}' outcome, id, any_f, taxed, r_low, {rd(*[c if c in _CHOSEN[o] else f'null {c}' for fs in _CHOSEN.values() for c in fs])} from z" for o in _CHOSEN)
+    return f"""{frozen}, u as (select id, any_f, (tax >= 0.04)::integer taxed, coalesce(r_max < 20, false) r_low, {mended} from coh_b), x as (select id, any_f, taxed, r_low, {bounded} from u), e as (select {edges} from x),
+      z as (select {own}, {z} from x, e, f, s) {parts}"""
+
+
+@query("external_cleaning_flow", _external_sql())
+def _(v):
+    """Assets and the selection of one cohort, stored and read back, prepare the other one for each outcome."""
+    kept, handed = tables.scratch(v.spark, "assets"), tables.scratch(v.spark, "selection")
+    cleaning.fit_assets(v.coh_a, NUMBERS, _LOGS).save(v.spark, kept)
+    rows = [(o, f, float(len(fs) - i), 1.0, 1.0) for o, fs in _CHOSEN.items() for i, f in enumerate(fs)]
+    tables.write_selection(v.spark.createDataFrame(rows, "outcome string, feature string, weight double, best_c double, best_lambda double"), handed)
+    other = v.coh_b.withColumn("taxed_28d", (F.col("tax") >= 0.04).cast("int"))
+    got = flows.prepare_external(other, _LIMITS, tables.read_selection(v.spark, handed), cleaning.load_assets(v.spark, kept), "id", ["any_f", "taxed"], {"taxed_28d": "taxed"}, {"r_low": F.col("r_max") < 20})
+    return r6(evaluate.union_all([t.withColumn("outcome", F.lit(o)) for o, t in got.tables.items()]))
+
+
 # statistics
 
 _LONG = " union all ".join(f"select any_f g, '{c}' feature, {c}::double v from feat" for c in ("r_max", "a_price", "n_price"))
