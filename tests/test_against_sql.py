@@ -53,3 +53,14 @@ def test_entry_has_rows(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).count() > 0
+
+
+@pytest.mark.parametrize("name", ["clinical_cohort", "external_cohort", "external_cleaning_flow"])
+def test_jobs_have_no_products_and_no_python(spark, name):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # small tables would hide what large ones get
+    try:
+        plan = QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert not any(x in plan for x in ("CartesianProduct", "NestedLoop", "Python", "InPandas", "SinglePartition"))
