@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -15,6 +17,9 @@ from .vocabulary import MODEL, SEGMENTS, Vocabulary, load_vocabulary
 
 #: Characters that are segmented at a time, so that temporary arrays stay small.
 PART = 1 << 17
+#: Segments of more characters are drawn alone, one position at a time: there is nothing to do side by side in one long lattice.
+LONG = 1 << 10
+_STEP = 0x9E3779B97F4A7C15
 
 
 class Lattices:
@@ -117,7 +122,7 @@ class Lattices:
         while len(alive):
             here = at[alive]
             edge = self.first[here]
-            u = (mix(seeds[alive] + np.uint64(step * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) >> np.uint64(11)).astype(np.float64) * 2.0**-53
+            u = (mix(seeds[alive] + np.uint64(step * _STEP & 0xFFFFFFFFFFFFFFFF)) >> np.uint64(11)).astype(np.float64) * 2.0**-53
             more = np.flatnonzero(u >= self.reached[edge])
             while len(more):
                 edge[more] += 1
@@ -136,6 +141,68 @@ class Lattices:
             out[last[a] - k] = tokens
         return out, count
 
+    def edges_of(self, segment: str, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The edges that end at nodes lo + 1 .. hi of a segment, node by node: (place of each node's first edge and the end,
+        tokens, widths, scores), in the order in which add() holds them."""
+        begin = max(0, lo - int(self.widths.max()) + 1)
+        flat = np.fromiter(chain.from_iterable(self.vocabulary.id_automaton.iter(segment[begin:hi])), np.int32).reshape(-1, 2)
+        flat = flat[flat[:, 0] >= lo - begin]
+        node, token = flat[:, 0] + (begin - lo), flat[:, 1]
+        width, score = self.widths[token], self.scores[token]
+        single = np.zeros(hi - lo, bool)
+        single[node[width == 1]] = True
+        if not single.all():
+            bare = np.flatnonzero(~single)
+            token = np.concatenate([token, np.array([self.spell(segment[lo + k]) for k in bare.tolist()], np.int32)])
+            node = np.concatenate([node, bare])
+            width = np.concatenate([width, np.ones(len(bare), np.int32)])
+            score = np.concatenate([score, np.full(len(bare), self.alpha * self.vocabulary.unknown_score)])
+            order = np.argsort(node, kind="stable")
+            node, token, width, score = node[order], token[order], width[order], score[order]
+        return np.searchsorted(node, np.arange(hi - lo + 1)), token, width, score
+
+    def sample_long(self, segment: str, seed: np.uint64, window: int = 1 << 16) -> np.ndarray:
+        """The tokens that sample() draws for one segment, for segments of any length.
+
+        Forward filtering keeps one weight for each character; edges are held for a window only, and are found again, window by
+        window from the end, when tokens are drawn backwards. So memory is eight bytes a character beside the window, and time
+        is linear in the characters."""
+        n, exp, log = len(segment), math.exp, math.log
+        forward = array("d", bytes(8 * (n + 1)))
+        for lo in range(0, n, window):
+            hi = min(n, lo + window)
+            first, _, width, score = (x.tolist() for x in self.edges_of(segment, lo, hi))
+            for node in range(lo + 1, hi + 1):
+                a, b = first[node - lo - 1], first[node - lo]
+                if b - a == 1:
+                    forward[node] = forward[node - width[a]] + score[a]
+                else:
+                    weights = [forward[node - w] + s for w, s in zip(width[a:b], score[a:b])]
+                    top = max(weights)
+                    forward[node] = top + log(sum([exp(x - top) for x in weights]))
+        reach, node, step, parts = np.frombuffer(forward, np.float64), n, 0, []
+        while node:
+            hi, lo = node, max(0, node - window)
+            first, token, width, score = self.edges_of(segment, lo, hi)
+            count = np.diff(first)
+            end = np.repeat(np.arange(lo + 1, hi + 1), count)
+            weight = np.exp(score + reach[end - width] - reach[end])
+            run, total = np.cumsum(weight), np.add.reduceat(weight, first[:-1])
+            below = (run - np.repeat(run[first[:-1]] - weight[first[:-1]], count)) / np.repeat(total, count)
+            below[first[1:] - 1] = 2.0  # the last edge takes what rounding leaves
+            steps = np.arange(step, step + hi - lo, dtype=np.uint64) * np.uint64(_STEP)
+            draws = ((mix(steps + seed) >> np.uint64(11)).astype(np.float64) * 2.0**-53).tolist()
+            first, width, below, drawn = first.tolist(), width.tolist(), below.tolist(), []
+            while node > lo:
+                edge, u = first[node - lo - 1], draws[len(drawn)]
+                while u >= below[edge]:
+                    edge += 1
+                drawn.append(edge)
+                node -= width[edge]
+            parts.append(token[np.array(drawn)])
+            step += len(drawn)
+        return np.concatenate(parts)[::-1]
+
 
 def _put(array: np.ndarray, at: int, values: np.ndarray) -> np.ndarray:
     """array with values from `at` on, in a larger copy if they don't fit."""
@@ -177,10 +244,19 @@ class Sampler:
         self.vocabulary, self.lattices, self.decoder = vocabulary, Lattices(vocabulary, alpha), Decoder(vocabulary)
 
     def ids(self, segments: list[str], seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, number of ids for each segment), PART characters at a time."""
-        done = np.cumsum(np.fromiter(map(len, segments), np.int64, len(segments)))
-        cuts = [0, *np.unique(np.searchsorted(done, np.arange(PART, done[-1], PART), "left") + 1).tolist(), len(segments)]
-        tokens, count = (np.concatenate(x) for x in zip(*(self.lattices.sample(segments[a:b], seeds[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if a < b), strict=True))
+        """(ids, number of ids for each segment), PART characters at a time; a long segment stands alone."""
+        size = np.fromiter(map(len, segments), np.int64, len(segments))
+        done, long = np.cumsum(size), np.flatnonzero(size > LONG)
+        parts = np.searchsorted(done, np.arange(PART, done[-1], PART), "left") + 1
+        cuts = np.unique(np.concatenate([[0, len(segments)], parts, long, long + 1])).tolist()
+        found = []
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if size[a] > LONG:
+                drawn = self.lattices.sample_long(segments[a], seeds[a])
+                found.append((drawn, np.array([len(drawn)])))
+            else:
+                found.append(self.lattices.sample(segments[a:b], seeds[a:b]))
+        tokens, count = (np.concatenate(x) for x in zip(*found, strict=True))
         if tokens.max() >= self.vocabulary.size:
             spelled = self.lattices.token_ids
             widths = np.array([len(x) for x in spelled], np.int64)

@@ -42,6 +42,11 @@ class Vocabulary:
         found.make_automaton()
         return found
 
+    @cached_property
+    def ring(self) -> int:
+        """The least power of two that is greater than the characters of the longest piece."""
+        return 1 << max(len(text) for text, _, _ in self.pieces).bit_length()
+
     @cached_property
     def piece_bytes(self) -> list[bytes]:
         out = [b""] * self.size

@@ -27,7 +27,7 @@ from cohortspark.llm.sentencepiece_sample import Lattices, decode, sample_encode
 from cohortspark.llm.suffix_dedup import deep_shallow_sort, remove_repeats
 from cohortspark.llm.token_count import count_pieces, count_tokens
 from cohortspark.llm.toxicity import score_toxicity, windows_of
-from cohortspark.llm.vocabulary import MODEL, load_vocabulary
+from cohortspark.llm.vocabulary import MODEL, SEGMENTS, load_vocabulary
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 TEXTS = [None, "", " \n\t ", "one", "One  two\nthree", "é ü 日本 ▁ \U0001f600", "a" * 5000, "word " * 3000, "Same text here.", "Same text here."]
@@ -94,6 +94,48 @@ def test_sampling_follows_the_lattice():
         assert abs(seen[way] / n - weight / total) < 0.015
 
 
+def test_long_segments_draw_the_same():
+    rng, letters = random.Random(1), "abcdefghijklmnopqrstuvwxyzé日本▁\U0001f600語\0"
+    for alpha in (0.001, 0.1, 1.0):
+        lattices = Lattices(load_vocabulary(), alpha)
+        for k in range(40):
+            segment = "".join(rng.choice(letters[: rng.choice([3, 26, 33])]) for _ in range(rng.choice([1, 2, 7, 50, 400])))
+            seed = np.array([rng.getrandbits(64)], np.uint64)
+            tokens, _ = lattices.sample([segment], seed)
+            assert lattices.sample_long(segment, seed[0], window=(5, 64, 1 << 16)[k % 3]).tolist() == tokens.tolist()
+
+
+def test_texts_without_a_space(spark):
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("etaoinshrdlu日") for _ in range(n)) for n in (1023, 1024, 70_000, 300_000)]
+    texts.append(texts[0] + " " + texts[2] + " x")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    vocabulary = load_vocabulary()
+    for r in sample_encode(docs).collect():
+        assert r["lossless"] and decode(r["ids"], vocabulary) == texts[r["doc_id"]] and r["n_pieces"] == len(r["ids"])
+    counts = {r["doc_id"]: r["n_tokens"] for r in count_tokens(docs).collect()}
+    assert counts == {i: sum(count_pieces(s, vocabulary)[1] for s in SEGMENTS.findall(" " + x)) for i, x in enumerate(texts)}
+
+
+def test_streamed_counts_equal_a_plain_search():
+    vocabulary, rng = load_vocabulary(), random.Random(4)
+    known = {t: s for t, _, s in vocabulary.pieces}
+    longest = max(map(len, known))
+    for _ in range(200):
+        text = " " + "".join(rng.choice(rng.choice(["ab", "etaoinsh", "é日\U0001f600x", "0011aa"])) for _ in range(rng.randint(0, 90)))
+        score, count = [0.0], [0]
+        for end in range(1, len(text) + 1):
+            best = pieces = None
+            for start in range(max(0, end - longest), end):
+                if (s := known.get(text[start:end])) is not None and (best is None or score[start] + s > best):
+                    best, pieces = score[start] + s, count[start] + 1
+            if text[end - 1] not in known and (best is None or score[end - 1] + vocabulary.unknown_score > best):
+                best, pieces = score[end - 1] + vocabulary.unknown_score, count[end - 1] + len(text[end - 1].encode())
+            score.append(best)
+            count.append(pieces)
+        assert count_pieces(text, vocabulary) == (score[-1], count[-1])
+
+
 # 2
 
 
