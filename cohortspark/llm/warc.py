@@ -1,9 +1,10 @@
 """WARC archives with revisit records, and a two-level capture index over them.
 
 write_warc() writes gzip members, one for each record, to archives in a shared folder; build_index() sorts the captures by
-reversed-host URL key into compressed blocks and keeps a sparse directory of the blocks; fetch() finds captures by binary
-search in the directory, then in a block, then reads the records' byte ranges. Tasks of fetch() take sorted ranges of keys and
-read only what of the directory their keys need. read_warc() reads all blocks without a search.
+reversed-host URL key into compressed blocks and keeps a sparse directory of the blocks; locate() finds captures by binary
+search in the directory, then in a block. Its tasks take sorted ranges of keys and read only what of the directory their keys
+need. read_records() deals captures into ranges of (archive, offset), so that a task opens few archives and reads neighbours
+together. fetch() is both; read_warc() reads all blocks without a search.
 
 Paths are URIs that pyarrow.fs resolves on the executors. A file's name holds a random part, and only the names that a
 finished task returned are used, so that a task that runs again leaves at most an unused file behind."""
@@ -22,10 +23,10 @@ from urllib.parse import urlsplit
 import pyarrow as pa
 import pyarrow.dataset as pads
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_dir, stash
+from .common import discard, fresh_dir, stash
 from .textbytes import releasing
 
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -92,6 +93,22 @@ def digest32(payload: bytes) -> str:
 CAPTURE = "url_key string, page_id long, file string, offset long, length long, record_type string, refers_to long"
 
 
+def first_of_copies(digests: DataFrame, min_bytes: int, share: int = 1000) -> DataFrame:
+    """(rp, rd, first_id): pages that revisit a page with the same digest and size, and the least id of those pages.
+
+    A payload of more than one in `share` rows is hot: fewer than `share` payloads can be, so that they are broadcast and their
+    rows stay where they are; the rows of all other payloads meet their first one by a join on the digest."""
+    most = digests.count() // share
+    copies = digests.where(F.col("n") >= min_bytes).groupBy("digest", "n").agg(F.min("page_id").alias("first_id"), F.count("*").alias("rows"))
+    copies = stash(copies.where("rows > 1"), "copies")
+    hot = F.broadcast(copies.where(F.col("rows") > most).drop("rows"))
+    found = digests.join(hot, ["digest", "n"]).unionByName(digests.join(hot, ["digest", "n"], "left_anti").join(copies.where(F.col("rows") <= most).drop("rows"), ["digest", "n"]))
+    later = found.where("page_id > first_id or page_id is null").select(F.col("page_id").alias("rp"), F.col("digest").alias("rd"), "first_id")
+    revisits = stash(later.distinct(), "revisits")
+    discard(copies)
+    return revisits
+
+
 def write_warc(pages: DataFrame, folder: str, min_bytes: int = 0, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """Writes a record for each page and returns its capture (url_key, page_id, file, offset, length, record_type, refers_to).
 
@@ -99,10 +116,8 @@ def write_warc(pages: DataFrame, folder: str, min_bytes: int = 0, page_id: str =
     others are revisits of it; of several rows with that page_id and payload, all are responses. A null html is an empty
     payload; a null page_id is written as 'null' and comes last. Other columns are ignored."""
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(html).cast("string"), F.lit("")).alias("html"))
-    digests = rows.select("page_id", F.sha1(F.col("html").cast("binary")).alias("digest"), F.octet_length("html").alias("n"))
-    firsts = digests.where(F.col("n") >= min_bytes).groupBy("digest", "n").agg(F.min("page_id").alias("first_id"), F.count("*").alias("rows")).where("rows > 1")
-    revisits = digests.join(firsts, ["digest", "n"]).where("page_id > first_id or page_id is null").select("page_id", F.col("digest").alias("rd"), "first_id").distinct()
-    revisits = revisits.withColumnRenamed("page_id", "rp")
+    digests = stash(rows.select("page_id", F.sha1(F.col("html").cast("binary")).alias("digest"), F.octet_length("html").alias("n")), "digests")
+    revisits = first_of_copies(digests, min_bytes)
     marked = rows.withColumn("digest", F.sha1(F.col("html").cast("binary"))).join(revisits, F.col("page_id").eqNullSafe(F.col("rp")) & (F.col("digest") == F.col("rd")), "left")
     fs, root = filesystem(folder)
     fs.create_dir(root)
@@ -127,7 +142,10 @@ def write_warc(pages: DataFrame, folder: str, min_bytes: int = 0, page_id: str =
             if out is not None:
                 out.close()
 
-    return stash(marked.select("page_id", "url", "html", "first_id").mapInArrow(releasing(write), CAPTURE), "captures")
+    captures = stash(marked.select("page_id", "url", "html", "first_id").mapInArrow(releasing(write), CAPTURE), "captures")
+    discard(digests)
+    discard(revisits)
+    return captures
 
 
 DIRECTORY = "first_key string, first_id long, last_key string, file string, offset long, length long, n int"
@@ -192,43 +210,78 @@ def parse_record(data: bytes) -> dict:
 RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string"
 
 
-def _records(lines: list[list], fs: pafs.FileSystem, root: str) -> Iterator[dict]:
-    """The records of captures, read in the order of the archives; a response's payload is checked against its digest."""
-    opened, last = None, None
-    try:
-        for _, _, file, at, n, _, _ in sorted(lines, key=lambda x: (x[2], x[3])):
-            if file != last:
-                if opened:
-                    opened.close()
-                opened, last = fs.open_input_file(f"{root}/{file}"), file
-            record = parse_record(opened.read_at(n, at))
-            if record["payload"] is not None and digest32(record["payload"]) != record["payload_digest"]:
-                raise ValueError(f"payload of page {record['page_id']} does not match its digest")
-            yield record
-    finally:
-        if opened:
-            opened.close()
+LOCATION = "file string, offset long, length long"
+#: Bytes that are read from an archive together, and bytes of archives for a task; no stage has more than MOST_TASKS tasks.
+RUN_BYTES, TASK_BYTES, MOST_TASKS = 4 << 20, 64 << 20, 20_000
 
 
-def read_warc(directory: DataFrame, index_folder: str, folder: str, payload: bool = False) -> DataFrame:
-    """All records: tasks take a few blocks each, read their records in the order of the archives and check a response's payload
-    against its digest (a mismatch raises). A revisit's payload is that of the record it refers to."""
+def runs_of(places: list[tuple[str, int, int]], most: int = RUN_BYTES) -> Iterator[list[tuple[str, int, int]]]:
+    """Neighbours in sorted (file, offset, length): same archive, less than 64 KB apart, up to `most` bytes from first to last. A
+    longer record stands alone."""
+    run: list[tuple[str, int, int]] = []
+    for place in places:
+        if run and (place[0] != run[-1][0] or place[1] > run[-1][1] + run[-1][2] + (64 << 10) or place[1] + place[2] - run[0][1] > most):
+            yield run
+            run = []
+        run.append(place)
+    if run:
+        yield run
+
+
+def _tasks(spark: SparkSession, work: int, each: int) -> int:
+    """Tasks for an amount of work; rows are so small here that Spark's own choice would be one task."""
+    return max(spark.sparkContext.defaultParallelism, min(-(-work // each), MOST_TASKS))
+
+
+def read_records(captures: DataFrame, folder: str, payload: bool = False) -> DataFrame:
+    """The records at captures (file, offset, length; other columns are ignored), a response's payload checked against its digest
+    (a mismatch raises). A revisit's payload is that of the record it refers to.
+
+    Places are stored once and dealt into ranges of (file, offset) of about 64 MB of archives, so that few tasks open an archive;
+    neighbouring records are read together."""
     schema = RECORD + (", payload binary" if payload else "")
     names = [x.split()[0] for x in schema.split(", ")]
+    places = stash(captures.select("file", "offset", "length"), "places")
+    size = places.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (index_fs, index_root), (fs, root) = filesystem(index_folder), filesystem(folder)
-        for batch in batches:
-            for name, offset, length in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                found = _records(read_block(index_fs, f"{index_root}/{name}", offset, length), fs, root)
-                yield _batch([tuple(r[x] for x in names) for r in found], schema)
+        fs, root = filesystem(folder)
+        opened, last = None, None
+        try:
+            for batch in batches:
+                for run in runs_of(list(zip(*(c.to_pylist() for c in batch.columns), strict=True))):
+                    file, begin = run[0][:2]
+                    if file != last:
+                        if opened:
+                            opened.close()
+                        opened, last = fs.open_input_file(f"{root}/{file}"), file
+                    data, rows = opened.read_at(max(at + n for _, at, n in run) - begin, begin), []
+                    for _, at, n in run:
+                        record = parse_record(data[at - begin : at - begin + n])
+                        if record["payload"] is not None and digest32(record["payload"]) != record["payload_digest"]:
+                            raise ValueError(f"payload of page {record['page_id']} does not match its digest")
+                        rows.append(tuple(record[x] for x in names))
+                    yield _batch(rows, schema)
+        finally:
+            if opened:
+                opened.close()
 
-    return directory.select("file", "offset", "length").repartition(_tasks(directory), "file", "offset").mapInArrow(releasing(read), schema)
+    dealt = places.repartitionByRange(_tasks(places.sparkSession, size, TASK_BYTES), "file", "offset").sortWithinPartitions("file", "offset")
+    return dealt.mapInArrow(releasing(read), schema)
 
 
-def _tasks(directory: DataFrame) -> int:
-    """Tasks to read records: four blocks for each. Blocks and keys are so small that Spark's own choice would be one task."""
-    return max(directory.sparkSession.sparkContext.defaultParallelism, -(-directory.count() // 4))
+def read_warc(directory: DataFrame, index_folder: str, folder: str, payload: bool = False) -> DataFrame:
+    """All records, by the captures of all blocks."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = filesystem(index_folder)
+        for batch in batches:
+            for name, offset, length in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                yield _batch([(x[2], x[3], x[4]) for x in read_block(fs, f"{root}/{name}", offset, length)], LOCATION)
+
+    blocks = directory.select("file", "offset", "length")
+    blocks = blocks.repartition(_tasks(directory.sparkSession, directory.count(), 64), "file", "offset")
+    return read_records(blocks.mapInArrow(releasing(read), LOCATION), folder, payload)
 
 
 def _place(key: str, page_id: int | None) -> tuple:
@@ -236,14 +289,12 @@ def _place(key: str, page_id: int | None) -> tuple:
     return key, page_id is not None, page_id or 0
 
 
-def fetch(keys: DataFrame, directory: DataFrame, index_folder: str, folder: str, payload: bool = False) -> DataFrame:
-    """The records of the captures of keys (url, and page_id if there is such a column): binary search in the directory, then in the
-    blocks, then range reads.
+def locate(keys: DataFrame, directory: DataFrame, index_folder: str) -> DataFrame:
+    """The captures (CAPTURE) of keys (url, and page_id if there is such a column): binary search in the directory, then in the blocks.
 
     Keys are sorted in ranges, and a task reads the directory only between the least and the greatest key of a batch. A key that
     stands several times is one; without page_id all captures of a URL are found. Keys without captures give no rows."""
-    schema, exact = RECORD + (", payload binary" if payload else ""), "page_id" in keys.columns
-    names, path = [x.split()[0] for x in schema.split(", ")], directory._stashed
+    exact, path = "page_id" in keys.columns, directory._stashed
 
     def key_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -257,7 +308,7 @@ def fetch(keys: DataFrame, directory: DataFrame, index_folder: str, folder: str,
         return sorted((_place(key, i), file, offset, length) for key, i, file, offset, length in rows)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (index_fs, index_root), (fs, root) = filesystem(index_folder), filesystem(folder)
+        fs, root = filesystem(index_folder)
         for batch in batches:
             wanted = [_place(k, i) if exact else (k,) for k, i in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
             if not wanted:
@@ -269,19 +320,24 @@ def fetch(keys: DataFrame, directory: DataFrame, index_folder: str, folder: str,
                 k = max(0, bisect.bisect_left(firsts, key) - 1)
                 while k < len(blocks) and firsts[k][: len(key)] <= key:
                     if loaded[0] != k:
-                        held = read_block(index_fs, f"{index_root}/{blocks[k][1]}", blocks[k][2], blocks[k][3])
+                        held = read_block(fs, f"{root}/{blocks[k][1]}", blocks[k][2], blocks[k][3])
                         loaded = k, held, [_place(x[0], x[1]) for x in held]
                     at = bisect.bisect_left(loaded[2], key)
                     while at < len(loaded[2]) and loaded[2][at][: len(key)] == key:
                         lines.append(loaded[1][at])
                         at += 1
                     k += 1
-            yield _batch([tuple(r[x] for x in names) for r in _records(lines, fs, root)], schema)
+            yield _batch(lines, CAPTURE)
 
     page = F.col("page_id").cast("long") if exact else F.lit(None).cast("long")
     keyed = keys.select(F.col("url").cast("string").alias("url"), page.alias("page_id")).mapInArrow(releasing(key_of), "url_key string, page_id long")
-    ordered = keyed.distinct().repartitionByRange(_tasks(directory), "url_key", "page_id").sortWithinPartitions("url_key", "page_id")
-    return ordered.mapInArrow(releasing(read), schema)
+    ordered = keyed.distinct().repartitionByRange(_tasks(keys.sparkSession, directory.count(), 64), "url_key", "page_id").sortWithinPartitions("url_key", "page_id")
+    return ordered.mapInArrow(releasing(read), CAPTURE)
+
+
+def fetch(keys: DataFrame, directory: DataFrame, index_folder: str, folder: str, payload: bool = False) -> DataFrame:
+    """The records of the captures of keys, as locate() finds them; the places of the captures are stored in between."""
+    return read_records(locate(keys, directory, index_folder), folder, payload)
 
 
 def warc_round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:

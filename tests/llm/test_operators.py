@@ -337,6 +337,32 @@ def test_warc_keeps_ids_beyond_doubles(spark):
     assert got == {(big + 1, 4, "response", None): 1, revisit(big + 3): 1, (big + 5, 5, "response", None): 1, revisit(big + 5): 2, revisit(None): 1, (7, 3_000_000, "response", None): 1}
 
 
+@pytest.mark.parametrize("share", [1, 5, 1000])
+def test_hot_payloads_and_others_find_their_first_page(spark, share):
+    rows = [(i, "hot", 3) for i in range(40, 90)] + [(i, f"d{i % 6}", 2) for i in range(20)] + [(None, "hot", 3), (7, "small", 1), (8, "small", 1), (41, "hot", 3)]
+    got = Counter(tuple(r) for r in warc.first_of_copies(spark.createDataFrame(rows, "page_id long, digest string, n int"), 2, share).collect())
+    want = {(i, "hot", 40) for i in [*range(41, 90), None]} | {(i, f"d{i % 6}", i % 6) for i in range(6, 20)}
+    assert got == {x: 1 for x in want}
+
+
+def test_records_are_read_in_runs_of_an_archive():
+    places = [("a", 0, 10), ("a", 10, 20), ("a", 200_000, 5), ("a", 200_005, 90), ("b", 200_100, 1), ("b", 200_101, 500), ("b", 200_601, 2)]
+    assert list(warc.runs_of(places, 100)) == [places[:2], places[2:4], places[4:5], places[5:6], places[6:]]
+    assert list(warc.runs_of([])) == []
+
+
+def test_fetch_deals_records_by_archive(spark):
+    pages = spark.range(3000).selectExpr("id as page_id", "concat('http://h', id % 7, '.org/', id % 50) as url", "repeat(cast(id % 900 as string), 200) as html").repartition(6)
+    archives, index = fresh_dir(spark, "warc"), fresh_dir(spark, "index")
+    directory = warc.build_index(warc.write_warc(pages, archives), index, block_rows=40)
+    found = warc.locate(pages.select("url", "page_id"), directory, index)
+    records = warc.read_records(found, archives)
+    plan = records._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning(file" in plan and "url_key" not in plan
+    got = {r["page_id"]: (r["record_type"], r["refers_to"], r["payload_bytes"]) for r in records.collect()}
+    assert got == {i: (("response", None) if i < 900 else ("revisit", i % 900)) + (200 * len(str(i % 900)),) for i in range(3000)}
+
+
 # 6
 
 
