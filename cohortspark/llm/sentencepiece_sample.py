@@ -257,13 +257,20 @@ class Sampler:
             else:
                 found.append(self.lattices.sample(segments[a:b], seeds[a:b]))
         tokens, count = (np.concatenate(x) for x in zip(*found, strict=True))
-        if tokens.max() >= self.vocabulary.size:
-            spelled = self.lattices.token_ids
+        at = np.flatnonzero(tokens >= self.vocabulary.size)
+        if len(at):
+            # only characters without a piece are longer than one id
+            spelled = self.lattices.token_ids[self.vocabulary.size :]
             widths = np.array([len(x) for x in spelled], np.int64)
-            flat, starts = np.array([i for x in spelled for i in x], np.int32), np.cumsum(widths) - widths
-            owner = np.repeat(np.arange(len(count)), count)
-            count = np.bincount(owner, weights=widths[tokens], minlength=len(count)).astype(np.int64)
-            tokens = flat[ragged(widths[tokens], starts[tokens])]
+            flat, which = np.array([i for x in spelled for i in x], np.int32), tokens[at] - self.vocabulary.size
+            size = np.ones(len(tokens), np.int64)
+            size[at] = widths[which]
+            starts = np.cumsum(size) - size
+            out = np.repeat(tokens, size)
+            out[ragged(size[at], starts[at])] = flat[ragged(size[at], (np.cumsum(widths) - widths)[which])]
+            owner = np.searchsorted(np.cumsum(count), at, "right")
+            np.add.at(count, owner, size[at] - 1)
+            tokens = out
         return tokens, count
 
     def encode(self, texts: list[str | None], rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bool | None]]:
