@@ -182,3 +182,11 @@ def test_a_failed_replacement_leaves_the_table(spark, tmp_path):
     for n in (4, 5):
         tables.publish_table(spark.range(n), path)
     assert tables.read_published(spark, path).count() == 5 and len(tables._pointers(spark, path)) == 2
+
+
+def test_models_fit_after_curves_in_one_session(spark):
+    """What a curve leaves in the session must not keep MLlib's models from being sent to tasks."""
+    df = spark.createDataFrame([(i, i % 2, float((i * 7) % 11) + i % 2, i / 60) for i in range(60)], "id long, y int, x double, p double")
+    assert evaluate.auc(df, "y", "p", []).count() == 1
+    assert models.calibrate(df, "y", ["x"], "id", k=2)[0].count() == 60
+    assert models.tune(df, "y", ["x"], "id", ("logistic",), k=2)[0].count() == 1
