@@ -64,3 +64,17 @@ def test_jobs_have_no_products_and_no_python(spark, name):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert not any(x in plan for x in ("CartesianProduct", "NestedLoop", "Python", "InPandas", "SinglePartition"))
+
+
+def test_curves_round_halves_as_the_statement_does(spark, tmp_path):
+    """Prices half way between two scores, and rates half way between two published ones."""
+    rows = ", ".join(f"({i}, {i}, '{'FOP'[i % 3]}', {400 * i + 200}::double, timestamp '1998-01-01', 'one')" for i in range(1000))
+    halves = ", ".join(f"({1000 + i}, {i}, '{'F' if i < 333 else 'O'}', {400.0 * (i % 640)}::double, timestamp '1998-01-01', 'two')" for i in range(973))
+    con = duckdb.connect()
+    con.execute(f"copy (select * from (values {rows}, {halves}) t(o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority)) to '{tmp_path}/orders.parquet'")
+    for t in TABLES:
+        con.execute(f"create view {t} as select * from read_parquet('{tmp_path if t == 'orders' else DATA}/{t}.parquet')")
+    df = QUERIES["roc_points"](spark, str(tmp_path))
+    found = con.execute(ORACLES["roc_points"])
+    names = [d[0] for d in found.description]
+    assert sorted(map(tuple, df.select(names).collect())) == sorted(found.fetchall())
