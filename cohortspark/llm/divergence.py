@@ -31,6 +31,9 @@ ADDED, UNIT = 2, 1_000_000_000
 
 #: Bytes of terms: letters of ASCII and all bytes of other characters.
 _TERM = np.array([i >= 0x80 or chr(i).isalpha() for i in range(256)])
+#: Bytes of text that a task counts together: what it holds beside its batch is some 60 times that.
+PART = 1 << 19
+
 _LEVEL = "lang string, source string, term binary, whole boolean, n_docs long, n long"
 
 
@@ -58,7 +61,7 @@ def _level(docs: DataFrame, length: int, left: np.ndarray | None) -> DataFrame:
             langs, sources = lang.indices.to_numpy().astype(np.int64), source.indices.to_numpy().astype(np.int64)
             salts = np.array([_salt(x) for x in lang.dictionary.to_pylist()], np.uint64)
             width = len(source.dictionary) + 1  # the last place is that of no source
-            for lo, _, text, offsets in parts(batch.column(2), 2 << 20):
+            for lo, _, text, offsets in parts(batch.column(2), PART):
                 start, end, row = spans(_TERM[text], offsets)
                 row += lo
                 prefix = prefix_hashes(text)

@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from cohortspark.llm.divergence import audit_sources, kept_terms
+from cohortspark.llm.divergence import _level, audit_sources, kept_terms
 
 SCHEMA = "doc_id long, text string, lang string, source string"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -70,3 +70,23 @@ def test_prefixes_that_few_documents_hold_go(spark):
     assert len(held) == 5 and ("q" * 16, False) in held[1]
     # five documents hold sixteen q's: nothing longer is looked at
     assert {t[:1] for t, _ in held[2] | held[3] | held[4]} == {"a"} and (rare, True) in held[4]
+
+
+def test_a_level_holds_little_beside_its_batch():
+    """What a task allocates for a batch of 16 MB, in numpy arrays and all; Arrow's buffers are not in it."""
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    tasks = []
+    docs = SimpleNamespace(sparkSession=SimpleNamespace(sparkContext=SimpleNamespace(broadcast=lambda x: SimpleNamespace(value=x))), mapInArrow=lambda task, schema: tasks.append(task))
+    _level(docs, 8, None)
+    texts = [" ".join(f"w{chr(97 + i % 26)}{chr(97 + j % 26)}" for j in range(400)) for i in range(10_000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(["a"] * len(texts)), pa.array(["b"] * len(texts)), pa.array(texts)], ["lang", "source", "text"])
+    tracemalloc.start()
+    try:
+        assert sum(len(x) for x in tasks[0](iter([batch])))
+        assert tracemalloc.get_traced_memory()[1] < 40 << 20
+    finally:
+        tracemalloc.stop()
