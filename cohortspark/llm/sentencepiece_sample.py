@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -53,12 +52,11 @@ class Lattices:
         size = np.array([len(x) for x in segments], np.int64)
         text = "\0".join(segments)
         start = np.cumsum(size + 1) - size - 1
-        flat = np.fromiter(chain.from_iterable(self.vocabulary.id_automaton.iter(text)), np.int32).reshape(-1, 2)
-        if self.index and (self.edges + len(flat) + size.sum() > len(self.reached) or len(self.index) + len(segments) > len(self.base)):
+        end, token = self.vocabulary.matches(text)
+        if self.index and (self.edges + len(end) + size.sum() > len(self.reached) or len(self.index) + len(segments) > len(self.base)):
             return False
         word_at = np.repeat(np.arange(len(segments), dtype=np.int32), size + 1)
         base = np.cumsum(size) - size
-        end, token = flat[:, 0], flat[:, 1]
         word, width, score = word_at[end], self.widths[token], self.scores[token]
         node = base[word] + end - start[word]
         single = np.zeros(int(size.sum()), bool)
@@ -145,9 +143,9 @@ class Lattices:
         """The edges that end at nodes lo + 1 .. hi of a segment, node by node: (place of each node's first edge and the end,
         tokens, widths, scores), in the order in which add() holds them."""
         begin = max(0, lo - int(self.widths.max()) + 1)
-        flat = np.fromiter(chain.from_iterable(self.vocabulary.id_automaton.iter(segment[begin:hi])), np.int32).reshape(-1, 2)
-        flat = flat[flat[:, 0] >= lo - begin]
-        node, token = flat[:, 0] + (begin - lo), flat[:, 1]
+        end, token = self.vocabulary.matches(segment[begin:hi])
+        own = end >= lo - begin
+        node, token = end[own] + (begin - lo), token[own]
         width, score = self.widths[token], self.scores[token]
         single = np.zeros(hi - lo, bool)
         single[node[width == 1]] = True
@@ -157,8 +155,8 @@ class Lattices:
             node = np.concatenate([node, bare])
             width = np.concatenate([width, np.ones(len(bare), np.int32)])
             score = np.concatenate([score, np.full(len(bare), self.alpha * self.vocabulary.unknown_score)])
-            order = np.argsort(node, kind="stable")
-            node, token, width, score = node[order], token[order], width[order], score[order]
+        order = np.argsort(node, kind="stable")
+        node, token, width, score = node[order], token[order], width[order], score[order]
         return np.searchsorted(node, np.arange(hi - lo + 1)), token, width, score
 
     def sample_long(self, segment: str, seed: np.uint64, window: int = 1 << 16) -> np.ndarray:

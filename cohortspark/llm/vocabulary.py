@@ -5,8 +5,10 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 from functools import cached_property
+from itertools import chain
 
 import ahocorasick
+import numpy as np
 import sentencepiece
 
 #: Where a text may be cut without changing any segmentation: no piece holds a space after another character, and a line
@@ -35,13 +37,32 @@ class Vocabulary:
 
     @cached_property
     def id_automaton(self) -> ahocorasick.Automaton:
-        """As automaton, with bare ids for matches."""
+        """As automaton, of the pieces of two or more characters, with bare ids for matches."""
         found = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         for text, i, _ in self.pieces:
-            found.add_word(text, i)
+            if len(text) > 1:
+                found.add_word(text, i)
         found.make_automaton()
         return found
 
+    @cached_property
+    def characters(self) -> np.ndarray:
+        """The id of the piece that is one character, by code point, or -1; the last place stands for all greater code points."""
+        single = {ord(text): i for text, i, _ in self.pieces if len(text) == 1}
+        found = np.full(max(single, default=0) + 2, -1, np.int32)
+        found[list(single)] = list(single.values())
+        return found
+
+    def matches(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """(place of the last character, id) of each piece in the text: those of several characters by place, the longest of one place
+        first, then all of one character by place."""
+        known = self.id_automaton.kind == ahocorasick.AHOCORASICK
+        flat = np.fromiter(chain.from_iterable(self.id_automaton.iter(text)) if known else (), np.int32).reshape(-1, 2)
+        points = np.frombuffer(text.encode("utf-32-le"), "<u4")
+        single = self.characters[np.minimum(points, len(self.characters) - 1)]
+        at = np.flatnonzero(single >= 0)
+        return np.concatenate([flat[:, 0], at.astype(np.int32)]), np.concatenate([flat[:, 1], single[at]])
+
     @cached_property
     def ring(self) -> int:
         """The least power of two that is greater than the characters of the longest piece."""

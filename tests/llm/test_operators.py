@@ -587,3 +587,16 @@ def test_windows_cover_all_words():
         for s, w in zip(start[doc == k], size[doc == k], strict=True):
             covered |= set(range(s, s + w))
         assert covered == set(range(total))
+
+
+def test_pieces_of_one_character_cost_no_match():
+    """They are found by code point; all pieces are found, and the longest of one place stand first."""
+    vocabulary = load_vocabulary()
+    text = " a ab\0the\u00e9\U0001f600 \u2581z"
+    end, token = vocabulary.matches(text)
+    known = {t: i for t, i, _ in vocabulary.pieces}
+    want = [(e, known[text[s : e + 1]]) for e in range(len(text)) for s in range(e + 1) if text[s : e + 1] in known]
+    order = np.argsort(end, kind="stable")
+    assert list(zip(end[order].tolist(), token[order].tolist(), strict=True)) == want
+    single = sum(len(text[s : e + 1]) == 1 for e in range(len(text)) for s in range(e + 1) if text[s : e + 1] in known)
+    assert single and len(list(vocabulary.id_automaton.iter(text))) == len(want) - single
