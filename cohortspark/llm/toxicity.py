@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .sentencepiece_sample import ragged
-from .textbytes import mix, prefix_hashes, span_hash
+from .textbytes import mix, prefix_hashes, release, releasing, span_hash
 
 WORDS = re.compile(r"\w+")
 #: Bytes of text that are learned from at most.
@@ -228,7 +228,7 @@ def train(texts: list[str], labels: list[int], shares: tuple[float, float] = (1.
                 m[k] += 0.1 * (g[k] - m[k])
                 v[k] += 0.01 * (g[k] * g[k] - v[k])
                 a -= (0.01 * m[k] / (1 - 0.9**step) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-7)).astype(np.float32)
-    z, t = zip(*[(z, y) for y in (0, 1) for z in Scorer(Net(by_word[y], by_gram[y], w)).logits([[words[i] for i in x] for x, own in zip(ids, labels, strict=True) if own == y and len(x)])], strict=True)
+    z, t = zip(*[(z, y) for y in (0, 1) for z in Scorer(Net(by_word[y], by_gram[y], w), 256).logits([[words[i] for i in x] for x, own in zip(ids, labels, strict=True) if own == y and len(x)])], strict=True)
     t = np.array(t)
     return Net(by_word[2], by_gram[2], w, *_logistic(np.array(z), t.astype(float), 1 / np.array(shares)[t]))
 
@@ -243,12 +243,12 @@ def _logistic(z: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0
 
 
 class Scorer:
-    """Scores lists of words; keeps the gates of the words it has seen."""
+    """Scores lists of words, so many windows at once; keeps the gates of the words it has seen."""
 
     most = 400_000
 
-    def __init__(self, net: Net):
-        self.net = net
+    def __init__(self, net: Net, windows: int = 2048):
+        self.net, self.windows = net, windows
         self.clear()
 
     def clear(self) -> None:
@@ -273,8 +273,8 @@ class Scorer:
         first = (np.cumsum(n) - n)[doc] + start
         for full in (True, False):
             pick = np.flatnonzero((size == WIDTH) == full)
-            for lo in range(0, len(pick), 2048):
-                p = pick[lo : lo + 2048]
+            for lo in range(0, len(pick), self.windows):
+                p = pick[lo : lo + self.windows]
                 t = np.arange(WIDTH)[:, None]
                 at = first[p] + np.minimum(t, size[p] - 1)
                 z = pooled_logits(self.gates[flat[at]], None if full else (t < size[p])[:, :, None], self.net.w)
@@ -311,7 +311,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, keep, threshold: float =
     keep: a condition on the id column: the documents whose labels may be learned from; most: the greatest number of them for
     each label. A null or empty text, or one without a word, scores 0, and so do all where a label is missing from the
     sample. Repeated rows stay; columns of docs that are named score or predicted are replaced."""
-    sent = docs.sparkSession.sparkContext.broadcast(train(*labelled_sample(docs, labels, keep, most, id_col, text)))
+    net = train(*labelled_sample(docs, labels, keep, most, id_col, text))
+    release()
+    sent = docs.sparkSession.sparkContext.broadcast(net)
     docs = docs.drop("score", "predicted")
     place = docs.columns.index(text)
 
@@ -329,4 +331,4 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, keep, threshold: float =
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64()), pa.array((found >= threshold).astype(np.int32))], [*batch.schema.names, "score", "predicted"])
 
     schema = docs.schema
-    return docs.mapInArrow(score, schema.__class__([*schema.fields]).add("score", "double").add("predicted", "integer"))
+    return docs.mapInArrow(releasing(score), schema.__class__([*schema.fields]).add("score", "double").add("predicted", "integer"))

@@ -136,3 +136,16 @@ def test_training_separates_and_leaves_clean_texts_alone():
         by_label[label].append(hit)
     assert np.mean(by_label[1]) > 0.9 and np.mean(by_label[0]) < 0.1
     assert train(texts[:3], [0, 0, 0]) is None and train([], []) is None and train(["", "..."], [0, 1]) is None
+
+
+def test_training_holds_little_at_once():
+    """What the driver allocates to learn from a sample of many windows."""
+    import tracemalloc
+
+    texts = [" ".join(f"w{(i * 31 + j * 7) % 400}" for j in range(3000)) + (" bad" if i % 2 else "") for i in range(60)]
+    tracemalloc.start()
+    try:
+        assert train(texts, [i % 2 for i in range(60)], epochs=1, least_steps=1) is not None
+        assert tracemalloc.get_traced_memory()[1] < 32 << 20
+    finally:
+        tracemalloc.stop()
