@@ -78,3 +78,10 @@ def test_curves_round_halves_as_the_statement_does(spark, tmp_path):
     found = con.execute(ORACLES["roc_points"])
     names = [d[0] for d in found.description]
     assert sorted(map(tuple, df.select(names).collect())) == sorted(found.fetchall())
+
+
+@pytest.mark.parametrize("name", ["plausibility_audit"])
+def test_quantiles_without_a_buffer_of_a_column(spark, name):
+    """No task merges a map of all distinct values of a column."""
+    plan = QUERIES[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert "percentile(" not in plan
