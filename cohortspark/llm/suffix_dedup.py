@@ -23,10 +23,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, fresh_name, stash
-from .textbytes import byte_column, chunks, mix, prefix_hashes, span_hash
+from .runs import gather
+from .textbytes import byte_column, chunks, mix, prefix_hashes, releasing, span_hash
 
 ANCHOR = 40
 SHALLOW = 32
+#: Bytes of text that a task looks at together: the arrays of its anchors take some 55 times that.
+TEXT = 1 << 18
+#: Contexts that a task cuts together; the arrays that place their bytes take some 30 bytes for each.
+PART = 4096
 
 
 def _sliding(x: np.ndarray, width: int, least: bool) -> np.ndarray:
@@ -124,7 +129,8 @@ def deep_shallow_sort(strings: list[bytes], depth: int = 0, shallow: int = SHALL
     """(order, common): the sorted order of strings that share `depth` bytes, and for each place in it the length of the
     prefix that is common to the string there and the one before (0 at the first). Equal strings keep their order.
 
-    Multikey quicksort to `shallow` more bytes; groups that are still together are ordered by blind tries."""
+    Multikey quicksort to `shallow` more bytes; groups that are still together are ordered by blind tries. What a group shares is
+    the common prefix of its least and greatest string, and isn't partitioned byte by byte."""
     order: list[int] = []
     common: list[int] = []
     deep, todo = depth + shallow, [(list(range(len(strings))), depth, 0)]
@@ -133,7 +139,10 @@ def deep_shallow_sort(strings: list[bytes], depth: int = 0, shallow: int = SHALL
         if len(group) == 1:
             order.append(group[0])
             common.append(left)
-        elif depth >= deep:
+            continue
+        own = [strings[i] for i in group]
+        depth = _common(min(own), max(own), depth)
+        if depth >= deep:
             stack = [(_blind_trie(strings, group, depth), left)]
             while stack:
                 node, lead = stack.pop()
@@ -144,10 +153,10 @@ def deep_shallow_sort(strings: list[bytes], depth: int = 0, shallow: int = SHALL
                     order += node
                     common += [lead] + [len(strings[node[0]])] * (len(node) - 1)
         else:
-            pivot = _byte(strings[group[len(group) // 2]], depth)
+            pivot = _byte(own[len(own) // 2], depth)
             less, same, more = [], [], []
-            for i in group:
-                c = _byte(strings[i], depth)
+            for i, s in zip(group, own, strict=True):
+                c = s[depth] if depth < len(s) else -1
                 (same if c == pivot else less if c < pivot else more).append(i)
             if pivot < 0:  # they end here, so that they are equal and come first
                 order += same
@@ -187,12 +196,12 @@ def _anchor_table(rows: DataFrame, length: int) -> DataFrame:
         names = ["did", "rid", "pos", "h", "context", "before", "after"]
         for batch in batches:
             data, offsets = byte_column(batch.column(2))
-            for lo, hi in chunks(offsets):
+            for lo, hi in chunks(offsets, TEXT):
                 row, pos, h, context, before, after = anchors(data, offsets[lo : hi + 1], length)
                 at = pa.array(row + lo)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *(pa.array(x.astype(t) if t else x.view(np.int64)) for x, t in ((pos, np.int32), (h, None), (context, None), (before, np.int16), (after, np.int16)))], names)
 
-    return rows.mapInArrow(run, f"{PLACE}, h long, context long, before short, after short")
+    return rows.mapInArrow(releasing(run), f"{PLACE}, h long, context long, before short, after short")
 
 
 def _cut(rows: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -205,21 +214,26 @@ def _cut(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     schema = f"{PLACE}, key long, size long, left binary, right binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [x.split()[0] for x in schema.split(", ")]
         for batch in batches:
             data, offsets = byte_column(batch.column(2))
-            out: list[tuple] = []
-            for k, places in enumerate(batch.column(3).to_pylist()):
-                base = int(offsets[k])
-                text = data[base : int(offsets[k + 1])].tobytes()
-                for x in places:
-                    p = x["pos"]
-                    out.append((batch.column(0)[k].as_py(), batch.column(1)[k].as_py(), p, x["h"], x["size"], text[p - x["before"] : p][::-1], text[p : p + x["after"]]))
-            if out:
-                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-                names = [x.split()[0] for x in schema.split(", ")]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
+            backwards = data[::-1]
+            row, places = _members(batch.column(3))
+            for lo in range(0, len(row), PART):
+                own, part = row[lo : lo + PART], places.slice(lo, PART)
+                pos, h, before, after, size = part.flatten()
+                at, before, after = offsets[own] + pos.to_numpy(), before.to_numpy(), after.to_numpy()
+                left = gather(backwards, len(data) - at, len(data) - at + before, pa.binary())
+                docs = pa.array(own)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(docs), batch.column(1).take(docs), pos, h, size, left, gather(data, at, at + after, pa.binary())], names)
+
+    return both.mapInArrow(releasing(run), schema)
 
-    return both.mapInArrow(run, schema)
+
+def _members(lists: pa.Array) -> tuple[np.ndarray, pa.StructArray]:
+    """(row, member) of all members of a column of lists."""
+    sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    return np.repeat(np.arange(len(lists)), sizes), lists.flatten()
 
 
 def _solve(groups: DataFrame, length: int) -> DataFrame:
@@ -244,7 +258,7 @@ def _solve(groups: DataFrame, length: int) -> DataFrame:
             yield pd.DataFrame(solved(), columns=["did", "rid", "pos", "back", "forward"])
 
     dealt = groups.select("key", "did", "rid", "pos", "left", "right").repartition("key").sortWithinPartitions("key")
-    return dealt.mapInPandas(run, f"{PLACE}, back int, forward int")
+    return dealt.mapInPandas(releasing(run), f"{PLACE}, back int, forward int")
 
 
 def _split(groups: DataFrame, length: int) -> DataFrame:
@@ -267,7 +281,7 @@ def _split(groups: DataFrame, length: int) -> DataFrame:
             yield pd.DataFrame(out, columns=["key", "cls", "did", "rid", "pos", "left", "right", "lo", "hi"])
 
     fields = groups.select("key", "did", "rid", "pos", "left", "right", "lo", "hi")
-    return fields.mapInPandas(run, f"key long, cls long, {PLACE}, left binary, right binary, lo int, hi int")
+    return fields.mapInPandas(releasing(run), f"key long, cls long, {PLACE}, left binary, right binary, lo int, hi int")
 
 
 def repeated_spans(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text: str = "text", most_classes: int = 128) -> DataFrame:
@@ -325,15 +339,13 @@ def _did(id_col: str) -> Column:
     return F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("did")
 
 
-def _runs(spans: list[dict] | None) -> list[tuple[int, int]]:
-    """Maximal runs of the union of spans."""
-    out: list[tuple[int, int]] = []
-    for s, e in sorted((x["start"], x["end"]) for x in spans or ()):
-        if out and s <= out[-1][1]:
-            out[-1] = out[-1][0], max(e, out[-1][1])
-        else:
-            out.append((s, e))
-    return out
+def _runs(row: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, start, end) of the maximal runs of the union of spans; places count on from row to row, and runs end with their row."""
+    order = np.lexsort((start, row))
+    row, start, reach = row[order], start[order], np.maximum.accumulate(end[order])
+    first = np.ones(len(row), bool)
+    first[1:] = (start[1:] > reach[:-1]) | (row[1:] != row[:-1])
+    return row[first], start[first], reach[np.append(first[1:], True)] if len(row) else reach
 
 
 def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text: str = "text", most_classes: int = 128) -> DataFrame:
@@ -355,19 +367,24 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = byte_column(batch.column(place))
-            sizes, removed, runs_n, kept = np.diff(offsets), [], [], []
-            for k, spans in enumerate(batch.column(n).to_pylist()):
-                body = data[int(offsets[k]) : int(offsets[k + 1])].tobytes()
-                runs, at, left = _runs(spans), 0, []
-                for s, e in runs:
-                    left.append(body[at:s])
-                    at = e
-                kept.append(b"".join([*left, body[at:]]))
-                removed.append(sum(e - s for s, e in runs))
-                runs_n.append(len(runs))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(sizes), pa.array(removed, pa.int64()), pa.array(runs_n, pa.int64()), pa.array(kept, pa.binary()), pa.array([x.decode(errors="ignore") for x in kept], pa.string())], [*batch.schema.names[:n], *added])
+            held, spans = _members(batch.column(n))
+            starts, ends = (x.to_numpy() + offsets[held] for x in spans.flatten())
+            for lo, hi in chunks(offsets, TEXT):
+                base, at = int(offsets[lo]), offsets[lo : hi + 1] - offsets[lo]
+                own = slice(*np.searchsorted(held, [lo, hi]))
+                row, start, end = _runs(held[own] - lo, starts[own] - base, ends[own] - base)
+                edge = np.zeros(int(at[-1]) + 1, np.int8)
+                edge[start] += 1
+                edge[end] -= 1
+                body = data[base : base + int(at[-1])][np.cumsum(edge[:-1], dtype=np.int8) == 0]
+                removed = np.bincount(row, end - start, minlength=hi - lo).astype(np.int64)
+                places = np.zeros(hi - lo + 1, np.int64)
+                np.cumsum(np.diff(at) - removed, out=places[1:])
+                kept = gather(body, places[:-1], places[1:], pa.binary())
+                columns = [pa.array(np.diff(at)), pa.array(removed), pa.array(np.bincount(row, minlength=hi - lo)), kept, pa.array([x.decode(errors="ignore") for x in kept.to_pylist()], pa.string())]
+                yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in batch.columns[:n]), *columns], [*batch.schema.names[:n], *added])
 
     schema = docs.schema.__class__([*docs.schema.fields])
     for name, kind in zip(added, ("long", "long", "long", "binary", "string"), strict=True):
         schema = schema.add(name, kind)
-    return both.mapInArrow(run, schema)
+    return both.mapInArrow(releasing(run), schema)
