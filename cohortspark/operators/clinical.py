@@ -133,11 +133,11 @@ def clinical_cohort(t: dict[str, DataFrame], plan: Plan | None = None) -> DataFr
     cohort = keep_table(base_cohort(t, plan), "cohort")
     first_day = lambda c: window_rows(t[c], cohort, "stay_id", "starttime", "intime", "intime + interval 24 hours")
     stays = cohort.select("stay_id")
-    flags = exists_in_window(stays, first_day("ventilation"), "stay_id", "mechanical_vent_flag", F.col("ventilation_status").isin(*plan.ventilated))
-    flags = flags.join(exists_in_window(stays, first_day("vasoactive_agent"), "stay_id", "vaso_flag"), "stay_id")
+    flags = [exists_in_window(stays, first_day("ventilation"), "stay_id", "mechanical_vent_flag", F.col("ventilation_status").isin(*plan.ventilated))]
+    flags += [exists_in_window(stays, first_day("vasoactive_agent"), "stay_id", "vaso_flag")]
     blocks = [outcomes(t, cohort, plan), *[semi(t[n], cohort, "stay_id").select("stay_id", F.col(c).alias(out)) for n, (c, out) in SCORES.items()]]
     blocks += [semi(t["first_day_lab"], cohort, "stay_id").select("stay_id", *[F.col(c).alias(RENAMED.get(c, c)) for c in FIRST_DAY_LABS])]
-    blocks += [panel(t["chartevents"], cohort, plan.vitals), semi(t["first_day_bg"], cohort, "stay_id").select("stay_id", *FIRST_DAY_GASES), flags]
+    blocks += [panel(t["chartevents"], cohort, plan.vitals), semi(t["first_day_bg"], cohort, "stay_id").select("stay_id", *FIRST_DAY_GASES), *flags]
     by_stay = assemble(cohort, blocks, "stay_id", [])
     ill = prefix_flags(semi(t["diagnoses_icd"], cohort, "hadm_id"), "hadm_id", "icd_code", plan.comorbidities)
     wide = assemble(by_stay, [panel(t["labevents"], cohort, plan.labs), panel(t["bg"], cohort, plan.gases), ill], "hadm_id", list(plan.comorbidities))
