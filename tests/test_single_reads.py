@@ -5,7 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import functions as F
 
-from cohortspark.operators import cleaning, flows
+from cohortspark.operators import cleaning, evaluate, flows, validation
 from cohortspark.plans.queries import FEAT
 from cohortspark.plans.views import Views
 
@@ -45,3 +45,17 @@ def test_another_cohort_is_read_once(spark):
     chosen = spark.createDataFrame([("y", 1, "a")], "outcome string, place int, feature string")
     got = flows.prepare_external(df, {"a": flows.Limits(0.0, 40.0, 1.0)}, chosen, assets, "id", ["y"])
     assert got.tables["y"].count() == 50 and got.removed.first()["removed"] == 9 and seen.value == 50
+
+
+def test_draws_by_digits_equal_draws_by_numbers(spark):
+    rows = spark.range(20_000).withColumn("r", F.col("id") % 7)
+    drawn = rows.select(evaluate.poisson1_of_hash(F.col("id"), F.col("r"), salt="42").alias("a"), evaluate.poisson1(cleaning.hash_number(F.col("id"), F.col("r"), salt="42")).alias("b"))
+    assert drawn.where("a <=> b").count() == 20_000 and drawn.select("a").distinct().count() > 5
+
+
+def test_scores_are_validated_from_one_read(spark):
+    rows = spark.range(60).select("id", (F.col("id") % 3 == 0).cast("int").alias("y"), ((F.col("id") * 7) % 20 / 20).alias("p"), F.lit("m").alias("model"))
+    cuts = spark.createDataFrame([("m", 0.4)], "model string, threshold double")
+    df, seen = counted(spark, rows)
+    assert validation.validate(df, "y", "p", "id", ["model"], cuts, 5, vectorised=False).first()["n"] == 60
+    assert seen.value == 60
