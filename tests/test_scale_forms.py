@@ -13,7 +13,7 @@ from pyspark.ml.classification import LogisticRegression
 
 from cohortspark.functions import derive
 from cohortspark.functions.tails import lattice_tail
-from cohortspark.operators import bootstrap, cleaning, evaluate, models, quantiles, stats
+from cohortspark.operators import bootstrap, cleaning, cumulative, evaluate, models, quantiles, stats
 from cohortspark.operators.l1path import held_out_scores, l1_path
 from cohortspark.sources import tables
 
@@ -190,3 +190,12 @@ def test_models_fit_after_curves_in_one_session(spark):
     assert evaluate.auc(df, "y", "p", []).count() == 1
     assert models.calibrate(df, "y", ["x"], "id", k=2)[0].count() == 60
     assert models.tune(df, "y", ["x"], "id", ("logistic",), k=2)[0].count() == 1
+
+
+def test_ranges_are_found_by_halving(spark):
+    values = [-1.0, 0.0, 0.5, 1.0, 2.5, 7.0, 8.0, float("inf"), float("nan"), None]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    for n in (0, 1, 2, 3, 7, 8, 9, 1000):
+        cuts = [i / 2 for i in range(n)]
+        got = [r["k"] for r in df.select(cumulative.cuts_below(cuts, F.col("v")).alias("k")).collect()]
+        assert got == [0 if v is None else n if math.isnan(v) else sum(c < v for c in cuts) for v in values]

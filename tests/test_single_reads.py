@@ -5,7 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import functions as F
 
-from cohortspark.operators import cleaning, evaluate, flows, validation
+from cohortspark.operators import cleaning, evaluate, flows, models, validation
 from cohortspark.plans.queries import FEAT
 from cohortspark.plans.views import Views
 
@@ -59,3 +59,13 @@ def test_scores_are_validated_from_one_read(spark):
     df, seen = counted(spark, rows)
     assert validation.validate(df, "y", "p", "id", ["model"], cuts, 5, vectorised=False).first()["n"] == 60
     assert seen.value == 60
+
+
+def test_learners_are_tuned_from_one_read(spark):
+    # the rarer leaf has the likelier rows: ranked by the weight of a leaf, as raw predictions of trees are, the area is below a half
+    rows = spark.range(440).select("id", (F.col("id") >= 400).cast("double").alias("x"), F.when(F.col("id") >= 400, F.col("id") % 4 > 0).otherwise(F.col("id") % 5 == 0).cast("int").alias("y"))
+    df, seen = counted(spark, rows)
+    got, fitted = models.tune(df, "y", ["x"], "id", ("logistic", "tree"), k=2)
+    area = {r["model"]: r["mean_auc"] for r in got.collect()}
+    assert seen.value == 440 and list(area) == list(fitted) == ["logistic", "tree"]
+    assert area["tree"] > 0.5 and abs(area["tree"] - area["logistic"]) < 1e-12  # both know two scores
