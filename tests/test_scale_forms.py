@@ -50,6 +50,21 @@ def test_bootstrap_by_one_sort(spark, rows):
     assert bootstrap.replicate_metrics(df.limit(0), "y", "p", "id", 5, []).count() == 0
 
 
+def test_scores_that_many_rows_share_are_drawn_once(spark):
+    rng = np.random.default_rng(4)
+    held = [(i, int(rng.random() < 0.3), float(rng.choice([0.2, 0.4, 0.8]))) for i in range(2400)] + [(3000 + i, i % 2, p) for i, p in enumerate([0.1, 0.3, 0.3, 0.9, 0.5])]
+    df = spark.createDataFrame(held, "id long, y int, p double").repartition(3)
+    own = {r["id"]: r["h"] for r in df.select("id", F.xxhash64("id").alias("h")).collect()}
+    rows = [(y, p, own[i]) for i, y, p in held]
+    parted = bootstrap._ranged(spark.createDataFrame(rows, "_y int, _p double, _own long"), bootstrap.RANGE)
+    got = sorted(tuple(r) for r in parted.groupBy("_p").agg(F.max("_part").alias("part"), F.max("_hot").alias("hot"), F.count_distinct("_salt").alias("n")).collect())
+    # totals are enough for those that many rows share: no task goes through their rows again
+    assert got == [(0.1, 0, False, 1), (0.2, 1, True, 1), (0.3, 2, False, 1), (0.4, 3, True, 1), (0.5, 4, False, 1), (0.8, 5, True, 1), (0.9, 6, False, 1)]
+    found = {r["rep"]: (r["auc"], r["average_precision"], r["brier"]) for r in bootstrap.replicate_metrics(df, "y", "p", "id", 21, []).collect()}
+    want = plain_replicates(rows, 21)
+    assert found.keys() == want.keys() and all(found[k] == pytest.approx(want[k], rel=1e-9) for k in want)
+
+
 def test_poisson_weights_are_the_steps_of_the_distribution():
     own = np.arange(20_000, dtype=np.uint64)
     w = bootstrap.poisson_weights(own, 3, 7)
