@@ -1,12 +1,14 @@
 """N-gram Jaccard join with adaptive multi-match prefixes, and the groups that its links make.
 
 1. Each text becomes its set of shingle hashes. Rows with equal sets are one set from then on.
-2. A sketch of fixed size estimates how many texts hold each shingle. All sets are read in one order, rare shingles first.
+2. A sketch of counters, one for SPREAD shingles within bounds, estimates how many texts hold each shingle. All sets are read in
+   the order of these counts, so that what chance repeats in a large corpus stays out of most prefixes.
 3. A set's prefix are its first n - ceil(t n) + l tokens; l is 1, and more for a set whose prefix meets many others by that
    estimate. Sets of a and b tokens that are similar share k = ceil(t / (1 + t) (a + b)) tokens at least. After the first m of
    these come k - m more, so that these m stand among the first a - k + m tokens of one and b - k + m of the other: two sets
    are compared only if their prefixes share min(pa - a, pb - b) + k tokens, pa and pb being the lengths of the prefixes. A
-   longer prefix asks for as many more shared tokens.
+   longer prefix asks for as many more shared tokens. Prefixes are shuffled once, packed by ranges of the token, and what only one
+   set holds is left out where they arrive.
 4. Candidates are verified on whole sets. Since the result is groups, sets that share a token are first tried against a few
    leaders of the token, and only pairs that are still in different groups are left.
 5. Of a token that at most `few` sets of several groups hold, each pair is tried. The sets of a token that more hold are dealt in
@@ -29,8 +31,11 @@ from .sentencepiece_sample import ragged
 from .shingles import shingle_sets
 from .textbytes import byte_column, chunks, releasing
 
-SKETCH_BITS = 20
+#: Least and greatest size of the sketch as a power of two, and the shingles that a counter is meant to hold.
+SKETCH_BITS, SPREAD = (20, 23), 64
 LAYERS = 4
+#: Postings of a range of tokens, and those that a task gathers before it passes them on.
+RANGE, GATHERED = 200_000, 1 << 18
 
 
 def _sets(batch: pa.RecordBatch, column: int, words: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -65,15 +70,19 @@ def digests(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(releasing(run), f"id {docs.schema['id'].dataType.simpleString()}, n_shingles long, s1 long, s2 long")
 
 
-def sketch(docs: DataFrame, words: int, bits: int = SKETCH_BITS) -> np.ndarray:
-    """How many rows hold a shingle, by the first bits of its hash; 2**bits numbers whatever the input is.
+def sketch_bits(shingles: int) -> int:
+    return min(max(SKETCH_BITS[0], (shingles // SPREAD).bit_length()), SKETCH_BITS[1])
+
+
+def sketch(docs: DataFrame, words: int, bits: int = SKETCH_BITS[0]) -> np.ndarray:
+    """How many rows hold a shingle, by the first bits of its hash; 2**bits numbers of two bytes, the greatest for all beyond.
 
     Tasks count all their rows and pass on compressed slices of their counters, which are summed by slice."""
     slices = 64
     width = (1 << bits) // slices
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << bits, np.int64)
+        total = np.zeros(1 << bits, np.int32)
         for batch in batches:
             for _, _, hashes, _ in _sets(batch, 1, words):
                 np.add.at(total, (hashes >> np.uint64(64 - bits)).astype(np.int64), 1)
@@ -85,27 +94,28 @@ def sketch(docs: DataFrame, words: int, bits: int = SKETCH_BITS) -> np.ndarray:
         totals: dict[int, np.ndarray] = {}
         for pdf in batches:
             for k, data in zip(pdf["slice"], pdf["counts"], strict=True):
-                part = np.frombuffer(zlib.decompress(data), np.int64)
+                part = np.frombuffer(zlib.decompress(data), np.int32).astype(np.int64)
                 totals[k] = totals[k] + part if k in totals else part
-        yield pd.DataFrame({"slice": list(totals), "counts": [zlib.compress(v.tobytes(), 1) for v in totals.values()]})
+        yield pd.DataFrame({"slice": list(totals), "counts": [zlib.compress(np.minimum(v, 0xFFFF).astype(np.uint16).tobytes(), 1) for v in totals.values()]})
 
-    parts = docs.mapInArrow(releasing(count), "slice int, counts binary").repartition("slice").mapInPandas(add, "slice int, counts binary").collect()
-    total = np.zeros(1 << bits, np.int64)
-    for r in parts:
-        total[r["slice"] * width : (r["slice"] + 1) * width] = np.frombuffer(zlib.decompress(bytes(r["counts"])), np.int64)
+    parts = stash(docs.mapInArrow(releasing(count), "slice int, counts binary").repartition("slice").mapInPandas(add, "slice int, counts binary"), "sketch")
+    total = np.zeros(1 << bits, np.uint16)
+    for r in parts.collect():
+        total[r["slice"] * width : (r["slice"] + 1) * width] = np.frombuffer(zlib.decompress(bytes(r["counts"])), np.uint16)
+    discard(parts)
     return total
 
 
-def prefixes(hashes: np.ndarray, ends: np.ndarray, level: np.ndarray, count: np.ndarray, percent: int, costly: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def prefixes(hashes: np.ndarray, ends: np.ndarray, count: np.ndarray, percent: int, costly: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(token, row, layers of the row): the tokens of each set's prefix in the common order.
 
-    level: the logarithm of a shingle's count, the order's first key; count: its estimate. The number of layers (l) grows
-    with the estimated number of rows that the one-layer prefix meets, and stops at LAYERS or at the set's size."""
-    bits = int(np.log2(len(level)))
+    count: the sketch, whose counts are the order's first key. The number of layers (l) grows with the estimated number of rows
+    that the one-layer prefix meets, and stops at LAYERS or at the set's size."""
+    bits = int(np.log2(len(count)))
     n = np.diff(ends)
     row = np.repeat(np.arange(len(n)), n)
     slot = (hashes >> np.uint64(64 - bits)).astype(np.int64)
-    order = np.lexsort((hashes, level[slot], row))
+    order = np.lexsort((hashes, count[slot], row))
     hashes, slot = hashes[order], slot[order]
     rank = np.arange(len(hashes)) - np.repeat(ends[:-1], n)
     first = n - (n * percent + 99) // 100 + 1
@@ -116,6 +126,56 @@ def prefixes(hashes: np.ndarray, ends: np.ndarray, level: np.ndarray, count: np.
     return hashes[keep], row[keep], layers[row[keep]]
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """64-bit numbers, first bytes first, so that what neighbours share compresses."""
+    return x.view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _numbers(planes: list[bytes]) -> np.ndarray:
+    return np.concatenate([np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(8, -1).T).view(np.int64)[:, 0] for x in planes])
+
+
+def packed_postings(token: np.ndarray, node: np.ndarray, packed: np.ndarray, ranges: int) -> pa.RecordBatch:
+    """A row for each range of tokens, with the postings in it."""
+    order = np.argsort(token)
+    token = token[order]
+    range_of = ((token >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+    at = np.flatnonzero(np.diff(range_of, prepend=-1))
+    columns = [[_planes(x[lo:hi]) for lo, hi in zip(at, [*at[1:], len(token)], strict=True)] for x in (token, node[order], packed[order])]
+    return pa.RecordBatch.from_arrays([pa.array(range_of[at], pa.int64()), *[pa.array(c, pa.binary()) for c in columns]], ["range", "token", "node", "packed"])
+
+
+def met_postings(postings: DataFrame) -> DataFrame:
+    """(token, node, n, layers) of packed postings: each node of a token once, of the tokens that several nodes hold.
+
+    One shuffle; a task holds the postings of one range."""
+
+    def met(held: list[tuple]) -> pa.RecordBatch:
+        token, node, packed = (_numbers(x) for x in zip(*held, strict=True))
+        order = np.lexsort((node, token))
+        t, n = token[order], node[order]
+        fresh = np.ones(len(t), bool)
+        fresh[1:] = (t[1:] != t[:-1]) | (n[1:] != n[:-1])
+        order, t = order[fresh], t[fresh]
+        count = np.diff(np.append(np.flatnonzero(np.append(True, t[1:] != t[:-1])), len(t)))
+        order = order[np.repeat(count > 1, count)]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (token[order], node[order], packed[order] >> 3, packed[order] & 7)], ["token", "node", "n", "layers"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, last = [], None
+        for batch in batches:
+            for k, number in enumerate(batch.column(0).to_pylist()):
+                if number != last and held:
+                    yield met(held)
+                    held = []
+                last = number
+                held.append(tuple(batch.column(c)[k].as_py() for c in (1, 2, 3)))
+        if held:
+            yield met(held)
+
+    return postings.repartition("range").sortWithinPartitions("range").mapInArrow(releasing(run), "token long, node long, n long, layers long")
+
+
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (a, b) whose sets are similar; sets: (node, tokens as packed 64-bit numbers in order)."""
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("y")), "b")
@@ -146,33 +206,36 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     digest = stash(digests(rows, words), "digests")
     # a set's node is the first half of its digest; it goes by the least id of its rows
     nodes = digest.where("n_shingles > 0 and id is not null").groupBy(F.col("s1").alias("node"), "s2", "n_shingles").agg(F.min("id").alias("node_id"))
-    sent = docs.sparkSession.sparkContext.broadcast(sketch(rows, words))
+    shingles = digest.agg(F.sum("n_shingles")).first()[0] or 0
+    sent = docs.sparkSession.sparkContext.broadcast(sketch(rows, words, sketch_bits(shingles)))
+    ranges = max(4 * docs.sparkSession.sparkContext.defaultParallelism, shingles * (100 - percent) // 100 // RANGE)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = sent.value
-        level = np.log2(count + 1.0).astype(np.int64)
         seen: set[int] = set()
+        held, n = [], 0
         for batch in batches:
             for _, _, hashes, ends in _sets(batch, 1, words):
                 node, _ = _digest(hashes, ends)
-                token, row, layers = prefixes(hashes, ends, level, count, percent, costly)
+                token, row, layers = prefixes(hashes, ends, count, percent, costly)
                 # equal sets have equal postings: a task passes them on once, as far as it remembers
                 fresh = np.array([x not in seen and not seen.add(x) for x in node.tolist()], bool)
                 if len(seen) > 200_000:
                     seen.clear()
-                size = np.diff(ends)
-                slot = (token >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+                slot = (token >> np.uint64(64 - int(np.log2(len(count))))).astype(np.int64)
                 # what only one row holds meets no other
                 k = np.flatnonzero(fresh[row] & (count[slot] > 1))
                 row = row[k]
-                yield pa.RecordBatch.from_arrays([pa.array(token[k].view(np.int64)), pa.array(node[row]), pa.array(size[row] * 8 + layers[k])], ["token", "node", "packed"])
+                held.append((token[k], node[row], np.diff(ends)[row] * 8 + layers[k]))
+                n += len(k)
+                if n >= GATHERED:
+                    yield packed_postings(*(np.concatenate(x) for x in zip(*held, strict=True)), ranges)
+                    held, n = [], 0
+        if n:
+            yield packed_postings(*(np.concatenate(x) for x in zip(*held, strict=True)), ranges)
 
-    postings = rows.where("id is not null").mapInArrow(releasing(emit), "token long, node long, packed long")
-    postings = stash(postings.dropDuplicates(["token", "node"]), "emitted")
-    emitted, met = postings, postings.groupBy("token").agg(F.count(F.lit(1)).alias("met")).where("met > 1").select("token")
-    postings = postings.join(met, "token").select("token", "node", F.shiftright("packed", 3).alias("n"), F.col("packed").bitwiseAND(7).alias("layers"))
-    postings = stash(postings, "postings")
-    discard(emitted)
+    packed = rows.where("id is not null").mapInArrow(releasing(emit), "range long, token binary, node binary, packed binary")
+    postings = stash(met_postings(packed), "postings")
 
     tried = None
     for k in range(leader_rounds):
@@ -182,11 +245,15 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         # a leader is seen in a part of the tokens only, and what is missed here is found in the end
         found = _candidates(x.join(y, "token").where("nodex <> nodey"), percent, share=0.5)
         tried = found if tried is None else tried.union(found)
-    near = _verified(stash(tried.distinct(), "tried"), rows, nodes, words, percent)
+    tried = stash(tried.distinct(), "tried")
+    near = _verified(tried, rows, nodes, words, percent)
+    discard(tried)
     held = stash(_across(postings, components(near)), "held")
+    discard(postings)
     x, y = (held.where(F.col("sets") <= few).select("token", *[F.col(c).alias(c + s) for c in ("node", "n", "layers", "group")]) for s in "xy")
     pairs = stash(_candidates(x.join(y, "token").where("nodex < nodey and groupx <> groupy"), percent), "pairs")
     links = near.union(_verified(pairs, rows, nodes, words, percent))
+    discard(pairs)
     hot = held.where(F.col("sets") > few)
     if not hot.isEmpty():
         links = links.union(_block_links(hot, rows, nodes, words, percent, block_sets))
