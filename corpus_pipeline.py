@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortspark.llm.common import fold, stash, table
+from cohortspark.llm.common import discard, fold, stash, table
 from cohortspark.llm.mixing import mix_sources
 from cohortspark.llm.ngram_join import similar_groups
 from cohortspark.llm.sentencepiece_sample import sample_encode
@@ -60,9 +60,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """All stages; what a stage returned is deleted when the next one's is stored."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = stash(docs, "stage")
+            if before is not None:
+                discard(before)
+            before = docs
     return docs
